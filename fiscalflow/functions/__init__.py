@@ -14,7 +14,7 @@ from fiscalflow.functions.dates import (
 from fiscalflow.functions.membership import isin_null_safe
 from fiscalflow.functions.money import (
     even_split,
-    money,
+    as_money,
     money_sum,
     round_money,
     to_cents,
@@ -26,7 +26,7 @@ __all__ = [
     "isin_null_safe",
     "lead_time_hours",
     "mask_cnpj",
-    "money",
+    "as_money",
     "money_sum",
     "month_offset",
     "posting_day",

@@ -13,7 +13,7 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def money(c) -> Column:
+def as_money(c) -> Column:
     """The amount as DECIMAL(18,2)."""
     return _col(c).cast(MONEY)
 
@@ -21,18 +21,18 @@ def money(c) -> Column:
 def money_sum(c) -> Column:
     """Exact sum of an amount column as a double; 0.0 when every value is null or
     there are no rows (aggregate expression)."""
-    return F.coalesce(F.sum(money(c)), F.lit(0).cast(MONEY)).cast("double")
+    return F.coalesce(F.sum(as_money(c)), F.lit(0).cast(MONEY)).cast("double")
 
 
 def round_money(c, scale: int = 2) -> Column:
     """Round half-up to ``scale`` decimals. Pass a decimal expression (e.g. built
-    from ``money``) so the rounding is exact rather than on a binary double."""
+    from ``as_money``) so the rounding is exact rather than on a binary double."""
     return F.round(_col(c), scale)
 
 
 def to_cents(c) -> Column:
     """Integer cents of an amount."""
-    return (money(c) * 100).cast("long")
+    return (as_money(c) * 100).cast("long")
 
 
 def even_split(total, parts) -> Column:

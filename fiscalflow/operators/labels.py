@@ -11,14 +11,15 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def brl_label(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if pd.isna(v) else f"R$ {v:,.2f}")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def hours_label(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if pd.isna(v) else f"{v:.1f} h")
 

@@ -1,8 +1,10 @@
 """The named queries: ``(spark, sf_dir) -> DataFrame`` over the driver's tables.
 
 Every query maps the driver's tables onto the invoice model (lazily, in the same
-plan) and runs one operator of the library with fixed parameters, so results are
-reproducible and comparable with ``fiscalflow.plans.oracle``.
+plan) and runs one operator of the library over the whole tables with fixed
+parameters, so results are reproducible and comparable with
+``fiscalflow.plans.oracle``. Exports write under the session's shared folder and
+return what they wrote, read back.
 """
 
 from __future__ import annotations
@@ -11,20 +13,356 @@ import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from fiscalflow import schemas
+from fiscalflow.functions import cnpj, dates, keys, money
+from fiscalflow.operators import audit, export, filters, labels, load, metrics
 from fiscalflow.operators import report as rep
+from fiscalflow.operators.fact import build_fact, docs_tasks_join
+from fiscalflow.operators.filters import FilterSpec
+from fiscalflow.session import shared_dir
+from fiscalflow.sources.parquet import read_table
 from fiscalflow.sources.tpch import model_from_tpch
 
-# Fixed parameters of the catalog.
+# ---------------------------------------------------------------------------
+# Fixed parameters of the catalog (the oracle SQL states the same values).
+# ---------------------------------------------------------------------------
 AS_OF = dt.date(2000, 3, 31)  # report window [2000-02-01, 2000-03-01)
+PERIOD = (dt.date(2000, 2, 1), dt.date(2000, 5, 31))
+DASHBOARD = FilterSpec(period=PERIOD, types=["MaterialInvoice", "ServiceInvoice"])
+MEMBERS = FilterSpec(
+    types=["MaterialInvoice", None],
+    tasks=["Escrituração da Nota", "Pagamento da Nota"],
+    statuses=["Nota Escriturada com Sucesso", "Nota não Escriturada", "Nota Paga"],
+    states=["AMERICA", "EUROPE", None],
+)
+EXPORT_STAMP = dt.datetime(2000, 3, 31, 18, 30)
+# insert-if-absent: documents of finished orders are already loaded; a batch of
+# candidate documents arrives with one row per order line (line 7 carries no key).
+LOADED_ORDER_STATUS = "F"
+KEYLESS_LINE_NUMBER = 7
+LOAD_ORDER = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def report_last_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rep.report_last_month(model_from_tpch(spark, sf_dir), AS_OF)
+def _model(spark, sf_dir):
+    return model_from_tpch(spark, sf_dir)
+
+
+def _fact(spark, sf_dir):
+    return build_fact(_model(spark, sf_dir))
+
+
+def _dashboard(spark, sf_dir):
+    return filters.apply_filters(_fact(spark, sf_dir), DASHBOARD)
+
+
+# --- report (P1-P3, J1-J4, A1, A2, O1, F1-F4) -------------------------------
+
+def report_last_month(spark, sf_dir):
+    return rep.report_last_month(_model(spark, sf_dir), AS_OF)
+
+
+def report_one_per_document(spark, sf_dir):
+    return rep.report_last_month(_model(spark, sf_dir), AS_OF, one_row_per_document=True)
+
+
+def success_postings(spark, sf_dir):
+    return rep.success_postings(_model(spark, sf_dir))
+
+
+def last_month_window(spark, sf_dir):
+    lo, hi = dates.previous_month_window(AS_OF)
+    tasks = _model(spark, sf_dir).tasks
+    return tasks.filter((F.col("completed_at") >= lo) & (F.col("completed_at") < hi)).select(
+        "id", "process_instance_id", "completed_at"
+    )
+
+
+def docs_tasks(spark, sf_dir):
+    m = _model(spark, sf_dir)
+    return docs_tasks_join(
+        m,
+        m.tax_documents.select("process_instance_id", "id"),
+        m.tasks.select("process_instance_id", F.col("id").alias("task_id")),
+    ).select("id", "task_id")
+
+
+def po_rollup(spark, sf_dir):
+    return rep.po_rollup(_model(spark, sf_dir).items)
+
+
+# --- fact, filters, facets (P4-P7, J5-J8, A13, A14) --------------------------
+
+def fact(spark, sf_dir):
+    return _fact(spark, sf_dir)
+
+
+def filter_period(spark, sf_dir):
+    return filters.filter_period(_fact(spark, sf_dir), *PERIOD)
+
+
+def filter_members(spark, sf_dir):
+    return filters.filter_members(_fact(spark, sf_dir), MEMBERS)
+
+
+def filtered_fact(spark, sf_dir):
+    return _dashboard(spark, sf_dir)
+
+
+def facet_state(spark, sf_dir):
+    return filters.facet_values(_fact(spark, sf_dir), "supplier_state", drop_null=True)
+
+
+def facets(spark, sf_dir):
+    return filters.facets(_fact(spark, sf_dir))
+
+
+def period_bounds(spark, sf_dir):
+    return filters.period_bounds(_fact(spark, sf_dir))
+
+
+# --- KPIs and panels (A3-A12, O3) --------------------------------------------
+
+def kpis(spark, sf_dir):
+    return metrics.kpis(_dashboard(spark, sf_dir))
+
+
+def kpi_labels(spark, sf_dir):
+    return labels.kpi_labels(metrics.kpis(_dashboard(spark, sf_dir)))
+
+
+def spend_by_supplier(spark, sf_dir):
+    return metrics.spend_by_supplier(_dashboard(spark, sf_dir))
+
+
+def supplier_pareto_top10(spark, sf_dir):
+    return metrics.supplier_pareto(_dashboard(spark, sf_dir), 10)
+
+
+def geo_volume(spark, sf_dir):
+    return metrics.geo_volume(_dashboard(spark, sf_dir))
+
+
+def geo_rollup_share(spark, sf_dir):
+    return metrics.geo_rollup_share(_dashboard(spark, sf_dir))
+
+
+def daily_volume(spark, sf_dir):
+    return metrics.daily_volume(_dashboard(spark, sf_dir))
+
+
+def lead_time_hist(spark, sf_dir):
+    return metrics.lead_time_histogram(_dashboard(spark, sf_dir))
+
+
+def lead_time_hist_mean(spark, sf_dir):
+    return metrics.lead_time_summary(_dashboard(spark, sf_dir))
+
+
+# --- loading and audits (S5, C1-C3, P9) --------------------------------------
+
+def insert_if_absent(spark, sf_dir):
+    orders = read_table(spark, sf_dir, "orders")
+    lineitem = read_table(spark, sf_dir, "lineitem")
+    target = orders.filter(F.col("o_orderstatus") == LOADED_ORDER_STATUS).select(
+        F.col("o_orderkey").alias("id"),
+        (F.col("o_orderkey") + 10000).alias("number"),
+        F.col("o_totalprice").alias("total_value"),
+    )
+    incoming = lineitem.select(
+        F.when(F.col("l_linenumber") == KEYLESS_LINE_NUMBER, F.lit(None))
+        .otherwise(F.col("l_orderkey"))
+        .alias("id"),
+        (F.col("l_orderkey") + 10000).alias("number"),
+        F.col("l_extendedprice").alias("total_value"),
+        *LOAD_ORDER,
+    )
+    added = load.rows_to_insert(target, incoming, "id", LOAD_ORDER).select(*target.columns)
+    return target.unionByName(added)
+
+
+def audit_pk(spark, sf_dir):
+    return audit.audit_pk(_model(spark, sf_dir))
+
+
+def audit_fk(spark, sf_dir):
+    return audit.audit_fk(_model(spark, sf_dir))
+
+
+def audit_status_pairs(spark, sf_dir):
+    return audit.audit_status_pairs(_model(spark, sf_dir), spark)
+
+
+# --- exports (S2, S3) --------------------------------------------------------
+
+def export_report(spark, sf_dir):
+    out_dir = shared_dir(spark, "exports", _tag(sf_dir))
+    report = rep.report_last_month(_model(spark, sf_dir), AS_OF)
+    path = export.export_report(report, out_dir, AS_OF, fmt="csv")
+    schema = StructType(
+        [StructField(f.name, f.dataType, True) for f in report.schema.fields]
+    )
+    if path is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
+def filtered_export(spark, sf_dir):
+    out_dir = shared_dir(spark, "exports", _tag(sf_dir))
+    dash = _dashboard(spark, sf_dir)
+    path = export.export_filtered(dash, out_dir, EXPORT_STAMP)
+    schema = StructType(
+        [StructField(f.name, f.dataType, True) for f in dash.schema.fields]
+        + [StructField("posted_month", StringType(), True)]
+    )
+    if path is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _tag(sf_dir: str) -> str:
+    return sf_dir.rstrip("/").rsplit("/", 1)[-1]
+
+
+# --- scalar functions (F1-F18) ------------------------------------------------
+
+def fmt_date(spark, sf_dir):
+    t = _model(spark, sf_dir).tasks
+    return t.select("id", dates.format_ddmmyyyy("completed_at").alias("completed_on"))
+
+
+def month_offset(spark, sf_dir):
+    t = _model(spark, sf_dir).tasks
+    day = dates.posting_day("completed_at")
+    return t.select(
+        "id",
+        day.alias("posted_on"),
+        dates.month_offset(day, -1).alias("one_month_before"),
+        dates.month_offset(day, -3).alias("three_months_before"),
+        F.trunc(day, "MM").alias("month_start"),
+    )
+
+
+def month_bounds(spark, sf_dir):
+    t = _model(spark, sf_dir).tasks
+    first, last = dates.previous_month_bounds(dates.posting_day("completed_at"))
+    return t.select("id", first.alias("prev_month_first"), last.alias("prev_month_last"))
+
+
+def lead_time_hours(spark, sf_dir):
+    t = _model(spark, sf_dir).tasks
+    return t.select("id", dates.lead_time_hours("created_at", "completed_at").alias("lead_time_hours"))
+
+
+def posting_day(spark, sf_dir):
+    t = _model(spark, sf_dir).tasks
+    return t.select("id", dates.posting_day("completed_at").alias("posted_on"))
+
+
+def shift_time(spark, sf_dir):
+    t = _model(spark, sf_dir).tasks
+    return t.select(
+        "id",
+        dates.shift_time("created_at", days=1).alias("created_plus_1d"),
+        dates.shift_time("completed_at", hours=-2).alias("completed_minus_2h"),
+    )
+
+
+def cnpj_mask(spark, sf_dir):
+    d = _model(spark, sf_dir).tax_documents
+    return d.select(
+        "id",
+        cnpj.mask_cnpj("supplier_identification_number").alias("supplier_cnpj_masked"),
+        cnpj.mask_cnpj("customer_identification_number").alias("customer_cnpj_masked"),
+    )
+
+
+def cnpj_unmask(spark, sf_dir):
+    d = _model(spark, sf_dir).tax_documents
+    masked = cnpj.mask_cnpj("supplier_identification_number")
+    return d.select(
+        "id",
+        masked.alias("supplier_cnpj_masked"),
+        cnpj.unmask_cnpj(masked).alias("supplier_cnpj_digits"),
+    )
+
+
+def round_money(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem")
+    net = money.as_money("l_extendedprice") * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)"))
+    return li.select(
+        "l_orderkey",
+        "l_linenumber",
+        money.round_money(net, 2).cast("double").alias("net_value"),
+    )
+
+
+def even_split(spark, sf_dir):
+    m = _model(spark, sf_dir)
+    counts = m.items.groupBy(F.col("tax_document_id").alias("id")).agg(
+        F.count(F.lit(1)).alias("item_count")
+    )
+    return m.tax_documents.join(counts, "id").select(
+        "id", "item_count", money.even_split("total_value", "item_count").alias("item_share")
+    )
+
+
+def city_state_lookup(spark, sf_dir):
+    m = _model(spark, sf_dir)
+    docs = m.tax_documents.select("id", "supplier_city_id")
+    return keys.lookup_with_default(
+        docs, "supplier_city_id", m.cities, "id", "state_id",
+        schemas.DEFAULT_STATE_ID, "supplier_state_id",
+    ).select("id", "supplier_city_id", F.col("supplier_state_id").cast("long"))
+
+
+def item_keys(spark, sf_dir):
+    return _model(spark, sf_dir).items.select("id", "tax_document_id", "purchase_order")
 
 
 QUERIES: dict[str, Query] = {
     "report_last_month": report_last_month,
+    "report_one_per_document": report_one_per_document,
+    "success_postings": success_postings,
+    "last_month_window": last_month_window,
+    "docs_tasks_join": docs_tasks,
+    "po_rollup": po_rollup,
+    "fact": fact,
+    "filter_period": filter_period,
+    "filter_members": filter_members,
+    "filtered_fact": filtered_fact,
+    "facet_state": facet_state,
+    "facets": facets,
+    "period_bounds": period_bounds,
+    "kpis": kpis,
+    "kpi_labels": kpi_labels,
+    "spend_by_supplier": spend_by_supplier,
+    "supplier_pareto_top10": supplier_pareto_top10,
+    "geo_volume": geo_volume,
+    "geo_rollup_share": geo_rollup_share,
+    "daily_volume": daily_volume,
+    "lead_time_hist": lead_time_hist,
+    "lead_time_hist_mean": lead_time_hist_mean,
+    "insert_if_absent": insert_if_absent,
+    "audit_pk": audit_pk,
+    "audit_fk": audit_fk,
+    "audit_status_pairs": audit_status_pairs,
+    "export_report": export_report,
+    "filtered_export": filtered_export,
+    "fmt_date": fmt_date,
+    "month_offset": month_offset,
+    "month_bounds": month_bounds,
+    "lead_time_hours": lead_time_hours,
+    "posting_day": posting_day,
+    "shift_time": shift_time,
+    "cnpj_mask": cnpj_mask,
+    "cnpj_unmask": cnpj_unmask,
+    "round_money": round_money,
+    "even_split": even_split,
+    "city_state_lookup": city_state_lookup,
+    "item_keys": item_keys,
 }

@@ -138,6 +138,304 @@ GROUP BY td.id, td.number, td.supplier_identification_number, cs.name,
 ORDER BY t.completed_at DESC, td.id
 """)
 
+
+
+def mask_sql(col: str) -> str:
+    """CNPJ mask of a VARCHAR column: zero-fill to 14 (never truncate), then
+    AA.AAA.AAA/AAAA-AA with the tail from position 13; '' for null."""
+    z = f"(CASE WHEN length({col}) >= 14 THEN {col} ELSE lpad({col}, 14, '0') END)"
+    return (
+        f"(CASE WHEN {col} IS NULL THEN '' ELSE "
+        f"substr({z}, 1, 2) || '.' || substr({z}, 3, 3) || '.' || substr({z}, 6, 3) || '/' || "
+        f"substr({z}, 9, 4) || '-' || substr({z}, 13) END)"
+    )
+
+
+MONEY_SUM = "CAST(COALESCE(SUM(CAST({c} AS DECIMAL(18,2))), 0) AS DOUBLE)"
+
+# The dashboard selection: days 2000-02-01..2000-05-31, material or service
+# invoices, every task and status, every known state.
+DASH = """
+, dash AS (
+  SELECT * FROM fact
+  WHERE posted_on IS NOT NULL
+    AND posted_on BETWEEN DATE '2000-02-01' AND DATE '2000-05-31'
+    AND document_type IN ('MaterialInvoice', 'ServiceInvoice')
+    AND supplier_state IS NOT NULL
+)
+"""
+
+REPORT_ONE = q("""
+, keyed AS (
+  SELECT td.id, td.number, td.supplier_identification_number AS supplier_id,
+         cs.name AS supplier_city, td.customer_identification_number AS customer_id,
+         cc.name AS customer_city, max(t.completed_at) AS completed_at
+  FROM tax_documents td
+  JOIN tasks t ON td.process_instance_id = t.process_instance_id
+  JOIN cities cs ON td.supplier_city_id = cs.id
+  JOIN cities cc ON td.customer_city_id = cc.id
+  WHERE td.type = 'MaterialInvoice' AND t.task_definition_id = 12 AND t.status_id = 120
+    AND t.completed_at >= TIMESTAMP '2000-02-01 00:00:00'
+    AND t.completed_at < TIMESTAMP '2000-03-01 00:00:00'
+  GROUP BY ALL
+)
+SELECT k.id, k.number,
+       (SELECT string_agg(DISTINCT i.purchase_order, ', ' ORDER BY i.purchase_order)
+        FROM items i WHERE i.tax_document_id = k.id) AS purchase_orders,
+       k.supplier_id, k.supplier_city, k.customer_id, k.customer_city,
+       strftime(k.completed_at, '%d/%m/%Y') AS posted_on
+FROM keyed k
+ORDER BY k.completed_at DESC, k.id
+""")
+
 ORACLE: dict[str, str] = {
     "report_last_month": REPORT,
+    "report_one_per_document": REPORT_ONE,
+    "export_report": REPORT,
+    "success_postings": q("""
+SELECT td.id, t.id AS task_id, td.process_instance_id, t.completed_at
+FROM tax_documents td JOIN tasks t ON td.process_instance_id = t.process_instance_id
+WHERE td.type = 'MaterialInvoice' AND t.task_definition_id = 12 AND t.status_id = 120
+"""),
+    "last_month_window": q("""
+SELECT id, process_instance_id, completed_at FROM tasks
+WHERE completed_at >= date_trunc('month', DATE '2000-03-31' - INTERVAL 1 MONTH)
+  AND completed_at < date_trunc('month', DATE '2000-03-31')
+"""),
+    "docs_tasks_join": q("""
+SELECT td.id, t.id AS task_id
+FROM tax_documents td JOIN tasks t ON td.process_instance_id = t.process_instance_id
+"""),
+    "po_rollup": q("""
+SELECT tax_document_id,
+       string_agg(DISTINCT purchase_order, ', ' ORDER BY purchase_order) AS purchase_orders
+FROM items GROUP BY tax_document_id
+"""),
+    "fact": q("SELECT * FROM fact"),
+    "filter_period": q("""
+SELECT * FROM fact
+WHERE posted_on BETWEEN DATE '2000-02-01' AND DATE '2000-05-31'
+"""),
+    "filter_members": q("""
+SELECT * FROM fact
+WHERE (document_type = 'MaterialInvoice' OR document_type IS NULL)
+  AND task_name IN ('Escrituração da Nota', 'Pagamento da Nota')
+  AND task_status IN ('Nota Escriturada com Sucesso', 'Nota não Escriturada', 'Nota Paga')
+  AND (supplier_state IN ('AMERICA', 'EUROPE') OR supplier_state IS NULL)
+"""),
+    "filtered_fact": q(DASH + "SELECT * FROM dash"),
+    "facet_state": q("""
+SELECT DISTINCT supplier_state FROM fact WHERE supplier_state IS NOT NULL
+"""),
+    "facets": q("""
+SELECT DISTINCT 'document_type' AS facet, document_type AS value FROM fact
+UNION SELECT DISTINCT 'task_name', task_name FROM fact
+UNION SELECT DISTINCT 'task_status', task_status FROM fact
+UNION SELECT DISTINCT 'supplier_state', supplier_state FROM fact WHERE supplier_state IS NOT NULL
+"""),
+    "period_bounds": q("""
+SELECT min(posted_on) AS first_day, max(posted_on) AS last_day FROM fact
+"""),
+    "kpis": q(DASH + f"""
+SELECT {MONEY_SUM.format(c="total_value")} AS spend,
+       count(id) AS documents,
+       count(DISTINCT id) AS distinct_documents,
+       avg(lead_time_hours) AS mean_lead_time_hours,
+       count(DISTINCT supplier_cnpj) AS suppliers
+FROM dash
+"""),
+    "kpi_labels": q(DASH + f"""
+, k AS (
+  SELECT {MONEY_SUM.format(c="total_value")} AS spend,
+         avg(lead_time_hours) AS mean_lead_time_hours
+  FROM dash
+)
+SELECT spend, mean_lead_time_hours,
+       format('R$ {{:,.2f}}', spend) AS spend_label,
+       printf('%.1f h', mean_lead_time_hours) AS lead_time_label
+FROM k
+"""),
+    "spend_by_supplier": q(DASH + f"""
+SELECT supplier_cnpj_masked, {MONEY_SUM.format(c="total_value")} AS spend
+FROM dash GROUP BY supplier_cnpj_masked
+"""),
+    "supplier_pareto_top10": q(DASH + f"""
+SELECT supplier_cnpj_masked, {MONEY_SUM.format(c="total_value")} AS spend
+FROM dash GROUP BY supplier_cnpj_masked
+ORDER BY spend DESC, supplier_cnpj_masked ASC
+LIMIT 10
+"""),
+    "geo_volume": q(DASH + """
+SELECT supplier_state, supplier_city, count(*) AS volume
+FROM dash WHERE supplier_state IS NOT NULL AND supplier_city IS NOT NULL
+GROUP BY supplier_state, supplier_city
+"""),
+    "geo_rollup_share": q(DASH + """
+, g AS (
+  SELECT supplier_state, supplier_city, count(*) AS volume,
+         grouping(supplier_state, supplier_city) AS gid
+  FROM dash WHERE supplier_state IS NOT NULL AND supplier_city IS NOT NULL
+  GROUP BY ROLLUP (supplier_state, supplier_city)
+)
+SELECT CASE gid WHEN 0 THEN 'city' WHEN 1 THEN 'state' ELSE 'total' END AS level,
+       supplier_state, supplier_city, volume,
+       CAST(volume AS DOUBLE) / CAST((SELECT volume FROM g WHERE gid = 3) AS DOUBLE) AS share
+FROM g
+"""),
+    "daily_volume": q(DASH + """
+SELECT posted_on, count(id) AS documents
+FROM dash WHERE posted_on IS NOT NULL GROUP BY posted_on ORDER BY posted_on
+"""),
+    "lead_time_hist": q(DASH + """
+, st AS (
+  SELECT min(lead_time_hours) AS lo, (max(lead_time_hours) - min(lead_time_hours)) / 20.0::DOUBLE AS w
+  FROM dash
+), b AS (
+  SELECT CAST(CASE WHEN st.w > 0
+                   THEN least(floor((d.lead_time_hours - st.lo) / st.w), 19)
+                   ELSE 0 END AS BIGINT) AS bin
+  FROM dash d, st WHERE d.lead_time_hours IS NOT NULL
+)
+SELECT b.bin, st.lo + CAST(b.bin AS DOUBLE) * st.w AS bin_lo,
+       st.lo + (CAST(b.bin AS DOUBLE) + 1.0::DOUBLE) * st.w AS bin_hi,
+       count(*) AS documents
+FROM b, st GROUP BY b.bin, st.lo, st.w ORDER BY b.bin
+"""),
+    "lead_time_hist_mean": q(DASH + """
+SELECT min(lead_time_hours) AS lead_time_min, max(lead_time_hours) AS lead_time_max,
+       avg(lead_time_hours) AS mean_lead_time_hours, count(lead_time_hours) AS measured,
+       (max(lead_time_hours) - min(lead_time_hours)) / 20.0::DOUBLE AS bin_width
+FROM dash
+"""),
+    "insert_if_absent": """
+WITH target AS (
+  SELECT o_orderkey AS id, o_orderkey + 10000 AS number, o_totalprice AS total_value
+  FROM orders WHERE o_orderstatus = 'F'
+), incoming AS (
+  SELECT CASE WHEN l_linenumber = 7 THEN NULL ELSE l_orderkey END AS id,
+         l_orderkey + 10000 AS number, l_extendedprice AS total_value,
+         l_shipdate, l_linenumber, l_partkey, l_suppkey
+  FROM lineitem
+), ranked AS (
+  SELECT *, row_number() OVER (
+           PARTITION BY id
+           ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, number, total_value) AS rn
+  FROM incoming WHERE id IS NOT NULL
+)
+SELECT id, number, total_value FROM target
+UNION ALL
+SELECT id, number, total_value FROM ranked
+WHERE rn = 1 AND id NOT IN (SELECT id FROM target)
+""",
+    "audit_pk": q("""
+, all_keys AS (
+  SELECT 'states' AS table_name, id FROM states
+  UNION ALL SELECT 'cities', id FROM cities
+  UNION ALL SELECT 'users', id FROM users
+  UNION ALL SELECT 'task_definitions', id FROM task_definitions
+  UNION ALL SELECT 'status', id FROM status
+  UNION ALL SELECT 'billing_reports', id FROM billing_reports
+  UNION ALL SELECT 'process_instances', id FROM process_instances
+  UNION ALL SELECT 'tax_documents', id FROM tax_documents
+  UNION ALL SELECT 'items', id FROM items
+  UNION ALL SELECT 'tasks', id FROM tasks
+)
+SELECT table_name, id AS key_value, count(*) AS rows
+FROM all_keys GROUP BY table_name, id
+HAVING count(*) > 1 OR id IS NULL
+"""),
+    "audit_fk": q("""
+SELECT 'cities.state_id -> states' AS "constraint", id AS child_id, state_id AS fk_value
+FROM cities WHERE state_id IS NOT NULL AND state_id NOT IN (SELECT id FROM states)
+UNION ALL
+SELECT 'tax_documents.supplier_city_id -> cities', id, supplier_city_id FROM tax_documents
+WHERE supplier_city_id IS NOT NULL AND supplier_city_id NOT IN (SELECT id FROM cities)
+UNION ALL
+SELECT 'tax_documents.customer_city_id -> cities', id, customer_city_id FROM tax_documents
+WHERE customer_city_id IS NOT NULL AND customer_city_id NOT IN (SELECT id FROM cities)
+UNION ALL
+SELECT 'tax_documents.process_instance_id -> process_instances', id, process_instance_id
+FROM tax_documents
+WHERE process_instance_id IS NOT NULL
+  AND process_instance_id NOT IN (SELECT id FROM process_instances)
+UNION ALL
+SELECT 'items.tax_document_id -> tax_documents', id, tax_document_id FROM items
+WHERE tax_document_id IS NOT NULL AND tax_document_id NOT IN (SELECT id FROM tax_documents)
+UNION ALL
+SELECT 'tasks.task_definition_id -> task_definitions', id, task_definition_id FROM tasks
+WHERE task_definition_id IS NOT NULL
+  AND task_definition_id NOT IN (SELECT id FROM task_definitions)
+UNION ALL
+SELECT 'tasks.status_id -> status', id, status_id FROM tasks
+WHERE status_id IS NOT NULL AND status_id NOT IN (SELECT id FROM status)
+UNION ALL
+SELECT 'tasks.process_instance_id -> process_instances', id, process_instance_id FROM tasks
+WHERE process_instance_id IS NOT NULL
+  AND process_instance_id NOT IN (SELECT id FROM process_instances)
+"""),
+    "audit_status_pairs": q("""
+SELECT t.id, t.task_definition_id, t.status_id FROM tasks t
+WHERE t.task_definition_id IS NOT NULL AND t.status_id IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM valid_pairs v
+                  WHERE v.task_definition_id = t.task_definition_id
+                    AND v.status_id = t.status_id)
+"""),
+    "filtered_export": q(DASH + """
+SELECT *, strftime(posted_on, '%Y-%m') AS posted_month FROM dash
+"""),
+    "fmt_date": q("SELECT id, strftime(completed_at, '%d/%m/%Y') AS completed_on FROM tasks"),
+    "month_offset": q("""
+SELECT id, CAST(completed_at AS DATE) AS posted_on,
+       CAST(CAST(completed_at AS DATE) - INTERVAL 1 MONTH AS DATE) AS one_month_before,
+       CAST(CAST(completed_at AS DATE) - INTERVAL 3 MONTH AS DATE) AS three_months_before,
+       CAST(date_trunc('month', CAST(completed_at AS DATE)) AS DATE) AS month_start
+FROM tasks
+"""),
+    "month_bounds": q("""
+SELECT id,
+       CAST(date_trunc('month', CAST(completed_at AS DATE) - INTERVAL 1 MONTH) AS DATE)
+         AS prev_month_first,
+       CAST(last_day(CAST(completed_at AS DATE) - INTERVAL 1 MONTH) AS DATE) AS prev_month_last
+FROM tasks
+"""),
+    "lead_time_hours": q("""
+SELECT id, CAST(date_diff('microsecond', created_at, completed_at) AS DOUBLE)
+             / 1000000.0::DOUBLE / 3600.0::DOUBLE AS lead_time_hours
+FROM tasks
+"""),
+    "posting_day": q("SELECT id, CAST(completed_at AS DATE) AS posted_on FROM tasks"),
+    "shift_time": q("""
+SELECT id, created_at + INTERVAL 1 DAY AS created_plus_1d,
+       completed_at - INTERVAL 2 HOUR AS completed_minus_2h
+FROM tasks
+"""),
+    "cnpj_mask": q(f"""
+SELECT id, {mask_sql("supplier_identification_number")} AS supplier_cnpj_masked,
+       {mask_sql("customer_identification_number")} AS customer_cnpj_masked
+FROM tax_documents
+"""),
+    "cnpj_unmask": q(f"""
+SELECT id, {mask_sql("supplier_identification_number")} AS supplier_cnpj_masked,
+       regexp_replace({mask_sql("supplier_identification_number")}, '[./-]', '', 'g')
+         AS supplier_cnpj_digits
+FROM tax_documents
+"""),
+    "round_money": """
+SELECT l_orderkey, l_linenumber,
+       CAST(round(CAST(l_extendedprice AS DECIMAL(18,2))
+                  * (1 - CAST(l_discount AS DECIMAL(4,2))), 2) AS DOUBLE) AS net_value
+FROM lineitem
+""",
+    "even_split": q("""
+, counts AS (SELECT tax_document_id AS id, count(*) AS item_count FROM items GROUP BY 1)
+SELECT d.id, c.item_count,
+       CAST((CAST(CAST(d.total_value AS DECIMAL(18,2)) * 100 AS BIGINT) * 2 + c.item_count)
+            // (2 * c.item_count) AS DOUBLE) / 100.0::DOUBLE AS item_share
+FROM tax_documents d JOIN counts c ON c.id = d.id
+"""),
+    "city_state_lookup": q("""
+SELECT d.id, d.supplier_city_id, COALESCE(c.state_id, 1) AS supplier_state_id
+FROM tax_documents d LEFT JOIN cities c ON c.id = d.supplier_city_id
+"""),
+    "item_keys": q("SELECT id, tax_document_id, purchase_order FROM items"),
 }

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fiscalflow import schemas
+from fiscalflow.functions.keys import composite_key, prefixed_key
 from fiscalflow.sources.model import Model, empty
 from fiscalflow.sources.parquet import read_table
 
@@ -68,24 +69,32 @@ def _document_type(priority):
 
 
 def tasks_from_lineitem(lineitem: DataFrame) -> DataFrame:
-    """One task per (l_orderkey, l_linenumber) group (one shuffle of lineitem)."""
+    """One task per (l_orderkey, l_linenumber) group (one shuffle of lineitem).
+
+    The status needs "max(l_linestatus) = 'O'". A string max would force a
+    sort-based aggregate; it is computed instead from two boolean flags (some
+    status equals 'O', none sorts after it), which keeps a hash aggregate with
+    fixed-width buffers. All-null statuses give null, like the string max.
+    """
+    ls = F.col("l_linestatus")
     per_line = lineitem.groupBy("l_orderkey", "l_linenumber").agg(
         F.max("l_quantity").cast("int").alias("hours"),
         F.max("l_shipdate").alias("shipped"),
-        F.max("l_linestatus").alias("line_status"),
+        F.max(ls == "O").alias("any_open"),
+        F.max(ls > "O").alias("any_after_open"),
     )
     line = F.col("l_linenumber")
     hours = F.col("hours")
     open_task = (line == OPEN_TASK_LINE_NUMBER) & (hours % 10 == 0)
     return per_line.select(
-        (F.col("l_orderkey") * 10 + line).alias("id"),
+        composite_key("l_orderkey", line).alias("id"),
         (F.col("shipped") - F.make_dt_interval(hours=hours)).alias("created_at"),
         F.when(open_task, F.lit(None)).otherwise(F.col("shipped")).alias("completed_at"),
         (F.lit(10) + line % 4).cast("long").alias("task_definition_id"),
         (
             F.lit(100)
             + (line % 4) * 10
-            + F.when(F.col("line_status") == "O", F.lit(0)).otherwise(F.lit(1))
+            + F.when(F.col("any_open") & ~F.col("any_after_open"), F.lit(0)).otherwise(F.lit(1))
         )
         .cast("long")
         .alias("status_id"),
@@ -144,13 +153,11 @@ def items_from_lineitem(lineitem: DataFrame) -> DataFrame:
     """Invoice items: lineitem rows except line number 6 (a narrow projection)."""
     line = F.col("l_linenumber")
     return lineitem.filter(line != ITEMLESS_LINE_NUMBER).select(
-        (F.col("l_orderkey") * 10 + line).alias("id"),
+        composite_key("l_orderkey", line).alias("id"),
         F.lit(None).cast("string").alias("description"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
         F.col("l_extendedprice").alias("total_value"),
-        F.concat(F.lit("PO-"), (F.col("l_partkey") % PO_BUCKETS).cast("string")).alias(
-            "purchase_order"
-        ),
+        prefixed_key("PO-", F.col("l_partkey") % PO_BUCKETS).alias("purchase_order"),
         F.col("l_orderkey").alias("tax_document_id"),
     )
 
