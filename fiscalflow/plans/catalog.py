@@ -48,8 +48,18 @@ LOAD_ORDER = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey"]
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+_MODELS: dict[tuple[str, str], object] = {}
+
+
 def _model(spark, sf_dir):
-    return model_from_tpch(spark, sf_dir)
+    """The mapped model of ``sf_dir`` - lazy DataFrames (plans, no data), built
+    once per application and data folder and reused by every query, as an
+    application builds its tables once. Nothing is cached in memory."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    model = _MODELS.get(key)
+    if model is None:
+        model = _MODELS[key] = model_from_tpch(spark, sf_dir)
+    return model
 
 
 def _fact(spark, sf_dir):

@@ -138,17 +138,30 @@ FOREIGN_KEYS = [
 ]
 
 
+def _sql_literal(v) -> str:
+    if isinstance(v, str):
+        return "'" + v.replace("'", "''") + "'"
+    return f"CAST({v} AS BIGINT)"
+
+
+def inline_table(spark: SparkSession, rows, columns: list[str]) -> DataFrame:
+    """A fixed table as an inline VALUES relation: planned as a local relation with
+    exact size statistics, so joins against it are broadcast from the first plan."""
+    values = ", ".join("(" + ", ".join(_sql_literal(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(columns)})")
+
+
 def task_definitions_df(spark: SparkSession) -> DataFrame:
-    """The four task definitions (a fixed 4-row table; planned as a local relation)."""
-    return spark.createDataFrame(TASK_DEFINITION_ROWS, TASK_DEFINITIONS)
+    """The four task definitions."""
+    return inline_table(spark, TASK_DEFINITION_ROWS, ["id", "name"])
 
 
 def status_df(spark: SparkSession) -> DataFrame:
-    """The eight status codes (a fixed 8-row table)."""
-    return spark.createDataFrame(STATUS_ROWS, STATUS)
+    """The eight status codes."""
+    return inline_table(spark, STATUS_ROWS, ["id", "name"])
 
 
 def valid_pairs_df(spark: SparkSession) -> DataFrame:
     """(task_definition_id, status_id) pairs allowed by the workflow (8 rows)."""
     rows = [(t, s) for t, statuses in VALID_STATUS_BY_TASK.items() for s in statuses]
-    return spark.createDataFrame(rows, "task_definition_id long, status_id long")
+    return inline_table(spark, rows, ["task_definition_id", "status_id"])

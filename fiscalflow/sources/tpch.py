@@ -77,7 +77,10 @@ def tasks_from_lineitem(lineitem: DataFrame) -> DataFrame:
     fixed-width buffers. All-null statuses give null, like the string max.
     """
     ls = F.col("l_linestatus")
-    per_line = lineitem.groupBy("l_orderkey", "l_linenumber").agg(
+    # Hash-partition on the order key alone: the per-line groups are then formed
+    # without a second exchange and the tasks come out partitioned like the
+    # documents (process = order), ready for a partition-wise join.
+    per_line = lineitem.repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(
         F.max("l_quantity").cast("int").alias("hours"),
         F.max("l_shipdate").alias("shipped"),
         F.max(ls == "O").alias("any_open"),
@@ -110,12 +113,18 @@ def documents_from_orders(
     """One tax document per order.
 
     The order's supplier is an aggregate over its lines (partial aggregation at the
-    map side, then one shuffle of one row per order and map partition).
+    map side, then one shuffle of one row per order and map partition). Orders are
+    hash-partitioned on the same key - the exchange a sort-merge join with the
+    aggregate needs - so the documents keep the order-key partitioning that the
+    tasks also have.
     """
     first_supplier = lineitem.groupBy("l_orderkey").agg(
         F.min("l_suppkey").alias("supplier_key")
     )
     key = F.col("o_orderkey")
+    orders = orders.select(
+        "o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"
+    ).repartition("o_orderkey")
     with_supplier = orders.join(
         first_supplier, key == F.col("l_orderkey"), "left"
     ).withColumn(
@@ -163,7 +172,13 @@ def items_from_lineitem(lineitem: DataFrame) -> DataFrame:
 
 
 def model_from_tpch(spark: SparkSession, base: str) -> Model:
-    """Lazily map the driver's tables under ``base`` onto the invoice model."""
+    """Lazily map the driver's tables under ``base`` onto the invoice model.
+
+    Partitioning: tasks (per order line) and documents (per order) both come out
+    hash-partitioned on the order key, which is their join key (process = order),
+    so the documents x tasks join needs no further shuffle when the small
+    dimensions are broadcast.
+    """
     read = lambda name: read_table(spark, base, name)
     orders = read("orders")
     lineitem = read("lineitem")
