@@ -61,6 +61,9 @@ def export_filtered(
     if partition_by_month:
         out = fact.withColumn("posted_month", F.date_format("posted_on", "yyyy-MM"))
         writer_cols = ["posted_month"]
+    # display order (completion ascending, unknown last) inside each file; no
+    # global sort is needed for a partitioned export
+    out = out.sortWithinPartitions(*writer_cols, F.col("completed_at").asc_nulls_last(), "id")
     writer = out.write.mode("overwrite").format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True)

@@ -93,3 +93,10 @@ def build_fact(model: Model) -> DataFrame:
         posting_day("completed_at").alias("posted_on"),
         mask_cnpj("supplier_cnpj").alias("supplier_cnpj_masked"),
     )
+
+
+def display_order(fact: DataFrame) -> DataFrame:
+    """The fact in display order: completion ascending with unknown completions
+    last (as a database sorts them), ties by id. A global sort - apply it only to
+    what is shown or exported, never to the stored fact."""
+    return fact.orderBy(F.col("completed_at").asc_nulls_last(), F.col("id").asc())

@@ -20,6 +20,7 @@ from fiscalflow import schemas
 from fiscalflow.functions import cnpj, dates, keys, money
 from fiscalflow.operators import audit, export, filters, labels, load, metrics
 from fiscalflow.operators import report as rep
+from fiscalflow.operators.report_sql import report_last_month_sql
 from fiscalflow.operators.fact import build_fact, docs_tasks_join
 from fiscalflow.operators.filters import FilterSpec
 from fiscalflow.session import shared_dir
@@ -80,6 +81,10 @@ def report_one_per_document(spark, sf_dir):
     return rep.report_last_month(_model(spark, sf_dir), AS_OF, one_row_per_document=True)
 
 
+def report_sql(spark, sf_dir):
+    return report_last_month_sql(spark, _model(spark, sf_dir), AS_OF)
+
+
 def success_postings(spark, sf_dir):
     return rep.success_postings(_model(spark, sf_dir))
 
@@ -337,6 +342,7 @@ def item_keys(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     "report_last_month": report_last_month,
     "report_one_per_document": report_one_per_document,
+    "report_sql": report_sql,
     "success_postings": success_postings,
     "last_month_window": last_month_window,
     "docs_tasks_join": docs_tasks,

@@ -192,6 +192,7 @@ ORACLE: dict[str, str] = {
     "report_last_month": REPORT,
     "report_one_per_document": REPORT_ONE,
     "export_report": REPORT,
+    "report_sql": REPORT,
     "success_postings": q("""
 SELECT td.id, t.id AS task_id, td.process_instance_id, t.completed_at
 FROM tax_documents td JOIN tasks t ON td.process_instance_id = t.process_instance_id

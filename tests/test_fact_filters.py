@@ -119,3 +119,25 @@ def test_unknown_code_drops_task_from_fact(spark):
                [task(1, None, ts(2024, 2, 1), 99, 120, 100),
                 task(2, None, ts(2024, 2, 1), 12, None, 100)])
     assert build_fact(m).count() == 0
+
+
+def test_display_order_nulls_last(spark):
+    from fiscalflow.operators.fact import display_order
+
+    m = _model(spark, [doc(1, 1, "MaterialInvoice", 1.0, "1", "2", 1, 1, 100)],
+               [task(1, None, None, 12, 120, 100),
+                task(2, None, ts(2024, 2, 3), 12, 120, 100),
+                task(3, None, ts(2024, 2, 1), 12, 120, 100)])
+    got = [r["completed_at"] for r in rows(display_order(build_fact(m)))]
+    assert got == [ts(2024, 2, 1), ts(2024, 2, 3), None]
+
+
+def test_report_sql_matches_dataframe_form(seed_unconfounded, spark):
+    from conftest import AS_OF
+
+    from fiscalflow.operators.report import report_last_month
+    from fiscalflow.operators.report_sql import report_last_month_sql
+
+    a = [tuple(r) for r in report_last_month(seed_unconfounded, AS_OF).collect()]
+    b = [tuple(r) for r in report_last_month_sql(spark, seed_unconfounded, AS_OF).collect()]
+    assert a == b
