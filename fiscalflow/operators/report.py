@@ -114,7 +114,10 @@ def report_keys(model: Model, as_of: dt.date | str | Column) -> DataFrame:
 
 
 def report_last_month(
-    model: Model, as_of: dt.date | str | Column, one_row_per_document: bool = False
+    model: Model,
+    as_of: dt.date | str | Column,
+    one_row_per_document: bool = False,
+    materialize_keys: bool = False,
 ) -> DataFrame:
     """The posting report for the month before ``as_of`` (sorted newest first).
 
@@ -124,6 +127,12 @@ def report_last_month(
     items x tasks product of the direct SQL form and its second distinct shuffle.
 
     ``one_row_per_document`` keeps only the latest completion of each document.
+
+    ``materialize_keys`` runs the report as a two-phase batch job: the report rows
+    (one month of postings - small next to the items) are first written to the
+    shared folder. Their measured size then lets the planner broadcast them into the
+    items scan, so items are filtered map-side instead of shuffled whole; lineage
+    is cut at the written table.
     """
     keys = report_keys(model, as_of)
     if one_row_per_document:
@@ -131,6 +140,10 @@ def report_last_month(
             "process_instance_id", "id", "number", "supplier_id", "supplier_city",
             "customer_id", "customer_city",
         ).agg(F.max("completed_at").alias("completed_at"))
+    if materialize_keys:
+        from fiscalflow.operators.store import materialize
+
+        keys = materialize(keys, f"report_keys_{_as_of_tag(as_of)}")
     report_docs = keys.select(F.col("id").alias("tax_document_id"))
     items = model.items.select("tax_document_id", "purchase_order").join(
         report_docs, "tax_document_id", "left_semi"
@@ -152,6 +165,14 @@ def report_last_month(
     )
 
 
+def _as_of_tag(as_of) -> str:
+    if isinstance(as_of, Column):
+        return "expr"
+    if isinstance(as_of, str):
+        as_of = dt.date.fromisoformat(as_of)
+    return f"{as_of:%Y%m%d}"
+
+
 def report_direct(model: Model, as_of: dt.date | str | Column) -> DataFrame:
     """The report in the direct form of its SQL (join items, then group by the
     seven keys). Used as a test oracle for ``report_last_month``."""

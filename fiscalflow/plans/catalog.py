@@ -216,7 +216,7 @@ def audit_status_pairs(spark, sf_dir):
 
 def export_report(spark, sf_dir):
     out_dir = shared_dir(spark, "exports", _tag(sf_dir))
-    report = rep.report_last_month(_model(spark, sf_dir), AS_OF)
+    report = rep.report_last_month(_model(spark, sf_dir), AS_OF, materialize_keys=True)
     path = export.export_report(report, out_dir, AS_OF, fmt="csv")
     schema = StructType(
         [StructField(f.name, f.dataType, True) for f in report.schema.fields]

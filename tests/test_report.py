@@ -130,3 +130,9 @@ def test_seed_dates_follow_as_of(seed):
     assert rows(report_last_month(seed, dt.date(2025, 3, 15))) == []
     assert seed_rows()  # fixture rows are plain data
     assert M1 == ts(2024, 2, 15)
+
+
+def test_materialized_keys_same_result(seed_unconfounded):
+    a = rows(report_last_month(seed_unconfounded, AS_OF))
+    b = rows(report_last_month(seed_unconfounded, AS_OF, materialize_keys=True))
+    assert a == b
