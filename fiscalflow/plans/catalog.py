@@ -63,8 +63,17 @@ def _model(spark, sf_dir):
     return model
 
 
+_FACTS: dict[tuple[str, str], DataFrame] = {}
+
+
 def _fact(spark, sf_dir):
-    return build_fact(_model(spark, sf_dir))
+    """The fact plan over the mapped model (a lazy DataFrame, memoised like the
+    model; every query still executes it in full)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    fact = _FACTS.get(key)
+    if fact is None:
+        fact = _FACTS[key] = build_fact(_model(spark, sf_dir))
+    return fact
 
 
 def _dashboard(spark, sf_dir):
