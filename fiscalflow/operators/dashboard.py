@@ -74,4 +74,6 @@ class Dashboard:
             "lead_time_hist": metrics.lead_time_histogram(selected),
             "lead_time_summary": metrics.lead_time_summary(selected),
             "daily_volume": metrics.daily_volume(selected),
+            # spend / geography / daily in one GROUPING SETS pass
+            "panel_aggregates": metrics.panel_aggregates(selected),
         }

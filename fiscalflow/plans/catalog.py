@@ -175,6 +175,10 @@ def geo_rollup_share(spark, sf_dir):
     return metrics.geo_rollup_share(_dashboard(spark, sf_dir))
 
 
+def panel_grouping_sets(spark, sf_dir):
+    return metrics.panel_aggregates(_dashboard(spark, sf_dir))
+
+
 def daily_volume(spark, sf_dir):
     return metrics.daily_volume(_dashboard(spark, sf_dir))
 
@@ -370,6 +374,7 @@ QUERIES: dict[str, Query] = {
     "geo_volume": geo_volume,
     "geo_rollup_share": geo_rollup_share,
     "daily_volume": daily_volume,
+    "panel_grouping_sets": panel_grouping_sets,
     "lead_time_hist": lead_time_hist,
     "lead_time_hist_mean": lead_time_hist_mean,
     "insert_if_absent": insert_if_absent,

@@ -286,6 +286,21 @@ FROM g
     "daily_volume": q(DASH + """
 SELECT posted_on, count(id) AS documents
 FROM dash WHERE posted_on IS NOT NULL GROUP BY posted_on ORDER BY posted_on
+"""),
+    "panel_grouping_sets": q(DASH + f"""
+SELECT 'supplier' AS panel, supplier_cnpj_masked, CAST(NULL AS VARCHAR) AS supplier_state,
+       CAST(NULL AS VARCHAR) AS supplier_city, CAST(NULL AS DATE) AS posted_on,
+       {MONEY_SUM.format(c="total_value")} AS spend, count(*) AS volume, count(id) AS documents
+FROM dash GROUP BY supplier_cnpj_masked
+UNION ALL
+SELECT 'geo', NULL, supplier_state, supplier_city, NULL,
+       {MONEY_SUM.format(c="total_value")}, count(*), count(id)
+FROM dash WHERE supplier_state IS NOT NULL AND supplier_city IS NOT NULL
+GROUP BY supplier_state, supplier_city
+UNION ALL
+SELECT 'daily', NULL, NULL, NULL, posted_on,
+       {MONEY_SUM.format(c="total_value")}, count(*), count(id)
+FROM dash WHERE posted_on IS NOT NULL GROUP BY posted_on
 """),
     "lead_time_hist": q(DASH + """
 , st AS (

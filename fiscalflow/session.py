@@ -70,14 +70,21 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
 
     The checkpoint directory named by the cluster (``spark.checkpoint.dir`` or
     ``SparkContext.setCheckpointDir``) is the only place the library writes
-    intermediate or exported tables. Only when none is set (local runs, tests) is a
-    fresh local folder created and registered.
+    intermediate or exported tables. Only when none is set and the session is a
+    single-machine ``local[...]`` one (tests, local runs) is a fresh folder created
+    and registered; on a cluster a missing setting is an error, since a
+    machine-local folder is not visible to the other executors.
     """
     sc = spark.sparkContext
     base = sc.getCheckpointDir()
     if not base:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not sc.master.startswith("local"):
+                raise RuntimeError(
+                    "set spark.checkpoint.dir (or SparkContext.setCheckpointDir) to a "
+                    "folder shared by the cluster before writing tables"
+                )
             base = tempfile.mkdtemp(prefix="fiscalflow-ckpt-")
         sc.setCheckpointDir(base)
         base = sc.getCheckpointDir() or base

@@ -116,3 +116,17 @@ def test_kpi_labels_follow_python_format(spark):
     r = rows(kpi_labels(df))[0]
     assert r["spend_label"] == f"R$ {1234567.891:,.2f}"
     assert r["lead_time_label"] == f"{3.25:.1f} h" == "3.2 h"
+
+
+def test_grouping_sets_panels_equal_separate_panels(fact):
+    from fiscalflow.operators.metrics import panel_aggregates
+
+    out = rows(panel_aggregates(fact))
+    sup = {r["supplier_cnpj_masked"]: r["spend"] for r in out if r["panel"] == "supplier"}
+    assert sup == {r["supplier_cnpj_masked"]: r["spend"] for r in rows(spend_by_supplier(fact))}
+    geo = {(r["supplier_state"], r["supplier_city"]): r["volume"] for r in out if r["panel"] == "geo"}
+    assert geo == {(r["supplier_state"], r["supplier_city"]): r["volume"] for r in rows(geo_volume(fact))}
+    daily = {r["posted_on"]: r["documents"] for r in out if r["panel"] == "daily"}
+    assert daily == {r["posted_on"]: r["documents"] for r in rows(daily_volume(fact))}
+    plan = panel_aggregates(fact)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" in plan
