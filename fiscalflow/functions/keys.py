@@ -24,9 +24,13 @@ def lookup_with_default(
     df: DataFrame, key: str, table: DataFrame, table_key: str, value: str, default, alias: str
 ) -> DataFrame:
     """Left-join a code table and fall back to ``default`` when the key is missing
-    or null (a dictionary ``get(key, default)``). The code table is a bounded
-    dimension, broadcast by the planner on its size."""
-    codes = table.select(F.col(table_key).alias("_lk"), F.col(value).alias("_lv"))
+    or null (a dictionary ``get(key, default)``). The code table is broadcast when
+    its size is proven bounded (``operators.broadcast``)."""
+    from fiscalflow.operators.broadcast import broadcast_if_bounded
+
+    codes = broadcast_if_bounded(
+        table.select(F.col(table_key).alias("_lk"), F.col(value).alias("_lv")), bound_by=table
+    )
     return (
         df.join(codes, F.col(key) == F.col("_lk"), "left")
         .withColumn(alias, F.coalesce(F.col("_lv"), F.lit(default)))

@@ -1,0 +1,39 @@
+"""Broadcast behind a proven size bound.
+
+A dimension joined on a low-cardinality key (a city, a state) must not be joined
+with a sort-merge join: every fact row of one city would land in one reducer. Such
+sides are broadcast - but only after their row count is proven to be within a
+bound. The proof is a count capped at ``max_rows + 1`` (it stops reading as soon as
+the bound is exceeded), cached per application and plan. Beyond the bound the side
+is left to the planner (sort-merge join with AQE skew splitting).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Far above any real geography (Brazil has ~5,600 municipalities); a broadcast
+# of a million narrow rows is a few tens of MB per executor.
+MAX_BROADCAST_ROWS = 1_000_000
+
+_BOUNDED: dict[tuple[str, int, int], bool] = {}
+
+
+def is_bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
+    """True when ``df`` provably has at most ``max_rows`` rows."""
+    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), max_rows)
+    ok = _BOUNDED.get(key)
+    if ok is None:
+        ok = _BOUNDED[key] = df.limit(max_rows + 1).count() <= max_rows
+    return ok
+
+
+def broadcast_if_bounded(
+    df: DataFrame, bound_by: DataFrame | None = None, max_rows: int = MAX_BROADCAST_ROWS
+) -> DataFrame:
+    """``df`` with a broadcast hint when ``bound_by`` (default ``df``) is bounded.
+
+    ``bound_by`` lets a projection of a checked table reuse the check of the table.
+    """
+    return F.broadcast(df) if is_bounded(bound_by if bound_by is not None else df, max_rows) else df

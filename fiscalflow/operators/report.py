@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from fiscalflow import schemas
 from fiscalflow.functions.dates import format_ddmmyyyy, previous_month_window
+from fiscalflow.operators.broadcast import broadcast_if_bounded
 from fiscalflow.operators.fact import docs_tasks_join
 from fiscalflow.sources.model import Model
 
@@ -89,11 +90,17 @@ def report_keys(model: Model, as_of: dt.date | str | Column) -> DataFrame:
         "customer_city_id",
     )
     tasks = posting_tasks(model, window).select("process_instance_id", "completed_at")
-    supplier_city = model.cities.select(
-        F.col("id").alias("supplier_city_id"), F.col("name").alias("supplier_city")
+    supplier_city = broadcast_if_bounded(
+        model.cities.select(
+            F.col("id").alias("supplier_city_id"), F.col("name").alias("supplier_city")
+        ),
+        bound_by=model.cities,
     )
-    customer_city = model.cities.select(
-        F.col("id").alias("customer_city_id"), F.col("name").alias("customer_city")
+    customer_city = broadcast_if_bounded(
+        model.cities.select(
+            F.col("id").alias("customer_city_id"), F.col("name").alias("customer_city")
+        ),
+        bound_by=model.cities,
     )
     return (
         docs_tasks_join(model, docs, tasks)

@@ -3,6 +3,8 @@ row-at-a-time Python, no cross joins, scalar subquery for the histogram."""
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
 import __spark_entry__ as entry
@@ -58,3 +60,21 @@ def test_lineitem_scan_prunes_columns(spark):
 def test_insert_if_absent_partial_aggregation(spark):
     p = plan(entry.queries()["insert_if_absent"](spark, SF))
     assert "partial_min" in p
+
+
+def test_geography_broadcast_is_checked_not_size_estimated(spark):
+    from fiscalflow.operators.broadcast import is_bounded
+    from fiscalflow.operators.fact import build_fact
+    from fiscalflow.sources.tpch import model_from_tpch
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        m = model_from_tpch(spark, SF)
+        p = plan(build_fact(m))
+        geo_join = [ln for ln in p.splitlines()
+                    if re.search(r"Join \[supplier_city_id#\d+L?\]", ln)]
+        assert geo_join and "BroadcastHashJoin" in geo_join[0]
+        assert is_bounded(m.cities, max_rows=25) and not is_bounded(m.cities, max_rows=24)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
