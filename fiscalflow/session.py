@@ -11,12 +11,16 @@ from pyspark.sql import SparkSession
 #  * UTC session zone: the model's timestamps are zone-less (TIMESTAMP_NTZ) and the
 #    month window is computed from an explicit as-of date, never the wall clock.
 #  * AQE with partition coalescing and skew-join splitting: the documents x tasks
-#    join is M:N over process_instance_id and one process may be hot.
+#    join is M:N over process_instance_id and one process may be hot. Splitting is
+#    forced even when the operator after the join relies on the join's partitioning
+#    (the report's distinct, the purchase-order roll-up): AQE then adds the one
+#    shuffle needed, but only when a partition is actually skewed.
 BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.parquet.inferTimestampNTZ.enabled": "true",
     "spark.ui.enabled": "false",
 }

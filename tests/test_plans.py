@@ -78,3 +78,32 @@ def test_geography_broadcast_is_checked_not_size_estimated(spark):
         assert is_bounded(m.cities, max_rows=25) and not is_bounded(m.cities, max_rows=24)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_hot_process_is_split_under_the_report_distinct(spark):
+    """One process holds a third of the tasks: AQE splits its join partition even
+    though the distinct above relies on the join's partitioning."""
+    from pyspark.sql import functions as F
+
+    conf = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128k",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        tasks = spark.range(300000).select(
+            F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 20000).alias("pid"),
+            F.sha2(F.col("id").cast("string"), 256).alias("payload"),
+        )
+        docs = spark.range(20000).select(F.col("id").alias("pid"), (F.col("id") * 2).alias("doc"))
+        df = docs.join(tasks, "pid").distinct()
+        assert df.count() == 300000
+        df.collect()
+        assert "SortMergeJoin(skew=true)" in plan(df)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
