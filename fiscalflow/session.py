@@ -25,7 +25,7 @@ BASE_CONF = {
     "spark.ui.enabled": "false",
 }
 
-# Settings for a large cluster (for reference; applied with ``profile="cluster"``).
+# Settings for a large cluster (applied with ``profile="cluster"``).
 # Shuffle partitions are sized for ~128 MB per reducer at 100 TB of lineitem-sized
 # input; AQE coalesces them down when a filter makes the data small.
 CLUSTER_CONF = {
