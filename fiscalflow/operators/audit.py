@@ -46,18 +46,65 @@ def orphans(child: DataFrame, fk: str, parent: DataFrame, parent_key: str = "id"
     return child.filter(F.col(fk).isNotNull()).join(keys, fk, "left_anti")
 
 
+def _constraint(child: str, column: str, parent: str) -> str:
+    return f"{child}.{column} -> {parent}"
+
+
+def _small_parent_violations(child_df: DataFrame, child: str, fks) -> DataFrame:
+    """All foreign keys of one child whose parents are small, in ONE pass over the
+    child: each parent's distinct keys are broadcast and left-joined (no row is
+    multiplied), then the violations are exploded out of one array column."""
+    df = child_df.select("id", *sorted({c for c, _, _ in fks}))
+    flags = []
+    for i, (column, parent_df, parent) in enumerate(fks):
+        seen = f"_seen{i}"
+        keys = F.broadcast(
+            parent_df.select(F.col("id").alias(f"_k{i}")).distinct().withColumn(seen, F.lit(True))
+        )
+        df = df.join(keys, F.col(column) == F.col(f"_k{i}"), "left").drop(f"_k{i}")
+        flags.append(
+            F.when(
+                F.col(column).isNotNull() & F.col(seen).isNull(),
+                F.struct(
+                    F.lit(_constraint(child, column, parent)).alias("constraint"),
+                    F.col(column).cast("long").alias("fk_value"),
+                ),
+            )
+        )
+    bad = F.filter(F.array(*flags), lambda v: v.isNotNull())
+    return (
+        df.select(F.col("id").alias("child_id"), F.explode(bad).alias("v"))
+        .select("v.constraint", "child_id", "v.fk_value")
+    )
+
+
 def audit_fk(model: Model, foreign_keys=None) -> DataFrame:
     """(constraint, child_id, fk_value) for every foreign-key violation; a null
-    foreign key is allowed."""
+    foreign key is allowed.
+
+    Keys into small parents (geography, code tables, users - proven bounded) are
+    checked together in one pass per child table; keys into large parents are a
+    sort-merge anti join each (skewed keys are split by AQE).
+    """
+    from fiscalflow.operators.broadcast import is_bounded
+
     fks = foreign_keys if foreign_keys is not None else schemas.FOREIGN_KEYS
-    parts = [
-        orphans(model.table(child), column, model.table(parent)).select(
-            F.lit(f"{child}.{column} -> {parent}").alias("constraint"),
-            F.col("id").alias("child_id"),
-            F.col(column).cast("long").alias("fk_value"),
-        )
-        for child, column, parent in fks
-    ]
+    parts = []
+    small_by_child: dict[str, list] = {}
+    for child, column, parent in fks:
+        parent_df = model.table(parent)
+        if parent in schemas.DIMENSION_TABLES and is_bounded(parent_df):
+            small_by_child.setdefault(child, []).append((column, parent_df, parent))
+        else:
+            parts.append(
+                orphans(model.table(child), column, parent_df).select(
+                    F.lit(_constraint(child, column, parent)).alias("constraint"),
+                    F.col("id").alias("child_id"),
+                    F.col(column).cast("long").alias("fk_value"),
+                )
+            )
+    for child, small in small_by_child.items():
+        parts.append(_small_parent_violations(model.table(child), child, small))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -86,3 +86,18 @@ def test_audits(spark):
     assert ("tasks.process_instance_id -> process_instances", 100) in fk  # no process rows
     pairs = [tuple(r) for r in audit_status_pairs(m).collect()]
     assert pairs == [(1, 12, 130)]
+
+
+def test_fk_one_row_two_violations(spark):
+    m = build_model(
+        spark,
+        tax_documents=[doc(1, 1, "MaterialInvoice", 1.0, "1", "2", 77, 88, None)],
+        tasks=[task(5, None, ts(2024, 2, 1), 99, 999, None)],
+    )
+    got = sorted((r["constraint"], r["child_id"], r["fk_value"]) for r in audit_fk(m).collect())
+    assert got == [
+        ("tasks.status_id -> status", 5, 999),
+        ("tasks.task_definition_id -> task_definitions", 5, 99),
+        ("tax_documents.customer_city_id -> cities", 1, 88),
+        ("tax_documents.supplier_city_id -> cities", 1, 77),
+    ]
