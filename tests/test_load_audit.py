@@ -99,5 +99,6 @@ def test_fk_one_row_two_violations(spark):
         ("tasks.status_id -> status", 5, 999),
         ("tasks.task_definition_id -> task_definitions", 5, 99),
         ("tax_documents.customer_city_id -> cities", 1, 88),
+        ("tax_documents.process_instance_id -> process_instances", 1, 501),  # helper default
         ("tax_documents.supplier_city_id -> cities", 1, 77),
     ]
