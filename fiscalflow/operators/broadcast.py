@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fiscalflow.session import app_id
+
 # Far above any real geography (Brazil has ~5,600 municipalities); a broadcast
 # of a million narrow rows is a few tens of MB per executor.
 MAX_BROADCAST_ROWS = 1_000_000
@@ -22,7 +24,7 @@ _BOUNDED: dict[tuple[str, int, int], bool] = {}
 
 def is_bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
     """True when ``df`` provably has at most ``max_rows`` rows."""
-    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), max_rows)
+    key = (app_id(df.sparkSession), df.semanticHash(), max_rows)
     ok = _BOUNDED.get(key)
     if ok is None:
         ok = _BOUNDED[key] = df.limit(max_rows + 1).count() <= max_rows

@@ -23,7 +23,7 @@ from fiscalflow.operators import report as rep
 from fiscalflow.operators.report_sql import report_last_month_sql
 from fiscalflow.operators.fact import build_fact, docs_tasks_join
 from fiscalflow.operators.filters import FilterSpec
-from fiscalflow.session import shared_dir
+from fiscalflow.session import app_id, shared_dir
 from fiscalflow.sources.parquet import read_table
 from fiscalflow.sources.tpch import model_from_tpch
 
@@ -56,7 +56,7 @@ def _model(spark, sf_dir):
     """The mapped model of ``sf_dir`` - lazy DataFrames (plans, no data), built
     once per application and data folder and reused by every query, as an
     application builds its tables once. Nothing is cached in memory."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (app_id(spark), sf_dir)
     model = _MODELS.get(key)
     if model is None:
         model = _MODELS[key] = model_from_tpch(spark, sf_dir)
@@ -69,7 +69,7 @@ _FACTS: dict[tuple[str, str], DataFrame] = {}
 def _fact(spark, sf_dir):
     """The fact plan over the mapped model (a lazy DataFrame, memoised like the
     model; every query still executes it in full)."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (app_id(spark), sf_dir)
     fact = _FACTS.get(key)
     if fact is None:
         fact = _FACTS[key] = build_fact(_model(spark, sf_dir))

@@ -65,10 +65,21 @@ def build_session(
     for key, value in conf.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    try:
+        spark.sparkContext.setLogLevel("ERROR")
+    except Exception:  # noqa: BLE001 - Spark Connect
+        pass
     return spark
 
 
+def app_id(spark: SparkSession) -> str:
+    """The application id (also under Spark Connect, where there is no SparkContext)."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - Spark Connect session
+        return spark.conf.get("spark.app.id", None) or str(id(spark))
+
+
 def shared_dir(spark: SparkSession, *parts: str) -> str:
     """A folder under the cluster's shared checkpoint directory.
 
@@ -79,19 +90,24 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     and registered; on a cluster a missing setting is an error, since a
     machine-local folder is not visible to the other executors.
     """
-    sc = spark.sparkContext
-    base = sc.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: only the session setting exists
+        sc = None
+    base = sc.getCheckpointDir() if sc is not None else None
     if not base:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
-            if not sc.master.startswith("local"):
+            master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+            if not master.startswith("local"):
                 raise RuntimeError(
                     "set spark.checkpoint.dir (or SparkContext.setCheckpointDir) to a "
                     "folder shared by the cluster before writing tables"
                 )
             base = tempfile.mkdtemp(prefix="fiscalflow-ckpt-")
-        sc.setCheckpointDir(base)
-        base = sc.getCheckpointDir() or base
+        if sc is not None:
+            sc.setCheckpointDir(base)
+            base = sc.getCheckpointDir() or base
     path = base.rstrip("/")
     for part in parts:
         path = f"{path}/{part}"
