@@ -1,0 +1,64 @@
+"""The Spark filters against a pandas implementation of the dashboard semantics:
+multi-selects are ``Series.isin`` (None in a list matches missing cells), the state
+default is every non-null state, the period is inclusive by day, and rows without
+a day are outside any period."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+import pandas as pd
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from fiscalflow.operators.filters import FilterSpec, apply_filters
+
+TYPES = ["MaterialInvoice", "ServiceInvoice", None]
+TASKS = ["Escrituração da Nota", "Pagamento da Nota", None]
+STATUSES = ["Nota Paga", "Nota não Paga", None]
+STATES = ["Minas Gerais", "São Paulo", None]
+DAYS = [dt.datetime(2024, 1, 31, 23), dt.datetime(2024, 2, 1), dt.datetime(2024, 2, 10, 12),
+        dt.datetime(2024, 2, 29, 23, 59), None]
+
+row_st = st.tuples(st.sampled_from(TYPES), st.sampled_from(TASKS), st.sampled_from(STATUSES),
+                   st.sampled_from(STATES), st.sampled_from(DAYS))
+sel = lambda values: st.one_of(st.none(), st.lists(st.sampled_from(values), unique=True))
+period_st = st.one_of(
+    st.none(),
+    st.tuples(st.sampled_from([None, dt.date(2024, 2, 1), dt.date(2024, 2, 10)]),
+              st.sampled_from([None, dt.date(2024, 2, 10), dt.date(2024, 2, 29)])),
+)
+
+
+def pandas_mask(pdf: pd.DataFrame, spec: FilterSpec) -> pd.Series:
+    day = pdf["completed_at"].map(lambda t: None if t is None or pd.isna(t) else t.date())
+    mask = day.notna()
+    if spec.period is not None:
+        lo, hi = spec.period
+        if lo is not None:
+            mask &= day.map(lambda d: d is not None and d >= lo)
+        if hi is not None:
+            mask &= day.map(lambda d: d is not None and d <= hi)
+    for values, col in ((spec.types, "document_type"), (spec.tasks, "task_name"),
+                        (spec.statuses, "task_status")):
+        if values is not None:
+            mask &= pdf[col].isin(values)
+    states = spec.states if spec.states is not None else pdf["supplier_state"].dropna().unique()
+    mask &= pdf["supplier_state"].isin(list(states))
+    return mask
+
+
+@settings(max_examples=30, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(row_st, min_size=1, max_size=15), period_st, sel(TYPES), sel(TASKS), sel(STATUSES),
+       sel(STATES))
+def test_filters_match_pandas(spark, rows, period, types, tasks, statuses, states):
+    data = [(i, *r) for i, r in enumerate(rows)]
+    schema = ("id long, document_type string, task_name string, task_status string, "
+              "supplier_state string, completed_at timestamp_ntz")
+    fact = spark.createDataFrame(data, schema)
+    spec = FilterSpec(period=period, types=types, tasks=tasks, statuses=statuses, states=states)
+    got = sorted(r["id"] for r in apply_filters(fact, spec).select("id").collect())
+    pdf = pd.DataFrame(data, columns=["id", "document_type", "task_name", "task_status",
+                                      "supplier_state", "completed_at"]).astype(object)
+    expected = sorted(pdf.loc[pandas_mask(pdf, spec), "id"].tolist())
+    assert got == expected
