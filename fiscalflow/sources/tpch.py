@@ -114,48 +114,47 @@ def documents_from_orders(
     """One tax document per order.
 
     The order's supplier is an aggregate over its lines (partial aggregation at the
-    map side, then one shuffle of one row per order and map partition). Orders are
-    hash-partitioned on the same key - the exchange a sort-merge join with the
-    aggregate needs - so the documents keep the order-key partitioning that the
-    tasks also have.
+    map side). Join order for scale: the narrow per-order supplier rows meet the
+    supplier table on the supplier key, the wide order rows meet the customer table
+    on the customer key, and the two then meet on the order key - which is also the
+    process id, so the documents come out hash-partitioned for the tasks join. The
+    wide order rows are shuffled twice at most.
     """
-    first_supplier = lineitem.groupBy("l_orderkey").agg(
-        F.min("l_suppkey").alias("supplier_key")
-    )
-    key = F.col("o_orderkey")
-    orders = orders.select(
-        "o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"
-    ).repartition("o_orderkey")
-    with_supplier = orders.join(
-        first_supplier, key == F.col("l_orderkey"), "left"
-    ).withColumn(
-        "supplier_key",
-        F.when(key % NO_SUPPLIER_EVERY == 0, F.lit(None)).otherwise(F.col("supplier_key")),
-    )
-    return (
-        with_supplier.join(
-            supplier.select("s_suppkey", "s_nationkey"),
-            F.col("supplier_key") == F.col("s_suppkey"),
-            "left",
+    line_key = F.col("l_orderkey")
+    order_supplier = (
+        lineitem.groupBy("l_orderkey")
+        .agg(F.min("l_suppkey").alias("supplier_key"))
+        .withColumn(
+            "supplier_key",
+            F.when(line_key % NO_SUPPLIER_EVERY == 0, F.lit(None)).otherwise(F.col("supplier_key")),
         )
         .join(
-            customer.select("c_custkey", "c_nationkey"),
-            F.col("o_custkey") == F.col("c_custkey"),
+            supplier.select("s_suppkey", "s_nationkey"),
+            F.col("supplier_key") == F.col("s_suppkey"),
             "left",
         )
-        .select(
-            key.alias("id"),
-            (key + DOCUMENT_NUMBER_OFFSET).alias("number"),
-            _document_type(F.col("o_orderpriority")).alias("type"),
-            F.col("o_totalprice").alias("total_value"),
-            F.col("supplier_key").cast("string").alias("supplier_identification_number"),
-            F.col("o_custkey").cast("string").alias("customer_identification_number"),
-            F.lit(None).cast("long").alias("supplier_state_id"),
-            F.lit(None).cast("long").alias("customer_state_id"),
-            F.col("s_nationkey").cast("long").alias("supplier_city_id"),
-            F.col("c_nationkey").cast("long").alias("customer_city_id"),
-            key.alias("process_instance_id"),
-        )
+        .select("l_orderkey", "supplier_key", "s_nationkey")
+    )
+    key = F.col("o_orderkey")
+    with_customer = orders.select(
+        "o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"
+    ).join(
+        customer.select("c_custkey", "c_nationkey"),
+        F.col("o_custkey") == F.col("c_custkey"),
+        "left",
+    )
+    return with_customer.join(order_supplier, key == line_key, "left").select(
+        key.alias("id"),
+        (key + DOCUMENT_NUMBER_OFFSET).alias("number"),
+        _document_type(F.col("o_orderpriority")).alias("type"),
+        F.col("o_totalprice").alias("total_value"),
+        F.col("supplier_key").cast("string").alias("supplier_identification_number"),
+        F.col("o_custkey").cast("string").alias("customer_identification_number"),
+        F.lit(None).cast("long").alias("supplier_state_id"),
+        F.lit(None).cast("long").alias("customer_state_id"),
+        F.col("s_nationkey").cast("long").alias("supplier_city_id"),
+        F.col("c_nationkey").cast("long").alias("customer_city_id"),
+        key.alias("process_instance_id"),
     )
 
 
