@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import tempfile
 
-from conftest import build_model
 
 from fiscalflow import schemas
 from fiscalflow.sources.jdbc import jdbc_options
