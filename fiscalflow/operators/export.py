@@ -61,9 +61,12 @@ def export_filtered(
     if partition_by_month:
         out = fact.withColumn("posted_month", F.date_format("posted_on", "yyyy-MM"))
         writer_cols = ["posted_month"]
-    # display order (completion ascending, unknown last) inside each file; no
-    # global sort is needed for a partitioned export
-    out = out.sortWithinPartitions(*writer_cols, F.col("completed_at").asc_nulls_last(), "id")
+    # Range-partition on (month, completion) so each task covers a contiguous time
+    # range: files ~ tasks + months rather than tasks x months, and a busy month is
+    # split over several tasks. Inside files rows are in display order (completion
+    # ascending, unknown last).
+    order = [F.col("completed_at").asc_nulls_last(), F.col("id").asc()]
+    out = out.repartitionByRange(*writer_cols, *order).sortWithinPartitions(*writer_cols, *order)
     writer = out.write.mode("overwrite").format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True)

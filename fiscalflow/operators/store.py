@@ -22,15 +22,20 @@ def materialize(
     spark: SparkSession | None = None,
 ) -> DataFrame:
     """Write ``df`` as parquet under ``<shared>/tables/<name>`` (overwrite) and
-    return the table read back. Rows are clustered by the partition columns before
-    the write, so each partition is written by few tasks (few files); ``sort_within``
-    orders rows inside files so min/max statistics prune row groups."""
+    return the table read back.
+
+    With partition columns, rows are range-partitioned on (partition columns,
+    ``sort_within``) before the write: the ranges are balanced by sampling, so a
+    large partition value (a busy month) is split over many tasks instead of one,
+    while each task still covers a contiguous range and writes into few partition
+    folders. ``sort_within`` orders rows inside files so min/max statistics prune
+    row groups."""
     spark = spark or df.sparkSession
     path = shared_dir(spark, "tables", name)
     out = df
     if partition_by:
-        out = out.repartition(*partition_by)
-    if sort_within:
+        out = out.repartitionByRange(*partition_by, *sort_within)
+    if partition_by or sort_within:
         out = out.sortWithinPartitions(*partition_by, *sort_within)
     writer = out.write.mode("overwrite")
     if partition_by:

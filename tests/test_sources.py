@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import tempfile
 
-
 from fiscalflow import schemas
 from fiscalflow.sources.jdbc import jdbc_options
 from fiscalflow.sources.model import conform
