@@ -21,8 +21,9 @@ from pyspark.sql.utils import AnalysisException
 
 
 def first_per_key(incoming: DataFrame, key: str, order_by: Sequence[str]) -> DataFrame:
-    """One row per non-null ``key``: the first in ``order_by`` order (remaining
-    ties broken by the row's own values, so the result is deterministic)."""
+    """One row per non-null ``key``: the first in ``order_by`` order (ascending,
+    a null load-order value first; remaining ties broken by the row's own values,
+    so the result is deterministic)."""
     others = [c for c in incoming.columns if c != key]
     packed = F.struct(
         *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order_by)],

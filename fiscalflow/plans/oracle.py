@@ -335,7 +335,8 @@ WITH target AS (
 ), ranked AS (
   SELECT *, row_number() OVER (
            PARTITION BY id
-           ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, number, total_value) AS rn
+           ORDER BY l_shipdate NULLS FIRST, l_linenumber NULLS FIRST, l_partkey NULLS FIRST,
+                    l_suppkey NULLS FIRST, number NULLS FIRST, total_value NULLS FIRST) AS rn
   FROM incoming WHERE id IS NOT NULL
 )
 SELECT id, number, total_value FROM target

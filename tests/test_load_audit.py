@@ -102,3 +102,8 @@ def test_fk_one_row_two_violations(spark):
         ("tax_documents.process_instance_id -> process_instances", 1, 501),  # helper default
         ("tax_documents.supplier_city_id -> cities", 1, 77),
     ]
+
+
+def test_first_per_key_null_order_value_first(spark):
+    df = spark.createDataFrame([(1, "late", 5), (1, "unknown", None), (2, "x", 1)], SCHEMA)
+    assert rows(first_per_key(df, "id", ["seq"])) == [(1, "unknown", None), (2, "x", 1)]
