@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DayTimeIntervalType
 
 
 def _col(c) -> Column:
@@ -59,14 +60,26 @@ def previous_month_window_literals(as_of: dt.date | str) -> tuple[dt.datetime, d
 
 
 def format_ddmmyyyy(ts) -> Column:
-    """``dd/MM/yyyy`` text of a timestamp; null stays null."""
-    return F.date_format(_col(ts), "dd/MM/yyyy")
+    """``dd/MM/yyyy`` text of a timestamp; null stays null. The day is taken from
+    the zone-less timestamp first, so the session time zone cannot move it."""
+    return F.date_format(F.to_date(_col(ts)), "dd/MM/yyyy")
+
+
+# An interval of seconds (with microseconds): casting to it and then to a decimal
+# turns a day-time interval into an exact number of seconds.
+_SECONDS = DayTimeIntervalType(DayTimeIntervalType.SECOND, DayTimeIntervalType.SECOND)
 
 
 def lead_time_hours(created, completed) -> Column:
     """Hours from ``created`` to ``completed`` as a double; null if either is null,
-    negative if completed precedes created."""
-    micros = F.timestamp_diff("MICROSECOND", _col(created), _col(completed))
+    negative if completed precedes created.
+
+    Computed from the zone-free difference of the two zone-less timestamps (an
+    exact interval), never through the session time zone: a wall-clock time that
+    does not exist in the session zone (a DST gap) must not shift the result.
+    """
+    seconds = (_col(completed) - _col(created)).cast(_SECONDS).cast("decimal(20,6)")
+    micros = (seconds * 1_000_000).cast("long")
     return micros.cast("double") / F.lit(1_000_000.0) / F.lit(3600.0)
 
 
