@@ -54,17 +54,20 @@ def _as_date(d) -> dt.date | None:
 def period_predicate(period: tuple | None) -> Column:
     """Inclusive day range, written on the raw ``completed_at`` so it is pushed to
     the scan: ``day >= lo`` is ``completed_at >= lo 00:00`` and ``day <= hi`` is
-    ``completed_at < (hi + 1 day) 00:00``. A null completion never passes."""
+    ``completed_at < (hi + 1 day) 00:00``. A null completion never passes.
+
+    The bounds are DATE literals cast to TIMESTAMP_NTZ - a zone-free conversion. (A
+    Python datetime literal would be a zoned timestamp, shifted by the session time
+    zone when cast.)"""
     ts = F.col("completed_at")
     pred = ts.isNotNull()
     if period is None:
         return pred
     lo, hi = (_as_date(p) for p in period)
     if lo is not None:
-        pred = pred & (ts >= F.lit(dt.datetime.combine(lo, dt.time())).cast("timestamp_ntz"))
+        pred = pred & (ts >= F.lit(lo).cast("timestamp_ntz"))
     if hi is not None:
-        nxt = dt.datetime.combine(hi + dt.timedelta(days=1), dt.time())
-        pred = pred & (ts < F.lit(nxt).cast("timestamp_ntz"))
+        pred = pred & (ts < F.lit(hi + dt.timedelta(days=1)).cast("timestamp_ntz"))
     return pred
 
 

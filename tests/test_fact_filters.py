@@ -141,3 +141,17 @@ def test_report_sql_matches_dataframe_form(seed_unconfounded, spark):
     a = [tuple(r) for r in report_last_month(seed_unconfounded, AS_OF).collect()]
     b = [tuple(r) for r in report_last_month_sql(spark, seed_unconfounded, AS_OF).collect()]
     assert a == b
+
+
+def test_period_bounds_ignore_session_zone(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        m = _model(spark, [doc(1, 1, "MaterialInvoice", 1.0, "1", "2", 1, 1, 100)],
+                   [task(1, None, ts(2024, 2, 1, 0, 0), 12, 120, 100),
+                    task(2, None, ts(2024, 2, 29, 23, 30), 12, 120, 100),
+                    task(3, None, ts(2024, 3, 1, 0, 0), 12, 120, 100)])
+        spec = FilterSpec(period=(dt.date(2024, 2, 1), dt.date(2024, 2, 29)))
+        assert apply_filters(build_fact(m), spec).count() == 2
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
