@@ -7,6 +7,8 @@ session's checkpoint directory (``shared_dir``), never in a machine-local folder
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +23,8 @@ def materialize(
     sort_within: Sequence[str] = (),
     spark: SparkSession | None = None,
 ) -> DataFrame:
-    """Write ``df`` as parquet under ``<shared>/tables/<name>`` (overwrite) and
-    return the table read back.
+    """Write ``df`` as parquet under ``<shared>/tables/<name>/<version>`` and return
+    the table read back.
 
     With partition columns, rows are range-partitioned on (partition columns,
     ``sort_within``) before the write: the ranges are balanced by sampling, so a
@@ -31,13 +33,17 @@ def materialize(
     folders. ``sort_within`` orders rows inside files so min/max statistics prune
     row groups."""
     spark = spark or df.sparkSession
-    path = shared_dir(spark, "tables", name)
+    # A new version folder per call: a failed write never destroys the previous
+    # version, and readers of the previous version keep their files. Old versions
+    # are left for the caller's retention policy.
+    version = f"v{time.strftime('%Y%m%d%H%M%S')}-{uuid.uuid4().hex[:8]}"
+    path = f"{shared_dir(spark, 'tables', name)}/{version}"
     out = df
     if partition_by:
         out = out.repartitionByRange(*partition_by, *sort_within)
     if partition_by or sort_within:
         out = out.sortWithinPartitions(*partition_by, *sort_within)
-    writer = out.write.mode("overwrite")
+    writer = out.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
