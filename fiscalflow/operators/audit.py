@@ -53,28 +53,32 @@ def _constraint(child: str, column: str, parent: str) -> str:
 
 def _small_parent_violations(child_df: DataFrame, child: str, fks) -> DataFrame:
     """All foreign keys of one child whose parents are small, in ONE pass over the
-    child: each parent's distinct keys are broadcast and left-joined (no row is
-    multiplied), then the violations are exploded out of one array column."""
-    df = child_df.select("id", *sorted({c for c, _, _ in fks}))
-    flags = []
-    for i, (column, parent_df, parent) in enumerate(fks):
-        seen = f"_seen{i}"
-        keys = F.broadcast(
-            parent_df.select(F.col("id").alias(f"_k{i}")).distinct().withColumn(seen, F.lit(True))
+    child: each key gets an EXISTS test against its broadcast parent (planned as a
+    broadcast existence join - no shuffle, and duplicate parent keys cannot
+    multiply child rows), then the violations are exploded out of one array."""
+    found = []
+    for i, (column, parent_df, _) in enumerate(fks):
+        exists = (
+            F.broadcast(parent_df.select("id"))
+            .where(F.col("id") == F.col(column).outer())
+            .exists()
         )
-        df = df.join(keys, F.col(column) == F.col(f"_k{i}"), "left").drop(f"_k{i}")
-        flags.append(
-            F.when(
-                F.col(column).isNotNull() & F.col(seen).isNull(),
-                F.struct(
-                    F.lit(_constraint(child, column, parent)).alias("constraint"),
-                    F.col(column).cast("long").alias("fk_value"),
-                ),
-            )
+        found.append(exists.alias(f"_found{i}"))
+    columns = sorted({c for c, _, _ in fks})
+    flagged = child_df.select("id", *columns, *found)
+    violations = [
+        F.when(
+            F.col(column).isNotNull() & ~F.col(f"_found{i}"),
+            F.struct(
+                F.lit(_constraint(child, column, parent)).alias("constraint"),
+                F.col(column).cast("long").alias("fk_value"),
+            ),
         )
-    bad = F.filter(F.array(*flags), lambda v: v.isNotNull())
+        for i, (column, _, parent) in enumerate(fks)
+    ]
+    bad = F.filter(F.array(*violations), lambda v: v.isNotNull())
     return (
-        df.select(F.col("id").alias("child_id"), F.explode(bad).alias("v"))
+        flagged.select(F.col("id").alias("child_id"), F.explode(bad).alias("v"))
         .select("v.constraint", "child_id", "v.fk_value")
     )
 
