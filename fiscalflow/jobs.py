@@ -29,7 +29,8 @@ def _model(spark, args):
 def run_report(spark, args) -> str | None:
     as_of = dt.date.fromisoformat(args.as_of) if args.as_of else dt.date.today()
     report = report_last_month(_model(spark, args), as_of, materialize_keys=True)
-    path = export_report(report, args.out, as_of, fmt=args.format)
+    path = export_report(report, args.out, as_of, fmt=args.format,
+                         titles=getattr(args, "titles", False))
     print(f"report written to {path}" if path else "no documents posted in the period")
     return path
 
@@ -53,6 +54,8 @@ def main(argv: list[str] | None = None) -> int:
             p.add_argument("--out", required=True)
             p.add_argument("--as-of", default=None)
             p.add_argument("--format", default="csv", choices=["csv", "parquet"])
+            p.add_argument("--titles", action="store_true",
+                           help="write the original column titles as the header")
         else:
             p.add_argument("--name", default="dashboard_fact")
     args = ap.parse_args(argv)

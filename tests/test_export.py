@@ -17,7 +17,7 @@ from fiscalflow.operators.report import report_last_month
 def test_export_report_csv(spark, seed):
     base = tempfile.mkdtemp(prefix="ff-export-")
     path = export_report(report_last_month(seed, AS_OF), base, AS_OF)
-    assert path.endswith("invoice_report_2024-03-15")
+    assert path.endswith("relatorio_notas_2024-03-15")
     back = spark.read.option("header", True).csv(path)
     assert back.columns[:3] == ["id", "number", "purchase_orders"]
     assert back.count() == 2
@@ -39,7 +39,19 @@ def test_export_filtered_partitioned(spark, seed):
     base = tempfile.mkdtemp(prefix="ff-export-")
     fact = apply_filters(build_fact(seed), FilterSpec())
     path = export_filtered(fact, base, dt.datetime(2024, 3, 15, 9, 5))
-    assert path.endswith("fiscal_report_20240315_0905")
+    assert path.endswith("relatorio_fiscal_20240315_0905")
     assert sorted(os.listdir(path))[0] == "_SUCCESS" or "posted_month=2024-02" in os.listdir(path)
     assert "posted_month=2024-02" in os.listdir(path)
     assert spark.read.parquet(path).count() == 2
+
+
+def test_export_with_original_titles(spark, seed):
+    base = tempfile.mkdtemp(prefix="ff-export-")
+    path = export_report(report_last_month(seed, AS_OF), base, AS_OF, titles=True)
+    header = spark.read.option("header", True).csv(path).columns
+    assert header == ["ID Nota Fiscal", "Número da Nota", "Pedidos de Compra", "CNPJ Fornecedor",
+                      "Cidade Fornecedor", "CNPJ Tomador", "Cidade Tomador", "Data Escrituração"]
+    fact = apply_filters(build_fact(seed), FilterSpec())
+    path = export_filtered(fact, base, dt.datetime(2024, 3, 15, 9, 5), titles=True)
+    cols = spark.read.parquet(path).columns
+    assert "tipo_nota" in cols and "lead_time_horas" in cols and "posted_month" in cols

@@ -19,7 +19,7 @@ def test_report_job_writes_csv(spark):
     out = os.path.join(tempfile.mkdtemp(prefix="ff-job-"), "out")
     args = argparse.Namespace(tpch=SF, model=None, out=out, as_of="2000-03-31", format="csv")
     path = run_report(spark, args)
-    assert path.endswith("invoice_report_2000-03-31")
+    assert path.endswith("relatorio_notas_2000-03-31")
     back = spark.read.option("header", True).csv(path)
     assert back.count() == 4
 
