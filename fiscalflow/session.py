@@ -64,6 +64,9 @@ def build_session(
         conf.update(CLUSTER_CONF)
     else:
         conf.update(LOCAL_CONF)
+    if shuffle_partitions is None and profile != "cluster":
+        # one reducer per local core (AQE coalesces further when data is small)
+        shuffle_partitions = os.cpu_count() or 8
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
