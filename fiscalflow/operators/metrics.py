@@ -91,42 +91,31 @@ def daily_volume(fact: DataFrame) -> DataFrame:
     )
 
 
-def _lead_time_stats(fact: DataFrame):
-    """(min, max, mean, n) of the lead time as one scalar-subquery struct."""
-    stats = fact.agg(
-        F.struct(
-            F.min("lead_time_hours").alias("lo"),
-            F.max("lead_time_hours").alias("hi"),
-            F.avg("lead_time_hours").alias("mean"),
-            F.count("lead_time_hours").alias("n"),
-        ).alias("s")
-    )
-    return stats.scalar()
-
-
 def lead_time_histogram(fact: DataFrame, bins: int = HIST_BINS) -> DataFrame:
     """Equal-width histogram of the lead time: ``bins`` bins over [min, max], the
     last one closed; a single bin when every value is equal. Nulls skipped.
 
-    The bounds come from one scalar subquery (a single aggregate row), so each row
-    is binned with a plain expression and the counts are partial-aggregated.
+    The fact is reduced to (value, rows) first - a partial aggregate, so lead times
+    of whole hours shrink to a few hundred rows before any shuffle - and binned from
+    that reduction. The bounds enter as one scalar subquery (a single aggregate
+    row, no join); Spark evaluates it as min/max over the fact directly.
     """
-    s = _lead_time_stats(fact)
+    x = F.col("lead_time_hours")
+    values = (
+        fact.filter(x.isNotNull())
+        .groupBy("lead_time_hours")
+        .agg(F.count(F.lit(1)).alias("rows"))
+    )
+    s = values.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi")).alias("s")).scalar()
     lo = s.getField("lo")
     hi = s.getField("hi")
     width = (hi - lo) / F.lit(float(bins))
-    x = F.col("lead_time_hours")
     bin_ = (
         F.when(width > 0, F.least(F.floor((x - lo) / width), F.lit(bins - 1)))
         .otherwise(F.lit(0))
         .cast("long")
     )
-    counted = (
-        fact.filter(x.isNotNull())
-        .select(bin_.alias("bin"))
-        .groupBy("bin")
-        .agg(F.count(F.lit(1)).alias("documents"))
-    )
+    counted = values.groupBy(bin_.alias("bin")).agg(F.sum("rows").alias("documents"))
     b = F.col("bin").cast("double")
     return counted.select(
         "bin",
