@@ -40,11 +40,8 @@ CLUSTER_CONF = {
 
 # Single machine: inputs are a few MB, so let AQE coalesce small shuffles down to
 # partitions of 64 KB rather than 1 MB, keeping every core busy after a shuffle.
-# A broadcast here is one in-process hash table shared by all task threads, so the
-# planner may broadcast sides it measures below 64 MB instead of shuffling both.
 LOCAL_CONF = {
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": str(64 * 1024),
-    "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
 }
 
 
