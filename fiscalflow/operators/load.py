@@ -74,7 +74,9 @@ def load_if_absent(
 
     Only new files are added (mode append); the files being read are never
     rewritten, and the write is committed by Spark's output committer, so a lost
-    executor's task is simply retried. A missing target is created.
+    executor's task is simply retried. A missing target is created. One writer
+    per target at a time: two concurrent loads could both add the same new key
+    (the streaming ingest serialises its batches).
     """
     try:
         target = spark.read.format(fmt).load(target_path)
