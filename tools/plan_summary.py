@@ -63,6 +63,19 @@ def main():
         "or several distinct aggregates). The driver-table mapping (lineitem -> tasks,",
         "orders -> documents) is part of every plan that reads tasks or documents.",
         "",
+        "What to look for:",
+        "",
+        "* `fact`: the documents side of the process join has no exchange (documents",
+        "  come out partitioned on the order key = process id); geography is a",
+        "  BroadcastHashJoin by the checked broadcast; code tables are LocalTableScans.",
+        "* `report_last_month`: the distinct and the purchase-order roll-up sit on the",
+        "  join's partitioning (no exchange); the semi-join branch is all ReusedExchange.",
+        "* panels: every aggregate has its partial_ half before its exchange;",
+        "  `panel_grouping_sets` is one Expand + one exchange for three panels.",
+        "* `audit_fk`: keys into dimensions are ExistenceJoins against broadcasts, one",
+        "  pass per child; keys into large tables are sort-merge anti joins.",
+        "* No CartesianProduct / BroadcastNestedLoopJoin anywhere.",
+        "",
         "| query | hash x | range x | single x | reused | SMJ | BHJ | partial aggs | expand |",
         "| --- | --- | --- | --- | --- | --- | --- | --- | --- |",
     ]
