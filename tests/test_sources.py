@@ -36,3 +36,22 @@ def test_model_parquet_round_trip(spark, seed):
         a = sorted(tuple(r) for r in seed.table(name).collect())
         b = sorted(tuple(r) for r in back.table(name).collect())
         assert a == b, name
+
+
+def test_stored_model_pushes_report_window_to_tasks_scan(spark, seed):
+    from conftest import AS_OF
+
+    from fiscalflow.operators.report import report_last_month
+
+    base = os.path.join(tempfile.mkdtemp(prefix="ff-model-"), "m")
+    write_model(seed, base)
+    df = report_last_month(read_model(spark, base), AS_OF)
+    old = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")  # untruncated PushedFilters
+    try:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.maxMetadataStringLength", old)
+    scan = [ln for ln in plan.splitlines() if "tasks.parquet" in ln][0]
+    assert "GreaterThanOrEqual(completed_at" in scan and "LessThan(completed_at" in scan
+    assert len(df.collect()) == 2
