@@ -26,7 +26,7 @@ from fiscalflow.llm.common import batches, crc32_of, id_text, materialize, parti
 from fiscalflow.llm.tokens import END_ID, WORD_BPE, encoder, with_end
 
 WINDOW = 4096
-ENCODED = "part int, doc_id long, at long, ids binary"
+ENCODED = "part int, doc_id long, at long, n_tokens long, ids binary"
 PIECES = (
     "doc_id long, start long, length long, ids binary, ids_crc32 long, "
     "doc_tokens long, sequence_id long, offset long"
@@ -49,9 +49,10 @@ def encode_partitions(docs: DataFrame, tokenizer: str = WORD_BPE, end_id: int |
                     pa.array(np.full(batch.num_rows, part, np.int32)),
                     batch.column(0),
                     pa.array(before + ends - lengths),
+                    pa.array(lengths),
                     pa.array([raw[a:b] for a, b in zip(borders, borders[1:])], pa.binary()),
                 ],
-                ["part", "doc_id", "at", "ids"],
+                ["part", "doc_id", "at", "n_tokens", "ids"],
             )
             before += int(lengths.sum())
 
@@ -59,7 +60,8 @@ def encode_partitions(docs: DataFrame, tokenizer: str = WORD_BPE, end_id: int |
 
 
 def totals_of(encoded: DataFrame) -> DataFrame:
-    return encoded.groupBy("part").agg(F.max(F.col("at") + F.octet_length("ids") / 4).cast("long").alias("total"))
+    """Tokens of each partition: the ids themselves are not read."""
+    return encoded.groupBy("part").agg(F.sum("n_tokens").alias("total"))
 
 
 def cut(encoded: DataFrame, bases: dict[int, int], window: int = WINDOW, with_ids: bool = True) -> DataFrame:

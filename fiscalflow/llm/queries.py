@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fiscalflow.llm import ann, bpe, html_extract, packing, quality_rules, simhash, token_counts, token_file, toxicity
+from fiscalflow.llm import ann, bpe, html_extract, kn_quality, packing, quality_rules, simhash, token_counts, token_file, toxicity
 from fiscalflow.llm.common import in_fold
+from fiscalflow.llm.sql import ORACLE  # noqa: F401 - registered with the queries
 from fiscalflow.sources.parquet import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +44,10 @@ def op3_toxicity(spark, sf_dir):
     )
 
 
+def op4_kn_quality(spark, sf_dir):
+    return kn_quality.classify(read_table(spark, sf_dir, "documents"), learnt_labels(spark, sf_dir))
+
+
 def op5_packing(spark, sf_dir):
     return packing.pack(read_table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
 
@@ -72,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op1_ann": op1_ann,
     "op2_token_counts": op2_token_counts,
     "op3_toxicity": op3_toxicity,
+    "op4_kn_quality": op4_kn_quality,
     "op5_packing": op5_packing,
     "op6_token_file": op6_token_file,
     "op7_quality_rules": op7_quality_rules,
@@ -79,4 +85,3 @@ QUERIES: dict[str, Query] = {
     "op9_html_extract": op9_html_extract,
     "op10_bpe": op10_bpe,
 }
-ORACLE: dict[str, str] = {}

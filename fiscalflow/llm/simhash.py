@@ -246,8 +246,11 @@ def hex_digits(fp) -> F.Column:
 def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """``docs`` with the document of the smallest doc_id of each component, all columns
     as they were. Rows that repeat a doc_id stay once; rows without doc_id stay."""
-    kept = near_duplicates(docs, shingle_words, radius).filter("doc_id = component_id")
-    ids = kept.select(F.col("doc_id").alias("__kept_id")).distinct()
-    named = docs.filter(docs["doc_id"].isNotNull())
-    first = named.join(ids, named["doc_id"].cast("long") == F.col("__kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.filter(docs["doc_id"].isNull()))
+    found = materialize(near_duplicates(docs, shingle_words, radius), "simhash-found")
+    firsts = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__kept_id")).agg(F.count(F.lit(1)).alias("n"))
+    named, key = docs.filter(docs["doc_id"].isNotNull()), docs["doc_id"].cast("long")
+    kept = named.join(firsts.filter("n = 1"), key == F.col("__kept_id"), "left_semi")
+    repeated = firsts.filter("n > 1")
+    if not repeated.isEmpty():  # else the documents need not be read for it
+        kept = kept.unionByName(named.join(repeated, key == F.col("__kept_id"), "left_semi").dropDuplicates(["doc_id"]))
+    return kept.unionByName(docs.filter(docs["doc_id"].isNull()))

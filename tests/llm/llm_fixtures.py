@@ -1,0 +1,50 @@
+"""Fixtures of these tests: rows with every oddity, and clashing column names."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+
+SCHEMA = (
+    "doc_id long, text string, lang string, source string, n_chars long, "
+    # names that the operators use themselves
+    "fp long, part int, at long, ids string, score double, kept string, component_id string, rank int, node string, id string"
+)
+
+
+def document(doc_id, text, lang="en", source="src0"):
+    return (doc_id, text, lang, source, len(text or ""), 1, 2, 3, "x", 0.5, "y", "z", 4, "n", "i")
+
+
+@pytest.fixture(scope="session")
+def make_docs(spark):
+    def make(rows):
+        return spark.createDataFrame([document(*r) for r in rows], SCHEMA)
+
+    return make
+
+
+@pytest.fixture(scope="session")
+def odd_rows():
+    """Nulls in each column, empty and long texts, ties and repeated rows."""
+    rng = random.Random(7)
+    words = ["alpha", "beta", "gamma", "Delta", "été", "straße", "it's", "x9,", "(ok)", "漢字"]
+    prose = lambda n: " ".join(rng.choice(words) + str(rng.randrange(40)) for _ in range(n))
+    same = prose(60)
+    return [
+        (1, None), (2, ""), (3, " \n\t \x0b"), (4, "one"), (5, "Two words"), (6, same), (7, same), (7, same),
+        (8, same + " more"), (None, same), (None, None), (9, prose(20_000), None, None), (10, "a" * 30_000),
+        (11, prose(80) + "\n" + prose(30) + "\n\n" + prose(5)), (12, "naïve café   é \U0001f642 <|endoftext|>"),
+        (13, "This This This This " * 10), (14, prose(50), "de", None), (15, "\x00\x01\x1c weird \x85 bytes"),
+    ]
+
+
+@pytest.fixture(scope="session")
+def odd_docs(make_docs, odd_rows):
+    return make_docs(odd_rows)
+
+
+@pytest.fixture(scope="session")
+def no_docs(odd_docs):
+    return odd_docs.limit(0)

@@ -1,0 +1,202 @@
+"""Encoders, packing, token files and token counts against the tokenizers library."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pyarrow.orc as orc
+import pytest
+from tokenizers import Tokenizer
+
+from fiscalflow.llm import bpe, packing, token_counts, token_file
+from fiscalflow.llm.common import fresh_path
+from fiscalflow.llm.tokens import END_ID, WORD_BPE, Encoder
+from llm_fixtures import make_docs, no_docs, odd_docs, odd_rows  # noqa: F401
+
+ALPHABET = [*"abcdefgh THE'sll'd 0123 \n\t\r\x0b\x0c\x1c\x1d\x85\xa0​́éèÉßÿ×$$%%!!__--漢字🙂Σς中İǅ²½Ⅷ٣ﬁ﻿　"]
+ALPHABET += ["<|endoftext|>", "<|startoftext|>", "<|", " the", " and", "'re"]
+
+
+def random_texts(n, seed):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 80))) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def word_ids():
+    library = Tokenizer.from_file(WORD_BPE)
+    return lambda text: library.encode(text or "", add_special_tokens=False).ids
+
+
+@pytest.fixture(scope="module")
+def byte_library():
+    return Tokenizer.from_file(bpe.BYTE_BPE)
+
+
+def test_encoder_equals_the_library(word_ids):
+    encoder = Encoder(remembered=500)  # forgets on the way
+    assert encoder.by_word
+    texts = random_texts(2500, 1) + ["", "x" * 4000, " " * 50]
+    for at in range(0, len(texts), 100):
+        ids, sizes = encoder.encode(texts[at : at + 100])
+        ends = np.cumsum(sizes)
+        for text, a, b in zip(texts[at : at + 100], ends - sizes, ends):
+            assert ids[a:b].tolist() == word_ids(text), repr(text)
+
+
+def test_encoder_hands_whole_texts_over_for_other_tokenizers(byte_library):
+    encoder = Encoder(bpe.BYTE_BPE)
+    assert not encoder.by_word
+    ids, sizes = encoder.encode(["a  b\n", "", "c"])
+    assert ids.tolist() == sum((byte_library.encode(t, add_special_tokens=False).ids for t in ("a  b\n", "", "c")), [])
+
+
+def test_bpe_equals_the_library(byte_library):
+    model = bpe.Bpe(remembered=500)
+    texts = random_texts(2500, 2) + ["", "a" * 5000, " " * 300, "ab" * 3000, "aaa aa a"]
+    for at in range(0, len(texts), 100):
+        ids, sizes = model.encode(texts[at : at + 100])
+        ends = np.cumsum(sizes)
+        for text, a, b in zip(texts[at : at + 100], ends - sizes, ends):
+            want = byte_library.encode(text, add_special_tokens=False).ids
+            assert ids[a:b].tolist() == want, repr(text)
+            assert model.decode(ids[a:b]) == byte_library.decode(want, skip_special_tokens=False) == text
+
+
+def test_bpe_decodes_broken_characters_as_the_library(byte_library):
+    model, rng = bpe.Bpe(), random.Random(3)
+    for _ in range(300):
+        ids = [rng.randrange(50257) for _ in range(rng.randint(1, 12))]
+        assert model.decode(ids) == byte_library.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_tables(odd_docs, odd_rows, no_docs, byte_library):
+    encoded = bpe.encode(odd_docs)
+    want = sorted((str(r[0]), byte_library.encode(r[1] or "", add_special_tokens=False).ids) for r in odd_rows)
+    assert sorted((str(r["doc_id"]), r["ids"]) for r in encoded.collect()) == want
+    assert sorted((str(r["doc_id"]), r["text"]) for r in bpe.decode(encoded).collect()) == sorted((str(r[0]), r[1] or "") for r in odd_rows)
+    got = sorted(map(str, (tuple(r) for r in bpe.round_trip(odd_docs).collect())))
+    digest = lambda x: hashlib.sha256(x).hexdigest()
+    assert got == sorted(
+        str((r[0], len(ids), digest(np.array(ids, "<u4").tobytes()), digest((r[1] or "").encode())))
+        for r in odd_rows
+        for ids in [byte_library.encode(r[1] or "", add_special_tokens=False).ids]
+    )
+    assert bpe.round_trip(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("window", [16, 4096])
+def test_packing_is_whole_and_gapless(make_docs, odd_rows, word_ids, window):
+    rows = [r for r in odd_rows if r[0] is not None]
+    rows = [(i, *r[1:]) for i, r in enumerate(rows)]
+    docs = make_docs(rows).repartition(3)
+    pieces = packing.pack(docs, window).collect()
+    ids = {r[0]: [*word_ids(r[1]), END_ID] for r in rows}
+    of_doc, of_sequence = defaultdict(list), defaultdict(list)
+    for p in pieces:
+        of_doc[p["doc_id"]].append(p)
+        of_sequence[p["sequence_id"]].append(p)
+        part = ids[p["doc_id"]][p["start"] : p["start"] + p["length"]]
+        raw = np.array(part, "<u4").tobytes()
+        assert p["length"] == len(part) > 0 and p["ids"] == raw and p["ids_crc32"] == zlib.crc32(raw)
+        assert p["doc_tokens"] == len(ids[p["doc_id"]])
+    for doc, some in of_doc.items():
+        assert sorted((p["start"], p["start"] + p["length"]) for p in some)[-1][1] == len(ids[doc])
+        assert sum(p["length"] for p in some) == len(ids[doc])
+    assert of_doc.keys() == ids.keys() and sorted(of_sequence) == list(range(len(of_sequence)))
+    for number, some in of_sequence.items():
+        at = 0
+        for p in sorted(some, key=lambda p: p["offset"]):
+            assert p["offset"] == at
+            at += p["length"]
+        assert at == window or number == len(of_sequence) - 1 and at <= window
+
+
+def test_packing_of_odd_and_no_rows(odd_docs, odd_rows, no_docs, word_ids):
+    pieces = packing.pack(odd_docs, 64)
+    assert pieces.agg({"length": "sum"}).first()[0] == sum(len(word_ids(r[1])) + 1 for r in odd_rows)
+    assert packing.pack(no_docs).count() == 0
+
+
+def test_token_files(spark, odd_docs, odd_rows, no_docs, word_ids):
+    path = token_file.write(odd_docs, fresh_path(spark, "test-token-ids"))
+    rows = token_file.read(spark, path)
+    got = sorted(token_file.digests(rows).collect(), key=lambda r: r["start"])
+    want = [[*word_ids(r[1]), END_ID] for r in odd_rows]
+    assert sum(r["n_tokens"] for r in got) == sum(map(len, want))
+    at = 0
+    for r in got:  # gapless, null ids first, then ascending
+        assert r["start"] == at
+        at += r["n_tokens"]
+    ids = [r["doc_id"] for r in got]
+    assert ids == sorted(ids, key=lambda x: (x is not None, x or 0))
+    crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
+    assert sorted((str(r["doc_id"]), r["ids_crc32"]) for r in got) == sorted((str(r[0]), crc(x)) for r, x in zip(odd_rows, want))
+    found = token_file.lookup(spark, path, [9, 14])
+    assert sorted(r["doc_id"] for r in found.collect()) == [9, 14]
+    assert token_file.write_and_read(no_docs).count() == 0
+
+
+def test_token_files_are_orc_with_filters(spark, odd_docs):
+    path = token_file.write(odd_docs, fresh_path(spark, "test-token-orc"))
+    local = path.removeprefix("file:")
+    import glob
+
+    files = sorted(glob.glob(f"{local}/*.orc"))
+    assert files and sum(orc.ORCFile(f).nrows for f in files) == odd_docs.count()
+    plan = token_file.lookup(spark, path, [9])._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(doc_id" in plan or "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id" in plan
+
+
+def plain_sections(text, spans, starts, rule):
+    """Token by token, character by character."""
+    section = lambda c: max(i for i, s in enumerate(starts) if s <= c)
+    out = [0.0] * len(starts)
+    for a, b in spans:
+        if rule == "start":
+            out[section(a)] += 1
+            continue
+        inside = defaultdict(int)
+        for c in range(a, b):
+            inside[section(c)] += 1
+        if rule == "share":
+            for s, k in inside.items():
+                out[s] += k / (b - a)
+        else:
+            out[min(s for s in inside if inside[s] == max(inside.values()))] += 1
+    return out
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_section_counts(odd_docs, odd_rows, byte_library, rule, no_docs):
+    got = defaultdict(list)
+    rows = token_counts.count_sections(odd_docs.filter("doc_id not in (9, 10) and doc_id <> 7"), rule=rule)
+    for r in sorted(rows.collect(), key=lambda r: (r["doc_id"], r["section"])):
+        got[r["doc_id"]].append(r)
+    for doc_id, text, *_ in odd_rows:
+        if doc_id in (None, 7, 9, 10):
+            continue
+        text = text or ""
+        encoding = byte_library.encode(text, add_special_tokens=False)
+        starts = [0] + [i + 1 for i, c in enumerate(text) if c == "\n" and i + 1 < len(text)]
+        want = plain_sections(text, encoding.offsets, starts, rule)
+        assert [r["begin"] for r in got[doc_id]] == starts
+        assert [r["n_tokens"] for r in got[doc_id]] == pytest.approx(want)
+        assert sum(r["n_tokens"] for r in got[doc_id]) == pytest.approx(len(encoding.ids))
+        assert sum(r["length"] for r in got[doc_id]) == len(text)
+    assert token_counts.count_sections(no_docs, rule=rule).count() == 0
+
+
+def test_field_counts(spark, byte_library):
+    rows = spark.createDataFrame([(1, "A title", None, "the body\nof it"), (2, None, None, None), (None, "x", "", "y")], "k long, t string, s string, b string")
+    got = defaultdict(dict)
+    for r in token_counts.count_fields(rows, "k", ["t", "s", "b"]).collect():
+        got[r["doc_id"]][r["field"]] = r["n_tokens"]
+    n = lambda text: len(byte_library.encode(text, add_special_tokens=False).ids)
+    assert sum(got[1].values()) == n("A title\n\nthe body\nof it") and got[1]["t"] >= 2 and got[1]["b"] >= 4
+    assert set(got[1]) == set(got[2]) == {"t", "s", "b"}
+    assert token_counts.count_fields(rows.limit(0), "k", ["t"]).count() == 0
