@@ -60,9 +60,15 @@ def previous_month_window_literals(as_of: dt.date | str) -> tuple[dt.datetime, d
 
 
 def format_ddmmyyyy(ts) -> Column:
-    """``dd/MM/yyyy`` text of a timestamp; null stays null. The day is taken from
-    the zone-less timestamp first, so the session time zone cannot move it."""
-    return F.date_format(F.to_date(_col(ts)), "dd/MM/yyyy")
+    """``dd/MM/yyyy`` text of a timestamp; null stays null. Built from the day, month
+    and year of the zone-less timestamp: ``date_format`` would go through a zoned
+    timestamp, which a day that the session zone skips would move."""
+    day = F.to_date(_col(ts))
+    two = lambda part: F.lpad(part.cast("string"), 2, "0")
+    return F.concat(
+        two(F.dayofmonth(day)), F.lit("/"), two(F.month(day)), F.lit("/"),
+        F.lpad(F.year(day).cast("string"), 4, "0"),
+    )
 
 
 # An interval of seconds (with microseconds): casting to it and then to a decimal

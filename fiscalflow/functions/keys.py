@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fiscalflow.operators.broadcast import broadcast_if_bounded
-
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -26,11 +24,9 @@ def lookup_with_default(
     df: DataFrame, key: str, table: DataFrame, table_key: str, value: str, default, alias: str
 ) -> DataFrame:
     """Left-join a code table and fall back to ``default`` when the key is missing
-    or null (a dictionary ``get(key, default)``). The code table is broadcast when
-    its size is proven bounded (``operators.broadcast``)."""
-    codes = broadcast_if_bounded(
-        table.select(F.col(table_key).alias("_lk"), F.col(value).alias("_lv")), bound_by=table
-    )
+    or null (a dictionary ``get(key, default)``). The planner broadcasts the code table
+    when its measured size allows."""
+    codes = table.select(F.col(table_key).alias("_lk"), F.col(value).alias("_lv"))
     return (
         df.join(codes, F.col(key) == F.col("_lk"), "left")
         .withColumn(alias, F.coalesce(F.col("_lv"), F.lit(default)))

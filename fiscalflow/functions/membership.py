@@ -8,19 +8,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def isin_null_safe(c, values: Iterable) -> Column:
+def isin_filter(c, values: Iterable) -> Column:
     """True when the value is in ``values``; a None in ``values`` matches null cells.
 
     SQL ``x IN (...)`` is null for a null ``x`` and an empty list matches nothing;
-    this gives the multi-select behaviour: an empty selection keeps no row.
+    this gives the multi-select behaviour: an empty selection keeps no row. For use in
+    a filter: a null result drops the row like false, and the plain ``IN`` reaches the
+    scan.
     """
     col = F.col(c) if isinstance(c, str) else c
     values = list(values)
     non_null = [v for v in values if v is not None]
     has_null = len(non_null) != len(values)
     pred = col.isin(non_null) if non_null else F.lit(False)
-    if has_null:
-        pred = pred | col.isNull()
-    # coalesce: ``null IN (...)`` is null, which a filter treats as false anyway,
-    # but the predicate must also be usable as a plain boolean column.
-    return F.coalesce(pred, F.lit(False))
+    return pred | col.isNull() if has_null else pred
+
+
+def isin_null_safe(c, values: Iterable) -> Column:
+    """``isin_filter`` as a boolean column that is never null."""
+    return F.coalesce(isin_filter(c, values), F.lit(False))

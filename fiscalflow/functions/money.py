@@ -1,5 +1,6 @@
 """Money arithmetic. Amounts are stored as doubles; sums and rounding go through
-exact decimals (cents) so every engine agrees to the last digit."""
+exact decimals so every engine agrees to the last digit. Sums keep six decimals, so
+that amounts below a cent are not rounded away one by one."""
 
 from __future__ import annotations
 
@@ -7,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MONEY = "decimal(18,2)"
+SUMMAND = "decimal(24,6)"
 
 
 def _col(c) -> Column:
@@ -21,7 +23,7 @@ def as_money(c) -> Column:
 def money_sum(c) -> Column:
     """Exact sum of an amount column as a double; 0.0 when every value is null or
     there are no rows (aggregate expression)."""
-    return F.coalesce(F.sum(as_money(c)), F.lit(0).cast(MONEY)).cast("double")
+    return F.coalesce(F.sum(_col(c).cast(SUMMAND)), F.lit(0).cast(SUMMAND)).cast("double")
 
 
 def round_money(c, scale: int = 2) -> Column:
@@ -38,9 +40,8 @@ def to_cents(c) -> Column:
 def even_split(total, parts) -> Column:
     """Each part of ``total`` split evenly over ``parts`` lines, rounded half-up to
     the cent, computed in integer cents: ``(2 * cents + n) div (2 * n)``."""
-    cents = to_cents(total)
     n = _col(parts).cast("long")
-    num = cents * 2 + n
-    den = n * 2
-    share_cents = ((num - F.pmod(num, den)) / den).cast("long")  # exact: divisible
-    return F.when(n > 0, share_cents / F.lit(100.0))
+    num = to_cents(total) * 2 + n
+    # floor division in longs: ``div`` truncates, and the remainder is taken off first
+    share_cents = F.call_function("div", num - F.pmod(num, n * 2), n * 2)
+    return F.when(n > 0, (share_cents.cast("decimal(20,0)") / F.lit(100).cast("decimal(3,0)")).cast("double"))

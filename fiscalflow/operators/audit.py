@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fiscalflow import schemas
-from fiscalflow.operators.broadcast import is_bounded
 from fiscalflow.sources.model import Model
 
 
@@ -51,63 +50,19 @@ def _constraint(child: str, column: str, parent: str) -> str:
     return f"{child}.{column} -> {parent}"
 
 
-def _small_parent_violations(child_df: DataFrame, child: str, fks) -> DataFrame:
-    """All foreign keys of one child whose parents are small, in ONE pass over the
-    child: each key gets an EXISTS test against its broadcast parent (planned as a
-    broadcast existence join - no shuffle, and duplicate parent keys cannot
-    multiply child rows), then the violations are exploded out of one array."""
-    found = []
-    for i, (column, parent_df, _) in enumerate(fks):
-        exists = (
-            F.broadcast(parent_df.select("id"))
-            .where(F.col("id") == F.col(column).outer())
-            .exists()
-        )
-        found.append(exists.alias(f"_found{i}"))
-    columns = sorted({c for c, _, _ in fks})
-    flagged = child_df.select("id", *columns, *found)
-    violations = [
-        F.when(
-            F.col(column).isNotNull() & ~F.col(f"_found{i}"),
-            F.struct(
-                F.lit(_constraint(child, column, parent)).alias("constraint"),
-                F.col(column).cast("long").alias("fk_value"),
-            ),
-        )
-        for i, (column, _, parent) in enumerate(fks)
-    ]
-    bad = F.filter(F.array(*violations), lambda v: v.isNotNull())
-    return (
-        flagged.select(F.col("id").alias("child_id"), F.explode(bad).alias("v"))
-        .select("v.constraint", "child_id", "v.fk_value")
-    )
-
-
 def audit_fk(model: Model, foreign_keys=None) -> DataFrame:
     """(constraint, child_id, fk_value) for every foreign-key violation; a null
-    foreign key is allowed.
-
-    Keys into small parents (geography, code tables, users - proven bounded) are
-    checked together in one pass per child table; keys into large parents are a
-    sort-merge anti join each (skewed keys are split by AQE).
-    """
+    foreign key is allowed. One anti join per key: the planner broadcasts a parent by
+    its measured size, and a hot key of a shuffled child is split by AQE."""
     fks = foreign_keys if foreign_keys is not None else schemas.FOREIGN_KEYS
-    parts = []
-    small_by_child: dict[str, list] = {}
-    for child, column, parent in fks:
-        parent_df = model.table(parent)
-        if parent in schemas.DIMENSION_TABLES and is_bounded(parent_df):
-            small_by_child.setdefault(child, []).append((column, parent_df, parent))
-        else:
-            parts.append(
-                orphans(model.table(child), column, parent_df).select(
-                    F.lit(_constraint(child, column, parent)).alias("constraint"),
-                    F.col("id").alias("child_id"),
-                    F.col(column).cast("long").alias("fk_value"),
-                )
-            )
-    for child, small in small_by_child.items():
-        parts.append(_small_parent_violations(model.table(child), child, small))
+    parts = [
+        orphans(model.table(child), column, model.table(parent)).select(
+            F.lit(_constraint(child, column, parent)).alias("constraint"),
+            F.col("id").alias("child_id"),
+            F.col(column).cast("long").alias("fk_value"),
+        )
+        for child, column, parent in fks
+    ]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fiscalflow.operators.store import materialize
+
 # ---------------------------------------------------------------------------
 # File-name prefixes and the column titles of the original files,
 # in output order (used when ``titles=True``).
@@ -61,25 +62,21 @@ def export_report(
 ) -> str | None:
     """Write the report with a header row; write nothing when it is empty.
 
-    Returns the path written, or None for an empty report. The (small) report is
-    persisted for the emptiness test and the write, so it is computed once; a lost
-    executor's cached blocks are recomputed from lineage. ``titles`` writes the
-    original display titles as the header.
+    Returns the path written, or None for an empty report. The report is written to the
+    shared folder first, so it is computed once and survives lost executors; files keep
+    the report's order. ``titles`` writes the original display titles as the header.
     """
     if titles:
         report = with_titles(report, REPORT_TITLES)
-    cached = report.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        if cached.isEmpty():
-            return None
-        path = report_path(base_dir, as_of)
-        writer = cached.write.mode("overwrite").format(fmt)
-        if fmt == "csv":
-            writer = writer.option("header", True)
-        writer.save(path)
-        return path
-    finally:
-        cached.unpersist()
+    stored = materialize(report, "report_export")
+    if stored.isEmpty():
+        return None
+    path = report_path(base_dir, as_of)
+    writer = stored.write.mode("overwrite").format(fmt)
+    if fmt == "csv":
+        writer = writer.option("header", True)
+    writer.save(path)
+    return path
 
 
 def export_filtered(
@@ -92,7 +89,11 @@ def export_filtered(
 ) -> str | None:
     """Write the filtered fact (all 13 columns), partitioned by posting month
     (``posted_month=yyyy-MM``, rows without a day under the null partition).
-    Returns the path, or None when there is nothing to export."""
+    Returns the path, or None when there is nothing to export.
+
+    The selection is written once to the shared folder and everything after - the
+    emptiness test, the sampling of the ranges, the export - reads that table."""
+    fact = materialize(fact, "filtered_export")
     if fact.isEmpty():
         return None
     path = filtered_path(base_dir, at)

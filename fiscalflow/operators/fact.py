@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fiscalflow.functions.cnpj import mask_cnpj
-from fiscalflow.operators.broadcast import broadcast_if_bounded
 from fiscalflow.functions.dates import lead_time_hours, posting_day
 from fiscalflow.sources.model import Model
 
@@ -33,15 +32,14 @@ FACT_COLUMNS = [
 
 def supplier_geography(model: Model) -> DataFrame:
     """city id -> (city name, state name); a city without a known state keeps a null
-    state. Broadcast when the city table is proven small (see ``broadcast``): the
-    fact is never shuffled on the low-cardinality city key."""
+    state. The planner broadcasts it by its measured size; a geography too large for
+    that is a shuffle join on the city, whose hot cities AQE splits."""
     states = model.states.select(
         F.col("id").alias("state_id"), F.col("name").alias("supplier_state")
     )
-    geo = model.cities.select(
+    return model.cities.select(
         F.col("id").alias("city_id"), F.col("name").alias("supplier_city"), "state_id"
     ).join(states, "state_id", "left").drop("state_id")
-    return broadcast_if_bounded(geo, bound_by=model.cities)
 
 
 def docs_tasks_join(model: Model, docs: DataFrame | None = None, tasks: DataFrame | None = None) -> DataFrame:

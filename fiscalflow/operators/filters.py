@@ -11,7 +11,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fiscalflow.functions.membership import isin_null_safe
+from fiscalflow.functions.membership import isin_filter
 
 # facet name -> fact column, in display order
 FACETS = {
@@ -79,11 +79,11 @@ def filter_predicates(spec: FilterSpec) -> list[Column]:
         (spec.statuses, "task_status"),
     ):
         if values is not None:
-            preds.append(isin_null_safe(column, values))
+            preds.append(isin_filter(column, values))
     if spec.states is None:
         preds.append(F.col("supplier_state").isNotNull())
     else:
-        preds.append(isin_null_safe("supplier_state", spec.states))
+        preds.append(isin_filter("supplier_state", spec.states))
     return preds
 
 
@@ -101,7 +101,7 @@ def filter_period(fact: DataFrame, lo, hi) -> DataFrame:
 def filter_members(fact: DataFrame, spec: FilterSpec) -> DataFrame:
     """Only the membership filters of ``spec`` (lists left None are not applied)."""
     preds = [
-        isin_null_safe(column, values)
+        isin_filter(column, values)
         for values, column in (
             (spec.types, "document_type"),
             (spec.tasks, "task_name"),

@@ -1,27 +1,21 @@
-"""KPI display labels.
+"""KPI display labels (``R$ 1,234.50``, ``3.2 h``), built from Spark's own expressions.
 
-The labels follow Python's format semantics (``R$ {:,.2f}``, ``{:.1f} h``:
-correctly rounded, ties to even on the binary value), which Java's formatter
-behind ``format_string`` does not reproduce (it rounds 3.25 to 3.3). The formatter
-runs as an Arrow-batched pandas UDF over the one-row KPI result only.
+``format_number`` rounds the binary value correctly, ties to even, as the display
+format does (``format_string`` would round 3.25 to 3.3). Hours carry no separators.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 
-@F.pandas_udf(StringType())
-def brl_label(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if pd.isna(v) else f"R$ {v:,.2f}")
+def brl_label(value) -> Column:
+    return F.concat(F.lit("R$ "), F.format_number(value, 2))
 
 
-@F.pandas_udf(StringType())
-def hours_label(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if pd.isna(v) else f"{v:.1f} h")
+def hours_label(value) -> Column:
+    return F.concat(F.translate(F.format_number(value, 1), ",", ""), F.lit(" h"))
 
 
 def kpi_labels(kpi_row: DataFrame) -> DataFrame:

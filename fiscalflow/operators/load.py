@@ -46,15 +46,17 @@ def rejected_rows(incoming: DataFrame, key: str) -> DataFrame:
 def rows_to_insert(
     target: DataFrame, incoming: DataFrame, key: str, order_by: Sequence[str]
 ) -> DataFrame:
-    """Incoming rows that insert-if-absent would add to ``target``."""
-    fresh = first_per_key(incoming, key, order_by)
-    return fresh.join(target.select(key).distinct(), key, "left_anti")
+    """Incoming rows with a key that insert-if-absent would add to ``target``. Rows
+    whose key the target has leave first, so only new keys are aggregated."""
+    fresh = incoming.join(target.select(key).distinct(), key, "left_anti")
+    return first_per_key(fresh.select(*incoming.columns), key, order_by)
 
 
 def insert_if_absent(
     target: DataFrame, incoming: DataFrame, key: str, order_by: Sequence[str]
 ) -> DataFrame:
-    """The target after insert-if-absent: existing rows untouched, plus new keys.
+    """The target after insert-if-absent: existing rows untouched, plus new keys. Rows
+    without a key are no part of it; ``rejected_rows`` has them.
 
     Applying it twice with the same batch gives the same result as once.
     """
@@ -62,6 +64,17 @@ def insert_if_absent(
     return target.unionByName(new_rows)
 
 
+def _existing(spark: SparkSession, path: str, fmt: str) -> DataFrame | None:
+    """The dataset at ``path``, or None if there is no such path; any other failure to
+    read it is raised."""
+    try:
+        return spark.read.format(fmt).load(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def load_if_absent(
     spark: SparkSession,
     target_path: str,
@@ -69,8 +82,14 @@ def load_if_absent(
     key: str,
     order_by: Sequence[str],
     fmt: str = "parquet",
-) -> None:
-    """Append the new rows of ``incoming`` to the dataset at ``target_path``.
+    rejected_path: str | None = None,
+) -> int:
+    """Append the new rows of ``incoming`` to the dataset at ``target_path`` and return
+    the number of rows without a key.
+
+    Rows without a key are written to ``rejected_path``; if none is given and there are
+    such rows, nothing is loaded and ValueError is raised, as a database would fail the
+    transaction.
 
     Only new files are added (mode append); the files being read are never
     rewritten, and the write is committed by Spark's output committer, so a lost
@@ -78,17 +97,49 @@ def load_if_absent(
     per target at a time: two concurrent loads could both add the same new key
     (the streaming ingest serialises its batches).
     """
-    try:
-        target = spark.read.format(fmt).load(target_path)
-    except AnalysisException:
-        target = None
+    keyless = rejected_rows(incoming, key)
+    rejected = keyless.count()
+    if rejected and rejected_path is None:
+        raise ValueError(f"{rejected} rows without {key}")
+    target = _existing(spark, target_path, fmt)
     if target is None:
         new_rows = first_per_key(incoming, key, order_by)
     else:
         new_rows = rows_to_insert(target, incoming, key, order_by).select(*target.columns)
+    if rejected:
+        keyless.write.mode("append").format(fmt).save(rejected_path)
     new_rows.write.mode("append").format(fmt).save(target_path)
+    return rejected
+
+
+# --- several tables at once -----------------------------------------------------------
+
+COMMITTED = "_committed"
+
+
+def load_together(spark: SparkSession, base: str, tables: dict[str, DataFrame], batch: str) -> None:
+    """Bulk insert of one batch into several tables, all or nothing.
+
+    Each table's rows go to its own ``batch=...`` folder; the batch counts only once its
+    marker is written, after the last table. A batch that failed midway is invisible to
+    ``read_together`` and may be loaded again under its name; a committed one is
+    refused.
+    """
+    if batch in committed_batches(spark, base):
+        raise ValueError(f"batch {batch} is already loaded")
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").parquet(f"{base}/{name}/batch={batch}")
+    spark.createDataFrame([(batch,)], "name string").coalesce(1).write.mode("append").parquet(f"{base}/{COMMITTED}")
+
+
+def committed_batches(spark: SparkSession, base: str) -> list[str]:
+    marks = _existing(spark, f"{base}/{COMMITTED}", "parquet")
+    return [] if marks is None else sorted(r["name"] for r in marks.distinct().collect())
 
 
-def append(df: DataFrame, target_path: str, fmt: str = "parquet") -> None:
-    """Plain bulk insert (all rows, one job, committed together)."""
-    df.write.mode("append").format(fmt).save(target_path)
+def read_together(spark: SparkSession, base: str, name: str) -> DataFrame:
+    """The rows of one table in committed batches (only their folders are read)."""
+    batches = committed_batches(spark, base)
+    if not batches:
+        raise ValueError(f"nothing is loaded under {base}")
+    return spark.read.parquet(*[f"{base}/{name}/batch={b}" for b in batches])

@@ -7,7 +7,7 @@ expression needs (histogram bounds) enter as scalar subqueries, computed once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fiscalflow.functions.money import money_sum
@@ -18,17 +18,21 @@ PARETO_TOP = 10
 
 def kpis(fact: DataFrame) -> DataFrame:
     """One row: spend (exact sum, 0.0 when nothing), documents (fact rows with an
-    id - a document counts once per task), distinct documents, mean lead time in
-    hours (nulls skipped), and distinct known supplier ids."""
+    id - a document counts once per task), mean lead time in hours (nulls skipped), and
+    distinct known supplier ids. One distinct only: a second would expand every row."""
     return fact.agg(
         money_sum("total_value").alias("spend"),
         F.count("id").alias("documents"),
-        F.count_distinct("id").alias("distinct_documents"),
         F.avg("lead_time_hours").alias("mean_lead_time_hours"),
         F.count_distinct("supplier_cnpj").alias("suppliers"),
     )
 
 
+def distinct_documents(fact: DataFrame) -> DataFrame:
+    """One row: the documents of the fact, each counted once."""
+    return fact.agg(F.count_distinct("id").alias("distinct_documents"))
+
+
 def spend_by_supplier(fact: DataFrame) -> DataFrame:
     """Spend per masked supplier id ('' groups the documents without supplier).
     Partial aggregation map-side: a dominant supplier costs one row per partition."""
@@ -57,13 +61,12 @@ def geo_volume(fact: DataFrame) -> DataFrame:
 def geo_rollup_share(fact: DataFrame) -> DataFrame:
     """Two-level roll-up (state -> city) with each node's share of the whole.
 
-    ``level`` is 'total', 'state' or 'city'. The share's denominator is taken with
-    a window over the roll-up output, which is bounded by the number of cities
-    plus states plus one, never by the data.
+    ``level`` is 'total', 'state' or 'city'. The share's denominator is a scalar
+    subquery over the same rows: no window gathers the roll-up in one task.
     """
+    known = fact.filter(F.col("supplier_state").isNotNull() & F.col("supplier_city").isNotNull())
     rolled = (
-        fact.filter(F.col("supplier_state").isNotNull() & F.col("supplier_city").isNotNull())
-        .rollup("supplier_state", "supplier_city")
+        known.rollup("supplier_state", "supplier_city")
         .agg(F.count(F.lit(1)).alias("volume"), F.grouping_id().alias("gid"))
     )
     level = (
@@ -71,7 +74,7 @@ def geo_rollup_share(fact: DataFrame) -> DataFrame:
         .when(F.col("gid") == 1, F.lit("state"))
         .otherwise(F.lit("total"))
     )
-    total = F.max(F.when(F.col("gid") == 3, F.col("volume"))).over(Window.partitionBy())
+    total = known.agg(F.count(F.lit(1)).alias("rows")).scalar()
     return rolled.select(
         level.alias("level"),
         "supplier_state",
@@ -95,17 +98,13 @@ def lead_time_histogram(fact: DataFrame, bins: int = HIST_BINS) -> DataFrame:
     """Equal-width histogram of the lead time: ``bins`` bins over [min, max], the
     last one closed; a single bin when every value is equal. Nulls skipped.
 
-    The fact is reduced to (value, rows) first - a partial aggregate, so lead times
-    of whole hours shrink to a few hundred rows before any shuffle - and binned from
-    that reduction. The bounds enter as one scalar subquery (a single aggregate
-    row, no join); Spark evaluates it as min/max over the fact directly.
+    Rows are counted per bin, map-side first, so a task sends at most ``bins`` rows
+    whatever the values are. The bounds enter as one scalar subquery (a single
+    aggregate row, no join), which scans the fact once more: over a stored fact
+    (``Dashboard``) that is one column.
     """
     x = F.col("lead_time_hours")
-    values = (
-        fact.filter(x.isNotNull())
-        .groupBy("lead_time_hours")
-        .agg(F.count(F.lit(1)).alias("rows"))
-    )
+    values = fact.filter(x.isNotNull())
     s = values.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi")).alias("s")).scalar()
     lo = s.getField("lo")
     hi = s.getField("hi")
@@ -115,7 +114,7 @@ def lead_time_histogram(fact: DataFrame, bins: int = HIST_BINS) -> DataFrame:
         .otherwise(F.lit(0))
         .cast("long")
     )
-    counted = values.groupBy(bin_.alias("bin")).agg(F.sum("rows").alias("documents"))
+    counted = values.groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("documents"))
     b = F.col("bin").cast("double")
     return counted.select(
         "bin",

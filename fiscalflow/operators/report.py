@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from fiscalflow import schemas
 from fiscalflow.functions.dates import format_ddmmyyyy, previous_month_window
-from fiscalflow.operators.broadcast import broadcast_if_bounded
 from fiscalflow.operators.fact import docs_tasks_join
 from fiscalflow.operators.store import materialize
 from fiscalflow.sources.model import Model
@@ -35,19 +34,20 @@ REPORT_COLUMNS = [
 PO_SEPARATOR = ", "
 
 
-def distinct_sorted_list(values: Column) -> Column:
-    """Aggregate: the distinct non-null values, sorted, joined by ', '; null when
-    there are none. ``collect_set`` de-duplicates in the map-side partial aggregate,
-    so a document with many items ships one value per distinct order."""
-    s = F.collect_set(values)
+def sorted_list(values: Column) -> Column:
+    """Aggregate: the non-null values, sorted, joined by ', '; null when there are
+    none."""
+    s = F.collect_list(values)
     return F.when(F.size(s) > 0, F.array_join(F.array_sort(s), PO_SEPARATOR))
 
 
 def po_rollup(items: DataFrame, key: str = "tax_document_id") -> DataFrame:
-    """Per document: its distinct purchase orders as one sorted string."""
-    return items.groupBy(key).agg(
-        distinct_sorted_list(F.col("purchase_order")).alias("purchase_orders")
-    )
+    """Per document: its distinct purchase orders as one sorted string.
+
+    (document, order) pairs are made distinct by a hash aggregate, map-side first, and
+    only then listed: a list holds each order once, however many items name it."""
+    pairs = items.select(key, "purchase_order").distinct()
+    return pairs.groupBy(key).agg(sorted_list(F.col("purchase_order")).alias("purchase_orders"))
 
 
 def posting_tasks(model: Model, window: tuple[Column, Column] | None = None) -> DataFrame:
@@ -76,9 +76,9 @@ def success_postings(model: Model, window: tuple[Column, Column] | None = None)
 def report_keys(model: Model, as_of: dt.date | str | Column) -> DataFrame:
     """The report rows without purchase orders: one row per document x completion.
 
-    ``process_instance_id`` is carried in the distinct: it is a function of the
-    document id, so the result is unchanged, and the distinct then reuses the
-    hash partitioning of the join instead of shuffling again.
+    The distinct does not carry ``process_instance_id``: an aggregate that relied on the
+    join's partitioning would keep AQE from splitting a hot process (unless a setting
+    forces it). It shuffles the report's rows, one month of postings, once more.
     """
     window = previous_month_window(as_of)
     docs = model.tax_documents.filter(F.col("type") == schemas.REPORT_DOCUMENT_TYPE).select(
@@ -91,24 +91,17 @@ def report_keys(model: Model, as_of: dt.date | str | Column) -> DataFrame:
         "customer_city_id",
     )
     tasks = posting_tasks(model, window).select("process_instance_id", "completed_at")
-    supplier_city = broadcast_if_bounded(
-        model.cities.select(
-            F.col("id").alias("supplier_city_id"), F.col("name").alias("supplier_city")
-        ),
-        bound_by=model.cities,
+    supplier_city = model.cities.select(
+        F.col("id").alias("supplier_city_id"), F.col("name").alias("supplier_city")
     )
-    customer_city = broadcast_if_bounded(
-        model.cities.select(
-            F.col("id").alias("customer_city_id"), F.col("name").alias("customer_city")
-        ),
-        bound_by=model.cities,
+    customer_city = model.cities.select(
+        F.col("id").alias("customer_city_id"), F.col("name").alias("customer_city")
     )
     return (
         docs_tasks_join(model, docs, tasks)
         .join(supplier_city, "supplier_city_id", "inner")
         .join(customer_city, "customer_city_id", "inner")
         .select(
-            "process_instance_id",
             "id",
             "number",
             "supplier_id",
@@ -145,8 +138,7 @@ def report_last_month(
     keys = report_keys(model, as_of)
     if one_row_per_document:
         keys = keys.groupBy(
-            "process_instance_id", "id", "number", "supplier_id", "supplier_city",
-            "customer_id", "customer_city",
+            "id", "number", "supplier_id", "supplier_city", "customer_id", "customer_city",
         ).agg(F.max("completed_at").alias("completed_at"))
     if materialize_keys:
         keys = materialize(keys, f"report_keys_{_as_of_tag(as_of)}")
@@ -177,42 +169,3 @@ def _as_of_tag(as_of) -> str:
     if isinstance(as_of, str):
         as_of = dt.date.fromisoformat(as_of)
     return f"{as_of:%Y%m%d}"
-
-
-def report_direct(model: Model, as_of: dt.date | str | Column) -> DataFrame:
-    """The report in the direct form of its SQL (join items, then group by the
-    seven keys). Used as a test oracle for ``report_last_month``."""
-    lo, hi = previous_month_window(as_of)
-    td = model.tax_documents.alias("td")
-    t = model.tasks.alias("t")
-    cs = model.cities.alias("cs")
-    cc = model.cities.alias("cc")
-    i = model.items.alias("i")
-    joined = (
-        td.join(t, F.col("td.process_instance_id") == F.col("t.process_instance_id"))
-        .join(cs, F.col("td.supplier_city_id") == F.col("cs.id"))
-        .join(cc, F.col("td.customer_city_id") == F.col("cc.id"))
-        .join(i, F.col("td.id") == F.col("i.tax_document_id"), "left")
-        .filter(
-            (F.col("td.type") == schemas.REPORT_DOCUMENT_TYPE)
-            & (F.col("t.task_definition_id") == schemas.POSTING_TASK_ID)
-            & (F.col("t.status_id") == schemas.POSTING_SUCCESS_STATUS_ID)
-            & (F.col("t.completed_at") >= lo)
-            & (F.col("t.completed_at") < hi)
-        )
-    )
-    return (
-        joined.groupBy(
-            F.col("td.id").alias("id"),
-            F.col("td.number").alias("number"),
-            F.col("td.supplier_identification_number").alias("supplier_id"),
-            F.col("cs.name").alias("supplier_city"),
-            F.col("td.customer_identification_number").alias("customer_id"),
-            F.col("cc.name").alias("customer_city"),
-            F.col("t.completed_at").alias("completed_at"),
-        )
-        .agg(distinct_sorted_list(F.col("i.purchase_order")).alias("purchase_orders"))
-        .orderBy(F.col("completed_at").desc(), F.col("id").asc())
-        .select(*REPORT_COLUMNS[:2], "purchase_orders", *REPORT_COLUMNS[3:7],
-                format_ddmmyyyy("completed_at").alias("posted_on"))
-    )

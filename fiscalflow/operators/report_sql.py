@@ -16,7 +16,7 @@ from fiscalflow.sources.model import Model
 
 REPORT_SQL = """
 WITH report_keys AS (
-  SELECT DISTINCT td.process_instance_id, td.id, td.number,
+  SELECT DISTINCT td.id, td.number,
          td.supplier_identification_number AS supplier_id, cs.name AS supplier_city,
          td.customer_identification_number AS customer_id, cc.name AS customer_city,
          t.completed_at
@@ -30,15 +30,17 @@ WITH report_keys AS (
     AND t.completed_at >= CAST(trunc(add_months(:as_of, -1), 'MM') AS TIMESTAMP_NTZ)
     AND t.completed_at < CAST(trunc(:as_of, 'MM') AS TIMESTAMP_NTZ)
 ), purchase_orders AS (
-  SELECT i.tax_document_id,
-         CASE WHEN size(collect_set(i.purchase_order)) > 0
-              THEN array_join(array_sort(collect_set(i.purchase_order)), ', ') END
+  SELECT tax_document_id,
+         CASE WHEN count(purchase_order) > 0
+              THEN array_join(array_sort(collect_list(purchase_order)), ', ') END
            AS purchase_orders
-  FROM {items} i LEFT SEMI JOIN report_keys k ON i.tax_document_id = k.id
-  GROUP BY i.tax_document_id
+  FROM (SELECT DISTINCT i.tax_document_id, i.purchase_order
+        FROM {items} i LEFT SEMI JOIN report_keys k ON i.tax_document_id = k.id)
+  GROUP BY tax_document_id
 )
 SELECT k.id, k.number, p.purchase_orders, k.supplier_id, k.supplier_city,
-       k.customer_id, k.customer_city, date_format(k.completed_at, 'dd/MM/yyyy') AS posted_on
+       k.customer_id, k.customer_city, concat_ws('/', lpad(day(k.completed_at), 2, '0'), lpad(month(k.completed_at), 2, '0'),
+                 lpad(year(k.completed_at), 4, '0')) AS posted_on
 FROM report_keys k LEFT JOIN purchase_orders p ON p.tax_document_id = k.id
 ORDER BY k.completed_at DESC, k.id
 """

@@ -10,7 +10,10 @@ return what they wrote, read back.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
+import zlib
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,9 +24,9 @@ from fiscalflow.functions import cnpj, dates, keys, money
 from fiscalflow.operators import audit, export, filters, labels, load, metrics
 from fiscalflow.operators import report as rep
 from fiscalflow.operators.report_sql import report_last_month_sql
-from fiscalflow.operators.fact import build_fact, docs_tasks_join
+from fiscalflow.operators.fact import build_fact, display_order, docs_tasks_join
 from fiscalflow.operators.filters import FilterSpec
-from fiscalflow.session import app_id, shared_dir
+from fiscalflow.session import shared_dir
 from fiscalflow.sources.parquet import read_table
 from fiscalflow.sources.tpch import model_from_tpch
 
@@ -32,11 +35,12 @@ from fiscalflow.sources.tpch import model_from_tpch
 # ---------------------------------------------------------------------------
 AS_OF = dt.date(2000, 3, 31)  # report window [2000-02-01, 2000-03-01)
 PERIOD = (dt.date(2000, 2, 1), dt.date(2000, 5, 31))
-DASHBOARD = FilterSpec(period=PERIOD, types=["MaterialInvoice", "ServiceInvoice"])
+DASHBOARD = FilterSpec(period=PERIOD, types=schemas.DOCUMENT_TYPES[:2])
+_TASK, _STATUS = dict(schemas.TASK_DEFINITION_ROWS), dict(schemas.STATUS_ROWS)
 MEMBERS = FilterSpec(
-    types=["MaterialInvoice", None],
-    tasks=["Escrituração da Nota", "Pagamento da Nota"],
-    statuses=["Nota Escriturada com Sucesso", "Nota não Escriturada", "Nota Paga"],
+    types=[schemas.REPORT_DOCUMENT_TYPE, None],
+    tasks=[_TASK[12], _TASK[13]],
+    statuses=[_STATUS[120], _STATUS[121], _STATUS[130]],
     states=["AMERICA", "EUROPE", None],
 )
 EXPORT_STAMP = dt.datetime(2000, 3, 31, 18, 30)
@@ -49,34 +53,23 @@ LOAD_ORDER = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey"]
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-_MODELS: dict[tuple[str, str], object] = {}
-
-
 def _model(spark, sf_dir):
-    """The mapped model of ``sf_dir`` - lazy DataFrames (plans, no data), built
-    once per application and data folder and reused by every query, as an
-    application builds its tables once. Nothing is cached in memory."""
-    key = (app_id(spark), sf_dir)
-    model = _MODELS.get(key)
-    if model is None:
-        model = _MODELS[key] = model_from_tpch(spark, sf_dir)
-    return model
+    """The mapped model of ``sf_dir``: lazy DataFrames, made anew for every query, so
+    that a rewritten folder is read as it is now."""
+    return model_from_tpch(spark, sf_dir)
 
 
-_FACTS: dict[tuple[str, str], DataFrame] = {}
+def _fact(spark, sf_dir):
+    return build_fact(_model(spark, sf_dir))
 
 
-def _fact(spark, sf_dir):
-    """The fact plan over the mapped model (a lazy DataFrame, memoised like the
-    model; every query still executes it in full)."""
-    key = (app_id(spark), sf_dir)
-    fact = _FACTS.get(key)
-    if fact is None:
-        fact = _FACTS[key] = build_fact(_model(spark, sf_dir))
-    return fact
+def _panel_fact(spark, sf_dir):
+    """The fact under the dashboard's default selection: everything its facets offer."""
+    return filters.apply_filters(_fact(spark, sf_dir), FilterSpec())
 
 
 def _dashboard(spark, sf_dir):
+    """The fact under an explicit selection of period and types."""
     return filters.apply_filters(_fact(spark, sf_dir), DASHBOARD)
 
 
@@ -125,6 +118,12 @@ def fact(spark, sf_dir):
     return _fact(spark, sf_dir)
 
 
+def fact_display(spark, sf_dir):
+    """The fact in display order."""
+    ordered = display_order(_fact(spark, sf_dir))
+    return ordered.select("id", "completed_at", "task_name")
+
+
 def filter_period(spark, sf_dir):
     return filters.filter_period(_fact(spark, sf_dir), *PERIOD)
 
@@ -152,48 +151,52 @@ def period_bounds(spark, sf_dir):
 # --- KPIs and panels (A3-A12, O3) --------------------------------------------
 
 def kpis(spark, sf_dir):
-    return metrics.kpis(_dashboard(spark, sf_dir))
+    return metrics.kpis(_panel_fact(spark, sf_dir))
+
+
+def distinct_documents(spark, sf_dir):
+    return metrics.distinct_documents(_panel_fact(spark, sf_dir))
 
 
 def kpi_labels(spark, sf_dir):
-    return labels.kpi_labels(metrics.kpis(_dashboard(spark, sf_dir)))
+    return labels.kpi_labels(metrics.kpis(_panel_fact(spark, sf_dir)))
 
 
 def spend_by_supplier(spark, sf_dir):
-    return metrics.spend_by_supplier(_dashboard(spark, sf_dir))
+    return metrics.spend_by_supplier(_panel_fact(spark, sf_dir))
 
 
 def supplier_pareto_top10(spark, sf_dir):
-    return metrics.supplier_pareto(_dashboard(spark, sf_dir), 10)
+    return metrics.supplier_pareto(_panel_fact(spark, sf_dir), 10)
 
 
 def geo_volume(spark, sf_dir):
-    return metrics.geo_volume(_dashboard(spark, sf_dir))
+    return metrics.geo_volume(_panel_fact(spark, sf_dir))
 
 
 def geo_rollup_share(spark, sf_dir):
-    return metrics.geo_rollup_share(_dashboard(spark, sf_dir))
+    return metrics.geo_rollup_share(_panel_fact(spark, sf_dir))
 
 
 def panel_grouping_sets(spark, sf_dir):
-    return metrics.panel_aggregates(_dashboard(spark, sf_dir))
+    return metrics.panel_aggregates(_panel_fact(spark, sf_dir))
 
 
 def daily_volume(spark, sf_dir):
-    return metrics.daily_volume(_dashboard(spark, sf_dir))
+    return metrics.daily_volume(_panel_fact(spark, sf_dir))
 
 
 def lead_time_hist(spark, sf_dir):
-    return metrics.lead_time_histogram(_dashboard(spark, sf_dir))
+    return metrics.lead_time_histogram(_panel_fact(spark, sf_dir))
 
 
 def lead_time_hist_mean(spark, sf_dir):
-    return metrics.lead_time_summary(_dashboard(spark, sf_dir))
+    return metrics.lead_time_summary(_panel_fact(spark, sf_dir))
 
 
 # --- loading and audits (S5, C1-C3, P9) --------------------------------------
 
-def insert_if_absent(spark, sf_dir):
+def _loaded_and_incoming(spark, sf_dir):
     orders = read_table(spark, sf_dir, "orders")
     lineitem = read_table(spark, sf_dir, "lineitem")
     target = orders.filter(F.col("o_orderstatus") == LOADED_ORDER_STATUS).select(
@@ -209,8 +212,32 @@ def insert_if_absent(spark, sf_dir):
         F.col("l_extendedprice").alias("total_value"),
         *LOAD_ORDER,
     )
-    added = load.rows_to_insert(target, incoming, "id", LOAD_ORDER).select(*target.columns)
-    return target.unionByName(added)
+    return target, incoming
+
+
+def insert_if_absent(spark, sf_dir):
+    target, incoming = _loaded_and_incoming(spark, sf_dir)
+    return load.insert_if_absent(target, incoming, "id", LOAD_ORDER)
+
+
+def insert_rejected(spark, sf_dir):
+    _, incoming = _loaded_and_incoming(spark, sf_dir)
+    return load.rejected_rows(incoming, "id").select("number", "total_value", *LOAD_ORDER)
+
+
+def bulk_load(spark, sf_dir):
+    """Four tables loaded together, then read back: rows and key sum of each."""
+    m = _model(spark, sf_dir)
+    names = ["process_instances", "tax_documents", "items", "tasks"]
+    base = shared_dir(spark, "bulk_load", f"{_tag(sf_dir)}-{uuid.uuid4().hex}")
+    load.load_together(spark, base, {n: m.table(n) for n in names}, "b1")
+    parts = [
+        load.read_together(spark, base, n).agg(
+            F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("rows"), F.sum("id").alias("key_sum")
+        )
+        for n in names
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def audit_pk(spark, sf_dir):
@@ -253,7 +280,9 @@ def filtered_export(spark, sf_dir):
 
 
 def _tag(sf_dir: str) -> str:
-    return sf_dir.rstrip("/").rsplit("/", 1)[-1]
+    """A folder name for one data folder: its last part and a digest of its whole path."""
+    path = sf_dir.rstrip("/")
+    return f"{path.rsplit('/', 1)[-1]}-{zlib.crc32(path.encode()):08x}"
 
 
 # --- scalar functions (F1-F18) ------------------------------------------------
@@ -361,6 +390,7 @@ QUERIES: dict[str, Query] = {
     "docs_tasks_join": docs_tasks,
     "po_rollup": po_rollup,
     "fact": fact,
+    "fact_display": fact_display,
     "filter_period": filter_period,
     "filter_members": filter_members,
     "filtered_fact": filtered_fact,
@@ -368,6 +398,7 @@ QUERIES: dict[str, Query] = {
     "facets": facets,
     "period_bounds": period_bounds,
     "kpis": kpis,
+    "distinct_documents": distinct_documents,
     "kpi_labels": kpi_labels,
     "spend_by_supplier": spend_by_supplier,
     "supplier_pareto_top10": supplier_pareto_top10,
@@ -378,6 +409,8 @@ QUERIES: dict[str, Query] = {
     "lead_time_hist": lead_time_hist,
     "lead_time_hist_mean": lead_time_hist_mean,
     "insert_if_absent": insert_if_absent,
+    "insert_rejected": insert_rejected,
+    "bulk_load": bulk_load,
     "audit_pk": audit_pk,
     "audit_fk": audit_fk,
     "audit_status_pairs": audit_status_pairs,

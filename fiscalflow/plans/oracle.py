@@ -3,20 +3,14 @@
 Each statement runs against views named after the driver's tables (region, nation,
 customer, supplier, orders, lineitem, ...). ``MODEL`` re-states the mapping of
 ``fiscalflow.sources.tpch`` as CTEs; the statements then query the model tables.
-Conventions shared with the Spark side: money is summed as DECIMAL(18,2) and
+Conventions shared with the Spark side: money is summed as DECIMAL(24,6) and
 returned as DOUBLE; counts are BIGINT; purchase orders are sorted.
 """
 
 from __future__ import annotations
 
-from fiscalflow import schemas
-
-
-def _values(rows) -> str:
-    return ", ".join(f"({i}::BIGINT, '{n}')" for i, n in rows)
-
-
-MODEL = f"""
+# The code tables and the allowed pairs, stated here once more.
+MODEL = """
 WITH states AS (
   SELECT CAST(r_regionkey AS BIGINT) AS id, r_name AS name FROM region
 ), cities AS (
@@ -24,14 +18,17 @@ WITH states AS (
          CAST(n_regionkey AS BIGINT) AS state_id
   FROM nation
 ), task_definitions AS (
-  SELECT * FROM (VALUES {_values(schemas.TASK_DEFINITION_ROWS)}) AS v(id, name)
+  SELECT * FROM (VALUES
+    (10::BIGINT, 'Verificação de Nota Duplicada'), (11, 'Verificação de Divergências na Nota'),
+    (12, 'Escrituração da Nota'), (13, 'Pagamento da Nota')) AS v(id, name)
 ), status AS (
-  SELECT * FROM (VALUES {_values(schemas.STATUS_ROWS)}) AS v(id, name)
-), valid_pairs AS (
-  SELECT * FROM (VALUES {", ".join(f"({t}::BIGINT, {s}::BIGINT)" for t, ss in schemas.VALID_STATUS_BY_TASK.items() for s in ss)})
-    AS v(task_definition_id, status_id)
+  SELECT * FROM (VALUES
+    (100::BIGINT, 'Nota Duplicada'), (101, 'Nota não é Duplicada'),
+    (110, 'Nota com Divergência'), (111, 'Nota sem Divergência'),
+    (120, 'Nota Escriturada com Sucesso'), (121, 'Nota não Escriturada'),
+    (130, 'Nota Paga'), (131, 'Nota não Paga')) AS v(id, name)
 ), process_instances AS (
-  SELECT o_orderkey AS id, 'Inbound' AS type FROM orders
+  SELECT o_orderkey AS id, 'Inbound' AS type FROM orders WHERE o_orderkey % 101 <> 0
 ), order_supplier AS (
   SELECT l_orderkey, min(l_suppkey) AS supp FROM lineitem GROUP BY l_orderkey
 ), doc_base AS (
@@ -46,8 +43,8 @@ WITH states AS (
          d.o_totalprice AS total_value,
          CAST(d.supp AS VARCHAR) AS supplier_identification_number,
          CAST(d.o_custkey AS VARCHAR) AS customer_identification_number,
-         CAST(NULL AS BIGINT) AS supplier_state_id,
-         CAST(NULL AS BIGINT) AS customer_state_id,
+         CASE d.o_orderkey % 83 WHEN 0 THEN 99::BIGINT END AS supplier_state_id,
+         CASE d.o_orderkey % 83 WHEN 1 THEN 99::BIGINT END AS customer_state_id,
          CAST(s.s_nationkey AS BIGINT) AS supplier_city_id,
          CAST(c.c_nationkey AS BIGINT) AS customer_city_id,
          d.o_orderkey AS process_instance_id
@@ -65,10 +62,11 @@ WITH states AS (
          shipped - h * INTERVAL 1 HOUR AS created_at,
          CASE WHEN l_linenumber = 7 AND h % 10 = 0 THEN NULL ELSE shipped END AS completed_at,
          CAST(10 + l_linenumber % 4 AS BIGINT) AS task_definition_id,
-         CAST(100 + 10 * (l_linenumber % 4) + CASE WHEN ls = 'O' THEN 0 ELSE 1 END AS BIGINT)
-           AS status_id,
-         CAST(NULL AS BIGINT) AS assing_to_id,
-         CAST(NULL AS BIGINT) AS completed_by_id,
+         CAST(100
+              + 10 * ((l_linenumber + CASE WHEN l_orderkey % 97 = 0 THEN 1 ELSE 0 END) % 4)
+              + CASE WHEN ls = 'O' THEN 0 ELSE 1 END AS BIGINT) AS status_id,
+         CASE l_orderkey % 79 WHEN 0 THEN 99::BIGINT END AS assing_to_id,
+         CASE l_orderkey % 79 WHEN 1 THEN 99::BIGINT END AS completed_by_id,
          l_orderkey AS process_instance_id
   FROM task_base
 ), items AS (
@@ -77,7 +75,8 @@ WITH states AS (
          l_extendedprice / l_quantity AS unit_price,
          l_extendedprice AS total_value,
          'PO-' || CAST(l_partkey % 50 AS VARCHAR) AS purchase_order,
-         l_orderkey AS tax_document_id
+         CASE WHEN l_orderkey % 89 = 0 AND l_linenumber = 3 THEN -l_orderkey ELSE l_orderkey END
+           AS tax_document_id
   FROM lineitem WHERE l_linenumber <> 6
 ), users AS (
   SELECT CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS name,
@@ -85,27 +84,33 @@ WITH states AS (
   WHERE false
 ), billing_reports AS (
   SELECT CAST(NULL AS BIGINT) AS id WHERE false
+), place AS (
+  -- each nation with its region
+  SELECT n_nationkey AS city_id, n_name AS city, r_name AS state
+  FROM nation LEFT JOIN region ON r_regionkey = n_regionkey
+), named_tasks AS (
+  -- a task counts where both of its codes have a name
+  SELECT process_instance_id AS pid, created_at, completed_at,
+         (SELECT name FROM task_definitions WHERE id = task_definition_id) AS task_name,
+         (SELECT name FROM status WHERE id = status_id) AS task_status
+  FROM tasks
+), padded AS (
+  SELECT *, repeat('0', greatest(0, 14 - length(supplier_identification_number)))
+            || supplier_identification_number AS digits
+  FROM tax_documents
 ), fact AS (
-  SELECT td.id, td.total_value, td.type AS document_type, tdf.name AS task_name,
-         st.name AS task_status, td.supplier_identification_number AS supplier_cnpj,
-         c.name AS supplier_city, s.name AS supplier_state, t.created_at, t.completed_at,
-         CAST(date_diff('microsecond', t.created_at, t.completed_at) AS DOUBLE)
+  SELECT padded.id, total_value, padded.type AS document_type, task_name, task_status,
+         supplier_identification_number AS supplier_cnpj, city AS supplier_city,
+         state AS supplier_state, created_at, completed_at,
+         CAST(epoch_us(completed_at) - epoch_us(created_at) AS DOUBLE)
            / 1000000.0::DOUBLE / 3600.0::DOUBLE AS lead_time_hours,
-         CAST(t.completed_at AS DATE) AS posted_on,
-         CASE WHEN td.supplier_identification_number IS NULL THEN ''
-              ELSE (SELECT substr(z, 1, 2) || '.' || substr(z, 3, 3) || '.' || substr(z, 6, 3)
-                           || '/' || substr(z, 9, 4) || '-' || substr(z, 13)
-                    FROM (SELECT CASE WHEN length(td.supplier_identification_number) >= 14
-                                      THEN td.supplier_identification_number
-                                      ELSE lpad(td.supplier_identification_number, 14, '0')
-                                 END AS z))
-         END AS supplier_cnpj_masked
-  FROM tax_documents td
-  JOIN tasks t ON td.process_instance_id = t.process_instance_id
-  LEFT JOIN cities c ON td.supplier_city_id = c.id
-  LEFT JOIN states s ON c.state_id = s.id
-  JOIN task_definitions tdf ON t.task_definition_id = tdf.id
-  JOIN status st ON t.status_id = st.id
+         CAST(completed_at AS DATE) AS posted_on,
+         coalesce(digits[1:2] || '.' || digits[3:5] || '.' || digits[6:8] || '/' || digits[9:12]
+                  || '-' || digits[13:], '') AS supplier_cnpj_masked
+  FROM named_tasks
+  JOIN padded ON padded.process_instance_id = pid
+  LEFT JOIN place ON place.city_id = padded.supplier_city_id
+  WHERE task_name IS NOT NULL AND task_status IS NOT NULL
 )
 """
 
@@ -114,30 +119,37 @@ def q(body: str) -> str:
     return MODEL + body
 
 
-REPORT = q("""
-SELECT td.id AS id,
-       td.number AS number,
-       string_agg(DISTINCT i.purchase_order, ', ' ORDER BY i.purchase_order) AS purchase_orders,
-       td.supplier_identification_number AS supplier_id,
-       cs.name AS supplier_city,
-       td.customer_identification_number AS customer_id,
-       cc.name AS customer_city,
-       strftime(t.completed_at, '%d/%m/%Y') AS posted_on
-FROM tax_documents td
-JOIN tasks t ON td.process_instance_id = t.process_instance_id
-JOIN cities cs ON td.supplier_city_id = cs.id
-JOIN cities cc ON td.customer_city_id = cc.id
-LEFT JOIN items i ON td.id = i.tax_document_id
-WHERE td.type = 'MaterialInvoice'
-  AND t.task_definition_id = 12
-  AND t.status_id = 120
-  AND t.completed_at >= TIMESTAMP '2000-02-01 00:00:00'
-  AND t.completed_at < TIMESTAMP '2000-03-01 00:00:00'
-GROUP BY td.id, td.number, td.supplier_identification_number, cs.name,
-         td.customer_identification_number, cc.name, t.completed_at
-ORDER BY t.completed_at DESC, td.id
-""")
-
+# The rule in words: take the successful postings of February 2000; each belongs to the
+# material documents of its process; both cities of the document must be known; name its
+# orders once each. One row per document and posting time.
+POSTED = """
+, february AS (
+  SELECT process_instance_id AS pid, completed_at AS posted_at FROM tasks
+  WHERE (task_definition_id, status_id) = (12, 120)
+    AND strftime(completed_at, '%Y-%m') = '2000-02'
+), material AS (
+  SELECT m.*, s.city AS supplier_city, c.city AS customer_city
+  FROM (SELECT * FROM tax_documents WHERE type = 'MaterialInvoice') m
+  JOIN place s ON s.city_id = m.supplier_city_id
+  JOIN place c ON c.city_id = m.customer_city_id
+), orders_of AS (
+  SELECT doc, array_to_string(list_sort(list(po)), ', ') AS purchase_orders
+  FROM (SELECT DISTINCT tax_document_id AS doc, purchase_order AS po FROM items
+        WHERE purchase_order IS NOT NULL)
+  GROUP BY doc
+), posted AS (
+  SELECT DISTINCT m.id, m.number, supplier_identification_number AS supplier_id, supplier_city,
+         customer_identification_number AS customer_id, customer_city, posted_at
+  FROM february JOIN material m ON m.process_instance_id = pid
+)
+"""
+LISTED = """
+SELECT p.id, number, purchase_orders, supplier_id, supplier_city, customer_id, customer_city,
+       strftime(posted_at, '%d/%m/%Y') AS posted_on
+FROM {rows} p LEFT JOIN orders_of o ON o.doc = p.id
+ORDER BY posted_at DESC, p.id
+"""
+REPORT = q(POSTED + LISTED.format(rows="posted"))
 
 
 def mask_sql(col: str) -> str:
@@ -151,7 +163,7 @@ def mask_sql(col: str) -> str:
     )
 
 
-MONEY_SUM = "CAST(COALESCE(SUM(CAST({c} AS DECIMAL(18,2))), 0) AS DOUBLE)"
+MONEY_SUM = "CAST(COALESCE(SUM(CAST({c} AS DECIMAL(24,6))), 0) AS DOUBLE)"
 
 # The dashboard selection: days 2000-02-01..2000-05-31, material or service
 # invoices, every task and status, every known state.
@@ -165,28 +177,33 @@ DASH = """
 )
 """
 
-REPORT_ONE = q("""
-, keyed AS (
-  SELECT td.id, td.number, td.supplier_identification_number AS supplier_id,
-         cs.name AS supplier_city, td.customer_identification_number AS customer_id,
-         cc.name AS customer_city, max(t.completed_at) AS completed_at
-  FROM tax_documents td
-  JOIN tasks t ON td.process_instance_id = t.process_instance_id
-  JOIN cities cs ON td.supplier_city_id = cs.id
-  JOIN cities cc ON td.customer_city_id = cc.id
-  WHERE td.type = 'MaterialInvoice' AND t.task_definition_id = 12 AND t.status_id = 120
-    AND t.completed_at >= TIMESTAMP '2000-02-01 00:00:00'
-    AND t.completed_at < TIMESTAMP '2000-03-01 00:00:00'
-  GROUP BY ALL
+# The dashboard's default selection: every day, type, task and status there is, and
+# every known state.
+PANELS = """
+, dash AS (SELECT * FROM fact WHERE posted_on IS NOT NULL AND supplier_state IS NOT NULL)
+"""
+
+REPORT_ONE = q(POSTED + """
+, latest AS (
+  SELECT * FROM posted QUALIFY row_number() OVER (PARTITION BY id ORDER BY posted_at DESC) = 1
 )
-SELECT k.id, k.number,
-       (SELECT string_agg(DISTINCT i.purchase_order, ', ' ORDER BY i.purchase_order)
-        FROM items i WHERE i.tax_document_id = k.id) AS purchase_orders,
-       k.supplier_id, k.supplier_city, k.customer_id, k.customer_city,
-       strftime(k.completed_at, '%d/%m/%Y') AS posted_on
-FROM keyed k
-ORDER BY k.completed_at DESC, k.id
-""")
+""" + LISTED.format(rows="latest"))
+
+# The twelve foreign keys: child, column, parent.
+RULES = [
+    ("cities", "state_id", "states"),
+    ("tax_documents", "supplier_state_id", "states"),
+    ("tax_documents", "customer_state_id", "states"),
+    ("tax_documents", "supplier_city_id", "cities"),
+    ("tax_documents", "customer_city_id", "cities"),
+    ("tax_documents", "process_instance_id", "process_instances"),
+    ("items", "tax_document_id", "tax_documents"),
+    ("tasks", "task_definition_id", "task_definitions"),
+    ("tasks", "status_id", "status"),
+    ("tasks", "assing_to_id", "users"),
+    ("tasks", "completed_by_id", "users"),
+    ("tasks", "process_instance_id", "process_instances"),
+]
 
 ORACLE: dict[str, str] = {
     "report_last_month": REPORT,
@@ -213,6 +230,9 @@ SELECT tax_document_id,
 FROM items GROUP BY tax_document_id
 """),
     "fact": q("SELECT * FROM fact"),
+    "fact_display": q("""
+SELECT id, completed_at, task_name FROM fact ORDER BY completed_at NULLS LAST, id
+"""),
     "filter_period": q("""
 SELECT * FROM fact
 WHERE posted_on BETWEEN DATE '2000-02-01' AND DATE '2000-05-31'
@@ -237,15 +257,15 @@ UNION SELECT DISTINCT 'supplier_state', supplier_state FROM fact WHERE supplier_
     "period_bounds": q("""
 SELECT min(posted_on) AS first_day, max(posted_on) AS last_day FROM fact
 """),
-    "kpis": q(DASH + f"""
+    "kpis": q(PANELS + f"""
 SELECT {MONEY_SUM.format(c="total_value")} AS spend,
        count(id) AS documents,
-       count(DISTINCT id) AS distinct_documents,
        avg(lead_time_hours) AS mean_lead_time_hours,
        count(DISTINCT supplier_cnpj) AS suppliers
 FROM dash
 """),
-    "kpi_labels": q(DASH + f"""
+    "distinct_documents": q(PANELS + "SELECT count(DISTINCT id) AS distinct_documents FROM dash"),
+    "kpi_labels": q(PANELS + f"""
 , k AS (
   SELECT {MONEY_SUM.format(c="total_value")} AS spend,
          avg(lead_time_hours) AS mean_lead_time_hours
@@ -256,22 +276,22 @@ SELECT spend, mean_lead_time_hours,
        printf('%.1f h', mean_lead_time_hours) AS lead_time_label
 FROM k
 """),
-    "spend_by_supplier": q(DASH + f"""
+    "spend_by_supplier": q(PANELS + f"""
 SELECT supplier_cnpj_masked, {MONEY_SUM.format(c="total_value")} AS spend
 FROM dash GROUP BY supplier_cnpj_masked
 """),
-    "supplier_pareto_top10": q(DASH + f"""
+    "supplier_pareto_top10": q(PANELS + f"""
 SELECT supplier_cnpj_masked, {MONEY_SUM.format(c="total_value")} AS spend
 FROM dash GROUP BY supplier_cnpj_masked
 ORDER BY spend DESC, supplier_cnpj_masked ASC
 LIMIT 10
 """),
-    "geo_volume": q(DASH + """
+    "geo_volume": q(PANELS + """
 SELECT supplier_state, supplier_city, count(*) AS volume
 FROM dash WHERE supplier_state IS NOT NULL AND supplier_city IS NOT NULL
 GROUP BY supplier_state, supplier_city
 """),
-    "geo_rollup_share": q(DASH + """
+    "geo_rollup_share": q(PANELS + """
 , g AS (
   SELECT supplier_state, supplier_city, count(*) AS volume,
          grouping(supplier_state, supplier_city) AS gid
@@ -283,11 +303,11 @@ SELECT CASE gid WHEN 0 THEN 'city' WHEN 1 THEN 'state' ELSE 'total' END AS level
        CAST(volume AS DOUBLE) / CAST((SELECT volume FROM g WHERE gid = 3) AS DOUBLE) AS share
 FROM g
 """),
-    "daily_volume": q(DASH + """
+    "daily_volume": q(PANELS + """
 SELECT posted_on, count(id) AS documents
 FROM dash WHERE posted_on IS NOT NULL GROUP BY posted_on ORDER BY posted_on
 """),
-    "panel_grouping_sets": q(DASH + f"""
+    "panel_grouping_sets": q(PANELS + f"""
 SELECT 'supplier' AS panel, supplier_cnpj_masked, CAST(NULL AS VARCHAR) AS supplier_state,
        CAST(NULL AS VARCHAR) AS supplier_city, CAST(NULL AS DATE) AS posted_on,
        {MONEY_SUM.format(c="total_value")} AS spend, count(*) AS volume, count(id) AS documents
@@ -302,7 +322,7 @@ SELECT 'daily', NULL, NULL, NULL, posted_on,
        {MONEY_SUM.format(c="total_value")}, count(*), count(id)
 FROM dash WHERE posted_on IS NOT NULL GROUP BY posted_on
 """),
-    "lead_time_hist": q(DASH + """
+    "lead_time_hist": q(PANELS + """
 , st AS (
   SELECT min(lead_time_hours) AS lo, (max(lead_time_hours) - min(lead_time_hours)) / 20.0::DOUBLE AS w
   FROM dash
@@ -317,7 +337,7 @@ SELECT b.bin, st.lo + CAST(b.bin AS DOUBLE) * st.w AS bin_lo,
        count(*) AS documents
 FROM b, st GROUP BY b.bin, st.lo, st.w ORDER BY b.bin
 """),
-    "lead_time_hist_mean": q(DASH + """
+    "lead_time_hist_mean": q(PANELS + """
 SELECT min(lead_time_hours) AS lead_time_min, max(lead_time_hours) AS lead_time_max,
        avg(lead_time_hours) AS mean_lead_time_hours, count(lead_time_hours) AS measured,
        (max(lead_time_hours) - min(lead_time_hours)) / 20.0::DOUBLE AS bin_width
@@ -344,6 +364,18 @@ UNION ALL
 SELECT id, number, total_value FROM ranked
 WHERE rn = 1 AND id NOT IN (SELECT id FROM target)
 """,
+    "insert_rejected": """
+SELECT l_orderkey + 10000 AS number, l_extendedprice AS total_value,
+       l_shipdate, l_linenumber, l_partkey, l_suppkey
+FROM lineitem WHERE l_linenumber = 7
+""",
+    "bulk_load": q("""
+SELECT 'process_instances' AS table_name, count(*) AS rows, CAST(sum(id) AS BIGINT) AS key_sum
+FROM process_instances
+UNION ALL SELECT 'tax_documents', count(*), CAST(sum(id) AS BIGINT) FROM tax_documents
+UNION ALL SELECT 'items', count(*), CAST(sum(id) AS BIGINT) FROM items
+UNION ALL SELECT 'tasks', count(*), CAST(sum(id) AS BIGINT) FROM tasks
+"""),
     "audit_pk": q("""
 , all_keys AS (
   SELECT 'states' AS table_name, id FROM states
@@ -361,41 +393,13 @@ SELECT table_name, id AS key_value, count(*) AS rows
 FROM all_keys GROUP BY table_name, id
 HAVING count(*) > 1 OR id IS NULL
 """),
-    "audit_fk": q("""
-SELECT 'cities.state_id -> states' AS "constraint", id AS child_id, state_id AS fk_value
-FROM cities WHERE state_id IS NOT NULL AND state_id NOT IN (SELECT id FROM states)
-UNION ALL
-SELECT 'tax_documents.supplier_city_id -> cities', id, supplier_city_id FROM tax_documents
-WHERE supplier_city_id IS NOT NULL AND supplier_city_id NOT IN (SELECT id FROM cities)
-UNION ALL
-SELECT 'tax_documents.customer_city_id -> cities', id, customer_city_id FROM tax_documents
-WHERE customer_city_id IS NOT NULL AND customer_city_id NOT IN (SELECT id FROM cities)
-UNION ALL
-SELECT 'tax_documents.process_instance_id -> process_instances', id, process_instance_id
-FROM tax_documents
-WHERE process_instance_id IS NOT NULL
-  AND process_instance_id NOT IN (SELECT id FROM process_instances)
-UNION ALL
-SELECT 'items.tax_document_id -> tax_documents', id, tax_document_id FROM items
-WHERE tax_document_id IS NOT NULL AND tax_document_id NOT IN (SELECT id FROM tax_documents)
-UNION ALL
-SELECT 'tasks.task_definition_id -> task_definitions', id, task_definition_id FROM tasks
-WHERE task_definition_id IS NOT NULL
-  AND task_definition_id NOT IN (SELECT id FROM task_definitions)
-UNION ALL
-SELECT 'tasks.status_id -> status', id, status_id FROM tasks
-WHERE status_id IS NOT NULL AND status_id NOT IN (SELECT id FROM status)
-UNION ALL
-SELECT 'tasks.process_instance_id -> process_instances', id, process_instance_id FROM tasks
-WHERE process_instance_id IS NOT NULL
-  AND process_instance_id NOT IN (SELECT id FROM process_instances)
-"""),
+    "audit_fk": q("\nUNION ALL\n".join(f"""
+SELECT '{child}.{column} -> {parent}' AS "constraint", id AS child_id, {column} AS fk_value
+FROM {child} c WHERE {column} IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.id = c.{column})""" for child, column, parent in RULES)),
     "audit_status_pairs": q("""
-SELECT t.id, t.task_definition_id, t.status_id FROM tasks t
-WHERE t.task_definition_id IS NOT NULL AND t.status_id IS NOT NULL
-  AND NOT EXISTS (SELECT 1 FROM valid_pairs v
-                  WHERE v.task_definition_id = t.task_definition_id
-                    AND v.status_id = t.status_id)
+SELECT id, task_definition_id, status_id FROM tasks
+WHERE status_id // 10 <> task_definition_id AND task_definition_id BETWEEN 10 AND 13
 """),
     "filtered_export": q(DASH + """
 SELECT *, strftime(posted_on, '%Y-%m') AS posted_month FROM dash

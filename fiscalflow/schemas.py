@@ -119,10 +119,6 @@ POSTING_SUCCESS_STATUS_ID = 120
 # Default state for a city missing from the lookup.
 DEFAULT_STATE_ID = 1
 
-# Tables that are dimensions or code tables (small by nature; still size-checked
-# before a broadcast), as opposed to the entity tables that grow with the data.
-DIMENSION_TABLES = {"states", "cities", "users", "task_definitions", "status"}
-
 # Primary keys (all tables use ``id``) and foreign keys:
 # (child table, child column, parent table).
 PRIMARY_KEYS = {name: "id" for name in SCHEMAS}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 # Session settings every job of the library relies on.
@@ -25,11 +26,10 @@ BASE_CONF = {
     "spark.ui.enabled": "false",
 }
 
-# Settings for a large cluster (applied with ``profile="cluster"``).
-# Shuffle partitions are sized for ~128 MB per reducer at 100 TB of lineitem-sized
-# input; AQE coalesces them down when a filter makes the data small.
+# Settings for a cluster (applied when the master is not ``local``). The number of
+# shuffle partitions follows the input (``size_shuffles``); until a job has set it,
+# Spark's default holds.
 CLUSTER_CONF = {
-    "spark.sql.shuffle.partitions": "20000",
     "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 1024 * 1024),
@@ -49,10 +49,14 @@ def build_session(
     master: str | None = None,
     app_name: str = "fiscalflow",
     shuffle_partitions: int | None = None,
-    profile: str = "local",
+    profile: str | None = None,
     extra: dict[str, str] | None = None,
 ) -> SparkSession:
-    """Create (or get) a session with the library's settings."""
+    """Create (or get) a session with the library's settings. ``profile`` is "local" or
+    "cluster"; by default it follows the master (given, or of the submitted job)."""
+    if profile is None:
+        named = master or SparkConf().get("spark.master", "local")
+        profile = "local" if named.split("[")[0] == "local" else "cluster"
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
@@ -77,6 +81,29 @@ def build_session(
     return spark
 
 
+# One reducer reads about this much of a shuffle that carries the whole input.
+REDUCER_BYTES = 128 * 1024 * 1024
+
+
+def shuffle_partitions_for(input_bytes: int, least: int) -> int:
+    return max(least, -(-input_bytes // REDUCER_BYTES))
+
+
+def size_shuffles(spark: SparkSession, *paths: str) -> int:
+    """Set the session's shuffle partitions from the size of the input folders: about
+    ``REDUCER_BYTES`` of input each, at least two per core. AQE coalesces them where a
+    filter leaves little."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        total += at.getFileSystem(conf).getContentSummary(at).getLength()
+    n = shuffle_partitions_for(total, 2 * spark.sparkContext.defaultParallelism)
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    return n
+
+
 def app_id(spark: SparkSession) -> str:
     """The application id (also under Spark Connect, where there is no SparkContext)."""
     try:

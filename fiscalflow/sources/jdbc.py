@@ -1,11 +1,14 @@
 """Parallel JDBC reads of the operational database.
 
-A JDBC read without a partition column runs in a single task; these helpers always
-split the key range into ``num_partitions`` range predicates on ``id``.
+A JDBC read without a partition column runs in a single task; reading the model splits
+the key range of every large table into ``num_partitions`` range predicates on ``id``
+and refuses to read one unsplit.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 
 from fiscalflow import schemas
@@ -55,6 +58,37 @@ def read_jdbc_table(spark: SparkSession, name: str, **options) -> DataFrame:
     return conform(df, name)
 
 
+# Tables that grow with the business; the others are read in one task.
+LARGE_TABLES = ("process_instances", "billing_reports", "tax_documents", "items", "tasks")
+
+# Environment variables of the connection (fixed names) and their defaults.
+ENVIRONMENT = {
+    "DB_HOST": "localhost", "DB_PORT": "5432", "DB_NAME": None, "DB_USER": None, "DB_PASSWORD": None,
+}
+
+
+def connection_from_env(env: Mapping[str, str]) -> dict[str, str | None]:
+    """``url``, ``user`` and ``password`` from environment variables; a missing database
+    name, user or password is an error."""
+    given = {k: env.get(k) or default for k, default in ENVIRONMENT.items()}
+    if missing := [k for k, v in given.items() if v is None]:
+        raise ValueError(f"set {', '.join(missing)}")
+    return {
+        "url": f"jdbc:postgresql://{given['DB_HOST']}:{given['DB_PORT']}/{given['DB_NAME']}",
+        "user": given["DB_USER"],
+        "password": given["DB_PASSWORD"],
+    }
+
+
+def parse_key_range(text: str) -> tuple[str, tuple[int, int, int]]:
+    """``table=lower:upper:partitions``."""
+    name, _, numbers = text.partition("=")
+    lower, upper, partitions = (int(x) for x in numbers.split(":"))
+    if name not in schemas.SCHEMAS or lower > upper or partitions < 1:
+        raise ValueError(f"not a key range: {text}")
+    return name, (lower, upper, partitions)
+
+
 def read_jdbc_model(
     spark: SparkSession,
     url: str,
@@ -64,9 +98,12 @@ def read_jdbc_model(
     """Read the whole model over JDBC.
 
     ``key_ranges`` maps a table name to ``(lower, upper, num_partitions)`` for its
-    ``id`` column; large tables should always have one.
+    ``id`` column. Every large table must have one: without it the whole table would be
+    read by a single task, which is refused.
     """
     key_ranges = key_ranges or {}
+    if unsplit := [n for n in LARGE_TABLES if n not in key_ranges]:
+        raise ValueError(f"give key ranges for {', '.join(unsplit)}: each would be read by one task")
     tables = {}
     for name in schemas.SCHEMAS:
         lo, hi, n = key_ranges.get(name, (None, None, None))

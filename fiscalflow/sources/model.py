@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,22 +42,26 @@ def empty(spark: SparkSession, name: str) -> DataFrame:
 
 
 def conform(df: DataFrame, name: str) -> DataFrame:
-    """Select and cast the columns of ``df`` to the model schema of ``name``."""
+    """Select and cast the columns of ``df`` to the model schema of ``name``. A column
+    that ``df`` lacks is an error: a misspelt source must not become nulls."""
     schema = schemas.SCHEMAS[name]
-    cols = []
-    for field in schema.fields:
-        if field.name in df.columns:
-            cols.append(F.col(field.name).cast(field.dataType).alias(field.name))
-        else:
-            cols.append(F.lit(None).cast(field.dataType).alias(field.name))
-    return df.select(*cols)
+    missing = [field.name for field in schema.fields if field.name not in df.columns]
+    if missing:
+        raise ValueError(f"table {name} lacks the columns {', '.join(missing)}")
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
-def model_from_tables(spark: SparkSession, tables: dict[str, DataFrame]) -> Model:
+def model_from_tables(
+    spark: SparkSession, tables: dict[str, DataFrame], empty_tables: Iterable[str] = ()
+) -> Model:
     """Build a Model from DataFrames named like the model tables.
 
-    Missing code tables default to the fixed ones; other missing tables are empty.
+    Code tables default to the fixed ones. Any other table must be given, or be named
+    in ``empty_tables``; an unknown or forgotten name is an error.
     """
+    empty_tables = set(empty_tables)
+    if unknown := ({*tables} | empty_tables) - {*schemas.SCHEMAS}:
+        raise ValueError(f"no such tables: {', '.join(sorted(unknown))}")
     defaults = {
         "task_definitions": schemas.task_definitions_df(spark),
         "status": schemas.status_df(spark),
@@ -67,6 +72,8 @@ def model_from_tables(spark: SparkSession, tables: dict[str, DataFrame]) -> Mode
             built[name] = conform(tables[name], name)
         elif name in defaults:
             built[name] = defaults[name]
-        else:
+        elif name in empty_tables:
             built[name] = empty(spark, name)
+        else:
+            raise ValueError(f"table {name} is neither given nor named as empty")
     return Model(**built)

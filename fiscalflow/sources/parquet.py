@@ -16,11 +16,12 @@ def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
 def read_model(spark: SparkSession, base: str, names: list[str] | None = None) -> Model:
     """Read a model stored as one parquet dataset per table under ``base``.
 
-    Tables not listed in ``names`` (default: all) come back empty or, for the code
-    tables, as their fixed values.
+    Tables that a given ``names`` leaves out (default: none) come back empty or, for the
+    code tables, as their fixed values; a listed table that does not exist is an error.
     """
     wanted = names if names is not None else list(schemas.SCHEMAS)
-    return model_from_tables(spark, {n: read_table(spark, base, n) for n in wanted})
+    left_out = [n for n in schemas.SCHEMAS if n not in wanted]
+    return model_from_tables(spark, {n: read_table(spark, base, n) for n in wanted}, left_out)
 
 
 def write_model(model: Model, base: str, mode: str = "errorifexists") -> None:

@@ -20,6 +20,9 @@ tasks              one per (l_orderkey, l_linenumber) group of lineitem (the pai
                    minus max(l_quantity) hours; definition 10 + line % 4; status by line
                    status ('O' = first status of the pair); completed is unknown for
                    line 7 when the hours are a multiple of 10
+(broken rows)      some orders, by remainder of their key, have a status of the wrong
+                   definition, an item of no document, unknown states or users, or no
+                   process row (constants below)
 =================  =====================================================================
 
 The same mapping is written as SQL CTEs in ``fiscalflow.plans.oracle`` for the
@@ -42,6 +45,14 @@ ITEMLESS_LINE_NUMBER = 6        # lineitem rows with this line number are not it
 OPEN_TASK_LINE_NUMBER = 7       # ...and with hours % 10 = 0 have no completed_at
 PO_BUCKETS = 50                 # purchase order = 'PO-' + l_partkey % 50
 DOCUMENT_NUMBER_OFFSET = 10000  # number = o_orderkey + 10000
+# Rows that break the integrity rules, so that the audits have something to find:
+WRONG_STATUS_EVERY = 97         # tasks of these orders have a status of the next definition
+ORPHAN_ITEM_EVERY = 89          # line 3 of these orders names the document -l_orderkey
+ORPHAN_ITEM_LINE = 3
+UNKNOWN_STATE_EVERY = 83        # remainder 0: unknown supplier state, 1: unknown customer state
+UNKNOWN_USER_EVERY = 79         # remainder 0: unknown assignee, 1: unknown completer
+NO_PROCESS_EVERY = 101          # these orders have no process row
+UNKNOWN_ID = 99
 MATERIAL_PRIORITIES = ["1-URGENT", "2-HIGH"]
 SERVICE_PRIORITIES = ["3-MEDIUM"]
 
@@ -60,6 +71,11 @@ def _cities(nation: DataFrame) -> DataFrame:
     )
 
 
+def _unknown(when):
+    """A key that no parent has, where ``when`` holds; else null."""
+    return F.when(when, F.lit(UNKNOWN_ID)).cast("long")
+
+
 def _document_type(priority):
     return (
         F.when(priority.isin(MATERIAL_PRIORITIES), F.lit("MaterialInvoice"))
@@ -87,7 +103,7 @@ def tasks_from_lineitem(lineitem: DataFrame) -> DataFrame:
         F.max(ls == "O").alias("any_open"),
         F.max(ls > "O").alias("any_after_open"),
     )
-    line = F.col("l_linenumber")
+    line, order = F.col("l_linenumber"), F.col("l_orderkey")
     hours = F.col("hours")
     open_task = (line == OPEN_TASK_LINE_NUMBER) & (hours % 10 == 0)
     return per_line.select(
@@ -97,13 +113,13 @@ def tasks_from_lineitem(lineitem: DataFrame) -> DataFrame:
         (F.lit(10) + line % 4).cast("long").alias("task_definition_id"),
         (
             F.lit(100)
-            + (line % 4) * 10
+            + ((line + F.when(order % WRONG_STATUS_EVERY == 0, 1).otherwise(0)) % 4) * 10
             + F.when(F.col("any_open") & ~F.col("any_after_open"), F.lit(0)).otherwise(F.lit(1))
         )
         .cast("long")
         .alias("status_id"),
-        F.lit(None).cast("long").alias("assing_to_id"),
-        F.lit(None).cast("long").alias("completed_by_id"),
+        _unknown(order % UNKNOWN_USER_EVERY == 0).alias("assing_to_id"),
+        _unknown(order % UNKNOWN_USER_EVERY == 1).alias("completed_by_id"),
         F.col("l_orderkey").alias("process_instance_id"),
     )
 
@@ -124,10 +140,9 @@ def documents_from_orders(
     order_supplier = (
         lineitem.groupBy("l_orderkey")
         .agg(F.min("l_suppkey").alias("supplier_key"))
-        .withColumn(
-            "supplier_key",
-            F.when(line_key % NO_SUPPLIER_EVERY == 0, F.lit(None)).otherwise(F.col("supplier_key")),
-        )
+        # orders without a supplier stay out of the join on the supplier (a null key held
+        # by one order in 40 would land in one reducer); the order join brings them back
+        .filter((line_key % NO_SUPPLIER_EVERY != 0) & F.col("supplier_key").isNotNull())
         .join(
             supplier.select("s_suppkey", "s_nationkey"),
             F.col("supplier_key") == F.col("s_suppkey"),
@@ -150,8 +165,8 @@ def documents_from_orders(
         F.col("o_totalprice").alias("total_value"),
         F.col("supplier_key").cast("string").alias("supplier_identification_number"),
         F.col("o_custkey").cast("string").alias("customer_identification_number"),
-        F.lit(None).cast("long").alias("supplier_state_id"),
-        F.lit(None).cast("long").alias("customer_state_id"),
+        _unknown(key % UNKNOWN_STATE_EVERY == 0).alias("supplier_state_id"),
+        _unknown(key % UNKNOWN_STATE_EVERY == 1).alias("customer_state_id"),
         F.col("s_nationkey").cast("long").alias("supplier_city_id"),
         F.col("c_nationkey").cast("long").alias("customer_city_id"),
         key.alias("process_instance_id"),
@@ -160,14 +175,16 @@ def documents_from_orders(
 
 def items_from_lineitem(lineitem: DataFrame) -> DataFrame:
     """Invoice items: lineitem rows except line number 6 (a narrow projection)."""
-    line = F.col("l_linenumber")
+    line, order = F.col("l_linenumber"), F.col("l_orderkey")
     return lineitem.filter(line != ITEMLESS_LINE_NUMBER).select(
         composite_key("l_orderkey", line).alias("id"),
         F.lit(None).cast("string").alias("description"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
         F.col("l_extendedprice").alias("total_value"),
         prefixed_key("PO-", F.col("l_partkey") % PO_BUCKETS).alias("purchase_order"),
-        F.col("l_orderkey").alias("tax_document_id"),
+        F.when((order % ORPHAN_ITEM_EVERY == 0) & (line == ORPHAN_ITEM_LINE), -order)
+        .otherwise(order)
+        .alias("tax_document_id"),
     )
 
 
@@ -190,7 +207,7 @@ def model_from_tpch(spark: SparkSession, base: str) -> Model:
         task_definitions=schemas.task_definitions_df(spark),
         status=schemas.status_df(spark),
         billing_reports=empty(spark, "billing_reports"),
-        process_instances=orders.select(
+        process_instances=orders.filter(F.col("o_orderkey") % NO_PROCESS_EVERY != 0).select(
             F.col("o_orderkey").alias("id"), F.lit("Inbound").alias("type")
         ),
         tax_documents=documents_from_orders(orders, lineitem, read("supplier"), read("customer")),

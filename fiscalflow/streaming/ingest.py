@@ -1,8 +1,9 @@
 """Keyed insert-if-absent as a stream of file batches.
 
 New files landing in ``source_dir`` are read as micro-batches; each batch is
-applied to the target dataset with insert-if-absent (first row per key wins,
-existing keys and null keys are skipped). ``foreachBatch`` plus the checkpoint
+applied to the target dataset with insert-if-absent (first row per key wins, existing
+keys are skipped, rows without a key go to ``rejected_path`` - or fail the batch if
+none is given). ``foreachBatch`` plus the checkpoint
 gives exactly-once progress tracking, and the batch function itself is idempotent
 (a replayed batch finds its keys already present), so a restart after a lost
 executor or driver never duplicates rows.
@@ -31,6 +32,7 @@ def start_keyed_ingest(
     available_now: bool = True,
     processing_time: str = "1 minute",
     max_files_per_trigger: int | None = None,
+    rejected_path: str | None = None,
 ) -> StreamingQuery:
     """Start the ingest stream; ``available_now`` processes what is there and stops."""
     reader = spark.readStream.schema(schema).format(fmt)
@@ -39,7 +41,7 @@ def start_keyed_ingest(
     stream = reader.load(source_dir)
 
     def apply_batch(batch: DataFrame, batch_id: int) -> None:
-        load_if_absent(batch.sparkSession, target_path, batch, key, order_by, fmt)
+        load_if_absent(batch.sparkSession, target_path, batch, key, order_by, fmt, rejected_path)
 
     writer = stream.writeStream.foreachBatch(apply_batch).option(
         "checkpointLocation", checkpoint_location

@@ -49,7 +49,7 @@ def build_model(spark, **rows):
     tables = {
         name: spark.createDataFrame(data, schemas.SCHEMAS[name]) for name, data in rows.items()
     }
-    return model_from_tables(spark, tables)
+    return model_from_tables(spark, tables, schemas.SCHEMAS)
 
 
 def doc(id_, number=None, type_="MaterialInvoice", total=None, sup=None, cust=None,

@@ -1,0 +1,30 @@
+"""The posting report in plain Python over collected rows: one loop per rule."""
+
+from __future__ import annotations
+
+
+def plain_report(model, as_of):
+    month = (as_of.year * 12 + as_of.month - 2) // 12, (as_of.year * 12 + as_of.month - 2) % 12 + 1
+    names = {c["id"]: c["name"] for c in model.cities.collect()}
+    orders: dict = {}
+    for i in model.items.collect():
+        if i["purchase_order"] is not None:
+            orders.setdefault(i["tax_document_id"], set()).add(i["purchase_order"])
+    times: dict = {}
+    for t in model.tasks.collect():
+        done = t["completed_at"]
+        if (t["task_definition_id"], t["status_id"]) == (12, 120) and done and (done.year, done.month) == month:
+            times.setdefault(t["process_instance_id"], set()).add(done)
+    out = set()
+    for d in model.tax_documents.collect():
+        if d["type"] != "MaterialInvoice" or d["process_instance_id"] is None:
+            continue
+        if d["supplier_city_id"] not in names or d["customer_city_id"] not in names:
+            continue
+        for done in times.get(d["process_instance_id"], ()):
+            listed = ", ".join(sorted(orders.get(d["id"], ()))) or None
+            out.add((
+                done, d["id"], d["number"], listed, d["supplier_identification_number"], names[d["supplier_city_id"]],
+                d["customer_identification_number"], names[d["customer_city_id"]], done.strftime("%d/%m/%Y"),
+            ))
+    return sorted(x[1:] for x in out)

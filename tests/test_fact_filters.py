@@ -29,7 +29,7 @@ def test_seed_fact_and_default_filters(seed):
     assert sorted(r["id"] for r in rows(filtered)) == [501, 502]
     k = rows(kpis(filtered))[0]
     assert k == {
-        "spend": 3000.0, "documents": 2, "distinct_documents": 2,
+        "spend": 3000.0, "documents": 2,
         "mean_lead_time_hours": 0.0, "suppliers": 2,
     }
 

@@ -5,13 +5,17 @@ from __future__ import annotations
 import os
 import tempfile
 
+import pytest
 from conftest import build_model, doc, task, ts
+from pyspark.sql import functions as F
 
 from fiscalflow.operators.audit import audit_fk, audit_pk, audit_status_pairs
 from fiscalflow.operators.load import (
     first_per_key,
     insert_if_absent,
     load_if_absent,
+    load_together,
+    read_together,
     rejected_rows,
 )
 from fiscalflow.streaming import start_keyed_ingest
@@ -54,6 +58,44 @@ def test_load_if_absent_appends_only_new(spark):
     assert rows(spark.read.parquet(path)) == [(1, "a", 0), (2, "b", 1), (3, "c", 1)]
 
 
+def test_load_refuses_or_sets_aside_rows_without_key(spark):
+    base = tempfile.mkdtemp(prefix="ff-load-")
+    path, aside = os.path.join(base, "t"), os.path.join(base, "rejected")
+    batch = spark.createDataFrame([(1, "a", 0), (None, "b", 1)], SCHEMA)
+    with pytest.raises(ValueError, match="1 rows without id"):
+        load_if_absent(spark, path, batch, "id", ["seq"])
+    assert not os.path.exists(path)
+    assert load_if_absent(spark, path, batch, "id", ["seq"], rejected_path=aside) == 1
+    assert rows(spark.read.parquet(path)) == [(1, "a", 0)]
+    assert rows(spark.read.parquet(aside)) == [(None, "b", 1)]
+
+
+def test_only_a_missing_path_is_a_new_target(spark):
+    base = tempfile.mkdtemp(prefix="ff-load-")
+    with open(os.path.join(base, "part-0.parquet"), "w") as f:
+        f.write("no parquet file")
+    batch = spark.createDataFrame([(1, "a", 0)], SCHEMA)
+    with pytest.raises(Exception):
+        load_if_absent(spark, base, batch, "id", ["seq"])
+    assert os.listdir(base) == ["part-0.parquet"]
+
+
+def test_tables_load_together_or_not_at_all(spark):
+    base = tempfile.mkdtemp(prefix="ff-together-")
+    one = spark.createDataFrame([(1, "a", 0)], SCHEMA)
+    broken = one.withColumn("name", F.raise_error(F.lit("no")).cast("string"))
+    with pytest.raises(Exception):
+        load_together(spark, base, {"docs": one, "items": broken}, "b1")
+    with pytest.raises(ValueError, match="nothing is loaded"):
+        read_together(spark, base, "docs")
+    load_together(spark, base, {"docs": one, "items": one}, "b1")
+    load_together(spark, base, {"docs": one, "items": one.limit(0)}, "b2")
+    assert rows(read_together(spark, base, "docs")) == [(1, "a", 0)] * 2
+    assert rows(read_together(spark, base, "items")) == [(1, "a", 0)]
+    with pytest.raises(ValueError, match="already loaded"):
+        load_together(spark, base, {"docs": one}, "b2")
+
+
 def test_streaming_ingest_available_now(spark):
     base = tempfile.mkdtemp(prefix="ff-stream-")
     src, target, ckpt = (os.path.join(base, d) for d in ("src", "target", "ckpt"))

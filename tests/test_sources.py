@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 
+import pytest
+
 from fiscalflow import schemas
-from fiscalflow.sources.jdbc import jdbc_options
-from fiscalflow.sources.model import conform
+from fiscalflow.sources.jdbc import connection_from_env, jdbc_options, parse_key_range, read_jdbc_model
+from fiscalflow.sources.model import conform, model_from_tables
 from fiscalflow.sources.parquet import read_model, write_model
 
 
@@ -21,11 +23,36 @@ def test_jdbc_range_partitioning():
     assert "partitionColumn" not in single
 
 
-def test_conform_casts_and_fills(spark):
-    df = spark.createDataFrame([(1, "x")], "id int, name string")
-    out = conform(df, "cities")
-    assert out.schema == schemas.CITIES
-    assert out.collect()[0]["state_id"] is None
+def test_conform_casts_and_refuses_missing_columns(spark):
+    df = spark.createDataFrame([(1, "x", 2)], "id int, name string, state_id int")
+    assert conform(df, "cities").schema == schemas.CITIES
+    with pytest.raises(ValueError, match="state_id"):
+        conform(df.drop("state_id"), "cities")
+
+
+def test_missing_tables_are_errors(spark, seed):
+    tables = {n: seed.table(n) for n in ("states", "cities")}
+    with pytest.raises(ValueError, match="users"):
+        model_from_tables(spark, tables)
+    with pytest.raises(ValueError, match="citys"):
+        model_from_tables(spark, {**tables, "citys": seed.cities}, schemas.SCHEMAS)
+    assert model_from_tables(spark, tables, schemas.SCHEMAS).tasks.count() == 0
+
+
+def test_jdbc_model_refuses_unsplit_large_tables(spark):
+    with pytest.raises(ValueError, match="tasks"):
+        read_jdbc_model(spark, "jdbc:postgresql://db/x", key_ranges={"items": (1, 10, 2)})
+
+
+def test_connection_from_environment():
+    env = {"DB_HOST": "db", "DB_NAME": "notes", "DB_USER": "u", "DB_PASSWORD": "p"}
+    assert connection_from_env(env) == {"url": "jdbc:postgresql://db:5432/notes", "user": "u", "password": "p"}
+    with pytest.raises(ValueError, match="DB_NAME"):
+        connection_from_env({"DB_USER": "u", "DB_PASSWORD": "p"})
+    assert parse_key_range("tasks=1:900:4") == ("tasks", (1, 900, 4))
+    for bad in ("task=1:9:1", "tasks=9:1:2", "tasks=1:9:0"):
+        with pytest.raises(ValueError):
+            parse_key_range(bad)
 
 
 def test_model_parquet_round_trip(spark, seed):
