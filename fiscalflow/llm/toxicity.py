@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -44,6 +45,9 @@ THRESHOLD = 0.3
 SHORTEST, LONGEST = 4, 14
 MIN_TOXIC = 8
 MIN_PURITY = 0.97
+STRICT_PURITY = 0.995
+MIN_TEXTS = 5
+LEAST_PURITY = 0.75  # counted by documents, near copies once; several weak matches add up
 LEXICON_ENTRIES = 20_000
 
 # Stated words and phrases (fixed values of this operator).
@@ -62,22 +66,25 @@ LOOK_ALIKES = str.maketrans({
 INVISIBLE = dict.fromkeys([0xAD, 0x34F, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), 0xFEFF])
 STAND_INS = str.maketrans("013457@$", "oieastas")
 STAND_IN = re.compile(r"(?<=[^\W\d_])[013457@$!|]+(?=[^\W\d_])|\b[013457]+(?=[^\W\d_]{2})|[@$](?=[^\W\d_]{2})|(?<=[^\W\d_]{2})[013457]+\b")
-SEPARATORS = re.compile(r"[\W_]+")
+ANY_STAND_IN = re.compile(r"[013457@$!|]")
+LATIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
+WORDS = re.compile(r"[^\W_]+")
 
 
 def fold(text: str) -> list[str]:
     """The folded text, ``" word word "``; a second reading where 1 or | may be l."""
-    if not text.isascii():
+    if not LATIN.fullmatch(text):
         text = unicodedata.normalize("NFKC", text.translate(INVISIBLE)).lower().translate(LOOK_ALIKES)
-        text = "".join(c for c in text if not unicodedata.combining(c)) if any(map(unicodedata.combining, set(text))) else text
-    else:
+        marks = {c for c in set(text) if unicodedata.combining(c)}
+        text = text.translate(dict.fromkeys(map(ord, marks))) if marks else text
+    else:  # its forms are composed already and nothing in it looks like another letter
         text = text.lower()
     readings = [text]
-    if STAND_IN.search(text):
+    if ANY_STAND_IN.search(text) and STAND_IN.search(text):
         as_i = STAND_IN.sub(lambda m: m[0].replace("!", "i").replace("|", "i").translate(STAND_INS), text)
         as_l = STAND_IN.sub(lambda m: m[0].replace("1", "l").replace("!", "l").replace("|", "l").translate(STAND_INS), text)
         readings = [as_i] if as_i == as_l else [as_i, as_l]
-    return [f" {SEPARATORS.sub(' ', r).strip()} " for r in readings]
+    return [f" {' '.join(WORDS.findall(r))} " for r in readings]
 
 
 @dataclass(frozen=True)
@@ -184,33 +191,69 @@ def candidates(words: DataFrame) -> DataFrame:
     )
 
 
-def choose(found: dict[str, tuple[int, int]], toxic_docs: int, clean_docs: int) -> dict[str, float]:
-    """Entries and weights: from the shortest clean beginnings on to the longest ones
-    that hold (nearly) the same documents, or whole words below impure beginnings."""
-    t0, c0 = max(1, toxic_docs), max(1, clean_docs)
+def purity(toxic: int, clean: int, toxic_docs: int, clean_docs: int) -> float:
+    """Share of toxic documents among those with an entry, were both kinds as many."""
+    t, c = toxic / max(1, toxic_docs), clean / max(1, clean_docs)
+    return t / (t + c) if t else 0.0
+
 
-    def pure(p: str) -> bool:
-        t, c = found[p]
-        return t >= MIN_TOXIC and (t / t0) / (t / t0 + c / c0) >= MIN_PURITY
+def log_ratio(toxic: int, clean: int, toxic_docs: int, clean_docs: int) -> float:
+    return math.log((toxic + 0.5) / max(1, toxic_docs)) - math.log((clean + 0.5) / max(1, clean_docs))
 
+
+def choose(found: dict[str, tuple[int, int]], toxic_docs: int, clean_docs: int) -> dict[str, float]:
+    """Entries and weights: from the shortest clean beginnings on to the longest ones
+    that hold (nearly) the same documents, or whole words below impure beginnings. An
+    entry that clean documents hold too gives way to its purer continuations if these
+    hold nearly all its toxic ones."""
     children: dict[str, list[str]] = {}
     for p in found:
         children.setdefault(p[:-1], []).append(p)
-    chosen: dict[str, float] = {}
+
+    def pure(p: str, least: float = MIN_PURITY) -> bool:
+        return found[p][0] >= MIN_TOXIC and purity(*found[p], toxic_docs, clean_docs) >= least
+
+    def longest(p: str) -> str:
+        while True:
+            heir = [q for q in children.get(p, []) if not q.endswith(" ") and found[q][0] >= 0.95 * found[p][0]]
+            if not heir:
+                return p
+            p = heir[0]
+
+    taken: list[str] = []
     todo = [p for p in found if len(p) == SHORTEST + 1 and not p.endswith(" ")]
     while todo:
         p = todo.pop()
-        if pure(p):
-            while True:
-                heir = [q for q in children.get(p, []) if not q.endswith(" ") and found[q][0] >= 0.95 * found[p][0]]
-                if not heir:
-                    break
-                p = heir[0]
-            t, c = found[p]
-            chosen[p] = math.log((t + 0.5) / t0) - math.log((c + 0.5) / c0)
-        else:
+        if not pure(p):
             todo += children.get(p, [])
-    return chosen
+            continue
+        p = longest(p)
+        purer = [q for q in children.get(p, []) if not q.endswith(" ") and pure(q, STRICT_PURITY)]
+        if found[p][1] and sum(found[q][0] for q in purer) >= 0.85 * found[p][0]:
+            taken += map(longest, purer)
+        else:
+            taken.append(p)
+    return {p: log_ratio(*found[p], toxic_docs, clean_docs) for p in taken}
+
+
+def signature(words: set[str]) -> int:
+    """The least hash of a text's long words: the same for most near copies."""
+    raw = [w.encode() for w in words if len(w) >= 8] or [" ".join(sorted(words)).encode()]
+    return min(map(zlib.crc32, raw))
+
+
+def recount(chosen: dict[str, float], held: list[list[str]], toxic: list[int], signatures: list[int]) -> dict[str, float]:
+    """Entries again, near copies counted once: words that only the copies of one toxic
+    text repeat are no entries."""
+    kinds: list[set[int]] = [set(), set()]
+    seen: dict[str, list[set[int]]] = {p: [set(), set()] for p in chosen}
+    for patterns, kind, mark in zip(held, toxic, signatures):
+        kinds[kind].add(mark)
+        for p in patterns:
+            seen[p][kind].add(mark)
+    docs = len(kinds[1]), len(kinds[0])
+    counts = {p: (len(some[1]), len(some[0])) for p, some in seen.items()}
+    return {p: log_ratio(*n, *docs) for p, n in counts.items() if n[0] >= MIN_TEXTS and purity(*n, *docs) >= LEAST_PURITY}
 
 
 def fit_curve(weight: np.ndarray, words: np.ndarray, toxic: np.ndarray) -> tuple[float, float, float]:
@@ -232,7 +275,8 @@ def fit_curve(weight: np.ndarray, words: np.ndarray, toxic: np.ndarray) -> tuple
 def learn(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) -> Model:
     """Lexicon, exceptions and curve. What comes to the driver: beginnings that at
     least ``MIN_TOXIC`` toxic documents of the bounded sample hold, the words below
-    the chosen ones that clean documents hold, and two numbers per sampled row."""
+    the chosen ones that clean documents hold, and per sampled row the entries it holds
+    and two numbers."""
     rows = training_rows(docs, labels, bound)
     kinds = {r["toxic"]: r["count"] for r in rows.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).count().collect()}
     stated = {f" {w}": STATED_WEIGHT for w in STATED}
@@ -243,6 +287,25 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) -> Mod
     usual = candidates(words).filter(F.col("toxic") >= MIN_TOXIC)
     chosen = choose({r["pattern"]: (r["toxic"], r["clean"]) for r in usual.collect()}, kinds[1], kinds[0])
     chosen = dict(sorted(chosen.items(), key=lambda x: (-x[1], x[0]))[:LEXICON_ENTRIES])
+    tried = tuple(sorted(chosen.items()))
+
+    def list_entries(batches_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine, place = automaton(tried, ()), {p: i for i, (p, _) in enumerate(tried)}
+        for batch in batches(batches_in, 256):
+            readings = [fold(t) for t in texts_of(batch.column(1))]
+            held = [
+                sorted({place[r[end - size + 1 : end + 1]] for r in some for end, (size, _) in machine.iter(r)}) if place else []
+                for some in readings
+            ]
+            marks = [signature(set(some[0].split())) for some in readings]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(held, pa.list_(pa.int32())), pa.array(marks, pa.int64()), batch.column(0)], ["held", "mark", "toxic"]
+            )
+
+    lists = rows.mapInArrow(list_entries, "held array<int>, mark long, toxic int").collect()
+    chosen = recount(
+        chosen, [[tried[i][0] for i in r["held"]] for r in lists], [int(r["toxic"] > 0) for r in lists], [r["mark"] for r in lists]
+    )
     heads = sorted({p[1:] for p in chosen if not p.endswith(" ")})
     if heads:
         clean = words.filter((F.col("clean") >= 3) & (F.col("toxic") * kinds[0] < F.col("clean") * kinds[1]))

@@ -110,3 +110,17 @@ def test_query_on_the_small_tables(spark):
     toxic = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").filter(F.col("toxic").isNotNull()).collect()}
     held = [(r["predicted"], toxic[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in toxic]
     assert np.mean([p == t for p, t in held]) > 0.9
+
+
+def test_entries_that_only_copies_of_one_text_hold_go():
+    chosen = {" vexnit": 5.0, " river": 4.0}
+    held = [[" vexnit"]] * 9 + [[" vexnit", " river"]] * 30 + [[]] * 50
+    toxic = [1] * 39 + [0] * 50
+    signatures = [*range(9), *[100] * 30, *range(200, 250)]
+    assert set(tox.recount(chosen, held, toxic, signatures)) == {" vexnit"}
+
+
+def test_near_copies_share_a_signature():
+    words = [f"longword{i}x" for i in range(200)]
+    same = sum(tox.signature(set(words)) == tox.signature({*words[:k], "otherword", *words[k + 1 :]}) for k in range(200))
+    assert same >= 190
