@@ -34,10 +34,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fiscalflow.llm.common import batches, in_fold, materialize, task_number, texts_of
+from fiscalflow.llm.common import batches, in_fold, materialize, raw_texts, task_number, texts_of
 
 ORDER = 4
 PART_CHARS = 16_000_000
@@ -138,6 +139,19 @@ def _slices(rows: Iterator[pa.RecordBatch], lang: int, text: int) -> Iterator[tu
         yield langs, texts
 
 
+def _runs(rows: list[int], texts: list[str]) -> Iterator[list[int]]:
+    """``rows`` in runs of about ``SLICE_CHARS``."""
+    some, size = [], 0
+    for i in rows:
+        some.append(i)
+        size += len(texts[i])
+        if size >= SLICE_CHARS:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 # --- the model ------------------------------------------------------------------------
 
 def suffix(gram: Column, order: int) -> Column:
@@ -235,12 +249,33 @@ def _parts(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch
         size += int(np.sum([len(t) for t in texts_of(batch.column(2))]))
 
 
+BLOCKS = "part long, doc_ids array<long>, langs array<string>, sizes array<int>, body binary"
+
+
 def in_parts(docs: DataFrame) -> DataFrame:
+    """The documents of each part in compressed blocks of rows: what the shuffle carries
+    is about a third of the text."""
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, batch in _parts(rows):
-            yield pa.RecordBatch.from_arrays([pa.array([part] * batch.num_rows, pa.int64()), *batch.columns], ["part", "doc_id", "lang", "text"])
+            raw = raw_texts(batch.column(2))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([part], pa.int64()),
+                    pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())),
+                    pa.array([batch.column(1).to_pylist()], pa.list_(pa.string())),
+                    pa.array([list(map(len, raw))], pa.list_(pa.int32())),
+                    pa.array([zstandard.compress(b"".join(raw), 3)], pa.binary()),
+                ],
+                ["part", "doc_ids", "langs", "sizes", "body"],
+            )
+
+    return docs.mapInArrow(run, BLOCKS)
+
 
-    return docs.mapInArrow(run, "part long, doc_id long, lang string, text string")
+def _block(row: dict) -> tuple[list[int | None], list[str], list[str]]:
+    raw, ends = zstandard.decompress(row["body"]), np.cumsum(row["sizes"]).tolist()
+    return row["doc_ids"], row["langs"], [raw[a:b].decode() for a, b in zip([0, *ends], ends)]
 
 
 def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
@@ -259,18 +294,14 @@ def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
             mine = codes == code
             order = np.argsort(keys[mine])
             table[lang] = keys[mine][order], logs[mine][order]
-        langs = documents_in.column("lang").to_pylist()
-        values, sizes = np.full(len(langs), np.nan), np.zeros(len(langs), np.int64)
+        ids, langs, texts = [], [], []
+        for at in range(documents_in.num_rows):
+            for held, new in zip((ids, langs, texts), _block(documents_in.slice(at, 1).to_pylist()[0])):
+                held += new
+        values, sizes = np.full(len(ids), np.nan), np.zeros(len(ids), np.int64)
         for lang in set(langs):
-            rows = [i for i, x in enumerate(langs) if x == lang]
-            at = 0
-            while at < len(rows):
-                some, chars = [], 0
-                while at < len(rows) and (not some or chars < SLICE_CHARS):
-                    some.append(rows[at])
-                    chars += len(documents_in.column("text")[rows[at]].as_py() or "")
-                    at += 1
-                flat, n = units([documents_in.column("text")[i].as_py() or "" for i in some])
+            for some in _runs([i for i, x in enumerate(langs) if x == lang], texts):
+                flat, n = units([texts[i] for i in some])
                 sizes[some] = n
                 if lang not in table:
                     continue
@@ -283,7 +314,7 @@ def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
                 values[some] = np.exp(-sums / n)
         return pa.table(
             {
-                "doc_id": documents_in.column("doc_id"), "lang": documents_in.column("lang"),
+                "doc_id": pa.array(ids, pa.int64()), "lang": pa.array(langs, pa.string()),
                 "perplexity": pa.array(values, from_pandas=True), "n_grams": pa.array(sizes),
             }
         )
