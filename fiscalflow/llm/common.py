@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 from fiscalflow.session import shared_dir
 
 
+# Ids (longs) that a broadcast may hold; they are counted first, and beyond this number
+# the join is left to the planner, which shuffles.
+BROADCAST_IDS = 2_000_000
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new folder name under the cluster's shared folder (``spark.checkpoint.dir``)."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fiscalflow.llm.common import batches, components, id_text, materialize, raw_texts
+from fiscalflow.llm.common import BROADCAST_IDS, batches, components, id_text, materialize, raw_texts
 
 SHINGLE_WORDS = 3
 RADIUS = 2
@@ -247,10 +247,17 @@ def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius: int =
     """``docs`` with the document of the smallest doc_id of each component, all columns
     as they were. Rows that repeat a doc_id stay once; rows without doc_id stay."""
     found = materialize(near_duplicates(docs, shingle_words, radius), "simhash-found")
-    firsts = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__kept_id")).agg(F.count(F.lit(1)).alias("n"))
-    named, key = docs.filter(docs["doc_id"].isNotNull()), docs["doc_id"].cast("long")
-    kept = named.join(firsts.filter("n = 1"), key == F.col("__kept_id"), "left_semi")
-    repeated = firsts.filter("n > 1")
-    if not repeated.isEmpty():  # else the documents need not be read for it
-        kept = kept.unionByName(named.join(repeated, key == F.col("__kept_id"), "left_semi").dropDuplicates(["doc_id"]))
-    return kept.unionByName(docs.filter(docs["doc_id"].isNull()))
+    states = materialize(
+        found.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__id"))
+        .agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("n")),
+        "simhash-states",
+    )
+    dropped, repeated = states.filter("not stays"), states.filter("stays and n > 1")
+    if dropped.count() <= BROADCAST_IDS:  # a checked size; beyond it the planner shuffles
+        dropped = F.broadcast(dropped)
+    same = docs["doc_id"].cast("long") == F.col("__id")
+    kept = docs.join(dropped, same, "left_anti")  # rows without doc_id match none
+    if repeated.isEmpty():
+        return kept
+    once = docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, same, "left_anti").unionByName(once)
