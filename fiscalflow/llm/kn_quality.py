@@ -2,7 +2,11 @@
 
 The model is over characters (n-grams of ``ORDER``), one per language, trained on all
 text that the labels trust. White space is one space; start marks precede a text and
-an end mark closes it.
+an end mark closes it. Languages with fewer than ``FEW_TEXTS`` trusted documents share
+the model of all languages' trusted text.
+
+A trusted document is scored under the same model without its own fold (one of
+``FOLDS``, by a hash of the text, so that copies leave together).
 
 Counts are tables: n-grams are counted per task first, then summed by (language,
 n-gram). The lower orders are continuation counts made from the order above, discounts
@@ -16,7 +20,9 @@ logarithms are summed per document. A part holds about ``PART_CHARS`` characters
 that neither a language nor a source nor a repeated text makes a large group.
 
 A document is kept if its perplexity is at most the ``QUANTILE`` of the perplexities of
-the trusted documents of its language that training left out.
+the trusted documents of its language. With fewer than ``FEW_LIMITS`` of them that would
+be the largest one; the limit then is their median times the ``QUANTILE`` of all trusted
+documents' ratios to the median of their language.
 
 Both passes over the documents must see the same partitions: ``docs`` has to be a
 stored table. A part that asks for an n-gram it has no answer for raises an error.
@@ -38,13 +44,16 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fiscalflow.llm.common import batches, in_fold, materialize, raw_texts, task_number, texts_of
+from fiscalflow.llm.common import batches, materialize, raw_texts, task_number, texts_of
 
 ORDER = 4
 PART_CHARS = 16_000_000
 SLICE_CHARS = 2_000_000
 QUANTILE = 0.99
-FOLDS, LEFT_OUT = 10, 0
+FOLDS = 5
+FEW_TEXTS, FEW_LIMITS = 20, 200
+ROUNDING = 1e-9  # relative
+ALL, FOLD, MODEL = "\x01all", "\x01", "\x00"  # the model of all languages; what precedes a fold, and a model's name
 BROADCAST_IDS = 2_000_000
 START, END = "\x02", "\x03"
 MARKS = str.maketrans({START: " ", END: " "})
@@ -233,6 +242,7 @@ def asked_grams(docs: DataFrame) -> DataFrame:
                 yield from told()
                 part = at
             for langs, texts in _slices(iter([batch]), 1, 2):
+                langs = [x.rpartition(MODEL)[2] for x in langs]
                 for lang in set(langs):
                     keys, _ = grams(units([t for t, x in zip(texts, langs) if x == lang])[0])
                     held[lang] = np.union1d(held[lang], keys) if lang in held else np.sort(keys)
@@ -280,7 +290,8 @@ def _block(row: dict) -> tuple[list[int | None], list[str], list[str]]:
 
 def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
     """``(doc_id, lang, perplexity, n_grams)`` of every row of ``documents(...)`` under
-    the counts ``model(lang, gram, n)``."""
+    the counts ``model(lang, gram, n)``; a language may be followed by ``MODEL`` and the
+    name of the model to ask instead of its own."""
     asked = materialize(asked_grams(docs), "kn-asked")
     distinct = asked.select("lang", "gram").distinct()
     answers = asked.join(probabilities(distinct, model), ["lang", "gram"]).select("part", "lang", "gram", F.log("p").alias("log_p"))
@@ -303,9 +314,10 @@ def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
             for some in _runs([i for i, x in enumerate(langs) if x == lang], texts):
                 flat, n = units([texts[i] for i in some])
                 sizes[some] = n
-                if lang not in table:
+                model_name = lang.rpartition(MODEL)[2]
+                if model_name not in table:
                     continue
-                known, log_p = table[lang]
+                known, log_p = table[model_name]
                 grams_here, number = grams(flat)
                 place = np.minimum(np.searchsorted(known, grams_here), len(known) - 1)
                 if (known[place] != grams_here).any():
@@ -314,7 +326,7 @@ def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
                 values[some] = np.exp(-sums / n)
         return pa.table(
             {
-                "doc_id": pa.array(ids, pa.int64()), "lang": pa.array(langs, pa.string()),
+                "doc_id": pa.array(ids, pa.int64()), "lang": pa.array([x.partition(MODEL)[0] for x in langs], pa.string()),
                 "perplexity": pa.array(values, from_pandas=True), "n_grams": pa.array(sizes),
             }
         )
@@ -325,19 +337,59 @@ def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
     )
 
 
+def trusted_texts(rows: DataFrame, trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The trusted rows with their ``fold``, stored, and the others."""
+    few = trusted.count() <= BROADCAST_IDS  # a checked size; beyond it the planner shuffles
+    ids = F.broadcast(trusted) if few else trusted
+    fold = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(FOLDS))
+    mine = materialize(rows.join(ids, rows["doc_id"] == ids["trusted_id"], "left_semi").withColumn("fold", fold), "kn-trusted")
+    others = rows.join(ids, rows["doc_id"] == ids["trusted_id"], "left_anti")
+    return mine, others if few else materialize(others, "kn-others")
+
+
+def models(counts: DataFrame, own: list[str], few: list[str]) -> DataFrame:
+    """``(lang, gram, n)`` of every model from the counts per ``(lang, fold, gram)``: of the
+    ``own`` languages, of all languages if some have ``few`` texts, and each without each fold."""
+    named = F.array("lang")
+    if few:
+        named = F.when(F.col("lang").isin(own), F.array("lang", F.lit(ALL))).otherwise(F.array(F.lit(ALL)))
+    cuts = F.array(F.lit(""), *[F.when(F.col("fold") != k, F.lit(f"{FOLD}{k}")) for k in range(FOLDS)])
+    return (
+        counts.select(F.explode(named).alias("model"), "fold", "gram", "n")
+        .select("model", F.explode(F.array_compact(cuts)).alias("cut"), "gram", "n")
+        .groupBy(F.concat("model", "cut").alias("lang"), "gram").agg(F.sum("n").alias("n"))
+    )
+
+
+def limits(scored: DataFrame, quantile: float) -> DataFrame:
+    """``(lang, threshold)`` from the trusted rows' ``(lang, perplexity)``."""
+    known = scored.filter("perplexity is not null")
+    of_lang = known.groupBy("lang").agg(
+        F.percentile_approx("perplexity", quantile, 10_000).alias("own"), F.percentile_approx("perplexity", 0.5, 10_000).alias("median"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    ratios = known.join(F.broadcast(of_lang), "lang").agg(F.percentile_approx(F.col("perplexity") / F.col("median"), quantile, 10_000).alias("spread"))
+    shared = F.col("median") * F.col("spread")
+    return of_lang.crossJoin(F.broadcast(ratios)).select("lang", F.when(F.col("n") >= FEW_LIMITS, F.col("own")).otherwise(shared).alias("threshold"))
+
+
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """``(doc_id, lang, perplexity, threshold, n_grams, kept)`` of every row of ``docs``."""
-    rows, trusted = documents(docs), trusted_ids(labels)
-    training = trusted.filter(~in_fold("trusted_id", FOLDS, [LEFT_OUT]))
-    if training.count() <= BROADCAST_IDS:  # a checked size; beyond it the planner shuffles
-        training = F.broadcast(training)
-    texts = rows.join(training, rows["doc_id"] == training["trusted_id"], "left_semi")
-    model = materialize(count_grams(texts), "kn-counts")
-    scored = materialize(perplexities(rows, model), "kn-scores")
-    left_out = trusted.filter(in_fold("trusted_id", FOLDS, [LEFT_OUT]))
-    limits = (
-        scored.join(left_out, scored["doc_id"] == left_out["trusted_id"], "left_semi").filter("perplexity is not null")
-        .groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))
+    trusted = trusted_ids(labels)
+    mine, others = trusted_texts(documents(docs), trusted)
+    sizes = mine.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("fold").alias("folds")).collect()  # a row per language
+    own, few = [], []
+    for r in sizes:
+        (own if r["n"] >= FEW_TEXTS and r["folds"] > 1 else few).append(r["lang"])
+    fold = F.concat(F.lit(FOLD), F.col("fold").cast("string"))
+    counted = count_grams(mine.select(F.concat("lang", fold).alias("lang"), "text")).select(
+        F.regexp_extract("lang", f"(?s)^(.*){FOLD}", 1).alias("lang"), F.substring_index("lang", FOLD, -1).cast("int").alias("fold"), "gram", "n"
     )
-    kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
-    return scored.join(limits, "lang", "left").select("doc_id", "lang", "perplexity", "threshold", "n_grams", kept.alias("kept"))
+    model = materialize(models(materialize(counted, "kn-counts"), own, few), "kn-models")
+    name = F.when(F.col("lang").isin(few), F.lit(ALL)).otherwise(F.col("lang"))
+    under = lambda x: F.concat("lang", F.lit(MODEL), x).alias("lang")
+    rows = others.select("doc_id", under(name), "text").unionByName(mine.select("doc_id", under(F.concat(name, fold)), "text"))
+    scored = materialize(perplexities(rows, model), "kn-scores")
+    known = scored.join(trusted, scored["doc_id"] == trusted["trusted_id"], "left_semi")
+    kept = F.coalesce(F.col("perplexity") <= F.col("threshold") * (1 + ROUNDING), F.lit(True))
+    return scored.join(limits(known, quantile), "lang", "left").select("doc_id", "lang", "perplexity", "threshold", "n_grams", kept.alias("kept"))

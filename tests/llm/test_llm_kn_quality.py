@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -104,3 +105,30 @@ def test_classify(spark, make_docs):
     nothing = kn.classify(docs, known.limit(0)).collect()
     assert len(nothing) == len(rows) and all(r["kept"] and r["perplexity"] is None for r in nothing)
     assert kn.classify(kn.materialize(docs.limit(0), "test-kn-none"), known).count() == 0
+
+
+def test_limits_rest_on_all_trusted_rows_and_small_languages_share_them(spark, make_docs):
+    words = {"en": "river stone field road water house".split(), "fr": "maison pierre chemin herbe ville jour".split()}
+    rng = random.Random(5)
+    prose = lambda lang: " ".join(rng.choice(words[lang]) for _ in range(30))
+    rows = [(i, prose("en"), "en") for i in range(300)] + [(300 + i, prose("fr"), "fr") for i in range(5)]
+    rows += [(400, "%%% ZQX " * 30, "fr"), (401, prose("fr"), "fr"), (402, "%%% ZQX " * 30, "en"), (7, rows[7][1], "en")]
+    rows[3] = (3, "%%% one trusted outlier ### " * 6, "en")  # alone it set the limit
+    docs = kn.materialize(make_docs(rows), "test-kn-limits")
+    known = spark.createDataFrame([(i, 1, 0) for i in range(305)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in kn.classify(docs, known).collect()}
+    assert not got[3]["kept"] and not got[402]["kept"] and got[3]["perplexity"] > 2 * got[3]["threshold"]
+    # fr: five trusted rows, any fold of which may be empty
+    assert got[400]["threshold"] is not None and not got[400]["kept"] and got[401]["kept"]
+    assert sum(got[i]["kept"] for i in range(300)) >= 295
+
+
+def test_trusted_rows_are_scored_without_their_fold(spark, make_docs):
+    texts = [" ".join(random.Random(i).choices(TRAIN, k=6)) for i in range(40)]
+    docs = kn.materialize(make_docs([(i, t, "en") for i, t in enumerate(texts)]), "test-kn-folds")
+    known = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["perplexity"] for r in kn.classify(docs, known).collect()}
+    fold = {r["doc_id"]: r["fold"] for r in kn.trusted_texts(kn.documents(docs), kn.trusted_ids(known))[0].collect()}
+    for k in set(fold.values()):
+        p = plain_model([t for i, t in enumerate(texts) if fold[i] != k])
+        assert all(got[i] == pytest.approx(plain_perplexity(p, t), rel=1e-9) for i, t in enumerate(texts) if fold[i] == k)
