@@ -64,27 +64,49 @@ LOOK_ALIKES = str.maketrans({
     "ɑ": "a", "ɡ": "g", "ı": "i", "ɩ": "i", "ʟ": "l", "օ": "o", "ս": "u", "ᴢ": "z",
 })
 INVISIBLE = dict.fromkeys([0xAD, 0x34F, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), 0xFEFF])
-STAND_INS = str.maketrans("013457@$", "oieastas")
-STAND_IN = re.compile(r"(?<=[^\W\d_])[013457@$!|]+(?=[^\W\d_])|\b[013457]+(?=[^\W\d_]{2})|[@$](?=[^\W\d_]{2})|(?<=[^\W\d_]{2})[013457]+\b")
-ANY_STAND_IN = re.compile(r"[013457@$!|]")
+STAND_INS = dict(zip("013457@$!|", "oieastasii"))
+AS_L = dict.fromkeys("1!|", "l")
+RARER = ({"2": "z", "6": "g", "8": "b", "9": "g"}, {"2": "z", "6": "b", "8": "b", "9": "g"})
+ANY_STAND_IN = re.compile(r"[0-9@$!|]")
+MIXED = re.compile(r"(?<![^\W_])[^\W\d_]*+[0-9@$!|](?:[^\W_]|[@$!|])*")
+LETTER = re.compile(r"[^\W\d_]")
+HEX = re.compile(r"(?:0x[0-9a-f]+|(?=(?:[a-f]*[0-9]){3})[0-9a-f]{8,})")
 LATIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
 WORDS = re.compile(r"[^\W_]+")
 
 
+def unmask(text: str) -> list[str]:
+    """Readings of ``text``: in words with a letter, but no hex strings, all stand-ins are
+    letters; 1, ! and | may be i or l, and 2, 6, 8 and 9 themselves or letters."""
+    met: set[str] = set()
+
+    def core(m: re.Match) -> str:
+        word = m[0].strip("!|")  # at the ends these are punctuation
+        return word if LETTER.search(word) and not HEX.fullmatch(word) else ""
+
+    for m in MIXED.finditer(text):
+        met.update(core(m))
+    if met.isdisjoint("0123456789@$!|"):
+        return [text]
+    maps = [STAND_INS] + ([STAND_INS | AS_L] if met & AS_L.keys() else [])
+    rarer = RARER[: 2 if "6" in met else 1] if met & RARER[0].keys() else ()
+    readings = []
+    for table in [*maps, *(m | r for r in rarer for m in maps)]:
+        table = str.maketrans(table)
+        readings.append(MIXED.sub(lambda m: m[0].replace(core(m), core(m).translate(table), 1) if core(m) else m[0], text))
+    return list(dict.fromkeys(readings))
+
+
 def fold(text: str) -> list[str]:
-    """The folded text, ``" word word "``; a second reading where 1 or | may be l."""
+    """The folded text, ``" word word "``, and further readings where a digit or sign may
+    be another letter."""
     if not LATIN.fullmatch(text):
         text = unicodedata.normalize("NFKC", text.translate(INVISIBLE)).lower().translate(LOOK_ALIKES)
         marks = {c for c in set(text) if unicodedata.combining(c)}
         text = text.translate(dict.fromkeys(map(ord, marks))) if marks else text
     else:  # its forms are composed already and nothing in it looks like another letter
         text = text.lower()
-    readings = [text]
-    if ANY_STAND_IN.search(text) and STAND_IN.search(text):
-        as_i = STAND_IN.sub(lambda m: m[0].replace("!", "i").replace("|", "i").translate(STAND_INS), text)
-        as_l = STAND_IN.sub(lambda m: m[0].replace("1", "l").replace("!", "l").replace("|", "l").translate(STAND_INS), text)
-        readings = [as_i] if as_i == as_l else [as_i, as_l]
-    return [f" {' '.join(WORDS.findall(r))} " for r in readings]
+    return [f" {' '.join(WORDS.findall(r))} " for r in (unmask(text) if ANY_STAND_IN.search(text) else [text])]
 
 
 @dataclass(frozen=True)
@@ -178,15 +200,14 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 
 def candidates(words: DataFrame) -> DataFrame:
-    """``(pattern, toxic, clean)`` of word beginnings and whole words."""
+    """``(pattern, toxic, clean)`` of word beginnings and of whole words of any length."""
     size = F.length("word")
     cuts = F.transform(
         F.sequence(F.lit(SHORTEST), F.least(size, F.lit(LONGEST))), lambda n: F.concat(F.lit(" "), F.substring(F.col("word"), F.lit(1), n))
     )
     whole = F.array(F.concat(F.lit(" "), F.col("word"), F.lit(" ")))
     return (
-        words.filter(size >= SHORTEST)
-        .select(F.explode(F.concat(cuts, whole)).alias("pattern"), "toxic", "clean")
+        words.select(F.explode(F.when(size >= SHORTEST, F.concat(cuts, whole)).otherwise(whole)).alias("pattern"), "toxic", "clean")
         .groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     )
 
@@ -220,7 +241,7 @@ def choose(found: dict[str, tuple[int, int]], toxic_docs: int, clean_docs: int)
                 return p
             p = heir[0]
 
-    taken: list[str] = []
+    taken = [p for p in found if p.endswith(" ") and len(p) < SHORTEST + 2 and pure(p)]  # words too short for a beginning
     todo = [p for p in found if len(p) == SHORTEST + 1 and not p.endswith(" ")]
     while todo:
         p = todo.pop()

@@ -20,6 +20,24 @@ def test_fold():
     assert tox.fold("") == ["  "] and tox.fold("!?") == ["  "]
 
 
+@pytest.mark.parametrize(
+    "word, plain",
+    [("1d10t", "idiot"), ("assh0l3", "asshole"), ("4ssh0l3", "asshole"), ("$h1t", "shit"), ("as$", "ass"), ("6ro8", "grob"), ("b166er", "bigger"), ("m0r0n!!", "moron")],
+)
+def test_neighbouring_and_rarer_stand_ins(word, plain):
+    assert f" {plain} " in tox.fold(word)
+
+
+def test_numbers_and_hex_strings_stay():
+    assert tox.fold("1999 $100 3.14 deadbeef0123 0x1f a!") == [" 1999 100 3 14 deadbeef0123 0x1f a "]
+
+
+def test_short_words_are_learned_whole(spark):
+    words = spark.createDataFrame([("zug", 30, 0), ("the", 30, 900)], "word string, toxic long, clean long")
+    found = {r["pattern"]: (r["toxic"], r["clean"]) for r in tox.candidates(words).collect()}
+    assert set(tox.choose(found, 100, 1000)) == {" zug "}
+
+
 ENTRIES = ((" clown", 4.0), (" idiot", 3.0))
 
 
