@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fiscalflow.llm import ann, bpe, html_extract, kn_quality, packing, quality_rules, simhash, token_counts, token_file, toxicity
+from fiscalflow.llm import (
+    ann, bpe, fingerprints, hard_negatives, html_extract, kn_quality, lexical_search, packing, quality_rules, simhash,
+    token_counts, token_file, toxicity,
+)
 from fiscalflow.llm.common import in_fold
 from fiscalflow.llm.sql import ORACLE  # noqa: F401 - registered with the queries
 from fiscalflow.sources.parquet import read_table
@@ -16,6 +19,7 @@ from fiscalflow.sources.parquet import read_table
 Query = Callable[[SparkSession, str], DataFrame]
 FOLDS, HELD_OUT = 4, 2
 QUERY_DIVISOR = 100
+SHIFTED_DIVISOR, LABELS = 7, 10
 
 
 def learnt_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +77,27 @@ def op10_bpe(spark, sf_dir):
     return bpe.round_trip(read_table(spark, sf_dir, "documents"))
 
 
+def op11_fingerprints(spark, sf_dir):
+    found = fingerprints.against_edited(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256",
+        fingerprints.text_of(F.col("sketch")).alias("fingerprint"),
+        fingerprints.text_of(F.col("edited_sketch")).alias("edited_fingerprint"),
+        fingerprints.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        fingerprints.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
+
+
+def op12_lexical_search(spark, sf_dir):
+    return lexical_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_hard_negatives(spark, sf_dir):
+    vec_id, label = F.col("vec_id"), F.col("label")
+    shifted = F.when(vec_id % SHIFTED_DIVISOR == 0, (label + 1) % LABELS).otherwise(label)
+    return hard_negatives.mine(read_table(spark, sf_dir, "embeddings"), vec_id % QUERY_DIVISOR == 0, shifted)
+
+
 QUERIES: dict[str, Query] = {
     "op1_ann": op1_ann,
     "op2_token_counts": op2_token_counts,
@@ -84,4 +109,7 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": op8_simhash,
     "op9_html_extract": op9_html_extract,
     "op10_bpe": op10_bpe,
+    "op11_fingerprints": op11_fingerprints,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_hard_negatives": op13_hard_negatives,
 }

@@ -1,0 +1,104 @@
+from __future__ import annotations
+
+import math
+import re
+from collections import Counter
+
+import pytest
+
+from fiscalflow.llm import lexical_search
+from llm_fixtures import make_docs, no_docs, odd_docs, odd_rows  # noqa: F401
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+
+def plain_terms(text):
+    return TERM.findall((text or "").translate(UPPER))
+
+
+def plain_search(docs, items, k=10):
+    """docs and items: (id, text)."""
+    counted = [(i, Counter(plain_terms(t))) for i, t in docs]
+    counted = [(i, c) for i, c in counted if c]
+    n_docs, length = len(counted), sum(sum(c.values()) for _, c in counted)
+    df = Counter(t for _, c in counted for t in c)
+    asked: dict = {}
+    for item, text in items:
+        if item is not None:
+            asked.setdefault(item, []).extend(plain_terms(text))
+    out = []
+    for item, words in asked.items():
+        found = []
+        for i, c in counted:
+            if i is None:
+                continue
+            m = 100 - 75 + (75 * sum(c.values()) * n_docs) // length
+            score = sum(
+                math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[w] + 1))) * ((10**9 * c[w]) // (1000 * c[w] + 8 * m))
+                for w in words if c[w]
+            )
+            if score > 0:
+                found.append((-score, i))
+        out += [(item, rank, i, -less) for rank, (less, i) in enumerate(sorted(found)[:k], 1)]
+    return sorted(out)
+
+
+@pytest.fixture(scope="module")
+def make_items(spark):
+    return lambda rows: spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "item_id long, text string, doc_id long, score long")
+
+
+def rows_of(found):
+    return sorted(tuple(r) for r in found.select("item_id", "rank", "doc_id", "score").collect())
+
+
+ITEMS = [
+    (1, "alpha1 été straße IT'S"), (2, None), (3, ""), (4, "漢字 x9 x9 one two words"), (None, "alpha1"), (5, "nowhere found"),
+    (6, "alpha3 beta4 gamma5 alpha3"), (6, "delta7"), (7, "alpha3 beta4 gamma5 alpha3"), (8, "...!?"), (9, "ok " * 300 + "weird bytes"),
+]
+
+
+def test_odd_documents_and_items(odd_docs, odd_rows, make_items):
+    docs = [(r[0], r[1]) for r in odd_rows]
+    want = plain_search(docs, ITEMS)
+    assert rows_of(lexical_search.search(odd_docs.repartition(5), make_items(ITEMS))) == want and len({r[0] for r in want}) >= 4
+    assert rows_of(lexical_search.search(odd_docs, make_items(ITEMS), k=2)) == plain_search(docs, ITEMS, 2)
+
+
+def test_blocks_of_items_give_the_same(odd_docs, make_items):
+    items = make_items(ITEMS)
+    whole = rows_of(lexical_search.search(odd_docs, items))
+    assert rows_of(lexical_search.search(odd_docs, items, block_postings=5)) == whole
+    blocks = list(lexical_search.item_blocks(items, 5))
+    assert len(blocks) > 3 and sorted(i for b in blocks for i in b) == [1, 2, 3, 4, 5, 6, 7, 8, 9]
+
+
+def test_terms(odd_rows):
+    odd = ["A_b", "a\u0085b c", "\x00x\x7fy", "É é I ı", "1.5e3", "a b", "tab\x0b\x0cz\x1c\x1d\x1e\x1fq"]
+    for text in [r[1] for r in odd_rows] + odd:
+        assert [t.decode() for t in lexical_search.terms_of((text or "").encode())] == plain_terms(text)
+
+
+def test_equal_scores_and_copies(make_docs, make_items):
+    """A third of all rows equal: the smallest ids come first, whatever the partitions."""
+    rows = [(i, f"plain filler{i} word{i % 7}") for i in range(200)] + [(1000 - i, "hot topic today") for i in range(100)]
+    items = [(1, "hot topic"), (2, "word3 filler10"), (3, "plain")]
+    want = plain_search(rows, items)
+    assert [r[2] for r in want if r[0] == 1] == list(range(901, 911))
+    for parts in (1, 7):
+        assert rows_of(lexical_search.search(make_docs(rows).repartition(parts), make_items(items))) == want
+
+
+def test_a_term_of_all_documents_can_weigh_nothing(make_docs, make_items):
+    rows = [(i, "common") for i in range(599)] + [(600, "common rare")]
+    items = [(1, "common"), (2, "common rare")]
+    found = rows_of(lexical_search.search(make_docs(rows), make_items(items)))
+    assert found == plain_search(rows, items) and [r[:3] for r in found] == [(2, 1, 600)]
+
+
+def test_empty_tables(no_docs, odd_docs, make_items):
+    items = make_items(ITEMS)
+    assert rows_of(lexical_search.search(no_docs, items)) == []
+    assert rows_of(lexical_search.search(odd_docs, items.limit(0))) == []
+    assert rows_of(lexical_search.search(odd_docs.filter("doc_id < 4"), items)) == []
