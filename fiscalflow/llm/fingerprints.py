@@ -182,7 +182,10 @@ def next_heads(rows: DataFrame, k: int = K) -> DataFrame:
     """``(before, head, next_sketch)``: for each doc_id what the next document gives it,
     the head of its text and its sketch."""
     order = materialize(predecessors(rows), "fingerprint-order")
-    found = rows.join(order, (F.col("doc_id") == F.col("id")) & (F.xxhash64("text") == F.col("chosen")))
+    # not an equality of both sides: the texts are dealt by doc_id alone, as they are for
+    # the join that follows, so that both read one shuffle
+    chosen = F.xxhash64("text").bitwiseXOR(F.col("chosen")) == 0
+    found = rows.filter("doc_id is not null").join(order, (F.col("doc_id") == F.col("id")) & chosen)
     heads = found.select("before", F.substring("text", F.lit(1), F.col("half").cast("int")).alias("head"), sketch(F.col("text"), k).alias("next_sketch"), "n")
     if order.filter("n > 1").isEmpty():
         return heads.drop("n")
