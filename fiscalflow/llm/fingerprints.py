@@ -32,6 +32,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from fiscalflow.llm.common import materialize
 
@@ -142,8 +143,10 @@ def from_text(text: Column) -> Column:
 # --- documents ------------------------------------------------------------------------------
 
 def rows_of(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text)`` without nulls in ``text``."""
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+    """``(doc_id, text)`` without nulls in ``text``. A doc_id that is a long already gets no
+    alias: joins of the rows with themselves then recognise, and reuse, their shuffle."""
+    doc_id = docs["doc_id"] if docs.schema["doc_id"].dataType == LongType() else docs["doc_id"].cast("long").alias("doc_id")
+    return docs.select(doc_id, F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
 
 
 def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:

@@ -146,3 +146,16 @@ def test_one_and_none(make_docs, no_docs):
 def test_main_path_is_native(spark, odd_docs):
     plan = fp.against_edited(odd_docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|MapPartitions|SerializeFromObject", plan)
+
+
+def test_texts_cross_one_shuffle(spark):
+    """Both joins read the same exchange of the texts, also when nothing is broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = fp.against_edited(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "ReusedExchange" in plan
