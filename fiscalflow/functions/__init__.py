@@ -1,5 +1,4 @@
-"""Column-expression helpers. All are built-in Spark expressions (codegen, no UDF),
-except the KPI label formatter which runs on a one-row result."""
+"""Column-expression helpers, all of built-in Spark expressions (no UDF)."""
 
 from fiscalflow.functions.cnpj import mask_cnpj, unmask_cnpj, zfill
 from fiscalflow.functions.dates import (

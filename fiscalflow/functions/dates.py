@@ -46,19 +46,6 @@ def previous_month_window(as_of) -> tuple[Column, Column]:
     return lo, hi
 
 
-def previous_month_window_literals(as_of: dt.date | str) -> tuple[dt.datetime, dt.datetime]:
-    """The same window computed on the driver from a literal date (for file names,
-    messages and literal predicates)."""
-    if isinstance(as_of, str):
-        as_of = dt.date.fromisoformat(as_of)
-    this_month = as_of.replace(day=1)
-    last_month = (this_month - dt.timedelta(days=1)).replace(day=1)
-    return (
-        dt.datetime.combine(last_month, dt.time()),
-        dt.datetime.combine(this_month, dt.time()),
-    )
-
-
 def format_ddmmyyyy(ts) -> Column:
     """``dd/MM/yyyy`` text of a timestamp; null stays null. Built from the day, month
     and year of the zone-less timestamp: ``date_format`` would go through a zoned

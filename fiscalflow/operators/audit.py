@@ -50,22 +50,53 @@ def _constraint(child: str, column: str, parent: str) -> str:
     return f"{child}.{column} -> {parent}"
 
 
-def audit_fk(model: Model, foreign_keys=None) -> DataFrame:
-    """(constraint, child_id, fk_value) for every foreign-key violation; a null
-    foreign key is allowed. One anti join per key: the planner broadcasts a parent by
-    its measured size, and a hot key of a shuffled child is split by AQE."""
-    fks = foreign_keys if foreign_keys is not None else schemas.FOREIGN_KEYS
-    parts = [
-        orphans(model.table(child), column, model.table(parent)).select(
-            F.lit(_constraint(child, column, parent)).alias("constraint"),
-            F.col("id").alias("child_id"),
-            F.col(column).cast("long").alias("fk_value"),
+ForeignKey = tuple[str, str, str]
+
+
+def references(model: Model, foreign_keys: Iterable[ForeignKey]) -> DataFrame:
+    """``(constraint, parent, child_id, fk_value)``: every non-null foreign key. Each child
+    table is read once, its keys exploded."""
+    by_child: dict[str, list[ForeignKey]] = {}
+    for fk in foreign_keys:
+        by_child.setdefault(fk[0], []).append(fk)
+    parts = []
+    for child, fks in by_child.items():
+        keys = F.array(
+            *[
+                F.struct(F.lit(_constraint(*fk)).alias("constraint"), F.lit(fk[2]).alias("parent"), F.col(fk[1]).cast("long").alias("fk_value"))
+                for fk in fks
+            ]
         )
-        for child, column, parent in fks
-    ]
+        rows = model.table(child).select(F.col("id").cast("long").alias("child_id"), F.explode(keys).alias("r"))
+        parts.append(rows.select("r.constraint", "r.parent", "child_id", "r.fk_value").filter("fk_value is not null"))
     return reduce(DataFrame.unionByName, parts)
 
 
+def parent_keys(model: Model, foreign_keys: Iterable[ForeignKey]) -> DataFrame:
+    """``(parent, fk_value)``: the keys of every referenced table, each table once."""
+    parents = dict.fromkeys(fk[2] for fk in foreign_keys)
+    return reduce(
+        DataFrame.unionByName,
+        [model.table(p).select(F.lit(p).alias("parent"), F.col(schemas.PRIMARY_KEYS[p]).cast("long").alias("fk_value")) for p in parents],
+    )
+
+
+def audit_fk(model: Model, foreign_keys: Iterable[ForeignKey] | None = None) -> DataFrame:
+    """(constraint, child_id, fk_value) for every foreign-key violation; a null foreign
+    key is allowed.
+
+    All constraints are one anti join on (parent table, key), which the optimizer runs
+    once per child table: each child is read once and its keys cross one exchange, however
+    many constraints it has, and the parents' keys are one exchange that all of them read.
+    A key that holds a third of the references is a skewed partition of the child side,
+    which AQE splits."""
+    fks = list(foreign_keys if foreign_keys is not None else schemas.FOREIGN_KEYS)
+    return (
+        references(model, fks).join(parent_keys(model, fks), ["parent", "fk_value"], "left_anti")
+        .select("constraint", "child_id", "fk_value")
+    )
+
+
 def audit_status_pairs(model: Model, spark: SparkSession | None = None) -> DataFrame:
     """Tasks whose (definition, status) pair is not allowed by the workflow.
 

@@ -53,8 +53,9 @@ def docs_tasks_join(model: Model, docs: DataFrame | None = None, tasks: DataFram
     return docs.join(tasks, "process_instance_id", "inner")
 
 
-def build_fact(model: Model) -> DataFrame:
-    """The 13-column fact (10 queried + lead time, posting day, masked CNPJ)."""
+def build_fact(model: Model, with_process: bool = False) -> DataFrame:
+    """The 13-column fact (10 queried + lead time, posting day, masked CNPJ); with the
+    process id as a last column if ``with_process``."""
     docs = model.tax_documents.select(
         "process_instance_id",
         "id",
@@ -93,6 +94,7 @@ def build_fact(model: Model) -> DataFrame:
         lead_time_hours("created_at", "completed_at").alias("lead_time_hours"),
         posting_day("completed_at").alias("posted_on"),
         mask_cnpj("supplier_cnpj").alias("supplier_cnpj_masked"),
+        *(["process_instance_id"] if with_process else []),
     )
 
 

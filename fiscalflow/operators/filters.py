@@ -71,20 +71,21 @@ def period_predicate(period: tuple | None) -> Column:
     return pred
 
 
+def task_predicates(spec: FilterSpec) -> list[Column]:
+    """The filters on a task: period, name and status."""
+    named = ((spec.tasks, "task_name"), (spec.statuses, "task_status"))
+    return [period_predicate(spec.period), *(isin_filter(column, values) for values, column in named if values is not None)]
+
+
+def document_predicates(spec: FilterSpec) -> list[Column]:
+    """The filters on a document: type and the supplier's state."""
+    types = [] if spec.types is None else [isin_filter("document_type", spec.types)]
+    known = F.col("supplier_state").isNotNull() if spec.states is None else isin_filter("supplier_state", spec.states)
+    return [*types, known]
+
+
 def filter_predicates(spec: FilterSpec) -> list[Column]:
-    preds = [period_predicate(spec.period)]
-    for values, column in (
-        (spec.types, "document_type"),
-        (spec.tasks, "task_name"),
-        (spec.statuses, "task_status"),
-    ):
-        if values is not None:
-            preds.append(isin_filter(column, values))
-    if spec.states is None:
-        preds.append(F.col("supplier_state").isNotNull())
-    else:
-        preds.append(isin_filter("supplier_state", spec.states))
-    return preds
+    return task_predicates(spec) + document_predicates(spec)
 
 
 def apply_filters(fact: DataFrame, spec: FilterSpec) -> DataFrame:

@@ -2,12 +2,13 @@
 
 Every function takes the fact at its native grain (document x task) and returns a
 small DataFrame; none collects to the driver. Global statistics a row-level
-expression needs (histogram bounds) enter as scalar subqueries, computed once.
+expression needs (histogram bounds, the whole of a share) enter as scalar subqueries over
+the same aggregate, whose exchange they share.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fiscalflow.functions.money import money_sum
@@ -59,22 +60,26 @@ def geo_volume(fact: DataFrame) -> DataFrame:
 
 
 def geo_rollup_share(fact: DataFrame) -> DataFrame:
-    """Two-level roll-up (state -> city) with each node's share of the whole.
+    """Two-level roll-up (state -> city) with each node's share of the whole; ``level``
+    is 'total', 'state' or 'city'."""
+    known = fact.filter(F.col("supplier_state").isNotNull() & F.col("supplier_city").isNotNull())
+    return share_of_rollup(known, F.count(F.lit(1)))
+
+
+def share_of_rollup(known: DataFrame, volume: Column) -> DataFrame:
+    """The roll-up of ``known`` by state and city, its ``volume`` an aggregate.
 
-    ``level`` is 'total', 'state' or 'city'. The share's denominator is a scalar
-    subquery over the same rows: no window gathers the roll-up in one task.
+    The share's denominator is the roll-up's own total row, read by a scalar subquery
+    over the same roll-up: both read one exchange, so ``known`` runs once, and no window
+    gathers the roll-up in one task.
     """
-    known = fact.filter(F.col("supplier_state").isNotNull() & F.col("supplier_city").isNotNull())
-    rolled = (
-        known.rollup("supplier_state", "supplier_city")
-        .agg(F.count(F.lit(1)).alias("volume"), F.grouping_id().alias("gid"))
-    )
+    rolled = known.rollup("supplier_state", "supplier_city").agg(volume.alias("volume"), F.grouping_id().alias("gid"))
     level = (
         F.when(F.col("gid") == 0, F.lit("city"))
         .when(F.col("gid") == 1, F.lit("state"))
         .otherwise(F.lit("total"))
     )
-    total = known.agg(F.count(F.lit(1)).alias("rows")).scalar()
+    total = rolled.agg(F.max(F.when(F.col("gid") == 3, F.col("volume"))).alias("rows")).scalar()
     return rolled.select(
         level.alias("level"),
         "supplier_state",
@@ -98,25 +103,45 @@ def lead_time_histogram(fact: DataFrame, bins: int = HIST_BINS) -> DataFrame:
     """Equal-width histogram of the lead time: ``bins`` bins over [min, max], the
     last one closed; a single bin when every value is equal. Nulls skipped.
 
-    Rows are counted per bin, map-side first, so a task sends at most ``bins`` rows
-    whatever the values are. The bounds enter as one scalar subquery (a single
-    aggregate row, no join), which scans the fact once more: over a stored fact
-    (``Dashboard``) that is one column.
+    Rows are counted per distinct lead time, map-side first; the bins and their bounds
+    are made from those counts, so that the fact runs once.
     """
+    values = fact.filter(F.col("lead_time_hours").isNotNull())
+    return histogram_of_counts(values.groupBy("lead_time_hours").agg(F.count(F.lit(1)).alias("documents")), bins)
+
+
+def histogram_of_counts(counted: DataFrame, bins: int = HIST_BINS) -> DataFrame:
+    """The histogram of ``(lead_time_hours, documents)``, one row per lead time.
+
+    The bounds enter as one scalar subquery, a single aggregate row. It reads the counts
+    as a whole, so that its plan below the counts' exchange is that of the bins and the
+    exchange is shared."""
+    rows = F.col("documents")
+    return _binned(counted, counted.agg(_bounds(F.sum(rows))).scalar(), F.sum(rows), bins)
+
+
+def stored_lead_time_histogram(stored: DataFrame, bins: int = HIST_BINS) -> DataFrame:
+    """The same histogram over a stored fact: one column is scanned twice, for the bounds
+    and for the bins, and a task sends at most ``bins`` rows, whatever the values are."""
+    values = stored.filter(F.col("lead_time_hours").isNotNull())
+    return _binned(values, values.agg(_bounds(F.count(F.lit(1)))).scalar(), F.count(F.lit(1)), bins)
+
+
+def _bounds(rows: Column) -> Column:
     x = F.col("lead_time_hours")
-    values = fact.filter(x.isNotNull())
-    s = values.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi")).alias("s")).scalar()
-    lo = s.getField("lo")
-    hi = s.getField("hi")
+    return F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"), rows.alias("rows")).alias("s")
+
+
+def _binned(values: DataFrame, bounds: Column, rows: Column, bins: int) -> DataFrame:
+    x, lo, hi = F.col("lead_time_hours"), bounds.getField("lo"), bounds.getField("hi")
     width = (hi - lo) / F.lit(float(bins))
     bin_ = (
         F.when(width > 0, F.least(F.floor((x - lo) / width), F.lit(bins - 1)))
         .otherwise(F.lit(0))
         .cast("long")
     )
-    counted = values.groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("documents"))
     b = F.col("bin").cast("double")
-    return counted.select(
+    return values.groupBy(bin_.alias("bin")).agg(rows.alias("documents")).select(
         "bin",
         (lo + b * width).alias("bin_lo"),
         (lo + (b + F.lit(1.0)) * width).alias("bin_hi"),
@@ -127,12 +152,19 @@ def lead_time_histogram(fact: DataFrame, bins: int = HIST_BINS) -> DataFrame:
 def lead_time_summary(fact: DataFrame, bins: int = HIST_BINS) -> DataFrame:
     """The histogram's companion row: bounds, bin width, mean (the chart's mean
     marker) and the number of measured rows."""
-    return fact.agg(
-        F.min("lead_time_hours").alias("lead_time_min"),
-        F.max("lead_time_hours").alias("lead_time_max"),
-        F.avg("lead_time_hours").alias("mean_lead_time_hours"),
-        F.count("lead_time_hours").alias("measured"),
-    ).withColumn(
+    return with_bin_width(
+        fact.agg(
+            F.min("lead_time_hours").alias("lead_time_min"),
+            F.max("lead_time_hours").alias("lead_time_max"),
+            F.avg("lead_time_hours").alias("mean_lead_time_hours"),
+            F.count("lead_time_hours").alias("measured"),
+        ),
+        bins,
+    )
+
+
+def with_bin_width(summary: DataFrame, bins: int) -> DataFrame:
+    return summary.withColumn(
         "bin_width", (F.col("lead_time_max") - F.col("lead_time_min")) / F.lit(float(bins))
     )
 

@@ -15,34 +15,41 @@ from fiscalflow import schemas
 from fiscalflow.sources.model import Model
 
 REPORT_SQL = """
-WITH report_keys AS (
-  SELECT DISTINCT td.id, td.number,
-         td.supplier_identification_number AS supplier_id, cs.name AS supplier_city,
-         td.customer_identification_number AS customer_id, cc.name AS customer_city,
-         t.completed_at
-  FROM {tax_documents} td
-  JOIN {tasks} t ON td.process_instance_id = t.process_instance_id
-  JOIN {cities} cs ON td.supplier_city_id = cs.id
-  JOIN {cities} cc ON td.customer_city_id = cc.id
-  WHERE td.type = :document_type
-    AND t.task_definition_id = :task_id
-    AND t.status_id = :status_id
-    AND t.completed_at >= CAST(trunc(add_months(:as_of, -1), 'MM') AS TIMESTAMP_NTZ)
-    AND t.completed_at < CAST(trunc(:as_of, 'MM') AS TIMESTAMP_NTZ)
-), purchase_orders AS (
-  SELECT tax_document_id,
-         CASE WHEN count(purchase_order) > 0
-              THEN array_join(array_sort(collect_list(purchase_order)), ', ') END
-           AS purchase_orders
-  FROM (SELECT DISTINCT i.tax_document_id, i.purchase_order
-        FROM {items} i LEFT SEMI JOIN report_keys k ON i.tax_document_id = k.id)
-  GROUP BY tax_document_id
+WITH posted AS (
+  SELECT process_instance_id, completed_at
+  FROM {tasks}
+  WHERE completed_at >= CAST(trunc(add_months(:as_of, -1), 'MM') AS TIMESTAMP_NTZ)
+    AND completed_at < CAST(trunc(:as_of, 'MM') AS TIMESTAMP_NTZ)
+    AND status_id = :status_id AND task_definition_id = :task_id
+), invoices AS (
+  SELECT id, number, completed_at,
+         supplier_identification_number AS supplier_id, supplier_city_id,
+         customer_identification_number AS customer_id, customer_city_id
+  FROM posted JOIN {tax_documents} USING (process_instance_id)
+  WHERE type = :document_type
+), places AS (
+  SELECT id AS place_id, name AS place FROM {cities}
+), from_place AS (
+  SELECT invoices.*, place AS supplier_city
+  FROM invoices JOIN places ON place_id = supplier_city_id
+), report_rows AS (
+  SELECT DISTINCT id, number, supplier_id, supplier_city, customer_id, place AS customer_city, completed_at
+  FROM from_place JOIN places ON place_id = customer_city_id
+), ordered_pairs AS (
+  SELECT DISTINCT tax_document_id AS id, purchase_order
+  FROM {items}
+  WHERE tax_document_id IN (SELECT id FROM report_rows)
+), order_lists AS (
+  SELECT id, array_join(array_sort(collect_list(purchase_order)), ', ') AS purchase_orders
+  FROM ordered_pairs
+  WHERE purchase_order IS NOT NULL
+  GROUP BY id
 )
-SELECT k.id, k.number, p.purchase_orders, k.supplier_id, k.supplier_city,
-       k.customer_id, k.customer_city, concat_ws('/', lpad(day(k.completed_at), 2, '0'), lpad(month(k.completed_at), 2, '0'),
-                 lpad(year(k.completed_at), 4, '0')) AS posted_on
-FROM report_keys k LEFT JOIN purchase_orders p ON p.tax_document_id = k.id
-ORDER BY k.completed_at DESC, k.id
+SELECT id, number, purchase_orders, supplier_id, supplier_city, customer_id, customer_city,
+       concat_ws('/', lpad(day(completed_at), 2, '0'), lpad(month(completed_at), 2, '0'),
+                 lpad(year(completed_at), 4, '0')) AS posted_on
+FROM report_rows LEFT JOIN order_lists USING (id)
+ORDER BY completed_at DESC, id
 """
 
 

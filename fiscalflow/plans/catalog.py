@@ -25,10 +25,10 @@ from fiscalflow.operators import audit, export, filters, labels, load, metrics
 from fiscalflow.operators import report as rep
 from fiscalflow.operators.report_sql import report_last_month_sql
 from fiscalflow.operators.fact import build_fact, display_order, docs_tasks_join
+from fiscalflow.operators.factorised import FactorisedPanels
 from fiscalflow.operators.filters import FilterSpec
 from fiscalflow.session import shared_dir
-from fiscalflow.sources.parquet import read_table
-from fiscalflow.sources.tpch import model_from_tpch
+from fiscalflow.sources.tpch import model_from_tpch, read_source
 
 # ---------------------------------------------------------------------------
 # Fixed parameters of the catalog (the oracle SQL states the same values).
@@ -194,11 +194,53 @@ def lead_time_hist_mean(spark, sf_dir):
     return metrics.lead_time_summary(_panel_fact(spark, sf_dir))
 
 
+# --- the same from per-process aggregates -------------------------------------
+
+def _factorised(spark, sf_dir):
+    return FactorisedPanels(_model(spark, sf_dir))
+
+
+def factorised_kpis(spark, sf_dir):
+    return _factorised(spark, sf_dir).kpis()
+
+
+def factorised_documents(spark, sf_dir):
+    return _factorised(spark, sf_dir).distinct_documents()
+
+
+def factorised_spend(spark, sf_dir):
+    return _factorised(spark, sf_dir).spend_by_supplier()
+
+
+def factorised_pareto(spark, sf_dir):
+    return _factorised(spark, sf_dir).supplier_pareto(10)
+
+
+def factorised_geo_volume(spark, sf_dir):
+    return _factorised(spark, sf_dir).geo_volume()
+
+
+def factorised_geo_rollup(spark, sf_dir):
+    return _factorised(spark, sf_dir).geo_rollup_share()
+
+
+def factorised_daily_volume(spark, sf_dir):
+    return _factorised(spark, sf_dir).daily_volume()
+
+
+def factorised_lead_time_hist(spark, sf_dir):
+    return _factorised(spark, sf_dir).lead_time_histogram()
+
+
+def factorised_lead_time_mean(spark, sf_dir):
+    return _factorised(spark, sf_dir).lead_time_summary()
+
+
 # --- loading and audits (S5, C1-C3, P9) --------------------------------------
 
 def _loaded_and_incoming(spark, sf_dir):
-    orders = read_table(spark, sf_dir, "orders")
-    lineitem = read_table(spark, sf_dir, "lineitem")
+    orders = read_source(spark, sf_dir, "orders")
+    lineitem = read_source(spark, sf_dir, "lineitem")
     target = orders.filter(F.col("o_orderstatus") == LOADED_ORDER_STATUS).select(
         F.col("o_orderkey").alias("id"),
         (F.col("o_orderkey") + 10000).alias("number"),
@@ -349,7 +391,7 @@ def cnpj_unmask(spark, sf_dir):
 
 
 def round_money(spark, sf_dir):
-    li = read_table(spark, sf_dir, "lineitem")
+    li = read_source(spark, sf_dir, "lineitem")
     net = money.as_money("l_extendedprice") * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)"))
     return li.select(
         "l_orderkey",
@@ -408,6 +450,15 @@ QUERIES: dict[str, Query] = {
     "panel_grouping_sets": panel_grouping_sets,
     "lead_time_hist": lead_time_hist,
     "lead_time_hist_mean": lead_time_hist_mean,
+    "factorised_kpis": factorised_kpis,
+    "factorised_documents": factorised_documents,
+    "factorised_spend": factorised_spend,
+    "factorised_pareto": factorised_pareto,
+    "factorised_geo_volume": factorised_geo_volume,
+    "factorised_geo_rollup": factorised_geo_rollup,
+    "factorised_daily_volume": factorised_daily_volume,
+    "factorised_lead_time_hist": factorised_lead_time_hist,
+    "factorised_lead_time_mean": factorised_lead_time_mean,
     "insert_if_absent": insert_if_absent,
     "insert_rejected": insert_rejected,
     "bulk_load": bulk_load,

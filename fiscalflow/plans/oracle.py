@@ -460,3 +460,16 @@ FROM tax_documents d LEFT JOIN cities c ON c.id = d.supplier_city_id
 """),
     "item_keys": q("SELECT id, tax_document_id, purchase_order FROM items"),
 }
+
+# The factorised forms answer the same questions.
+ORACLE |= {
+    "factorised_kpis": ORACLE["kpis"],
+    "factorised_documents": ORACLE["distinct_documents"],
+    "factorised_spend": ORACLE["spend_by_supplier"],
+    "factorised_pareto": ORACLE["supplier_pareto_top10"],
+    "factorised_geo_volume": ORACLE["geo_volume"],
+    "factorised_geo_rollup": ORACLE["geo_rollup_share"],
+    "factorised_daily_volume": ORACLE["daily_volume"],
+    "factorised_lead_time_hist": ORACLE["lead_time_hist"],
+    "factorised_lead_time_mean": ORACLE["lead_time_hist_mean"],
+}

@@ -2,39 +2,47 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from dataclasses import dataclass, fields
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fiscalflow import schemas
 
+Table = DataFrame | Callable[[], DataFrame]
+
 
-@dataclass(frozen=True)
 class Model:
-    """The ten tables of the invoice model.
+    """The ten tables of the invoice model, as attributes.
 
     ``tax_documents``, ``items`` and ``tasks`` are the large tables; the others are
-    small dimensions (geography) or fixed code tables.
+    small dimensions (geography) or fixed code tables. A table may be given as a function
+    that makes it: it is called when the table is first used, so that a query opens only
+    the sources of the tables it reads.
     """
 
-    states: DataFrame
-    cities: DataFrame
-    users: DataFrame
-    task_definitions: DataFrame
-    status: DataFrame
-    billing_reports: DataFrame
-    process_instances: DataFrame
-    tax_documents: DataFrame
-    items: DataFrame
-    tasks: DataFrame
+    def __init__(self, **tables: Table):
+        if set(tables) != set(schemas.SCHEMAS):
+            raise TypeError(f"a model has the tables {', '.join(schemas.SCHEMAS)}")
+        self._tables = tables
 
     def table(self, name: str) -> DataFrame:
-        return getattr(self, name)
+        made = self._tables[name]
+        if not isinstance(made, DataFrame):
+            made = self._tables[name] = made()
+        return made
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in schemas.SCHEMAS:
+            raise AttributeError(name)
+        return self.table(name)
 
     def names(self) -> list[str]:
-        return [f.name for f in fields(self)]
+        return list(self._tables)
+
+    def with_tables(self, **tables: Table) -> Model:
+        """The same model with some tables replaced."""
+        return Model(**(self._tables | tables))
 
 
 def empty(spark: SparkSession, name: str) -> DataFrame:
@@ -63,10 +71,10 @@ def model_from_tables(
     if unknown := ({*tables} | empty_tables) - {*schemas.SCHEMAS}:
         raise ValueError(f"no such tables: {', '.join(sorted(unknown))}")
     defaults = {
-        "task_definitions": schemas.task_definitions_df(spark),
-        "status": schemas.status_df(spark),
+        "task_definitions": lambda: schemas.task_definitions_df(spark),
+        "status": lambda: schemas.status_df(spark),
     }
-    built = {}
+    built: dict[str, Table] = {}
     for name in schemas.SCHEMAS:
         if name in tables:
             built[name] = conform(tables[name], name)

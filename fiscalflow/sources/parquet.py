@@ -8,9 +8,11 @@ from fiscalflow import schemas
 from fiscalflow.sources.model import Model, model_from_tables
 
 
-def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
-    """Read ``{base}/{name}.parquet`` (a file or a folder of parquet files)."""
-    return spark.read.parquet(f"{base.rstrip('/')}/{name}.parquet")
+def read_table(spark: SparkSession, base: str, name: str, schema: str | None = None) -> DataFrame:
+    """Read ``{base}/{name}.parquet`` (a file or a folder of parquet files). With a
+    ``schema`` no job reads the files' footers first."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(f"{base.rstrip('/')}/{name}.parquet")
 
 
 def read_model(spark: SparkSession, base: str, names: list[str] | None = None) -> Model:

@@ -188,29 +188,52 @@ def items_from_lineitem(lineitem: DataFrame) -> DataFrame:
     )
 
 
+# Columns of the driver's tables (fixed values). A given schema needs no job that reads
+# file footers; the files are listed anew at each read all the same.
+SOURCE_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+    "o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+}
+
+
+def read_source(spark: SparkSession, base: str, name: str) -> DataFrame:
+    """One of the driver's tables under ``base``, by its stated schema."""
+    return read_table(spark, base, name, SOURCE_SCHEMAS[name])
+
+
 def model_from_tpch(spark: SparkSession, base: str) -> Model:
     """Lazily map the driver's tables under ``base`` onto the invoice model.
 
-    Partitioning: documents come out hash-partitioned on the order key (their
-    process id); tasks are aggregated per order line with map-side combining and
-    then meet the documents in one shuffle of the aggregated rows. All scans read
-    only the columns the query needs; filters on the mapped columns stay above the
-    aggregates they depend on.
+    A table's sources are opened when the table is first used. Partitioning: documents
+    come out hash-partitioned on the order key (their process id); tasks are aggregated
+    per order line with map-side combining and then meet the documents in one shuffle of
+    the aggregated rows. All scans read only the columns the query needs; filters on the
+    mapped columns stay above the aggregates they depend on.
     """
-    read = lambda name: read_table(spark, base, name)
-    orders = read("orders")
-    lineitem = read("lineitem")
+
+    def read(name: str) -> DataFrame:
+        return read_source(spark, base, name)
+
+    def processes() -> DataFrame:
+        kept = read("orders").filter(F.col("o_orderkey") % NO_PROCESS_EVERY != 0)
+        return kept.select(F.col("o_orderkey").alias("id"), F.lit("Inbound").alias("type"))
+
     return Model(
-        states=_states(read("region")),
-        cities=_cities(read("nation")),
-        users=empty(spark, "users"),
-        task_definitions=schemas.task_definitions_df(spark),
-        status=schemas.status_df(spark),
-        billing_reports=empty(spark, "billing_reports"),
-        process_instances=orders.filter(F.col("o_orderkey") % NO_PROCESS_EVERY != 0).select(
-            F.col("o_orderkey").alias("id"), F.lit("Inbound").alias("type")
-        ),
-        tax_documents=documents_from_orders(orders, lineitem, read("supplier"), read("customer")),
-        items=items_from_lineitem(lineitem),
-        tasks=tasks_from_lineitem(lineitem),
+        states=lambda: _states(read("region")),
+        cities=lambda: _cities(read("nation")),
+        users=lambda: empty(spark, "users"),
+        task_definitions=lambda: schemas.task_definitions_df(spark),
+        status=lambda: schemas.status_df(spark),
+        billing_reports=lambda: empty(spark, "billing_reports"),
+        process_instances=processes,
+        tax_documents=lambda: documents_from_orders(read("orders"), read("lineitem"), read("supplier"), read("customer")),
+        items=lambda: items_from_lineitem(read("lineitem")),
+        tasks=lambda: tasks_from_lineitem(read("lineitem")),
     )

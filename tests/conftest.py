@@ -42,9 +42,9 @@ M3 = ts(2023, 12, 15)  # as_of - 3 months
 def build_model(spark, **rows):
     """A Model from python rows per table (missing tables: seed geography and the
     fixed code tables, other tables empty)."""
-    rows.setdefault("states", [(1, "Minas Gerais"), (2, "São Paulo")])
+    rows.setdefault("states", [(1, "Serra"), (2, "Porto Novo")])
     rows.setdefault(
-        "cities", [(1, "Montes Claros", 1), (2, "Belo Horizonte", 1), (3, "São Paulo", 2)]
+        "cities", [(1, "Lagoa Clara", 1), (2, "Vista Longa", 1), (3, "Porto Novo", 2)]
     )
     tables = {
         name: spark.createDataFrame(data, schemas.SCHEMAS[name]) for name, data in rows.items()
@@ -66,34 +66,28 @@ def task(id_, created, completed, definition, status, pid):
     return (id_, created, completed, definition, status, None, None, pid)
 
 
+# (document, its type, purchase orders of its items, completion, status, reported)
+SCENARIOS = [
+    (41, "MaterialInvoice", ["W-30"], M1, 120, True),
+    (42, "MaterialInvoice", ["W-8", "W-31", "W-8"], M1, 120, True),
+    (43, "MaterialInvoice", ["W-1"], M3, 120, False),
+    (44, "ServiceInvoice", ["W-2"], M1, 120, False),
+    (45, "MaterialInvoice", ["W-3"], M1, 121, False),
+]
+PARTIES = {41: (7301, 640.0, "4070001", 1, 2), 42: (7302, 88.5, "815500090001", 3, 1)}
+
+
 def seed_rows(unconfounded: bool = False):
-    """The five seed scenarios; ``unconfounded`` gives 503-505 both cities, so
-    each negative scenario is excluded by its own filter only."""
-    c = (1, 2) if unconfounded else (None, None)
-    return dict(
-        tax_documents=[
-            doc(501, 12345, "MaterialInvoice", 1000.00, "11111111000111", "99999999000199", 1, 2, 1001),
-            doc(502, 67890, "MaterialInvoice", 2000.00, "22222222000122", "99999999000199", 3, 1, 1002),
-            doc(503, None, "MaterialInvoice", None, None, None, *c, 1003),
-            doc(504, None, "ServiceInvoice", None, None, None, *c, 1004),
-            doc(505, None, "MaterialInvoice", None, None, None, *c, 1005),
-        ],
-        items=[
-            (1, "Parafuso Aço", 1000.00, 1000.00, "PO-2024-001", 501),
-            (2, "Martelo", None, None, "PO-2024-002", 502),
-            (3, "Pregos", None, None, "PO-2024-003", 502),
-            item(4, "PO-OLD", 503),
-            item(5, "PO-SERV", 504),
-            item(6, "PO-FAIL", 505),
-        ],
-        tasks=[
-            task(1, M1, M1, 12, 120, 1001),
-            task(2, M1, M1, 12, 120, 1002),
-            task(3, None, M3, 12, 120, 1003),
-            task(4, None, M1, 12, 120, 1004),
-            task(5, None, M1, 12, 121, 1005),
-        ],
-    )
+    """The rows of ``SCENARIOS``. Only reported documents name parties and cities;
+    ``unconfounded`` gives cities to the others too, so that each of them is left out
+    by its own filter only."""
+    documents, items, tasks = [], [], []
+    for id_, type_, orders, completed, status, reported in SCENARIOS:
+        number, total, supplier, city, customer_city = PARTIES.get(id_, (None, None, None, *((2, 3) if unconfounded else (None, None))))
+        documents.append(doc(id_, number, type_, total, supplier, "63000000000017" if reported else None, city, customer_city, 10 * id_))
+        items += [item(10 * id_ + i, order, id_) for i, order in enumerate(orders)]
+        tasks.append(task(id_, completed if reported else None, completed, 12, status, 10 * id_))
+    return {"tax_documents": documents, "items": items, "tasks": tasks}
 
 
 @pytest.fixture()

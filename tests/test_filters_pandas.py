@@ -16,7 +16,7 @@ from fiscalflow.operators.filters import FilterSpec, apply_filters
 TYPES = ["MaterialInvoice", "ServiceInvoice", None]
 TASKS = ["Escrituração da Nota", "Pagamento da Nota", None]
 STATUSES = ["Nota Paga", "Nota não Paga", None]
-STATES = ["Minas Gerais", "São Paulo", None]
+STATES = ["Serra", "Porto Novo", None]
 DAYS = [dt.datetime(2024, 1, 31, 23), dt.datetime(2024, 2, 1), dt.datetime(2024, 2, 10, 12),
         dt.datetime(2024, 2, 29, 23, 59), None]
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from fiscalflow.operators.audit import audit_fk, audit_pk, audit_status_pairs
 from fiscalflow.operators.load import (
+    BUCKET,
+    KeyedTarget,
     first_per_key,
     insert_if_absent,
     load_if_absent,
@@ -149,3 +151,69 @@ def test_fk_one_row_two_violations(spark):
 def test_first_per_key_null_order_value_first(spark):
     df = spark.createDataFrame([(1, "late", 5), (1, "unknown", None), (2, "x", 1)], SCHEMA)
     assert rows(first_per_key(df, "id", ["seq"])) == [(1, "unknown", None), (2, "x", 1)]
+
+
+def test_a_batch_is_evaluated_once(spark):
+    """Count, rejects and load read what was staged, with an old and a new target."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    base = tempfile.mkdtemp(prefix="ff-once-")
+    path, aside = os.path.join(base, "t"), os.path.join(base, "rejected")
+    batch = spark.createDataFrame([(i, "n", i) for i in range(50)] + [(None, "x", 0)] * 3, SCHEMA)
+    for times in (1, 2):
+        counted = batch.mapInArrow(counting, SCHEMA)
+        assert load_if_absent(spark, path, counted, "id", ["seq"], rejected_path=aside) == 3
+        assert seen.value == 53 * times
+    report = KeyedTarget(spark, os.path.join(base, "k"), "id", 4).load(batch.mapInArrow(counting, SCHEMA), ["seq"], aside)
+    assert seen.value == 53 * 3 and (report.rows, report.rejected, report.added) == (53, 3, 50)
+    assert spark.read.parquet(path).count() == 50 and spark.read.parquet(aside).count() == 9
+
+
+def test_keyed_target_equals_insert_if_absent_and_reads_few_files(spark):
+    base = tempfile.mkdtemp(prefix="ff-keyed-")
+    target = KeyedTarget(spark, os.path.join(base, "t"), "id", 16)
+    assert target.read() is None
+    first = spark.range(5000).select("id", F.col("id").cast("string").alias("name"), F.lit(0).alias("seq"))
+    assert target.load(first, ["seq"]).added == 5000
+    plain = first
+    batches = [
+        [(7, "seven", 1), (7, "sept", 0), (9001, "b", 2), (9001, "a", 1)],
+        [(i, "x", i) for i in range(4990, 5300)],
+        [(4999, "old", 0)],
+        [],
+    ]
+    files = []
+    for rows_in in batches:
+        batch = spark.createDataFrame(rows_in, SCHEMA)
+        report = KeyedTarget(spark, os.path.join(base, "t"), "id", 99).load(batch, ["seq"])  # buckets are stored
+        plain = insert_if_absent(plain, batch, "id", ["seq"])
+        assert rows(target.read()) == rows(plain)
+        files.append(report.files_read)
+    held = len([f for f in spark.read.parquet(os.path.join(base, "t")).inputFiles()])
+    assert files[0] <= 2 and files[2] <= 3 and files[3] == 0 and files[1] >= 15 and held > 16
+    at = spark.read.parquet(os.path.join(base, "t")).filter("id = 7").first()[BUCKET]
+    plan = target.candidates(spark.createDataFrame([(7, at)], f"id long, {BUCKET} int"))._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(id,7)" in plan
+    with pytest.raises(ValueError, match="keyed by id"):
+        KeyedTarget(spark, os.path.join(base, "t"), "name")
+    with pytest.raises(ValueError, match="1 rows without id"):
+        target.load(spark.createDataFrame([(None, "a", 0)], SCHEMA), ["seq"])
+
+
+def test_foreign_keys_are_one_anti_join_per_child_table(spark):
+    from fiscalflow.plans.catalog import QUERIES
+
+    plan = QUERIES["audit_fk"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("LeftAnti") == 4  # cities, documents, items, tasks; twelve constraints
+    broken = build_model(
+        spark,
+        tax_documents=[doc(i, i, "MaterialInvoice", 1.0, "1", "2", 77 if i % 3 else 1, 1, 100) for i in range(300)],
+        process_instances=[(100, "Inbound")],
+    )
+    found = audit_fk(broken)
+    assert found.count() == 200 and {r["fk_value"] for r in found.collect()} == {77}

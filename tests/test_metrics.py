@@ -26,7 +26,7 @@ def rows(df):
 
 @pytest.fixture()
 def fact(spark):
-    cities = [(1, "Montes Claros", 1), (2, "Belo Horizonte", 1), (3, "São Paulo", 2),
+    cities = [(1, "Lagoa Clara", 1), (2, "Vista Longa", 1), (3, "Porto Novo", 2),
               (4, "Nowhere", None)]
     docs, tasks = [], []
     for i in range(1, 41):

@@ -6,7 +6,7 @@ import datetime as dt
 
 from conftest import AS_OF, M1, build_model, doc, item, seed_rows, task, ts
 
-from fiscalflow.functions.dates import previous_month_window_literals
+from fiscalflow.functions.dates import previous_month_window
 from fiscalflow.operators.report import REPORT_COLUMNS, report_last_month
 from plain_report import plain_report
 
@@ -21,16 +21,14 @@ def test_seed_report(seed):
     got = rows(out)
     day = M1.strftime("%d/%m/%Y")
     assert sorted(got) == [
-        (501, 12345, "PO-2024-001", "11111111000111", "Montes Claros", "99999999000199",
-         "Belo Horizonte", day),
-        (502, 67890, "PO-2024-002, PO-2024-003", "22222222000122", "São Paulo",
-         "99999999000199", "Montes Claros", day),
+        (41, 7301, "W-30", "4070001", "Lagoa Clara", "63000000000017", "Vista Longa", day),
+        (42, 7302, "W-31, W-8", "815500090001", "Porto Novo", "63000000000017", "Lagoa Clara", day),
     ]
 
 
 def test_negative_scenarios_excluded_by_their_own_filter(seed_unconfounded):
     ids = {r[0] for r in rows(report_last_month(seed_unconfounded, AS_OF))}
-    assert ids == {501, 502}  # 503 date, 504 type, 505 status - cities are set
+    assert ids == {41, 42}  # 43 date, 44 type, 45 status - cities are set
 
 
 def test_report_equals_plain_python(seed_unconfounded):
@@ -38,9 +36,9 @@ def test_report_equals_plain_python(seed_unconfounded):
     assert sorted(got) == plain_report(seed_unconfounded, AS_OF)
 
 
-def test_window_bounds():
-    assert previous_month_window_literals(dt.date(2024, 3, 31)) == (ts(2024, 2, 1), ts(2024, 3, 1))
-    assert previous_month_window_literals(dt.date(2024, 1, 15)) == (ts(2023, 12, 1), ts(2024, 1, 1))
+def test_window_bounds(spark):
+    for as_of, lo, hi in ((dt.date(2024, 3, 31), ts(2024, 2, 1), ts(2024, 3, 1)), ("2024-01-15", ts(2023, 12, 1), ts(2024, 1, 1))):
+        assert tuple(spark.range(1).select(*previous_month_window(as_of)).first()) == (lo, hi)
 
 
 def _one_doc_model(spark, tasks, items=None, sup_city=1, cust_city=2):

@@ -82,3 +82,28 @@ def test_stored_model_pushes_report_window_to_tasks_scan(spark, seed):
     scan = [ln for ln in plan.splitlines() if "tasks.parquet" in ln][0]
     assert "GreaterThanOrEqual(completed_at" in scan and "LessThan(completed_at" in scan
     assert len(df.collect()) == 2
+
+
+def test_a_query_opens_only_what_it_reads(spark, monkeypatch):
+    """No table is opened by making the model, and a given schema starts no job."""
+    from fiscalflow.sources import tpch
+
+    opened = []
+    plain = tpch.read_table
+    monkeypatch.setattr(tpch, "read_table", lambda s, base, name, schema=None: opened.append(name) or plain(s, base, name, schema))
+    spark.sparkContext.setJobGroup("lazy-model", "")
+    model = tpch.model_from_tpch(spark, "/root/testdata/sf0.001")
+    assert opened == []
+    cities = model.cities
+    assert opened == ["nation"] and cities is model.cities
+    assert model.items.columns and opened == ["nation", "lineitem"]
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup("lazy-model") == []
+    spark.sparkContext.setJobGroup("", "")
+
+
+def test_stated_schemas_are_those_of_the_files(spark):
+    from fiscalflow.sources.tpch import SOURCE_SCHEMAS, read_source
+
+    for name in SOURCE_SCHEMAS:
+        found = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").schema
+        assert [(f.name, f.dataType) for f in read_source(spark, "/root/testdata/sf0.001", name).schema] == [(f.name, f.dataType) for f in found]
