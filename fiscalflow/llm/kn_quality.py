@@ -2,59 +2,67 @@
 
 The model is over characters (n-grams of ``ORDER``), one per language, trained on all
 text that the labels trust. White space is one space; start marks precede a text and
-an end mark closes it. Languages with fewer than ``FEW_TEXTS`` trusted documents share
-the model of all languages' trusted text.
+an end mark closes it. Below its single characters a language's model goes on with the
+model of all languages' trusted text, so that a language with little trusted text leans
+on that one, and a language without any uses it alone; no number of texts switches it.
 
-A trusted document is scored under the same model without its own fold (one of
-``FOLDS``, by a hash of the text, so that copies leave together).
+A trusted document is scored under the same models without its own fold (one of
+``FOLDS``, by a hash of the text, so that copies leave together). A document's ``place``
+says which counts it is scored with: those without fold 0, 1, .. or, at ``FOLDS``, all.
 
-Counts are tables: n-grams are counted per task first, then summed by (language,
-n-gram). The lower orders are continuation counts made from the order above, discounts
-come from the counts of counts, and a probability is a chain of joins of the n-grams
-asked for with the counts, the sums of their contexts and the order below.
+Counts are tables: n-grams are counted per task first, then summed to one row per
+(language, n-gram) with a count per fold. The lower orders are continuation counts made
+from the order above, discounts come from the counts of counts, and a probability is a
+chain of joins of the n-grams asked for with the counts, the sums of their contexts and
+the order below; every step carries all places.
 
 Scoring never shuffles one row per character. Each stretch of documents (``part``) asks
-for its distinct n-grams; the distinct n-grams of the corpus are joined with the model
-shards once, and each part gets its answers back next to its documents, where the
-logarithms are summed per document. A part holds about ``PART_CHARS`` characters, so
-that neither a language nor a source nor a repeated text makes a large group.
-
-A document is kept if its perplexity is at most the ``QUANTILE`` of the perplexities of
-the trusted documents of its language. With fewer than ``FEW_LIMITS`` of them that would
-be the largest one; the limit then is their median times the ``QUANTILE`` of all trusted
-documents' ratios to the median of their language.
-
-Both passes over the documents must see the same partitions: ``docs`` has to be a
-stored table. A part that asks for an n-gram it has no answer for raises an error.
+for its distinct n-grams, with the places that need them; the distinct n-grams of the
+corpus are joined with the model shards once, and each part gets its answers back next to
+its documents, where the logarithms are summed per document. A part holds about
+``PART_CHARS`` characters, so that neither a language nor a source nor a repeated text
+makes a large group.
+
+A document is kept if its perplexity is at most its language's limit. The limit is the
+``QUANTILE`` of the perplexities of the language's n trusted documents, shrunk towards
+what all languages share, with the weights n and ``SHRINKAGE`` on the logarithms: shared
+is the median of the language (itself shrunk towards the median of all) times the
+``QUANTILE`` of all trusted documents' ratios to their language's median.
+
+Both passes over the documents must see the same partitions: ``docs`` has to be a stored
+table, and the number that Spark sizes its splits by is held fixed for the two passes, so
+that executors that come or go between them change nothing. A part that asks for an n-gram
+it has no answer for raises an error.
 
 Defined cases: null text is empty (its end mark alone is scored); null language is a
-language of its own; a language without trusted text gives no perplexity and keeps its
-documents; rows without or with repeated doc_id are scored row by row; labels that
-repeat a doc_id trust it if all do; an empty table gives an empty result; other columns
-are ignored.
+language of its own; without any trusted text (outside a trusted document's own fold)
+there is no perplexity and the document is kept; rows without or with repeated doc_id are
+scored row by row; labels that repeat a doc_id trust it if all do; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fiscalflow.llm.common import batches, materialize, raw_texts, task_number, texts_of
+from fiscalflow.llm.common import BROADCAST_IDS, batches, materialize, raw_texts, task_number, texts_of
 
 ORDER = 4
-PART_CHARS = 16_000_000
+PART_CHARS = 64_000_000
 SLICE_CHARS = 2_000_000
 QUANTILE = 0.99
 FOLDS = 5
-FEW_TEXTS, FEW_LIMITS = 20, 200
+PLACES = range(FOLDS + 1)
+SHRINKAGE = 200
 ROUNDING = 1e-9  # relative
-ALL, FOLD, MODEL = "\x01all", "\x01", "\x00"  # the model of all languages; what precedes a fold, and a model's name
-BROADCAST_IDS = 2_000_000
+POOLED = ""  # stands for all languages where a table has one row per language
 START, END = "\x02", "\x03"
 MARKS = str.maketrans({START: " ", END: " "})
 DENSE_CELLS = 1 << 26
@@ -107,45 +115,74 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return known.groupBy("trusted_id").agg(F.min("quality").alias("quality")).filter("quality = 1").select("trusted_id")
 
 
-def count_grams(texts: DataFrame) -> DataFrame:
-    """``(lang, gram, n)`` of all rows of ``(lang, text)``."""
+def placed(rows: DataFrame, trusted: DataFrame) -> DataFrame:
+    """``documents(...)`` with their ``place``: the fold of a trusted row, else ``FOLDS``."""
+    few = trusted.count() <= BROADCAST_IDS  # a checked size; beyond it the planner shuffles
+    ids = F.broadcast(trusted) if few else trusted
+    fold = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(FOLDS)).cast("int")
+    place = F.when(F.col("trusted_id").isNotNull(), fold).otherwise(FOLDS).alias("place")
+    joined = rows.join(ids, rows["doc_id"] == ids["trusted_id"], "left").select("doc_id", "lang", "text", place)
+    return joined if few else materialize(joined, "kn-placed")
+
+
+def _summed(some: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their lines."""
+    keys, back = np.unique(np.concatenate([k for k, _ in some]), return_inverse=True)
+    lines = np.concatenate([n for _, n in some])
+    return keys, np.stack([np.bincount(back, weights=column, minlength=len(keys)) for column in lines.T], axis=1).astype(np.int64)
+
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def count_grams(rows: DataFrame) -> DataFrame:
+    """``(lang, gram, n0, n1, ..)`` of the trusted rows of ``placed(...)``: per n-gram its
+    count without fold 0, without fold 1, .. and, last, with all folds."""
+    folds = [f"n{k}" for k in range(FOLDS)]
+
+    def run(batches_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
         def told() -> Iterator[pa.RecordBatch]:
             for lang, some in held.items():
-                keys, back = np.unique(np.concatenate([k for k, _ in some]), return_inverse=True)
-                n = np.bincount(back, weights=np.concatenate([c for _, c in some])).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(n)], ["lang", "gram", "n"])
+                keys, n = _summed(some)
+                columns = [pa.array([lang] * len(keys), pa.string()), pa.array(keys), *map(pa.array, n.T.copy())]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "gram", *folds])
             held.clear()
 
-        for langs, texts_in in _slices(rows, 0, 1):
+        for langs, places, texts in _slices(batches_in, 0, 1, 2):
             for lang in set(langs):
-                flat, _ = units([t for t, x in zip(texts_in, langs) if x == lang])
+                mine = [i for i, x in enumerate(langs) if x == lang]
+                flat, sizes = units([texts[i] for i in mine])
                 keys, number = grams(flat)
-                held.setdefault(lang, []).append((keys, np.bincount(number, minlength=len(keys))))
-            if sum(len(k) for some in held.values() for k, _ in some) > 4_000_000:
-                yield from told()
+                fold = np.repeat(np.array([places[i] for i in mine]), sizes)
+                counts = np.bincount(number.astype(np.int64) * FOLDS + fold, minlength=len(keys) * FOLDS)
+                held.setdefault(lang, []).append((keys, counts.reshape(-1, FOLDS)))
+            if sum(len(k) for some in held.values() for k, _ in some) > 1_000_000:
+                for lang, some in held.items():
+                    held[lang] = [_summed(some)]
+                if sum(len(k) for some in held.values() for k, _ in some) > 1_000_000:
+                    yield from told()
         yield from told()
 
-    counted = texts.select("lang", "text").mapInArrow(run, "lang string, gram long, n long")
-    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    schema = "lang string, gram long, " + ", ".join(f"{n} long" for n in folds)
+    per_task = rows.filter(F.col("place") < FOLDS).select("lang", "place", "text").mapInArrow(run, schema)
+    summed = per_task.groupBy("lang", "gram").agg(*[F.sum(n).alias(n) for n in folds])
+    total = sum((F.col(n) for n in folds[1:]), F.col(folds[0]))
+    return summed.select("lang", "gram", *[(total - F.col(n)).alias(n) for n in folds], total.alias(f"n{FOLDS}"))
 
 
-def _slices(rows: Iterator[pa.RecordBatch], lang: int, text: int) -> Iterator[tuple[list[str], list[str]]]:
-    """Languages and texts of consecutive rows, up to about ``SLICE_CHARS`` together."""
-    langs, texts, size = [], [], 0
+def _slices(rows: Iterator[pa.RecordBatch], lang: int, place: int, text: int) -> Iterator[tuple[list[str], list[int], list[str]]]:
+    """Languages, places and texts of consecutive rows, up to about ``SLICE_CHARS``."""
+    held: tuple[list, list, list] = ([], [], [])
+    size = 0
     for batch in rows:
-        for x, t in zip(batch.column(lang).to_pylist(), texts_of(batch.column(text))):
-            langs.append(x)
-            texts.append(t)
-            size += len(t)
+        for row in zip(batch.column(lang).to_pylist(), batch.column(place).to_pylist(), texts_of(batch.column(text))):
+            for column, value in zip(held, row):
+                column.append(value)
+            size += len(row[2])
             if size >= SLICE_CHARS:
-                yield langs, texts
-                langs, texts, size = [], [], 0
-    if texts:
-        yield langs, texts
+                yield held
+                held, size = ([], [], []), 0
+    if held[0]:
+        yield held
 
 
 def _runs(rows: list[int], texts: list[str]) -> Iterator[list[int]]:
@@ -168,87 +205,141 @@ def suffix(gram: Column, order: int) -> Column:
     return gram.bitwiseAND(F.lit((1 << 16 * order) - 1))
 
 
-def _discount(k: int) -> Column:
+def _seen(column: str, times: int) -> Column:
+    return F.sum(F.when(F.col(column) == times, 1).otherwise(0))
+
+
+def _discount(k: int, f: int) -> Column:
     """Of n-grams seen ``k`` times, from the counts of counts; where they are too few for
     an estimate a half, and always between 0 and ``k``."""
-    y = F.try_divide(F.col("t1"), F.col("t1") + 2 * F.col("t2"))
-    estimate = k - F.try_divide((k + 1) * y * F.col(f"t{k + 1}"), F.col(f"t{k}"))
+    y = F.try_divide(F.col(f"t1_{f}"), F.col(f"t1_{f}") + 2 * F.col(f"t2_{f}"))
+    estimate = k - F.try_divide((k + 1) * y * F.col(f"t{k + 1}_{f}"), F.col(f"t{k}_{f}"))
     return F.least(F.greatest(F.coalesce(estimate, F.lit(0.5)), F.lit(0.05)), F.lit(k - 0.05))
 
 
 def order_tables(top: DataFrame) -> list[tuple[DataFrame, DataFrame, DataFrame]]:
-    """Per order from 1 to ``ORDER``: counts ``(lang, gram, n)`` (continuation counts below
-    the highest order), context sums and discounts."""
+    """Per order from 1 to ``ORDER``: counts ``(lang, gram, n0, ..)`` (continuation counts
+    below the highest order), context sums and discounts, each for every place."""
     counts = [top]
     for order in range(ORDER - 1, 0, -1):
-        above = counts[0]
-        counts.insert(0, above.groupBy("lang", suffix(F.col("gram"), order).alias("gram")).agg(F.count(F.lit(1)).alias("n")))
+        kinds = [F.sum(F.when(F.col(f"n{f}") > 0, 1).otherwise(0)).alias(f"n{f}") for f in PLACES]
+        counts.insert(0, counts[0].groupBy("lang", suffix(F.col("gram"), order).alias("gram")).agg(*kinds))
     out = []
     for table in counts:
-        kinds = [F.sum(F.when(F.col("n") == k, 1).otherwise(0)).alias(f"n{k}") for k in (1, 2)]
-        more = F.sum(F.when(F.col("n") >= 3, 1).otherwise(0)).alias("n3")
-        contexts = table.groupBy("lang", F.shiftrightunsigned("gram", 16).alias("context")).agg(F.sum("n").alias("total"), *kinds, more)
+        sums = []
+        for f in PLACES:
+            sums += [F.sum(f"n{f}").alias(f"total_{f}"), _seen(f"n{f}", 1).alias(f"one_{f}"), _seen(f"n{f}", 2).alias(f"two_{f}")]
+            sums.append(F.sum(F.when(F.col(f"n{f}") >= 3, 1).otherwise(0)).alias(f"more_{f}"))
+        contexts = table.groupBy("lang", F.shiftrightunsigned("gram", 16).alias("context")).agg(*sums)
         times = table.groupBy("lang").agg(
-            *[F.sum(F.when(F.col("n") == k, 1).otherwise(0)).alias(f"t{k}") for k in (1, 2, 3, 4)], F.count(F.lit(1)).alias("types")
+            *[_seen(f"n{f}", k).alias(f"t{k}_{f}") for f in PLACES for k in (1, 2, 3, 4)],
+            *[F.sum(F.when(F.col(f"n{f}") > 0, 1).otherwise(0)).alias(f"types_{f}") for f in PLACES],
+        )
+        discounts = times.select(
+            "lang", *[f"types_{f}" for f in PLACES], *[_discount(k, f).alias(f"d{k}_{f}") for f in PLACES for k in (1, 2, 3)]
         )
-        discounts = times.select("lang", "types", *[_discount(k).alias(f"d{k}") for k in (1, 2, 3)])
         out.append((table, contexts, discounts))
     return out
 
 
-def probabilities(asked: DataFrame, top: DataFrame) -> DataFrame:
-    """``(lang, gram, p)`` for distinct ``asked(lang, gram)`` of languages that ``top``,
-    the counts of the highest order, knows."""
+def chain(asked: DataFrame, top: DataFrame) -> DataFrame:
+    """``(lang, gram, a0, b0, ..)`` for distinct ``asked(lang, gram)``: under the counts
+    ``top`` of the n-gram's language, its probability is ``a + b * base``, ``base`` being
+    its probability below the single characters. Also ``types0, ..``, the number of single
+    characters, null for a language that ``top`` does not know."""
     tables = order_tables(top)
     wanted = [asked]
     for order in range(ORDER - 1, 0, -1):
         wanted.insert(0, wanted[0].select("lang", suffix(F.col("gram"), order).alias("gram")).distinct())
     below: DataFrame | None = None
+    types = [f"types_{f}" for f in PLACES]
     for order, ((counts, contexts, discounts), some) in enumerate(zip(tables, wanted), 1):
-        rows = some.join(discounts, "lang").join(counts, ["lang", "gram"], "left")
+        rows = some.join(discounts, "lang", "left").join(counts, ["lang", "gram"], "left")
         rows = rows.withColumn("context", F.shiftrightunsigned("gram", 16)).join(contexts, ["lang", "context"], "left")
-        n = F.coalesce("n", F.lit(0))
-        discount = F.when(n == 0, 0.0).when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
-        kept = (n - discount) / F.col("total")
-        freed = (F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * F.col("n3")) / F.col("total")
-        if below is None:
-            lower = 1 / (F.col("types") + 1)  # one place for symbols never seen
-        else:
-            rows = rows.withColumn("tail", suffix(F.col("gram"), order - 1)).join(
-                below.select("lang", F.col("gram").alias("tail"), F.col("p").alias("lower")), ["lang", "tail"]
+        if below is not None:
+            rows = rows.drop(*types).withColumn("tail", suffix(F.col("gram"), order - 1)).join(
+                below.select("lang", F.col("gram").alias("tail"), *types, *[F.col(f"{x}{f}").alias(f"lower_{x}{f}") for f in PLACES for x in "ab"]),
+                ["lang", "tail"],
             )
-            lower = F.col("lower")
-        p = F.when(F.col("total").isNull(), lower).otherwise(kept + freed * lower)
-        below = rows.select("lang", "gram", p.alias("p"))
+        steps = []
+        for f in PLACES:
+            n, total = F.coalesce(f"n{f}", F.lit(0)), F.col(f"total_{f}")
+            discount = F.when(n == 0, 0.0).when(n == 1, F.col(f"d1_{f}")).when(n == 2, F.col(f"d2_{f}")).otherwise(F.col(f"d3_{f}"))
+            freed = F.col(f"d1_{f}") * F.col(f"one_{f}") + F.col(f"d2_{f}") * F.col(f"two_{f}") + F.col(f"d3_{f}") * F.col(f"more_{f}")
+            known = total > 0
+            kept, left = F.when(known, (n - discount) / total).otherwise(0.0), F.when(known, freed / total).otherwise(1.0)
+            lower_a, lower_b = (F.lit(0.0), F.lit(1.0)) if below is None else (F.col(f"lower_a{f}"), F.col(f"lower_b{f}"))
+            steps += [(kept + left * lower_a).alias(f"a{f}"), (left * lower_b).alias(f"b{f}")]
+        below = rows.select("lang", "gram", *types, *steps)
     return below
 
 
+def log_probabilities(asked: DataFrame, top: DataFrame) -> DataFrame:
+    """``(lang, gram, p0, ..)``: the logarithm of the probability for each place, of
+    distinct ``asked(lang, gram)``; null where no text was trusted."""
+    shared = top.groupBy("gram").agg(*[F.sum(f"n{f}").alias(f"n{f}") for f in PLACES]).withColumn("lang", F.lit(POOLED))
+    grams_asked = asked.select(F.lit(POOLED).alias("lang"), "gram").distinct()
+    # one place for symbols never seen
+    base = [
+        F.when(F.col(f"types_{f}") > 0, F.col(f"a{f}") + F.col(f"b{f}") / (F.col(f"types_{f}") + 1)).alias(f"base{f}") for f in PLACES
+    ]
+    pooled = chain(grams_asked, shared).select("gram", *base)
+    logs = [F.log(F.col(f"a{f}") + F.col(f"b{f}") * F.col(f"base{f}")).alias(f"p{f}") for f in PLACES]
+    return chain(asked, top).join(pooled, "gram").select("lang", "gram", *logs)
+
+
 # --- scoring ---------------------------------------------------------------------------
 
-def asked_grams(docs: DataFrame) -> DataFrame:
-    """``(part, lang, gram)``: the distinct n-grams of each part."""
+def asked_grams(rows: DataFrame) -> DataFrame:
+    """``(part, code, lang, gram, places)``: the distinct n-grams of each part by language;
+    ``code`` is the language's number among those of the part, in order, ``places`` has a
+    bit for each place that asks."""
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
+    def run(batches_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         part = None
 
         def told() -> Iterator[pa.RecordBatch]:
-            for lang, keys in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(keys)), pa.array([lang] * len(keys), pa.string()), pa.array(keys)], ["part", "lang", "gram"])
+            for code, lang in enumerate(sorted(held)):
+                keys, places = held[lang]
+                columns = [
+                    pa.array([part] * len(keys), pa.int64()), pa.array([code] * len(keys), pa.int32()),
+                    pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(places.astype(np.int32)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "code", "lang", "gram", "places"])
             held.clear()
 
-        for at, batch in _parts(rows):
+        for at, batch in _parts(batches_in):
             if at != part:
                 yield from told()
                 part = at
-            for langs, texts in _slices(iter([batch]), 1, 2):
-                langs = [x.rpartition(MODEL)[2] for x in langs]
+            for langs, places, texts in _slices(iter([batch]), 1, 3, 2):
                 for lang in set(langs):
-                    keys, _ = grams(units([t for t, x in zip(texts, langs) if x == lang])[0])
-                    held[lang] = np.union1d(held[lang], keys) if lang in held else np.sort(keys)
+                    mine = [i for i, x in enumerate(langs) if x == lang]
+                    keys, needed = _needed([texts[i] for i in mine], [places[i] for i in mine])
+                    if lang in held:
+                        keys, needed = np.concatenate([held[lang][0], keys]), np.concatenate([held[lang][1], needed])
+                        order = np.argsort(keys, kind="stable")
+                        keys, needed = keys[order], needed[order]
+                        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                        keys, needed = keys[first], np.bitwise_or.reduceat(needed, first)
+                    held[lang] = keys, needed
         yield from told()
 
-    return docs.mapInArrow(run, "part long, lang string, gram long")
+    return rows.mapInArrow(run, "part long, code int, lang string, gram long, places int")
+
+
+def _needed(texts: list[str], places: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of the texts, ascending, and the bits of the places that hold them."""
+    flat, sizes = units(texts)
+    keys, number = grams(flat)
+    needed, at = np.zeros(len(keys), np.uint8), np.repeat(np.array(places), sizes)
+    for place in set(places):
+        there = np.zeros(len(keys), bool)
+        there[number[at == place]] = True
+        needed |= there.astype(np.uint8) << np.uint8(place)
+    order = np.argsort(keys)
+    return keys[order], needed[order]
 
 
 def _parts(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -259,137 +350,126 @@ def _parts(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch
         size += int(np.sum([len(t) for t in texts_of(batch.column(2))]))
 
 
-BLOCKS = "part long, doc_ids array<long>, langs array<string>, sizes array<int>, body binary"
+BLOCKS = "part long, doc_ids array<long>, langs array<string>, places binary, sizes array<int>, body binary"
 
 
-def in_parts(docs: DataFrame) -> DataFrame:
+def in_parts(rows: DataFrame) -> DataFrame:
     """The documents of each part in compressed blocks of rows: what the shuffle carries
     is about a third of the text."""
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, batch in _parts(rows):
+    def run(batches_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, batch in _parts(batches_in):
             raw = raw_texts(batch.column(2))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([part], pa.int64()),
                     pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())),
                     pa.array([batch.column(1).to_pylist()], pa.list_(pa.string())),
+                    pa.array([bytes(batch.column(3).to_pylist())], pa.binary()),
                     pa.array([list(map(len, raw))], pa.list_(pa.int32())),
                     pa.array([zstandard.compress(b"".join(raw), 3)], pa.binary()),
                 ],
-                ["part", "doc_ids", "langs", "sizes", "body"],
+                ["part", "doc_ids", "langs", "places", "sizes", "body"],
             )
 
-    return docs.mapInArrow(run, BLOCKS)
+    return rows.mapInArrow(run, BLOCKS)
 
 
-def _block(row: dict) -> tuple[list[int | None], list[str], list[str]]:
+def _block(row: dict) -> tuple[list[int | None], list[str], list[int], list[str]]:
     raw, ends = zstandard.decompress(row["body"]), np.cumsum(row["sizes"]).tolist()
-    return row["doc_ids"], row["langs"], [raw[a:b].decode() for a, b in zip([0, *ends], ends)]
-
-
-def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """``(doc_id, lang, perplexity, n_grams)`` of every row of ``documents(...)`` under
-    the counts ``model(lang, gram, n)``; a language may be followed by ``MODEL`` and the
-    name of the model to ask instead of its own."""
-    asked = materialize(asked_grams(docs), "kn-asked")
-    distinct = asked.select("lang", "gram").distinct()
-    answers = asked.join(probabilities(distinct, model), ["lang", "gram"]).select("part", "lang", "gram", F.log("p").alias("log_p"))
-
-    def score(documents_in: pa.Table, answers_in: pa.Table) -> pa.Table:
-        table: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        of_lang = answers_in.column("lang").combine_chunks().dictionary_encode()
-        codes, keys = of_lang.indices.to_numpy(), answers_in.column("gram").to_numpy()
-        logs = answers_in.column("log_p").to_numpy()
-        for code, lang in enumerate(of_lang.dictionary.to_pylist()):
-            mine = codes == code
-            order = np.argsort(keys[mine])
-            table[lang] = keys[mine][order], logs[mine][order]
-        ids, langs, texts = [], [], []
-        for at in range(documents_in.num_rows):
-            for held, new in zip((ids, langs, texts), _block(documents_in.slice(at, 1).to_pylist()[0])):
-                held += new
-        values, sizes = np.full(len(ids), np.nan), np.zeros(len(ids), np.int64)
-        for lang in set(langs):
-            for some in _runs([i for i, x in enumerate(langs) if x == lang], texts):
-                flat, n = units([texts[i] for i in some])
-                sizes[some] = n
-                model_name = lang.rpartition(MODEL)[2]
-                if model_name not in table:
-                    continue
-                known, log_p = table[model_name]
-                grams_here, number = grams(flat)
-                place = np.minimum(np.searchsorted(known, grams_here), len(known) - 1)
-                if (known[place] != grams_here).any():
-                    raise RuntimeError("documents changed between the two passes: store them first")
-                sums = np.add.reduceat(log_p[place][number], np.cumsum(n) - n)
-                values[some] = np.exp(-sums / n)
-        return pa.table(
-            {
-                "doc_id": pa.array(ids, pa.int64()), "lang": pa.array([x.partition(MODEL)[0] for x in langs], pa.string()),
-                "perplexity": pa.array(values, from_pandas=True), "n_grams": pa.array(sizes),
-            }
-        )
-
-    return (
-        in_parts(docs).groupBy("part").cogroup(answers.groupBy("part"))
-        .applyInArrow(score, "doc_id long, lang string, perplexity double, n_grams long")
+    return row["doc_ids"], row["langs"], list(row["places"]), [raw[a:b].decode() for a, b in zip([0, *ends], ends)]
+
+
+@contextmanager
+def same_splits(spark: SparkSession):
+    """While it lasts, scans of the same files are cut into the same splits: Spark sizes
+    them by the number of cores unless this setting names a number."""
+    name = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(name, None)
+    if before is None:
+        spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+
+
+SCORED = "doc_id long, lang string, perplexity double, n_grams long, trusted boolean"
+
+
+def perplexities(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """``(doc_id, lang, perplexity, n_grams, trusted)`` of every row of ``placed(...)``
+    under the counts ``model`` of ``count_grams``, stored."""
+    with same_splits(rows.sparkSession):
+        asked = materialize(asked_grams(rows), "kn-asked")
+        distinct = asked.select("lang", "gram").distinct()
+        logs = [F.when(F.col("places").bitwiseAND(F.lit(1 << f)) != 0, F.col(f"p{f}")).alias(f"p{f}") for f in PLACES]
+        answers = asked.join(log_probabilities(distinct, model), ["lang", "gram"]).select("part", "code", "gram", "places", *logs)
+        scored = in_parts(rows).groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_score, SCORED)
+        return materialize(scored, "kn-scores")
+
+
+def _score(documents_in: pa.Table, answers_in: pa.Table) -> pa.Table:
+    """The documents of one part with the answers to its n-grams."""
+    ids, langs, places, texts = [], [], [], []
+    for at in range(documents_in.num_rows):
+        for held, new in zip((ids, langs, places, texts), _block(documents_in.slice(at, 1).to_pylist()[0])):
+            held += new
+    codes, keys = (answers_in.column(c).to_numpy() for c in ("code", "gram"))
+    order = np.lexsort((keys, codes))
+    codes, keys, asked = codes[order], keys[order], answers_in.column("places").to_numpy()[order]
+    logs = [answers_in.column(f"p{f}").to_numpy()[order] for f in PLACES]
+    values, sizes = np.full(len(ids), np.nan), np.zeros(len(ids), np.int64)
+    rows: dict[tuple[str, int], list[int]] = {}
+    for i, key in enumerate(zip(langs, places)):
+        rows.setdefault(key, []).append(i)
+    code_of = {lang: code for code, lang in enumerate(sorted(set(langs)))}
+    for (lang, place), mine in rows.items():
+        first, end = np.searchsorted(codes, [code_of[lang], code_of[lang] + 1])
+        known, needed, log_p = keys[first:end], asked[first:end], logs[place][first:end]
+        for some in _runs(mine, texts):
+            flat, n = units([texts[i] for i in some])
+            sizes[some] = n
+            grams_here, number = grams(flat)
+            found = np.minimum(np.searchsorted(known, grams_here), max(len(known) - 1, 0))
+            if not len(known) or (known[found] != grams_here).any() or not (needed[found] >> place & 1).all():
+                raise RuntimeError("documents changed between the two passes: store them first")
+            values[some] = np.exp(-np.add.reduceat(log_p[found][number], np.cumsum(n) - n) / n)
+    return pa.table(
+        {
+            "doc_id": pa.array(ids, pa.int64()), "lang": pa.array(langs, pa.string()), "perplexity": pa.array(values, from_pandas=True),
+            "n_grams": pa.array(sizes), "trusted": pa.array([p < FOLDS for p in places], pa.bool_()),
+        }
     )
 
 
-def trusted_texts(rows: DataFrame, trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The trusted rows with their ``fold``, stored, and the others."""
-    few = trusted.count() <= BROADCAST_IDS  # a checked size; beyond it the planner shuffles
-    ids = F.broadcast(trusted) if few else trusted
-    fold = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(FOLDS))
-    mine = materialize(rows.join(ids, rows["doc_id"] == ids["trusted_id"], "left_semi").withColumn("fold", fold), "kn-trusted")
-    others = rows.join(ids, rows["doc_id"] == ids["trusted_id"], "left_anti")
-    return mine, others if few else materialize(others, "kn-others")
-
-
-def models(counts: DataFrame, own: list[str], few: list[str]) -> DataFrame:
-    """``(lang, gram, n)`` of every model from the counts per ``(lang, fold, gram)``: of the
-    ``own`` languages, of all languages if some have ``few`` texts, and each without each fold."""
-    named = F.array("lang")
-    if few:
-        named = F.when(F.col("lang").isin(own), F.array("lang", F.lit(ALL))).otherwise(F.array(F.lit(ALL)))
-    cuts = F.array(F.lit(""), *[F.when(F.col("fold") != k, F.lit(f"{FOLD}{k}")) for k in range(FOLDS)])
-    return (
-        counts.select(F.explode(named).alias("model"), "fold", "gram", "n")
-        .select("model", F.explode(F.array_compact(cuts)).alias("cut"), "gram", "n")
-        .groupBy(F.concat("model", "cut").alias("lang"), "gram").agg(F.sum("n").alias("n"))
+def limits(scored: DataFrame, quantile: float) -> tuple[DataFrame, DataFrame]:
+    """``(lang, threshold)`` from the trusted rows of ``(lang, perplexity, trusted)``, and
+    ``(threshold)``, one row, for languages without trusted rows."""
+    logs = scored.filter("trusted and perplexity is not null").select("lang", F.log("perplexity").alias("x"))
+    at = lambda q: F.percentile_approx("x", q, 10_000)
+    of_lang = logs.groupBy("lang").agg(at(quantile).alias("own"), at(0.5).alias("median"), F.count(F.lit(1)).cast("double").alias("n"))
+    spread = logs.join(of_lang.select("lang", "median"), "lang").agg(
+        F.percentile_approx(F.col("x") - F.col("median"), quantile, 10_000).alias("spread")
     )
-
-
-def limits(scored: DataFrame, quantile: float) -> DataFrame:
-    """``(lang, threshold)`` from the trusted rows' ``(lang, perplexity)``."""
-    known = scored.filter("perplexity is not null")
-    of_lang = known.groupBy("lang").agg(
-        F.percentile_approx("perplexity", quantile, 10_000).alias("own"), F.percentile_approx("perplexity", 0.5, 10_000).alias("median"),
-        F.count(F.lit(1)).alias("n"),
+    shared = logs.agg(at(0.5).alias("all")).crossJoin(spread)  # one row each
+    shrunk = lambda own, common: (F.col("n") * own + SHRINKAGE * common) / (F.col("n") + SHRINKAGE)
+    median = shrunk(F.col("median"), F.col("all"))
+    threshold = F.exp(shrunk(F.col("own"), median + F.col("spread")))
+    return (
+        of_lang.crossJoin(F.broadcast(shared)).select("lang", threshold.alias("threshold")),
+        shared.select(F.exp(F.col("all") + F.col("spread")).alias("shared")),
     )
-    ratios = known.join(F.broadcast(of_lang), "lang").agg(F.percentile_approx(F.col("perplexity") / F.col("median"), quantile, 10_000).alias("spread"))
-    shared = F.col("median") * F.col("spread")
-    return of_lang.crossJoin(F.broadcast(ratios)).select("lang", F.when(F.col("n") >= FEW_LIMITS, F.col("own")).otherwise(shared).alias("threshold"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """``(doc_id, lang, perplexity, threshold, n_grams, kept)`` of every row of ``docs``."""
-    trusted = trusted_ids(labels)
-    mine, others = trusted_texts(documents(docs), trusted)
-    sizes = mine.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("fold").alias("folds")).collect()  # a row per language
-    own, few = [], []
-    for r in sizes:
-        (own if r["n"] >= FEW_TEXTS and r["folds"] > 1 else few).append(r["lang"])
-    fold = F.concat(F.lit(FOLD), F.col("fold").cast("string"))
-    counted = count_grams(mine.select(F.concat("lang", fold).alias("lang"), "text")).select(
-        F.regexp_extract("lang", f"(?s)^(.*){FOLD}", 1).alias("lang"), F.substring_index("lang", FOLD, -1).cast("int").alias("fold"), "gram", "n"
-    )
-    model = materialize(models(materialize(counted, "kn-counts"), own, few), "kn-models")
-    name = F.when(F.col("lang").isin(few), F.lit(ALL)).otherwise(F.col("lang"))
-    under = lambda x: F.concat("lang", F.lit(MODEL), x).alias("lang")
-    rows = others.select("doc_id", under(name), "text").unionByName(mine.select("doc_id", under(F.concat(name, fold)), "text"))
-    scored = materialize(perplexities(rows, model), "kn-scores")
-    known = scored.join(trusted, scored["doc_id"] == trusted["trusted_id"], "left_semi")
-    kept = F.coalesce(F.col("perplexity") <= F.col("threshold") * (1 + ROUNDING), F.lit(True))
-    return scored.join(limits(known, quantile), "lang", "left").select("doc_id", "lang", "perplexity", "threshold", "n_grams", kept.alias("kept"))
+    rows = placed(documents(docs), trusted_ids(labels))
+    model = materialize(count_grams(rows), "kn-counts")
+    scored = perplexities(rows, model)
+    of_lang, shared = limits(scored, quantile)
+    judged = scored.join(of_lang, "lang", "left").crossJoin(F.broadcast(shared))
+    threshold = F.coalesce("threshold", "shared")
+    kept = F.coalesce(F.col("perplexity") <= threshold * (1 + ROUNDING), F.lit(True))
+    return judged.select("doc_id", "lang", "perplexity", threshold.alias("threshold"), "n_grams", kept.alias("kept"))

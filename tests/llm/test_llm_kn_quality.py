@@ -5,13 +5,15 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from fiscalflow.llm import kn_quality as kn
 from llm_fixtures import make_docs, no_docs, odd_docs, odd_rows  # noqa: F401
 
 
-def plain_model(texts):
-    """Interpolated modified Kneser-Ney over characters, straight from the formulas."""
+def plain_model(texts, base=None):
+    """Interpolated modified Kneser-Ney over characters, straight from the formulas; below
+    the single characters ``base`` of the whole n-gram, or one place for symbols never seen."""
     padded = [kn.START * 3 + " ".join(t.split()) + kn.END for t in texts]
     top = Counter(p[i : i + 4] for p in padded for i in range(len(p) - 3))
     counts = {4: top}
@@ -31,20 +33,25 @@ def plain_model(texts):
         for g, k in c.items():
             followers[n][g[:-1]].append(k)
 
-    def p(gram):
-        n = len(gram)
+    def p(gram, whole=None):
+        n, whole = len(gram), whole or gram
         if not n:
-            return 1 / (len(counts[1]) + 1)
+            return base(whole) if base else 1 / (len(counts[1]) + 1)
         some = followers[n].get(gram[:-1])
         if not some:
-            return p(gram[1:])
+            return p(gram[1:], whole)
         d, c = discounts[n], counts[n][gram]
         freed = sum(d[min(k, 3) - 1] for k in some)
-        return ((c - d[min(c, 3) - 1] if c else 0) + freed * p(gram[1:])) / sum(some)
+        return ((c - d[min(c, 3) - 1] if c else 0) + freed * p(gram[1:], whole)) / sum(some)
 
     return p
 
 
+def layered(texts, all_texts=None):
+    """A language's model over the model of all languages."""
+    return plain_model(texts, plain_model(all_texts or texts))
+
+
 def plain_perplexity(p, text):
     """Symbols are UTF-16 units: a character beyond them is two."""
     text = " ".join((text or "").split()).encode("utf-16-le")
@@ -64,16 +71,22 @@ def test_probabilities_of_a_context_add_up():
         assert sum(p(context + s) for s in symbols) + p(context[1:] + "\x07") == pytest.approx(1, abs=0.02)
 
 
+FRENCH = ["le chat et le chien", "la plage est belle"]
+
+
 def test_perplexities_match_the_formulas(spark, make_docs, monkeypatch):
-    monkeypatch.setattr(kn, "PART_CHARS", 40)  # several parts
-    docs = make_docs([(i, t, "en") for i, t in enumerate(TRAIN)])
-    model = kn.count_grams(kn.documents(docs))
+    """Two languages with trusted text, one without, several parts."""
+    monkeypatch.setattr(kn, "PART_CHARS", 40)
+    trusted = [(i, t, "en") for i, t in enumerate(TRAIN)] + [(50 + i, t, "fr") for i, t in enumerate(FRENCH)]
+    model = kn.count_grams(kn.documents(make_docs(trusted)).withColumn("place", F.lit(0)))
     texts = [*TRAIN, "", None, "the  hat\n sat", "QQQ %%% \U0001f642", "xyz " * 300, "the cat sat on the mat"]
-    rows = kn.documents(make_docs([(i, t, "en") for i, t in enumerate(texts)] + [(99, "the cat", "de")])).repartition(2)
-    stored = kn.materialize(rows, "test-kn")
+    docs = make_docs([(i, t, "en") for i, t in enumerate(texts)] + [(98, "le chat", "fr"), (99, "the cat", "de")])
+    stored = kn.materialize(kn.documents(docs).withColumn("place", F.lit(kn.FOLDS)).repartition(2), "test-kn")
     got = {r["doc_id"]: r["perplexity"] for r in kn.perplexities(stored, model).collect()}
-    p = plain_model(TRAIN)
-    assert got.pop(99) is None
+    everything = TRAIN + FRENCH
+    assert got.pop(99) == pytest.approx(plain_perplexity(plain_model(everything), "the cat"), rel=1e-9)
+    assert got.pop(98) == pytest.approx(plain_perplexity(layered(FRENCH, everything), "le chat"), rel=1e-9)
+    p = layered(TRAIN, everything)
     assert got == {i: pytest.approx(plain_perplexity(p, t), rel=1e-9) for i, t in enumerate(texts)}
     assert got[8] > got[0]
 
@@ -101,7 +114,7 @@ def test_classify(spark, make_docs):
     got = {r["doc_id"]: r for r in kn.classify(docs, known).collect()}
     assert len(got) == len(rows)
     assert all(got[i]["kept"] != (i % 8 == 7) for i in range(240))
-    assert got[502]["perplexity"] is None and got[502]["kept"] and got[500]["perplexity"] > 0
+    assert got[502]["perplexity"] > 0 and got[502]["threshold"] > 0 and got[500]["perplexity"] > 0  # no trusted Spanish
     nothing = kn.classify(docs, known.limit(0)).collect()
     assert len(nothing) == len(rows) and all(r["kept"] and r["perplexity"] is None for r in nothing)
     assert kn.classify(kn.materialize(docs.limit(0), "test-kn-none"), known).count() == 0
@@ -128,7 +141,37 @@ def test_trusted_rows_are_scored_without_their_fold(spark, make_docs):
     docs = kn.materialize(make_docs([(i, t, "en") for i, t in enumerate(texts)]), "test-kn-folds")
     known = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
     got = {r["doc_id"]: r["perplexity"] for r in kn.classify(docs, known).collect()}
-    fold = {r["doc_id"]: r["fold"] for r in kn.trusted_texts(kn.documents(docs), kn.trusted_ids(known))[0].collect()}
+    fold = {r["doc_id"]: r["place"] for r in kn.placed(kn.documents(docs), kn.trusted_ids(known)).collect()}
+    assert set(fold.values()) <= set(range(kn.FOLDS))
     for k in set(fold.values()):
-        p = plain_model([t for i, t in enumerate(texts) if fold[i] != k])
+        p = layered([t for i, t in enumerate(texts) if fold[i] != k])
         assert all(got[i] == pytest.approx(plain_perplexity(p, t), rel=1e-9) for i, t in enumerate(texts) if fold[i] == k)
+
+
+def test_limits_shrink_without_jumps(spark):
+    """A language's own quantile counts more with each trusted row; none means the shared."""
+    rng = random.Random(1)
+    rows = [("en", math.exp(rng.gauss(2, 0.2)), True) for _ in range(4000)]
+    for lang, n in (("a", 1), ("b", 200), ("c", 4000)):
+        rows += [(lang, math.exp(rng.gauss(3, 0.2)), True) for _ in range(n)]
+    scored = spark.createDataFrame(rows + [("z", 5.0, False)], "lang string, perplexity double, trusted boolean")
+    of_lang, shared = kn.limits(scored, 0.99)
+    got, common = {r["lang"]: math.log(r["threshold"]) for r in of_lang.collect()}, math.log(shared.first()[0])
+    own = 3 + 2.33 * 0.2
+    assert "z" not in got and abs(got["a"] - common) < 0.05 and abs(got["c"] - own) < 0.15
+    assert sorted([common, got["a"], got["b"], got["c"]]) == [common, got["a"], got["b"], got["c"]]
+
+
+def test_all_trusted_rows_in_one_fold(spark, make_docs):
+    """Without its own fold nothing is left: no perplexity, kept."""
+    docs = kn.materialize(make_docs([(1, "same text", "en"), (2, "same text", "en"), (3, "other", "en")]), "test-kn-one-fold")
+    known = spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in kn.classify(docs, known).collect()}
+    assert got[1]["perplexity"] is None and got[1]["kept"] and got[3]["perplexity"] > 0
+
+
+def test_splits_do_not_follow_the_cores(spark):
+    name = "spark.sql.files.minPartitionNum"
+    with kn.same_splits(spark):
+        assert int(spark.conf.get(name)) == spark.sparkContext.defaultParallelism
+    assert spark.conf.get(name, None) is None
