@@ -223,7 +223,7 @@ def order_tables(top: DataFrame) -> list[tuple[DataFrame, DataFrame, DataFrame]]
     counts = [top]
     for order in range(ORDER - 1, 0, -1):
         kinds = [F.sum(F.when(F.col(f"n{f}") > 0, 1).otherwise(0)).alias(f"n{f}") for f in PLACES]
-        counts.insert(0, counts[0].groupBy("lang", suffix(F.col("gram"), order).alias("gram")).agg(*kinds))
+        counts.insert(0, materialize(counts[0].groupBy("lang", suffix(F.col("gram"), order).alias("gram")).agg(*kinds), "kn-order"))
     out = []
     for table in counts:
         sums = []
@@ -250,7 +250,7 @@ def chain(asked: DataFrame, top: DataFrame) -> DataFrame:
     tables = order_tables(top)
     wanted = [asked]
     for order in range(ORDER - 1, 0, -1):
-        wanted.insert(0, wanted[0].select("lang", suffix(F.col("gram"), order).alias("gram")).distinct())
+        wanted.insert(0, materialize(wanted[0].select("lang", suffix(F.col("gram"), order).alias("gram")).distinct(), "kn-wanted"))
     below: DataFrame | None = None
     types = [f"types_{f}" for f in PLACES]
     for order, ((counts, contexts, discounts), some) in enumerate(zip(tables, wanted), 1):
@@ -271,6 +271,8 @@ def chain(asked: DataFrame, top: DataFrame) -> DataFrame:
             lower_a, lower_b = (F.lit(0.0), F.lit(1.0)) if below is None else (F.col(f"lower_a{f}"), F.col(f"lower_b{f}"))
             steps += [(kept + left * lower_a).alias(f"a{f}"), (left * lower_b).alias(f"b{f}")]
         below = rows.select("lang", "gram", *types, *steps)
+        if order < ORDER:  # each order is a query of its own, small enough for the driver's plans
+            below = materialize(below, "kn-below")
     return below
 
 
@@ -283,7 +285,7 @@ def log_probabilities(asked: DataFrame, top: DataFrame) -> DataFrame:
     base = [
         F.when(F.col(f"types_{f}") > 0, F.col(f"a{f}") + F.col(f"b{f}") / (F.col(f"types_{f}") + 1)).alias(f"base{f}") for f in PLACES
     ]
-    pooled = chain(grams_asked, shared).select("gram", *base)
+    pooled = materialize(chain(materialize(grams_asked, "kn-wanted"), materialize(shared, "kn-counts")).select("gram", *base), "kn-pooled")
     logs = [F.log(F.col(f"a{f}") + F.col(f"b{f}") * F.col(f"base{f}")).alias(f"p{f}") for f in PLACES]
     return chain(asked, top).join(pooled, "gram").select("lang", "gram", *logs)
 
@@ -367,7 +369,7 @@ def in_parts(rows: DataFrame) -> DataFrame:
                     pa.array([batch.column(1).to_pylist()], pa.list_(pa.string())),
                     pa.array([bytes(batch.column(3).to_pylist())], pa.binary()),
                     pa.array([list(map(len, raw))], pa.list_(pa.int32())),
-                    pa.array([zstandard.compress(b"".join(raw), 3)], pa.binary()),
+                    pa.array([zstandard.compress(b"".join(raw), 6)], pa.binary()),
                 ],
                 ["part", "doc_ids", "langs", "places", "sizes", "body"],
             )
@@ -403,7 +405,7 @@ def perplexities(rows: DataFrame, model: DataFrame) -> DataFrame:
     under the counts ``model`` of ``count_grams``, stored."""
     with same_splits(rows.sparkSession):
         asked = materialize(asked_grams(rows), "kn-asked")
-        distinct = asked.select("lang", "gram").distinct()
+        distinct = materialize(asked.select("lang", "gram").distinct(), "kn-wanted")
         logs = [F.when(F.col("places").bitwiseAND(F.lit(1 << f)) != 0, F.col(f"p{f}")).alias(f"p{f}") for f in PLACES]
         answers = asked.join(log_probabilities(distinct, model), ["lang", "gram"]).select("part", "code", "gram", "places", *logs)
         scored = in_parts(rows).groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_score, SCORED)
