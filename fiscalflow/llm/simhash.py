@@ -28,7 +28,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fiscalflow.llm.common import BROADCAST_IDS, batches, components, id_text, materialize, raw_texts
@@ -73,13 +73,18 @@ def majority(hashes: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """``(doc_id, fp)`` of every row; ``fp`` is the fingerprint as a signed long."""
+    return fingerprints_with(id_text(docs).withColumn("digest", F.lit(0).cast("long")), shingle_words).select("doc_id", "fp")
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows, 512):
+
+def fingerprints_with(rows: DataFrame, shingle_words: int) -> DataFrame:
+    """``(doc_id, fp, digest)`` of every row of ``(doc_id, text, digest)``."""
+
+    def run(batches_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(batches_in, 512):
             fps = np.array([fingerprint(t, shingle_words) for t in raw_texts(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2)], ["doc_id", "fp", "digest"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, "doc_id long, fp long, digest long")
 
 
 def block_pairs(radius: int) -> list[tuple[int, int]]:
@@ -227,16 +232,25 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius:
     """``(doc_id, fp, component_id)`` of every row: the smallest doc_id that links of at
     most ``radius`` differing bits reach."""
     found = materialize(fingerprints(docs, shingle_words), "simhash-fps")
-    nodes = materialize(
-        found.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes"
+    return found.join(component_of(found, radius), F.col("fp") == F.col("of_fp"), "left").select(
+        "doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
     )
-    reached = components(links(nodes, radius), "simhash-components")
-    of_fp = nodes.join(reached, "node", "left").select(
-        F.col("fp").alias("of_fp"), F.coalesce("component", "node").alias("reached")
+
+
+def component_of(found: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``(of_fp, root, component_id)`` for each fingerprint of ``found(doc_id, fp)`` that
+    has a doc_id: the smallest fingerprint of its component (as a signed long) and the
+    component's smallest doc_id. The nodes of the graph are fingerprints, which are unlike
+    doc_ids never shared by two texts that nothing links."""
+    nodes = materialize(
+        found.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes"
     )
-    return found.join(of_fp, F.col("fp") == F.col("of_fp"), "left").select(
-        "doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("reached")).alias("component_id")
+    reached = components(links(nodes.select("fp", F.col("fp").alias("node")), radius), "simhash-components")
+    rooted = materialize(
+        nodes.join(reached, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root")), "simhash-roots"
     )
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rooted.select(F.col("fp").alias("of_fp"), "root").join(least, "root").select("of_fp", "root", "component_id")
 
 
 def hex_digits(fp) -> F.Column:
@@ -244,20 +258,35 @@ def hex_digits(fp) -> F.Column:
 
 
 def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with the document of the smallest doc_id of each component, all columns
-    as they were. Rows that repeat a doc_id stay once; rows without doc_id stay."""
-    found = materialize(near_duplicates(docs, shingle_words, radius), "simhash-found")
+    """``docs`` with one row of each component, all columns as they were: the row of its
+    smallest doc_id, of rows that share it the one with the smallest fingerprint (as a
+    signed long), then XXH64 of its text. Rows without doc_id stay.
+
+    Rows that leave are named by (doc_id, hash of the text). Where ids do not repeat, the
+    doc_id alone tells; rows that repeat both are equal texts, of which one stays."""
+    digest = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    hashed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], digest.alias("digest"))
+    found = materialize(fingerprints_with(hashed, shingle_words), "simhash-found")
+    roots = component_of(found, radius)
+    rows = found.filter("doc_id is not null").join(roots, F.col("fp") == F.col("of_fp"))
+    texts = materialize(rows.groupBy("root", "doc_id", "fp", "digest").agg(F.count(F.lit(1)).alias("n")), "simhash-texts")
+    first = texts.groupBy("root").agg(F.min(F.struct("doc_id", "fp", "digest")).alias("first"))
     states = materialize(
-        found.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__id"))
-        .agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("n")),
+        texts.join(first, "root").select(
+            F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "n",
+            (F.struct("doc_id", "fp", "digest") == F.col("first")).alias("stays"),
+        ),
         "simhash-states",
     )
-    dropped, repeated = states.filter("not stays"), states.filter("stays and n > 1")
+    dropped, repeated = states.filter("not stays").select("__id", "__digest"), states.filter("stays and n > 1").select("__id", "__digest")
     if dropped.count() <= BROADCAST_IDS:  # a checked size; beyond it the planner shuffles
         dropped = F.broadcast(dropped)
-    same = docs["doc_id"].cast("long") == F.col("__id")
+    same = (docs["doc_id"].cast("long") == F.col("__id")) & (digest == F.col("__digest"))
     kept = docs.join(dropped, same, "left_anti")  # rows without doc_id match none
     if repeated.isEmpty():
         return kept
-    once = docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id"])
+    once = docs.join(repeated, same, "left_semi")
+    columns = docs.columns
+    order = F.row_number().over(Window.partitionBy("doc_id", "__text").orderBy(F.xxhash64(*[docs[c] for c in columns])))
+    once = once.withColumn("__text", digest).withColumn("__place", order).filter("__place = 1").select(*columns)
     return kept.join(repeated, same, "left_anti").unionByName(once)

@@ -126,3 +126,19 @@ def test_keep_one_keeps_rows_as_they_were(odd_docs, odd_rows, no_docs):
 def test_hex_digits(spark):
     got = spark.createDataFrame([(0,), (-1,), (255,)], "fp long").select(simhash.hex_digits("fp").alias("x")).collect()
     assert [r["x"] for r in got] == ["0" * 16, "f" * 16, "00000000000000ff"]
+
+
+def test_different_texts_under_one_id_stay(make_docs):
+    """Three rows, no two linked, two share an id: all three stay, on every run; linked
+    rows of an id leave one, whichever partition they are in."""
+    a, b, c = ("alpha beta gamma delta " * 5, "one two three four five six seven", "completely other words stand here now")
+    assert len({simhash.fingerprint(x.encode()) for x in (a, b, c)}) == 3
+    rows = [(1, a), (1, b), (5, c)]
+    for parts in (1, 3):
+        docs = make_docs(rows).repartition(parts)
+        assert sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect()) == sorted(rows)
+    got = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(make_docs(rows + [(0, b)])).collect()}
+    assert got == {(1, 1), (1, 0), (0, 0), (5, 5)}
+    more = rows + [(1, a), (7, a), (0, b), (1, a.upper())]
+    kept = sorted((r["doc_id"], r["text"].lower()) for r in simhash.keep_one(make_docs(more)).collect())
+    assert kept == sorted([(1, a), (0, b), (5, c)])
