@@ -6,8 +6,8 @@ letter or digit becomes one space. Accents stay, as they tell words apart.
 
 Lexicon: beginnings of words (and whole words where no beginning is clean) whose
 share among the words of toxic documents is far above that among the others, learned
-from labelled rows: at most ``TRAINING_ROWS`` expected, chosen by hash of the id, and
-from the stated words below. Its weight is a smoothed log ratio. Words and phrases that
+from labelled rows: at most ``TRAINING_ROWS`` expected, toxic and clean ones up to half of
+them each, chosen by hash of the id, and from the stated words below. Its weight is a smoothed log ratio. Words and phrases that
 hold an entry but belong to clean text are exceptions: matches inside them do not
 count.
 
@@ -16,7 +16,8 @@ curve fitted to the same rows. labels, lang, source and doc_id are no inputs.
 
 Defined cases: null text is empty, and an empty text has the score of no match;
 rows without or with repeated doc_id are scored row by row; labels that repeat a
-doc_id count once, toxic if any is; without toxic labels the stated words and the
+doc_id count once, toxic if any is, and of rows that repeat a labelled doc_id one is
+learned from; without toxic labels the stated words and the
 default curve serve; an empty table gives an empty result; other columns pass through
 ``keep`` untouched.
 """
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fiscalflow.llm.common import batches, id_sample, id_text, sample_rate, texts_of
+from fiscalflow.llm.common import batches, id_sample, id_text, materialize, sample_rate, texts_of
 
 TRAINING_ROWS = 40_000
 THRESHOLD = 0.3
@@ -48,7 +49,6 @@ MIN_PURITY = 0.97
 STRICT_PURITY = 0.995
 MIN_TEXTS = 5
 LEAST_PURITY = 0.75  # counted by documents, near copies once; several weak matches add up
-LEXICON_ENTRIES = 20_000
 
 # Stated words and phrases (fixed values of this operator).
 STATED_WEIGHT = 4.0
@@ -145,11 +145,24 @@ def matched(text: str, entries, exceptions) -> tuple[float, int, int]:
                 spared.append((begin, end))
             else:
                 at[begin] = max(weight, at.get(begin, 0.0))
-        hits = [w for b, w in at.items() if not any(x <= b < y for x, y in spared)]
+        hits = outside(at, spared)
         best = max(best, (sum(hits), len(hits)))
     return *best, words
 
 
+def outside(at: dict[int, float], spans: list[tuple[int, int]]) -> list[float]:
+    """Weights of the matches that begin in no span: one walk over both, by beginning."""
+    hits, reach, next_span = [], 0, 0
+    spans = sorted(spans)
+    for begin in sorted(at):
+        while next_span < len(spans) and spans[next_span][0] <= begin:
+            reach = max(reach, spans[next_span][1])
+            next_span += 1
+        if begin >= reach:
+            hits.append(at[begin])
+    return hits
+
+
 def features(weight, words) -> tuple:
     return np.log1p(weight), np.log1p(100 * weight / (np.asarray(words, float) + 20))
 
@@ -162,14 +175,34 @@ def score(weight, words, curve) -> np.ndarray:
 
 # --- learning -----------------------------------------------------------------------
 
-def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) -> DataFrame:
-    """``(toxic, text)`` of a bounded sample of labelled rows. The sampled ids, at most
-    about ``bound`` longs, are broadcast: no text is shuffled."""
-    known = labels.select(labels["doc_id"].cast("long").alias("label_id"), labels["toxic"].cast("int").alias("toxic")).dropna()
+def class_rates(known: DataFrame, bound: int) -> tuple[float, float]:
+    """Shares of the clean and the toxic labels to sample: up to half of ``bound`` each,
+    so that few toxic rows among many clean ones are not thinned with them."""
+    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    return sample_rate(counts.get(0, 0), bound // 2), sample_rate(counts.get(1, 0), bound // 2)
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) -> tuple[DataFrame, float]:
+    """``(toxic, text)`` of a bounded sample of labelled rows, one row per sampled id, and
+    by how much its classes shift a score's logit. The sampled ids, at most about ``bound``
+    longs, are broadcast: no text is shuffled, but where ids repeat. Of rows that repeat an
+    id the text with the smallest XXH64 is taken."""
+    known = labels.select(labels["doc_id"].cast("long").alias("label_id"), (labels["toxic"].cast("int") > 0).cast("int").alias("toxic")).dropna()
     known = known.groupBy("label_id").agg(F.max("toxic").alias("toxic"))
-    known = id_sample(known, "label_id", sample_rate(known.count(), bound), "toxicity")
+    clean, toxic = class_rates(known, bound)
+    known = id_sample(known.filter("toxic = 0"), "label_id", clean, "toxicity").unionByName(
+        id_sample(known.filter("toxic = 1"), "label_id", toxic, "toxicity")
+    )
+    shift = math.log(toxic / clean)
     texts = id_text(docs)
-    return texts.join(F.broadcast(known), texts["doc_id"] == known["label_id"]).select("toxic", "text")
+    rows = texts.join(F.broadcast(known), texts["doc_id"] == known["label_id"]).withColumn("digest", F.xxhash64(F.coalesce("text", F.lit(""))))
+    repeated = rows.groupBy("label_id").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("first")).filter("n > 1")
+    repeated = materialize(repeated.select(F.col("label_id").alias("repeated_id"), "first"), "toxicity-repeated")  # at most ``bound`` ids
+    if repeated.isEmpty():
+        return rows.select("toxic", "text"), shift
+    marked = rows.join(F.broadcast(repeated), F.col("label_id") == F.col("repeated_id"), "left")
+    once = marked.filter(F.col("digest") == F.col("first")).dropDuplicates(["label_id"])
+    return marked.filter("repeated_id is null").select("toxic", "text").unionByName(once.select("toxic", "text")), shift
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
@@ -298,7 +331,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) -> Mod
     least ``MIN_TOXIC`` toxic documents of the bounded sample hold, the words below
     the chosen ones that clean documents hold, and per sampled row the entries it holds
     and two numbers."""
-    rows = training_rows(docs, labels, bound)
+    rows, shift = training_rows(docs, labels, bound)
     kinds = {r["toxic"]: r["count"] for r in rows.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).count().collect()}
     stated = {f" {w}": STATED_WEIGHT for w in STATED}
     spared = {f" {w}" for w in STATED_EXCEPTIONS}
@@ -307,7 +340,6 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) -> Mod
     words = word_counts(rows).persist()
     usual = candidates(words).filter(F.col("toxic") >= MIN_TOXIC)
     chosen = choose({r["pattern"]: (r["toxic"], r["clean"]) for r in usual.collect()}, kinds[1], kinds[0])
-    chosen = dict(sorted(chosen.items(), key=lambda x: (-x[1], x[0]))[:LEXICON_ENTRIES])
     tried = tuple(sorted(chosen.items()))
 
     def list_entries(batches_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,6 +379,8 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) -> Mod
     seen = rows.mapInArrow(run, "weight double, words long, toxic int").toPandas()
     order = seen.sort_values(["weight", "words", "toxic"])
     curve = fit_curve(order["weight"].to_numpy(), order["words"].to_numpy(), (order["toxic"].to_numpy() > 0).astype(float))
+    if curve is not DEFAULT_CURVE:  # back to the classes' shares among all labels
+        curve = (curve[0] - shift, *curve[1:])
     return Model(entries, exceptions, curve)
 
 

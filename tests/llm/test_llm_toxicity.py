@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import time
 import random
 import zlib
 
@@ -142,3 +143,58 @@ def test_near_copies_share_a_signature():
     words = [f"longword{i}x" for i in range(200)]
     same = sum(tox.signature(set(words)) == tox.signature({*words[:k], "otherword", *words[k + 1 :]}) for k in range(200))
     assert same >= 190
+
+
+def plain_matched(text, entries, exceptions):
+    """Every place of every pattern by plain search, exceptions span by span."""
+    best = (0.0, 0)
+    readings = tox.fold(text)
+    for reading in readings:
+        places = lambda p: [i for i in range(len(reading)) if reading.startswith(p, i)]
+        spans = [(i, i + len(p) - 1) for p in exceptions for i in places(p)]  # a last space begins the next word
+        at: dict = {}
+        for p, w in entries:
+            if p not in exceptions:
+                for i in places(p):
+                    at[i] = max(w, at.get(i, 0.0))
+        hits = [w for i, w in at.items() if not any(a <= i < b for a, b in spans)]
+        best = max(best, (sum(hits), len(hits)))
+    return best
+
+
+def test_matches_equal_plain_search():
+    rng = random.Random(11)
+    words = ["bast", "bastard", "sword", "bastards", "ass", "class", "idiot", "1diot", "moron", "m0r0n", "x", "bad"]
+    entries = ((" bast", 1.0), (" bastard", 2.5), (" ass ", 1.5), (" idiot", 2.0), (" moron", 3.0), (" bad sword", 0.5))
+    exceptions = (" bastard sword", " ass class", " bad bad ", " x")
+    for _ in range(300):
+        text = " ".join(rng.choices(words, k=rng.randrange(12)))
+        got = tox.matched(text, entries, exceptions)
+        want = plain_matched(text, entries, exceptions)
+        assert got[1] == want[1] and got[0] == pytest.approx(want[0])
+
+
+def test_a_million_words_of_matches_take_seconds():
+    text = "bastard sword idiot " * 350_000
+    began = time.time()
+    weight, hits, words = tox.matched(text, ((" bast", 1.0), (" idiot", 2.0)), (" bastard sword",))
+    assert (weight, hits, words) == (700_000.0, 350_000, 1_050_000) and time.time() - began < 30
+
+
+def test_repeated_labelled_ids_stay_within_the_bound(spark, make_docs):
+    """5,000 rows of one labelled id are one row of the sample; repeated texts too."""
+    rows = [(1, f"text {i} of the same id") for i in range(5000)] + [(2, "two")] * 50 + [(i, f"clean words {i}") for i in range(3, 40)]
+    labels = spark.createDataFrame([(i, 0, int(i < 3)) for i in range(1, 40)], "doc_id long, quality int, toxic int")
+    for bound in (10, 1000):
+        learned, shift = tox.training_rows(make_docs(rows).repartition(4), labels, bound)
+        found = learned.collect()
+        assert len(found) <= max(4 * bound, 39) and sum(r["toxic"] for r in found) <= 2
+        assert sorted(map(tuple, found)) == sorted(map(tuple, tox.training_rows(make_docs(rows), labels, bound)[0].collect()))
+    assert len(found) == 39 and shift == 0
+
+
+def test_few_toxic_labels_are_not_thinned(spark):
+    """One toxic label in a thousand: all of them are in the sample, and the logit is shifted back."""
+    known = spark.range(20_000).select((F.col("id") % 1000 == 0).cast("int").alias("toxic"))
+    clean, toxic = tox.class_rates(known, 2000)
+    assert toxic == 1.0 and clean == pytest.approx(1000 / 19_980)
