@@ -63,6 +63,44 @@ def test_fewer_leaves_are_visited_than_there_are(make_vectors):
     assert order[0] == tree.assign(np.array([rows[0][1]], float))[0] or order.index(tree.assign(np.array([rows[0][1]], float))[0]) < 5
 
 
+def test_recall_and_visits_on_other_queries_than_calibrated(spark, monkeypatch):
+    """On a given table: half of the queries calibrate, recall and the share of leaves
+    visited are measured on the other half."""
+    rows = ann.usable(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"))
+    sample = rows.orderBy("id").collect()
+    ids, vectors = np.array([r["id"] for r in sample]), np.stack([np.frombuffer(r["vec"], "<f8") for r in sample])
+    tree = ann.fit_tree(vectors)
+    leaf = tree.assign(vectors)
+    places = {}
+    for at in range(0, len(ids), 10):
+        gaps = ((vectors - vectors[at]) ** 2).sum(axis=1)
+        gaps[at] = np.inf
+        order = {x: n for n, x in enumerate(tree.visits(vectors[at]))}
+        places[at] = [order[x] for x in leaf[np.argsort(gaps)[:10]].tolist()]
+    calibrating = sorted(p for at, some in places.items() if at % 20 == 0 for p in some)
+    visits = calibrating[int(np.ceil(ann.TARGET_RECALL * len(calibrating))) - 1] + 1
+    others = np.array([p for at, some in places.items() if at % 20 for p in some])
+    assert (others < visits).mean() >= 0.9
+    assert visits < 0.75 * tree.n_leaves
+
+
+def test_calibrated_visits_are_the_fewest(make_vectors):
+    rows = ann.usable(make_vectors(clustered(2000, 3)))
+    sample = rows.orderBy("id").collect()
+    tree = ann.fit_tree(np.stack([np.frombuffer(r["vec"], "<f8") for r in sample]))
+    leaf = tree.assign(np.stack([np.frombuffer(r["vec"], "<f8") for r in sample])).tolist()
+    index = rows.sparkSession.createDataFrame([(x, r["id"], r["vec"]) for x, r in zip(leaf, sample)], "leaf long, id long, vec binary")
+    queries = index.filter("id % 40 = 0").select("id", "vec")
+    few, many = (ann.calibrated_visits(tree, index, queries, 10, t) for t in (0.5, 1.0))
+    assert 1 <= few < many <= tree.n_leaves
+
+
+def test_a_repeated_row_is_one_point_of_the_sample(make_vectors):
+    rows = [(7, [1.0, 2.0])] * 3000 + [(i, [float(i % 13), float(i % 7)]) for i in range(100, 160)]
+    found = got(ann.search(make_vectors(rows), F.col("vec_id") == 101, sample_rows=100))
+    assert [i for _, i in found[101]] == [i for _, i in plain_search(rows, [101], 10)[101]]
+
+
 def test_odd_vectors_and_ties(make_vectors):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0])]
