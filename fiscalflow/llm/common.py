@@ -70,6 +70,18 @@ def partition_bases(totals: DataFrame) -> dict[int, int]:
     return base
 
 
+RANGE_BYTES = 128 * 1024 * 1024
+MOST_RANGES = 2_000_000  # a plan of unknown size counts as endless
+
+
+def range_partitions(df: DataFrame) -> int:
+    """Partitions for a range shuffle of ``df``: about ``RANGE_BYTES`` of the size that the
+    planner knows (file sizes) each, the session's shuffle partitions at least."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(-(-size // RANGE_BYTES), MOST_RANGES))
+
+
 def task_number() -> int:
     from pyspark import TaskContext
 

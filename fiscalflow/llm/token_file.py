@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fiscalflow.llm.common import batches, crc32_of, fresh_path, id_text, partition_bases, task_number, texts_of
+from fiscalflow.llm.common import batches, crc32_of, fresh_path, id_text, partition_bases, range_partitions, task_number, texts_of
 from fiscalflow.llm.tokens import END_ID, WORD_BPE, encoder, with_end
 
 SCHEMA = "doc_id long, part int, at long, n_tokens long, ids array<int>"
@@ -32,11 +32,10 @@ BLOOM_FPP = 0.01
 
 
 def ordered(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text)`` ranged and sorted by doc_id over the session's shuffle
-    partitions; equal doc_ids by text hash."""
+    """``(doc_id, text)`` ranged and sorted by doc_id, in partitions sized by the input's
+    bytes; equal doc_ids by text hash."""
     keyed = id_text(docs).withColumn("tie", F.xxhash64("text"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    return keyed.repartitionByRange(range_partitions(docs), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
 
 def encode_rows(docs: DataFrame, tokenizer: str = WORD_BPE, end_id: int | None = END_ID) -> DataFrame:
