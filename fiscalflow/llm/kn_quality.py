@@ -55,7 +55,7 @@ from pyspark.sql import functions as F
 from fiscalflow.llm.common import BROADCAST_IDS, batches, materialize, raw_texts, task_number, texts_of
 
 ORDER = 4
-PART_CHARS = 64_000_000
+PART_CHARS = 32_000_000
 SLICE_CHARS = 2_000_000
 QUANTILE = 0.99
 FOLDS = 5
@@ -382,6 +382,14 @@ def _block(row: dict) -> tuple[list[int | None], list[str], list[int], list[str]
     return row["doc_ids"], row["langs"], list(row["places"]), [raw[a:b].decode() for a, b in zip([0, *ends], ends)]
 
 
+def whole_parts(rows: DataFrame) -> DataFrame:
+    """``rows`` in partitions of about ``PART_CHARS`` characters, but two per core at least:
+    many small files would make as many small parts, each asking for the common n-grams.
+    Partitions are put together without a shuffle."""
+    chars = rows.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    return rows.coalesce(max(-(-chars // PART_CHARS), 2 * rows.sparkSession.sparkContext.defaultParallelism))
+
+
 @contextmanager
 def same_splits(spark: SparkSession):
     """While it lasts, scans of the same files are cut into the same splits: Spark sizes
@@ -404,6 +412,7 @@ def perplexities(rows: DataFrame, model: DataFrame) -> DataFrame:
     """``(doc_id, lang, perplexity, n_grams, trusted)`` of every row of ``placed(...)``
     under the counts ``model`` of ``count_grams``, stored."""
     with same_splits(rows.sparkSession):
+        rows = whole_parts(rows)
         asked = materialize(asked_grams(rows), "kn-asked")
         distinct = materialize(asked.select("lang", "gram").distinct(), "kn-wanted")
         logs = [F.when(F.col("places").bitwiseAND(F.lit(1 << f)) != 0, F.col(f"p{f}")).alias(f"p{f}") for f in PLACES]

@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 def test_entry_registers_the_queries():
     registered = __spark_entry__.queries()
     assert registered["pipeline"].__wrapped__ is corpus_pipeline.run
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in queries.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in queries.QUERIES}
     assert all(registered[name].__wrapped__ is query for name, query in queries.QUERIES.items())
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "toxicity", "simhash_near_dedup", "packing"]
 
