@@ -55,7 +55,7 @@ from pyspark.sql import functions as F
 from fiscalflow.llm.common import BROADCAST_IDS, batches, materialize, raw_texts, task_number, texts_of
 
 ORDER = 4
-PART_CHARS = 32_000_000
+PART_CHARS = 64_000_000
 SLICE_CHARS = 2_000_000
 QUANTILE = 0.99
 FOLDS = 5
@@ -464,7 +464,7 @@ def limits(scored: DataFrame, quantile: float) -> tuple[DataFrame, DataFrame]:
     spread = logs.join(of_lang.select("lang", "median"), "lang").agg(
         F.percentile_approx(F.col("x") - F.col("median"), quantile, 10_000).alias("spread")
     )
-    shared = logs.agg(at(0.5).alias("all")).crossJoin(spread)  # one row each
+    shared = logs.agg(at(0.5).alias("all")).crossJoin(F.broadcast(spread))  # one row each
     shrunk = lambda own, common: (F.col("n") * own + SHRINKAGE * common) / (F.col("n") + SHRINKAGE)
     median = shrunk(F.col("median"), F.col("all"))
     threshold = F.exp(shrunk(F.col("own"), median + F.col("spread")))
