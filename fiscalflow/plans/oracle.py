@@ -473,3 +473,9 @@ ORACLE |= {
     "factorised_lead_time_hist": ORACLE["lead_time_hist"],
     "factorised_lead_time_mean": ORACLE["lead_time_hist_mean"],
 }
+
+# Audits by batches end where audits of the whole tables do.
+ORACLE |= {
+    "audit_pk_batches": ORACLE["audit_pk"],
+    "audit_fk_batches": ORACLE["audit_fk"],
+}
