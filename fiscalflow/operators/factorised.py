@@ -31,29 +31,46 @@ from fiscalflow.sources.model import Model
 PROCESS = "process_instance_id"
 
 
-def document_side(model: Model, spec: FilterSpec) -> DataFrame:
-    """The selected documents: process, id, value, supplier and its place."""
+def placed_documents(model: Model) -> DataFrame:
+    """Documents of a process: process, id, value, supplier and its place."""
     docs = model.tax_documents.filter(F.col(PROCESS).isNotNull()).select(
         PROCESS, "id", "total_value", F.col("type").alias("document_type"),
         F.col("supplier_identification_number").alias("supplier_cnpj"), "supplier_city_id",
     )
-    placed = docs.join(supplier_geography(model), F.col("supplier_city_id") == F.col("city_id"), "left")
-    return placed.filter(reduce(and_, document_predicates(spec), F.lit(True)))
+    return docs.join(supplier_geography(model), F.col("supplier_city_id") == F.col("city_id"), "left")
 
 
-def task_side(model: Model, spec: FilterSpec) -> DataFrame:
-    """The selected tasks with a known definition and status: process, lead time, day."""
+def document_side(model: Model, spec: FilterSpec) -> DataFrame:
+    """The selected documents."""
+    return placed_documents(model).filter(reduce(and_, document_predicates(spec), F.lit(True)))
+
+
+def named_tasks(model: Model) -> DataFrame:
+    """Tasks of a process with a known definition and status, and their names."""
     names = model.task_definitions.select(F.col("id").alias("task_definition_id"), F.col("name").alias("task_name"))
     states = model.status.select(F.col("id").alias("status_id"), F.col("name").alias("task_status"))
     tasks = model.tasks.filter(F.col(PROCESS).isNotNull()).select(PROCESS, "created_at", "completed_at", "task_definition_id", "status_id")
-    named = tasks.join(names, "task_definition_id").join(states, "status_id")
-    return named.filter(reduce(and_, task_predicates(spec), F.lit(True))).select(
-        PROCESS, lead_time_hours("created_at", "completed_at").alias("lead_time_hours"), posting_day("completed_at").alias("posted_on")
-    )
+    return tasks.join(names, "task_definition_id").join(states, "status_id")
 
 
-def _value() -> Column:
-    return F.coalesce(F.sum(F.col("total_value").cast(SUMMAND)), F.lit(0).cast(SUMMAND))
+def task_side(model: Model, spec: FilterSpec) -> DataFrame:
+    """The selected tasks: process, lead time, day."""
+    return named_tasks(model).filter(reduce(and_, task_predicates(spec), F.lit(True))).select(PROCESS, *timed())
+
+
+def timed() -> list[Column]:
+    return [lead_time_hours("created_at", "completed_at").alias("lead_time_hours"), posting_day("completed_at").alias("posted_on")]
+
+
+def summed_documents() -> list[Column]:
+    """Documents, documents with an id, their value."""
+    value = F.coalesce(F.sum(F.col("total_value").cast(SUMMAND)), F.lit(0).cast(SUMMAND))
+    return [F.count(F.lit(1)).alias("docs"), F.count("id").alias("ids"), value.alias("value")]
+
+
+def summed_tasks() -> list[Column]:
+    """Tasks, and the sum and number of their lead times."""
+    return [F.count(F.lit(1)).alias("n"), F.sum("lead_time_hours").alias("lead"), F.count("lead_time_hours").alias("measured")]
 
 
 class FactorisedPanels:
@@ -64,16 +81,10 @@ class FactorisedPanels:
         self.tasks = task_side(model, spec)
 
     def _documents(self, *keys: str) -> DataFrame:
-        """Per process and ``keys``: documents, documents with an id, their value."""
-        return self.documents.groupBy(PROCESS, *keys).agg(
-            F.count(F.lit(1)).alias("docs"), F.count("id").alias("ids"), _value().alias("value")
-        )
+        return self.documents.groupBy(PROCESS, *keys).agg(*summed_documents())
 
     def _tasks(self, *keys: str) -> DataFrame:
-        """Per process and ``keys``: tasks, and the sum and number of their lead times."""
-        return self.tasks.groupBy(PROCESS, *keys).agg(
-            F.count(F.lit(1)).alias("n"), F.sum("lead_time_hours").alias("lead"), F.count("lead_time_hours").alias("measured")
-        )
+        return self.tasks.groupBy(PROCESS, *keys).agg(*summed_tasks())
 
     def kpis(self) -> DataFrame:
         met = self._documents("supplier_cnpj").join(self._tasks(), PROCESS)

@@ -24,6 +24,7 @@ from fiscalflow.functions import cnpj, dates, keys, money
 from fiscalflow.operators import audit, export, filters, labels, load, metrics
 from fiscalflow.operators import report as rep
 from fiscalflow.operators.report_sql import report_last_month_sql
+from fiscalflow.operators.cube import KpiCube
 from fiscalflow.operators.delta_audit import DeltaAudit
 from fiscalflow.operators.fact import build_fact, display_order, docs_tasks_join
 from fiscalflow.operators.factorised import FactorisedPanels
@@ -237,6 +238,17 @@ def factorised_lead_time_mean(spark, sf_dir):
     return _factorised(spark, sf_dir).lead_time_summary()
 
 
+# --- the same from a stored cube ----------------------------------------------
+
+def cube_kpis(spark, sf_dir):
+    return KpiCube.build(_model(spark, sf_dir)).kpis()
+
+
+def cube_suppliers(spark, sf_dir):
+    """Distinct suppliers per state and document type, under the explicit selection."""
+    return KpiCube.build(_model(spark, sf_dir)).suppliers(DASHBOARD, ["supplier_state", "document_type"])
+
+
 # --- loading and audits (S5, C1-C3, P9) --------------------------------------
 
 def _loaded_and_incoming(spark, sf_dir):
@@ -481,6 +493,8 @@ QUERIES: dict[str, Query] = {
     "factorised_daily_volume": factorised_daily_volume,
     "factorised_lead_time_hist": factorised_lead_time_hist,
     "factorised_lead_time_mean": factorised_lead_time_mean,
+    "cube_kpis": cube_kpis,
+    "cube_suppliers": cube_suppliers,
     "insert_if_absent": insert_if_absent,
     "insert_rejected": insert_rejected,
     "bulk_load": bulk_load,

@@ -479,3 +479,12 @@ ORACLE |= {
     "audit_pk_batches": ORACLE["audit_pk"],
     "audit_fk_batches": ORACLE["audit_fk"],
 }
+
+# The stored cube answers as the fact does.
+ORACLE |= {
+    "cube_kpis": ORACLE["kpis"],
+    "cube_suppliers": q(DASH + """
+SELECT supplier_state, document_type, count(DISTINCT supplier_cnpj) AS suppliers
+FROM dash GROUP BY supplier_state, document_type HAVING count(DISTINCT supplier_cnpj) > 0
+"""),
+}
