@@ -29,6 +29,7 @@ from fiscalflow.operators.delta_audit import DeltaAudit
 from fiscalflow.operators.fact import build_fact, display_order, docs_tasks_join
 from fiscalflow.operators.factorised import FactorisedPanels
 from fiscalflow.operators.filters import FilterSpec
+from fiscalflow.operators.process_buckets import ProcessBuckets
 from fiscalflow.session import shared_dir
 from fiscalflow.sources.tpch import model_from_tpch, read_source
 
@@ -120,6 +121,11 @@ def fact(spark, sf_dir):
     return _fact(spark, sf_dir)
 
 
+def fact_bucketed(spark, sf_dir):
+    """The fact from stored tables bucketed by process."""
+    return ProcessBuckets.store(_model(spark, sf_dir), buckets=16).fact()
+
+
 def fact_display(spark, sf_dir):
     """The fact in display order."""
     ordered = display_order(_fact(spark, sf_dir))
@@ -466,6 +472,7 @@ QUERIES: dict[str, Query] = {
     "docs_tasks_join": docs_tasks,
     "po_rollup": po_rollup,
     "fact": fact,
+    "fact_bucketed": fact_bucketed,
     "fact_display": fact_display,
     "filter_period": filter_period,
     "filter_members": filter_members,

@@ -488,3 +488,6 @@ SELECT supplier_state, document_type, count(DISTINCT supplier_cnpj) AS suppliers
 FROM dash GROUP BY supplier_state, document_type HAVING count(DISTINCT supplier_cnpj) > 0
 """),
 }
+
+# Stored in buckets, the tables give the same fact.
+ORACLE["fact_bucketed"] = ORACLE["fact"]
