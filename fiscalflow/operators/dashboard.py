@@ -2,7 +2,8 @@
 interaction (a FilterSpec) is a filter on the stored table plus small aggregates.
 
 The stored fact is partitioned by posting month; a period selection adds a
-predicate on the partition column, so only the months in range are read.
+predicate on the partition column, so only the months in range are read, and on the
+day, so that within them row groups of other days are skipped.
 """
 
 from __future__ import annotations
@@ -79,7 +80,7 @@ class Dashboard:
 
     def select(self, spec: FilterSpec) -> DataFrame:
         """The filtered fact (13 columns), reading only the months in the period."""
-        preds = filters.filter_predicates(spec)
+        preds = [*filters.filter_predicates(spec), filters.day_predicate(spec.period)]
         month = F.col(MONTH)
         preds.append(month.isNotNull())
         if spec.period is not None:

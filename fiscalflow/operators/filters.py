@@ -71,6 +71,19 @@ def period_predicate(period: tuple | None) -> Column:
     return pred
 
 
+def day_predicate(period: tuple | None) -> Column:
+    """``period_predicate`` as a condition on the posting day, for stored facts: Parquet
+    compares dates with its statistics and skips row groups, but no zone-less timestamps."""
+    day = F.col("posted_on")
+    pred = day.isNotNull()
+    lo, hi = (None, None) if period is None else (_as_date(p) for p in period)
+    if lo is not None:
+        pred = pred & (day >= F.lit(lo))
+    if hi is not None:
+        pred = pred & (day <= F.lit(hi))
+    return pred
+
+
 def task_predicates(spec: FilterSpec) -> list[Column]:
     """The filters on a task: period, name and status."""
     named = ((spec.tasks, "task_name"), (spec.statuses, "task_status"))

@@ -52,13 +52,11 @@ def po_rollup(items: DataFrame, key: str = "tax_document_id") -> DataFrame:
 
 def posting_tasks(model: Model, window: tuple[Column, Column] | None = None) -> DataFrame:
     """Successful posting tasks, optionally with completion inside [lo, hi)."""
-    pred = (F.col("task_definition_id") == schemas.POSTING_TASK_ID) & (
-        F.col("status_id") == schemas.POSTING_SUCCESS_STATUS_ID
+    tasks = model.tasks if window is None else model.tasks_between(*window)
+    return tasks.filter(
+        (F.col("task_definition_id") == schemas.POSTING_TASK_ID)
+        & (F.col("status_id") == schemas.POSTING_SUCCESS_STATUS_ID)
     )
-    if window is not None:
-        lo, hi = window
-        pred = pred & (F.col("completed_at") >= lo) & (F.col("completed_at") < hi)
-    return model.tasks.filter(pred)
 
 
 def success_postings(model: Model, window: tuple[Column, Column] | None = None) -> DataFrame:

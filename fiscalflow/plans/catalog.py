@@ -24,11 +24,13 @@ from fiscalflow.functions import cnpj, dates, keys, money
 from fiscalflow.operators import audit, export, filters, labels, load, metrics
 from fiscalflow.operators import report as rep
 from fiscalflow.operators.report_sql import report_last_month_sql
+from fiscalflow.operators.clustered_fact import ClusteredFact
 from fiscalflow.operators.cube import KpiCube
 from fiscalflow.operators.delta_audit import DeltaAudit
 from fiscalflow.operators.fact import build_fact, display_order, docs_tasks_join
 from fiscalflow.operators.factorised import FactorisedPanels
 from fiscalflow.operators.filters import FilterSpec
+from fiscalflow.operators.order_lists import po_rollup_streamed as streamed_lists
 from fiscalflow.operators.process_buckets import ProcessBuckets
 from fiscalflow.session import shared_dir
 from fiscalflow.sources.tpch import model_from_tpch, read_source
@@ -115,6 +117,10 @@ def po_rollup(spark, sf_dir):
     return rep.po_rollup(_model(spark, sf_dir).items)
 
 
+def po_rollup_streamed(spark, sf_dir):
+    return streamed_lists(_model(spark, sf_dir).items)
+
+
 # --- fact, filters, facets (P4-P7, J5-J8, A13, A14) --------------------------
 
 def fact(spark, sf_dir):
@@ -126,6 +132,11 @@ def fact_bucketed(spark, sf_dir):
     return ProcessBuckets.store(_model(spark, sf_dir), buckets=16).fact()
 
 
+def fact_clustered(spark, sf_dir):
+    """The explicit selection from the fact stored by its interleaved key."""
+    return ClusteredFact.store(_fact(spark, sf_dir)).select(DASHBOARD)
+
+
 def fact_display(spark, sf_dir):
     """The fact in display order."""
     ordered = display_order(_fact(spark, sf_dir))
@@ -471,8 +482,10 @@ QUERIES: dict[str, Query] = {
     "last_month_window": last_month_window,
     "docs_tasks_join": docs_tasks,
     "po_rollup": po_rollup,
+    "po_rollup_streamed": po_rollup_streamed,
     "fact": fact,
     "fact_bucketed": fact_bucketed,
+    "fact_clustered": fact_clustered,
     "fact_display": fact_display,
     "filter_period": filter_period,
     "filter_members": filter_members,

@@ -489,5 +489,7 @@ FROM dash GROUP BY supplier_state, document_type HAVING count(DISTINCT supplier_
 """),
 }
 
-# Stored in buckets, the tables give the same fact.
+# Stored in buckets or clustered, the tables give the same fact; streamed, the same lists.
 ORACLE["fact_bucketed"] = ORACLE["fact"]
+ORACLE["fact_clustered"] = ORACLE["filtered_fact"]
+ORACLE["po_rollup_streamed"] = ORACLE["po_rollup"]

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fiscalflow import schemas
 
 Table = DataFrame | Callable[[], DataFrame]
+# Day of ``completed_at``, which stored tasks may carry beside the schema's columns.
+COMPLETION_DAY = "completed_on"
 
 
 class Model:
@@ -21,10 +23,12 @@ class Model:
     the sources of the tables it reads.
     """
 
-    def __init__(self, **tables: Table):
+    def __init__(self, dated_tasks: DataFrame | None = None, **tables: Table):
+        """``dated_tasks``: the tasks with their ``COMPLETION_DAY``, if they are stored so."""
         if set(tables) != set(schemas.SCHEMAS):
             raise TypeError(f"a model has the tables {', '.join(schemas.SCHEMAS)}")
         self._tables = tables
+        self._dated_tasks = dated_tasks
 
     def table(self, name: str) -> DataFrame:
         made = self._tables[name]
@@ -42,21 +46,33 @@ class Model:
 
     def with_tables(self, **tables: Table) -> Model:
         """The same model with some tables replaced."""
-        return Model(**(self._tables | tables))
+        return Model(None if "tasks" in tables else self._dated_tasks, **(self._tables | tables))
+
+    def tasks_between(self, lo: Column, hi: Column) -> DataFrame:
+        """The tasks completed in [lo, hi). Where they are stored with their day, the scan
+        skips row groups by it: Parquet compares dates with its statistics, but no
+        zone-less timestamps."""
+        done = F.col("completed_at")
+        inside = (done >= lo) & (done < hi)
+        if self._dated_tasks is None:
+            return self.tasks.filter(inside)
+        day = F.col(COMPLETION_DAY)  # the day of hi may still hold rows before it
+        return self._dated_tasks.filter(inside & (day >= lo.cast("date")) & (day <= hi.cast("date"))).drop(COMPLETION_DAY)
 
 
 def empty(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], schemas.SCHEMAS[name])
 
 
-def conform(df: DataFrame, name: str) -> DataFrame:
-    """Select and cast the columns of ``df`` to the model schema of ``name``. A column
-    that ``df`` lacks is an error: a misspelt source must not become nulls."""
+def conform(df: DataFrame, name: str, keep: Iterable[str] = ()) -> DataFrame:
+    """Select and cast the columns of ``df`` to the model schema of ``name``, with the
+    columns ``keep`` after them. A column that ``df`` lacks is an error: a misspelt
+    source must not become nulls."""
     schema = schemas.SCHEMAS[name]
     missing = [field.name for field in schema.fields if field.name not in df.columns]
     if missing:
         raise ValueError(f"table {name} lacks the columns {', '.join(missing)}")
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields], *keep)
 
 
 def model_from_tables(

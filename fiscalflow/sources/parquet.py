@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fiscalflow import schemas
-from fiscalflow.sources.model import Model, model_from_tables
+from fiscalflow.sources.model import COMPLETION_DAY, Model, conform, model_from_tables
 
 
 def read_table(spark: SparkSession, base: str, name: str, schema: str | None = None) -> DataFrame:
@@ -23,7 +24,11 @@ def read_model(spark: SparkSession, base: str, names: list[str] | None = None) -
     """
     wanted = names if names is not None else list(schemas.SCHEMAS)
     left_out = [n for n in schemas.SCHEMAS if n not in wanted]
-    return model_from_tables(spark, {n: read_table(spark, base, n) for n in wanted}, left_out)
+    tables = {n: read_table(spark, base, n) for n in wanted}
+    model = model_from_tables(spark, tables, left_out)
+    if "tasks" in tables and COMPLETION_DAY in tables["tasks"].columns:
+        model = Model(conform(tables["tasks"], "tasks", keep=[COMPLETION_DAY]), **{n: model.table(n) for n in model.names()})
+    return model
 
 
 def write_model(model: Model, base: str, mode: str = "errorifexists") -> None:
@@ -31,8 +36,9 @@ def write_model(model: Model, base: str, mode: str = "errorifexists") -> None:
 
     The large tables are sorted within files by the column their selective
     predicates use, so parquet min/max statistics skip row groups: tasks by
-    completion (the report's month window and the dashboard period are pushed to
-    the tasks scan), items by document (the report's semi join), documents by id.
+    completion, items by document (the report's semi join), documents by id. Parquet
+    compares dates with its statistics, but no zone-less timestamps: tasks carry their
+    completion day as a column more, which ``Model.tasks_between`` asks too.
     """
     sort_keys = {
         "tax_documents": ["id"],
@@ -41,6 +47,8 @@ def write_model(model: Model, base: str, mode: str = "errorifexists") -> None:
     }
     for name in model.names():
         df = model.table(name)
+        if name == "tasks":
+            df = df.withColumn(COMPLETION_DAY, F.to_date("completed_at"))
         if name in sort_keys:
             df = df.sortWithinPartitions(*sort_keys[name])
         df.write.mode(mode).parquet(f"{base.rstrip('/')}/{name}.parquet")

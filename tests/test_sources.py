@@ -81,9 +81,33 @@ def test_stored_model_pushes_report_window_to_tasks_scan(spark, seed):
         spark.conf.set("spark.sql.maxMetadataStringLength", old)
     scan = [ln for ln in plan.splitlines() if "tasks.parquet" in ln][0]
     assert "GreaterThanOrEqual(completed_at" in scan and "LessThan(completed_at" in scan
+    assert "GreaterThanOrEqual(completed_on,2024-02-01)" in scan
     assert len(df.collect()) == 2
 
 
+def test_stored_tasks_skip_row_groups_by_their_day(spark, seed, tmp_path):
+    """30 files of a day each; the window reads the files of its days. Bounds within a
+    day keep the rows on either side of them apart."""
+    from pyspark.sql import functions as F
+
+    from fiscalflow.operators.clustered_fact import rows_scanned
+
+    tasks = spark.range(0, 30 * 24, 1, 30).select(
+        "id", F.lit(None).cast("timestamp_ntz").alias("created_at"),
+        F.expr("timestamp_ntz'2024-02-01 00:30:00' + make_dt_interval(0, cast(id as int))").alias("completed_at"),
+        *[F.lit(12).cast("long").alias(c) for c in ("task_definition_id", "status_id", "assing_to_id", "completed_by_id", "process_instance_id")],
+    )
+    write_model(seed.with_tables(tasks=tasks), f"{tmp_path}/m")
+    back = read_model(spark, f"{tmp_path}/m")
+    assert back.tasks.columns == seed.tasks.columns
+    lo, hi = (F.expr(f"timestamp_ntz'2024-02-{x}'") for x in ("03 12:00:00", "05 06:00:00"))
+    found = back.tasks_between(lo, hi)
+    assert found.columns == seed.tasks.columns and found.count() == 42
+    assert rows_scanned(found) == 3 * 24
+    moved = back.with_tables(tasks=tasks.filter("id < 60"))
+    assert moved.tasks_between(lo, hi).count() == 0  # other tasks, not the stored ones
+
+
 def test_a_query_opens_only_what_it_reads(spark, monkeypatch):
     """No table is opened by making the model, and a given schema starts no job."""
     from fiscalflow.sources import tpch
