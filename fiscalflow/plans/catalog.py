@@ -10,10 +10,12 @@ return what they wrote, read back.
 from __future__ import annotations
 
 import datetime as dt
+import os
 import uuid
 import zlib
 from collections.abc import Callable
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,7 +119,16 @@ def po_rollup(spark, sf_dir):
     return rep.po_rollup(_model(spark, sf_dir).items)
 
 
+def _package_for_workers(spark):
+    """Puts the folder of this package on the import path of the Python workers too (on a
+    cluster without a shared file system the package goes along with --py-files)."""
+    here, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    given = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x and x != here]
+    env["PYTHONPATH"] = os.pathsep.join([here, *given])
+
+
 def po_rollup_streamed(spark, sf_dir):
+    _package_for_workers(spark)
     return streamed_lists(_model(spark, sf_dir).items)
 
 
