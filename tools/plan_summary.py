@@ -17,7 +17,7 @@ from fiscalflow.session import build_session  # noqa: E402
 KEEP = ("Exchange", "SortMergeJoin", "BroadcastHashJoin", "ShuffledHashJoin", "HashAggregate",
         "ObjectHashAggregate", "SortAggregate", "FileScan", "ReusedExchange", "Expand",
         "TakeOrderedAndProject", "Window", "LocalTableScan", "Subquery", "ArrowEvalPython",
-        "BroadcastNestedLoopJoin", "CartesianProduct", "Generate")
+        "BroadcastNestedLoopJoin", "CartesianProduct", "Generate", "MapInArrow")
 
 
 def skeleton(plan: str) -> list[str]:
@@ -73,7 +73,7 @@ def main():
         "  AQE may split a hot process below it without a forcing setting.",
         "* panels: every aggregate has its partial_ half before its exchange;",
         "  `panel_grouping_sets` is one Expand + one exchange for three panels.",
-        "* `audit_fk`: one anti join per key.",
+        "* `audit_fk`: one anti join per child table.",
         "* No CartesianProduct / BroadcastNestedLoopJoin anywhere.",
         "",
         "| query | hash x | range x | single x | reused | SMJ | BHJ | partial aggs | expand |",
