@@ -33,7 +33,7 @@ BITS = 6  # of a rank at most
 ACCURACY = 10_000  # of the day quantiles
 KEY = "_cluster_key"
 ROW_GROUP_BYTES = 128 * 1024 * 1024
-FILE_BYTES = 1024 * 1024 * 1024
+FILE_BYTES = 128 * 1024 * 1024  # stored; the task that sorts a file reads about twice that
 
 
 def bounds_of(fact: DataFrame, bits: int = BITS) -> dict[str, list]:
@@ -69,6 +69,11 @@ def interleaved(ranks: Sequence[tuple[Column, int]]) -> Column:
     return key
 
 
+def files_for(stored_bytes: int) -> int:
+    """Files, each sorted by one task, for a table of ``stored_bytes``."""
+    return max(1, -(-stored_bytes // FILE_BYTES))
+
+
 def cluster_key(bounds: dict[str, list]) -> Column:
     """The key of a row of the fact. At most 5 x 6 bits of a long."""
     ranks = []
@@ -101,7 +106,7 @@ class ClusteredFact:
         rows = materialize(fact, f"{name}_unsorted")
         bounds = bounds_of(rows, bits)
         if files is None:
-            files = max(1, -(-int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // FILE_BYTES))
+            files = files_for(int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
         path = f"{shared_dir(spark, 'tables', name)}/v{time.strftime('%Y%m%d%H%M%S')}-{uuid.uuid4().hex[:8]}"
         made = cls(rows, path, bounds)
         made._write(rows, files, row_group_bytes)

@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from fiscalflow.operators import clustered_fact
 from fiscalflow.operators.clustered_fact import BITS, ClusteredFact, bounds_of, cluster_key, interleaved, place, rows_scanned
 from fiscalflow.operators.fact import build_fact
 from fiscalflow.operators.filters import FilterSpec, apply_filters
@@ -105,3 +106,13 @@ def test_interleaved_bits(spark):
         A, B, C = f"{a:03b}", f"{b:01b}", f"{c:04b}"
         assert k == int("".join(x[i] for i in range(4) for x in (A, B, C) if i < len(x)), 2)
     assert spark.range(1).select(interleaved([]).alias("k")).first()["k"] == 0
+
+
+def test_no_task_sorts_more_than_a_bounded_file(spark, monkeypatch):
+    gb = 1024**3
+    assert clustered_fact.files_for(0) == 1
+    assert all(size / clustered_fact.files_for(size) <= gb / 8 for size in (gb, 6 * gb, 60 * gb + 1))
+    monkeypatch.setattr(clustered_fact, "FILE_BYTES", 256 * 1024)
+    stored = ClusteredFact.store(made_fact(spark, 60_000))
+    sizes = [r["count"] for r in stored.fact.groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) > 2 and sum(sizes) == 60_000 and max(sizes) < 2 * 60_000 / len(sizes)
