@@ -18,7 +18,8 @@ else; what a failed one left is never read, and it may be applied again.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
@@ -45,6 +46,12 @@ LOGS = ("keys", "refs")
 MARKERS = "committed"
 MARKER = "batch int, version string, buckets int"
 
+# Keys are small as files and large in a hash table (some 40 times), so a task gets less
+# of them than Spark's 64 MB of shuffle: of stored bytes, and of a shuffle's.
+TASK_STORED_BYTES = 4 * 1024 * 1024
+TASK_SHUFFLE_BYTES = 12 * 1024 * 1024
+MOST_TASKS = 20_000
+
 
 def _same_pair(a: DataFrame, b: DataFrame) -> Column:
     return (a["parent"] == b["parent"]) & a["fk_value"].eqNullSafe(b["fk_value"])
@@ -64,6 +71,31 @@ def _nothing(spark: SparkSession, schema: str) -> DataFrame:
     return spark.range(0, 0, 1, 1).select(*[F.lit(None).cast(kind).alias(name) for name, kind in columns])
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the files below ``df``. What is no file (its size is unknown) counts nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < 2**62)
+
+
+@contextmanager
+def small_tasks(spark: SparkSession, size: int) -> Iterator[None]:
+    """Within it, shuffles of ``size`` stored bytes give tasks of bounded size."""
+    advisory, partitions = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions"
+    held = {name: spark.conf.get(name, None) for name in (advisory, partitions)}
+    least = int(spark.conf.get(partitions))
+    spark.conf.set(advisory, str(TASK_SHUFFLE_BYTES))
+    spark.conf.set(partitions, str(max(least, min(-(-size // TASK_STORED_BYTES), MOST_TASKS))))
+    try:
+        yield
+    finally:
+        for name, value in held.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def _read(spark: SparkSession, schema: str, base: str, *paths: str) -> DataFrame:
     """The files under ``paths``, some of which may be missing."""
     found = []
@@ -172,9 +204,15 @@ class DeltaAudit:
         """The state after a batch of rows ``added`` to and ``removed`` from tables, by
         name; tables without changes are left out. A changed row is removed as it was and
         added as it is, as change feeds give it. Batches are applied one at a time."""
-        version = uuid.uuid4().hex
         fks = list(foreign_keys if foreign_keys is not None else schemas.FOREIGN_KEYS)
-        key_changes, ref_changes = self._changes(added, removed or {}, fks)
+        size = sum(stored_bytes(rows) for tables in (added, removed or {}) for rows in tables.values())
+        logs = sum(stored_bytes(self._log(name, f"{self.root}/{name}")) for name in LOGS) if self.versions else 0
+        with small_tasks(self.spark, size + logs):
+            return self._applied(added, removed or {}, fks)
+
+    def _applied(self, added: Tables, removed: Tables, fks: Sequence[ForeignKey]) -> DeltaAudit:
+        version = uuid.uuid4().hex
+        key_changes, ref_changes = self._changes(added, removed, fks)
         keys = self._append("keys", key_changes, version).select(*PAIR, "change")
         refs = self._append("refs", ref_changes, version).select(*REFERENCE, "change")
 

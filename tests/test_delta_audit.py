@@ -7,7 +7,7 @@ import random
 import pytest
 
 from fiscalflow import schemas
-from fiscalflow.operators import audit
+from fiscalflow.operators import audit, delta_audit
 from fiscalflow.operators.delta_audit import DeltaAudit
 from fiscalflow.sources.model import empty, model_from_tables
 
@@ -99,3 +99,24 @@ def test_uncommitted_batches_are_not_read(spark, tmp_path):
         DeltaAudit.open(spark, str(tmp_path / "none"))
     with pytest.raises(ValueError, match="no such tables"):
         again.apply({"tabel": spark.range(1)})
+
+
+def test_tasks_of_a_batch_follow_its_bytes(spark, tmp_path, monkeypatch):
+    """Stored rows and the logs set the partitions of a batch; the session's settings are
+    as before afterwards, also when it fails."""
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    settings = lambda: [spark.conf.get(n, None) for n in names]
+    before, seen = settings(), []
+    applied = DeltaAudit._applied
+    monkeypatch.setattr(DeltaAudit, "_applied", lambda *args: seen.append(settings()) or applied(*args))
+    monkeypatch.setattr(delta_audit, "TASK_STORED_BYTES", 16)
+    path = str(tmp_path / "states")
+    spark.range(5000).selectExpr("id", "cast(id as string) as name").write.parquet(path)
+    states = spark.read.schema("id long, name string").parquet(path)
+    state = DeltaAudit.start(spark, str(tmp_path / "a"), {"states": states.limit(20)}, buckets=2)
+    assert int(seen[0][0]) > int(spark.conf.get(names[0])) and int(seen[0][1]) == delta_audit.TASK_SHUFFLE_BYTES
+    assert settings() == before
+    monkeypatch.setattr(DeltaAudit, "_applied", lambda *args: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        state.apply({"states": states.limit(1)})
+    assert settings() == before
