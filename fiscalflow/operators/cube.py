@@ -31,11 +31,13 @@ MONTH = "posted_month"
 OF_DOCUMENT = ["document_type", "supplier_state"]
 OF_TASK = ["posted_on", "task_name", "task_status"]
 CELL = [*OF_TASK, *OF_DOCUMENT]
+SUMS = ["spend", "documents", "lead", "measured"]
 
 
 def numbered_suppliers(documents: DataFrame) -> DataFrame:
     """``(supplier_cnpj, supplier_no)``, stored, so that a number is given once: a task run
-    again must not number anew. The numbers of a range follow each other."""
+    again must not number anew. The numbers of a range follow each other. ``documents`` may
+    be any rows of a supplier and its state."""
     known = documents.filter("supplier_cnpj is not null").groupBy("supplier_cnpj").agg(F.min("supplier_state").alias("state"))
     order = ["state", "supplier_cnpj"]
     ranged = known.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -57,24 +59,25 @@ class KpiCube:
 
     @classmethod
     def build(cls, model: Model, name: str = "kpi_cube") -> KpiCube:
-        """Documents and tasks are reduced per process and the cell's columns before they
-        meet, so a process that holds a third of both makes no product of its rows. A set
-        is made of distinct (cell, number) pairs, at most 32,768 in a bucket, however many
-        documents a supplier has. Rows without a completion day are in no selection."""
-        documents = placed_documents(model)
+        """Documents and tasks are reduced per process and the cell's columns, documents per
+        supplier too, before they meet, so a process that holds a third of both makes no
+        product of its rows. They meet once: sums per cell and supplier are stored, and
+        sums, sets and the suppliers' numbers are made of those. A set is made of distinct
+        (cell, number) pairs, at most 32,768 in a bucket, however many documents a supplier
+        has. Rows without a completion day are in no selection."""
+        documents = placed_documents(model).groupBy(PROCESS, *OF_DOCUMENT, "supplier_cnpj").agg(*summed_documents())
         tasks = named_tasks(model).select(PROCESS, "task_name", "task_status", *timed()).filter("posted_on is not null")
         tasks = tasks.groupBy(PROCESS, *OF_TASK).agg(*summed_tasks())
-
-        met = documents.groupBy(PROCESS, *OF_DOCUMENT).agg(*summed_documents()).join(tasks, PROCESS)
-        sums = met.groupBy(*CELL).agg(
+        met = documents.join(tasks, PROCESS).groupBy(*CELL, "supplier_cnpj").agg(
             F.sum(F.col("value") * F.col("n")).alias("spend"),
             F.sum(F.col("ids") * F.col("n")).alias("documents"),
             F.sum(F.col("lead") * F.col("docs")).alias("lead"),
             F.sum(F.col("measured") * F.col("docs")).alias("measured"),
         )
+        met = materialize(met, f"{name}_suppliers")
 
-        suppliers = documents.select(PROCESS, *OF_DOCUMENT, "supplier_cnpj").distinct().join(numbered_suppliers(documents), "supplier_cnpj")
-        members = suppliers.join(tasks.select(PROCESS, *OF_TASK), PROCESS).select(*CELL, "supplier_no").distinct()
+        sums = met.groupBy(*CELL).agg(*[F.sum(c).alias(c) for c in SUMS])
+        members = met.select(*CELL, "supplier_cnpj").join(numbered_suppliers(met), "supplier_cnpj")
         bucket = F.bitmap_bucket_number("supplier_no").alias("bucket")
         placed = members.select(*CELL, bucket, F.bitmap_bit_position("supplier_no").alias("position"))
         # one exchange of pairs; partial bitmaps of 4 KB per task would weigh more

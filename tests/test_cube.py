@@ -74,3 +74,12 @@ def test_nothing(spark):
     cells = KpiCube.build(build_model(spark))
     assert values(cells.kpis()) == [(0.0, 0, None, 0)]
     assert values(cells.suppliers(by=["supplier_state"])) == []
+
+
+def test_documents_and_tasks_meet_once(crowded, monkeypatch):  # noqa: F811
+    """Sums, sets and numbers are made of one stored table."""
+    plans = []
+    kept = cube.materialize
+    monkeypatch.setattr(cube, "materialize", lambda df, *more: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or kept(df, *more))
+    KpiCube.build(crowded)
+    assert [cube.PROCESS in plan for plan in plans] == [True] + [False] * (len(plans) - 1) and len(plans) == 6
