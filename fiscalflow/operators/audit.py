@@ -46,7 +46,7 @@ def orphans(child: DataFrame, fk: str, parent: DataFrame, parent_key: str = "id"
     return child.filter(F.col(fk).isNotNull()).join(keys, fk, "left_anti")
 
 
-def _constraint(child: str, column: str, parent: str) -> str:
+def constraint_name(child: str, column: str, parent: str) -> str:
     return f"{child}.{column} -> {parent}"
 
 
@@ -63,7 +63,7 @@ def references(model: Model, foreign_keys: Iterable[ForeignKey]) -> DataFrame:
     for child, fks in by_child.items():
         keys = F.array(
             *[
-                F.struct(F.lit(_constraint(*fk)).alias("constraint"), F.lit(fk[2]).alias("parent"), F.col(fk[1]).cast("long").alias("fk_value"))
+                F.struct(F.lit(constraint_name(*fk)).alias("constraint"), F.lit(fk[2]).alias("parent"), F.col(fk[1]).cast("long").alias("fk_value"))
                 for fk in fks
             ]
         )

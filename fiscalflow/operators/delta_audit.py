@@ -13,6 +13,13 @@ Both stores are logs of changes, partitioned by a hash of the key: a batch appen
 changes and reads the buckets its keys fall into. The violations are a table of their own,
 written anew for each batch. A batch counts once its marker is written, after everything
 else; what a failed one left is never read, and it may be applied again.
+
+A batch's rows are staged once, as their keys alone, so that joins and aggregates they come
+from run once. The logs are written from there without a shuffle, and changes that cancel
+each other are left to the sums of those who read them. One aggregate by key then takes
+all that decides about it: the batch's changes and references, the committed changes and
+the violations so far. Tables and constraints are numbers within a batch, names in the
+stores.
 """
 
 from __future__ import annotations
@@ -28,9 +35,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from fiscalflow import schemas
-from fiscalflow.operators.audit import ForeignKey, references
-from fiscalflow.operators.store import materialize
-from fiscalflow.sources.model import empty, model_from_tables
+from fiscalflow.operators.audit import ForeignKey, constraint_name
+from fiscalflow.sources.model import conform
 
 Tables = Mapping[str, DataFrame]
 
@@ -45,12 +51,17 @@ STORES = {
 LOGS = ("keys", "refs")
 MARKERS = "committed"
 MARKER = "batch int, version string, buckets int"
+STAGED = "table int, id long, change long, fks array<bigint>"
+KEPT = "table int, fk_value long, rows long, absent boolean, gone boolean"
+TOUCHED, BROKEN = 1, 2  # flags of a key: the batch holds it, references to it are violated so far
 
 # Keys are small as files and large in a hash table (some 40 times), so a task gets less
 # of them than Spark's 64 MB of shuffle: of stored bytes, and of a shuffle's.
 TASK_STORED_BYTES = 4 * 1024 * 1024
 TASK_SHUFFLE_BYTES = 12 * 1024 * 1024
+TASK_READ_BYTES = 32 * 1024 * 1024  # a task sorts what it stages or reads of it, some 30 times that in memory
 MOST_TASKS = 20_000
+FEW_ROWS = 200_000  # of a batch whose keys are looked up in the log, instead of the log's keys being summed up with them
 
 
 def _same_pair(a: DataFrame, b: DataFrame) -> Column:
@@ -78,14 +89,24 @@ def stored_bytes(df: DataFrame) -> int:
     return sum(x for x in sizes if x < 2**62)
 
 
+def _bytes(spark: SparkSession, text: str) -> int:
+    """A size as Spark's settings give it, such as 16m."""
+    return spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(text)
+
+
 @contextmanager
-def small_tasks(spark: SparkSession, size: int) -> Iterator[None]:
+def small_tasks(spark: SparkSession, size: int, writers: int) -> Iterator[None]:
     """Within it, shuffles of ``size`` stored bytes give tasks of bounded size."""
     advisory, partitions = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions"
-    held = {name: spark.conf.get(name, None) for name in (advisory, partitions)}
+    splits = "spark.sql.files.maxPartitionBytes"
+    at_once, skewed = "spark.sql.maxConcurrentOutputFileWriters", "spark.sql.adaptive.forceOptimizeSkewedJoin"
+    held = {name: spark.conf.get(name, None) for name in (advisory, partitions, splits, at_once, skewed)}
     least = int(spark.conf.get(partitions))
     spark.conf.set(advisory, str(TASK_SHUFFLE_BYTES))
     spark.conf.set(partitions, str(max(least, min(-(-size // TASK_STORED_BYTES), MOST_TASKS))))
+    spark.conf.set(splits, str(min(_bytes(spark, spark.conf.get(splits)), TASK_READ_BYTES)))
+    spark.conf.set(at_once, str(writers))  # what is sorted by bucket is not sorted again
+    spark.conf.set(skewed, "true")  # a missing parent that a third of all rows name
     try:
         yield
     finally:
@@ -108,6 +129,45 @@ def _read(spark: SparkSession, schema: str, base: str, *paths: str) -> DataFrame
     return _union(found) if found else _nothing(spark, schema)
 
 
+class _Names:
+    """Numbers of tables and constraints within a batch, and their names."""
+
+    def __init__(self, fks: Sequence[ForeignKey]):
+        self.tables = list(dict.fromkeys([*schemas.SCHEMAS, *(fk[2] for fk in fks)]))
+        self.fks = [fk for name in self.tables for fk in fks if fk[0] == name]
+
+    def of(self, table: str) -> list[ForeignKey]:
+        return [fk for fk in self.fks if fk[0] == table]
+
+    @staticmethod
+    def _at(values: Sequence, number: Column) -> Column:
+        return F.get(F.array(*map(F.lit, values)), number)
+
+    def table(self) -> Column:
+        return self._at(self.tables, F.col("table"))
+
+    def constraint(self) -> Column:
+        return self._at([constraint_name(*fk) for fk in self.fks] or [""], F.col("constraint"))
+
+    def code(self, name: Column) -> Column:
+        return F.array_position(F.array(*map(F.lit, self.tables)), name).cast("int") - 1
+
+    def constraint_code(self, name: Column) -> Column:
+        return F.array_position(F.array(*[F.lit(constraint_name(*fk)) for fk in self.fks] or [F.lit("")]), name).cast("int") - 1
+
+    def touched(self, tables: Iterable[str]) -> list[str]:
+        """The tables whose keys rows of ``tables`` are or name."""
+        return sorted({*tables} | {fk[2] for fk in self.fks if fk[0] in tables})
+
+    def references(self, staged: DataFrame) -> DataFrame:
+        """``(table, fk_value, constraint, child_id, change)``: the table that is referred to."""
+        children = [fk[0] for fk in self.fks]
+        first = self._at([children.index(t) if t in children else 0 for t in self.tables], F.col("table"))
+        each = staged.select(first.alias("first"), "id", "change", F.posexplode("fks").alias("place", "fk_value"))
+        each = each.filter("fk_value is not null").select("fk_value", (F.col("first") + F.col("place")).alias("constraint"), F.col("id").alias("child_id"), "change")
+        return each.withColumn("table", self._at([self.tables.index(fk[2]) for fk in self.fks] or [0], F.col("constraint")))
+
+
 @dataclass(frozen=True)
 class DeltaAudit:
     """The audits' state after the batches ``versions`` under the folder ``root``."""
@@ -139,18 +199,30 @@ class DeltaAudit:
 
     # --- stores ---------------------------------------------------------------------
 
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*PAIR), F.lit(self.buckets)).cast("int")
-
-    def _append(self, name: str, rows: DataFrame, version: str) -> DataFrame:
-        """Add ``rows`` to a log and return them as stored."""
-        base = f"{self.root}/{name}"
+    def _bucket(self, parent: Column | None = None) -> Column:
+        return F.pmod(F.xxhash64(F.col("parent") if parent is None else parent, F.col("fk_value")), F.lit(self.buckets)).cast("int")
+
+    def _append(self, name: str, rows: DataFrame, version: str) -> None:
+        """Add ``rows`` to a log, a bucket's together."""
+        placed = rows.withColumn("bucket", self._bucket()).hint("rebalance", "bucket")
+        self._write(name, placed.sortWithinPartitions("bucket", *PAIR), version)
+
+    def _append_numbered(self, name: str, rows: DataFrame, names: _Names, version: str) -> None:
+        """Add a batch's ``rows`` to a log without a shuffle: each task writes its part of
+        every bucket. They are sorted while they are narrow, by one number, which is a radix
+        sort: by bucket, table and the key's lower bits (larger keys only lie less close)."""
+        bits = lambda c, n: F.shiftleft(F.col(c).cast("long"), n)
+        place = bits("bucket", 50) + bits("table", 44) + F.col("fk_value").bitwiseAND(2**44 - 1)
+        placed = rows.withColumn("bucket", self._bucket(names.table())).sortWithinPartitions(place)
+        held = [c for c in rows.columns if c != "table"]
+        named = placed.select(names.table().alias("parent"), *[names.constraint().alias(c) if c == "constraint" else F.col(c) for c in held], "bucket")
+        self._write(name, named, version)
+
+    def _write(self, name: str, placed: DataFrame, version: str) -> None:
         (
-            rows.withColumn("bucket", self._bucket()).withColumn("version", F.lit(version))
-            .hint("rebalance", "bucket").sortWithinPartitions("bucket", *PAIR)
-            .write.mode("append").partitionBy("bucket", "version").parquet(base)
+            placed.withColumn("version", F.lit(version))
+            .write.mode("append").option("compression", "zstd").partitionBy("bucket", "version").parquet(f"{self.root}/{name}")
         )
-        return self._log(name, f"{base}/bucket=*/version={version}")
 
     def _log(self, name: str, *paths: str) -> DataFrame:
         return _read(self.spark, f"{STORES[name]}, bucket int, version string", f"{self.root}/{name}", *paths)
@@ -168,6 +240,12 @@ class DeltaAudit:
         held = log.filter(F.col("version").isin(*self.versions)).drop("bucket", "version")
         return held.join(pairs, _same_pair(held, pairs), "left_semi")
 
+    def _committed(self, name: str) -> DataFrame:
+        """All committed changes in a log."""
+        if not self.versions:
+            return _nothing(self.spark, STORES[name])
+        return self._log(name, f"{self.root}/{name}").filter(F.col("version").isin(*self.versions)).drop("bucket", "version")
+
     def _violations(self, name: str) -> DataFrame:
         if not self.versions:
             return _nothing(self.spark, STORES[name])
@@ -175,8 +253,8 @@ class DeltaAudit:
         return _read(self.spark, STORES[name], path, path)
 
     def _commit(self, version: str, pk: DataFrame, fk: DataFrame) -> DeltaAudit:
-        pk.write.parquet(f"{self.root}/pk/{version}")
-        fk.write.parquet(f"{self.root}/fk/{version}")
+        pk.write.option("compression", "zstd").parquet(f"{self.root}/pk/{version}")
+        fk.write.option("compression", "zstd").parquet(f"{self.root}/fk/{version}")
         batch = len(self.versions)
         marker = self.spark.createDataFrame([(batch, version, self.buckets)], MARKER)
         marker.coalesce(1).write.mode("append").parquet(f"{self.root}/{MARKERS}")
@@ -184,21 +262,23 @@ class DeltaAudit:
 
     # --- batches --------------------------------------------------------------------
 
-    def _changes(self, added: Tables, removed: Tables, foreign_keys: Iterable[ForeignKey]) -> tuple[DataFrame, DataFrame]:
-        """The batch as changes of keys and of references."""
-        keys = [_nothing(self.spark, STORES["keys"])]
-        refs = [_nothing(self.spark, STORES["refs"])]
+    def _staged(self, added: Tables, removed: Tables, names: _Names, path: str) -> DataFrame:
+        """The batch's rows as stored keys: table, id, change, and the foreign keys in the
+        order of the table's constraints."""
+        parts = [_nothing(self.spark, STAGED)]
         for tables, sign in ((added, 1), (removed, -1)):
             if unknown := {*tables} - {*schemas.SCHEMAS}:
                 raise ValueError(f"no such tables: {', '.join(sorted(unknown))}")
-            change = F.lit(sign).cast("long").alias("change")
             for name, rows in tables.items():
-                keys.append(rows.select(F.lit(name).alias("parent"), F.col(schemas.PRIMARY_KEYS[name]).cast("long").alias("fk_value"), change))
-            if fks := [fk for fk in foreign_keys if fk[0] in tables]:
-                absent = {name: empty(self.spark, name) for name in ("task_definitions", "status")}
-                model = model_from_tables(self.spark, absent | dict(tables), schemas.SCHEMAS)
-                refs.append(references(model, fks).select(*REFERENCE, change))
-        return _net(_union(keys), PAIR), _net(_union(refs), REFERENCE)
+                fks = names.of(name)
+                held = conform(rows, name) if any(map(names.of, tables)) else rows
+                parts.append(held.select(
+                    F.lit(names.tables.index(name)).alias("table"), F.col(schemas.PRIMARY_KEYS[name]).cast("long").alias("id"),
+                    F.lit(sign).cast("long").alias("change"),
+                    F.array(*[F.col(fk[1]).cast("long") for fk in fks]).cast("array<bigint>").alias("fks"),
+                ))
+        _union(parts).write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(STAGED).parquet(path)
 
     def apply(self, added: Tables, removed: Tables | None = None, foreign_keys: Iterable[ForeignKey] | None = None) -> DeltaAudit:
         """The state after a batch of rows ``added`` to and ``removed`` from tables, by
@@ -207,46 +287,92 @@ class DeltaAudit:
         fks = list(foreign_keys if foreign_keys is not None else schemas.FOREIGN_KEYS)
         size = sum(stored_bytes(rows) for tables in (added, removed or {}) for rows in tables.values())
         logs = sum(stored_bytes(self._log(name, f"{self.root}/{name}")) for name in LOGS) if self.versions else 0
-        with small_tasks(self.spark, size + logs):
+        with small_tasks(self.spark, size + logs, self.buckets):
             return self._applied(added, removed or {}, fks)
 
     def _applied(self, added: Tables, removed: Tables, fks: Sequence[ForeignKey]) -> DeltaAudit:
-        version = uuid.uuid4().hex
-        key_changes, ref_changes = self._changes(added, removed, fks)
-        keys = self._append("keys", key_changes, version).select(*PAIR, "change")
-        refs = self._append("refs", ref_changes, version).select(*REFERENCE, "change")
-
-        pairs = keys.select(*PAIR).unionByName(refs.select(*PAIR)).distinct()
-        zero = F.lit(0).cast("long")
-        counted = _union([
-            self._touched("keys", pairs).select(*PAIR, F.col("change").alias("was"), "change"),
-            keys.select(*PAIR, zero.alias("was"), "change"),
-            pairs.select(*PAIR, zero.alias("was"), zero.alias("change")),
-        ])
-        state = materialize(counted.groupBy(*PAIR).agg(F.sum("was").alias("was"), F.sum("change").alias("now")), "audit_touched_keys", spark=self.spark)
+        version, names = uuid.uuid4().hex, _Names(fks)
+        aside = f"{self.root}/staged/{version}"
+        staged = self._staged(added, removed, names, f"{aside}/rows")
+        keys = staged.select("table", F.col("id").alias("fk_value"), "change")
+        refs = names.references(staged)
+        self._append_numbered("keys", keys, names, version)
+        self._append_numbered("refs", refs, names, version)
 
         old_pk, old_fk = self._violations("pk"), self._violations("fk")
-        wrong = state.filter((F.col("now") > 1) | (F.col("fk_value").isNull() & (F.col("now") > 0)))
-        pk = old_pk.join(state, _same_pair(old_pk, state), "left_anti").unionByName(wrong.select(*PAIR, F.col("now").alias("rows")))
-
-        absent = state.filter("now <= 0")
-        gone = state.filter("was > 0 and now <= 0").select(*PAIR)
-        concerned = _union([
-            old_fk,
-            self._touched("refs", gone).select(*REFERENCE, F.col("change").alias("rows")),
-            refs.select(*REFERENCE, F.col("change").alias("rows")),
+        parents = names.touched([*added, *removed])
+        kept = self._kept(staged, keys, refs, old_pk, old_fk, names, parents, f"{aside}/keys")
+        self._delete(f"{aside}/rows")
+        pk = kept.filter("rows is not null").select(names.table().alias("parent"), "fk_value", "rows")
+
+        named = lambda chosen: kept.filter(chosen).select(names.table().alias("parent"), "fk_value")
+        absent = kept.filter("absent").select("table", "fk_value")
+        without = [names.tables[r[0]] for r in absent.select("table").distinct().collect()]
+        stored = self._log("refs", f"{self.root}/refs/bucket=*/version={version}").filter(F.col("parent").isin(without))
+        refs = stored.select(names.code(F.col("parent")).alias("table"), "fk_value", names.constraint_code(F.col("constraint")).alias("constraint"), "child_id", "change")
+        # far fewer keys than references: they are the hash table of a task
+        met = refs.join(absent.hint("shuffle_hash"), ["table", "fk_value"], "left_semi")
+        met = met.groupBy("table", "fk_value", "constraint", "child_id").agg(F.sum("change").alias("rows"))
+        fk = met.select(names.table().alias("parent"), "fk_value", names.constraint().alias("constraint"), "child_id", "rows")
+        if self.versions:
+            concerned = old_fk.unionByName(self._touched("refs", named("gone")).select(*REFERENCE, F.col("change").alias("rows")))
+            absent = named("absent")
+            fk = _union([fk, concerned.join(absent, PAIR, "left_semi"), old_fk.filter(~F.col("parent").isin(names.tables))])
+            fk = fk.groupBy(*REFERENCE).agg(F.sum("rows").alias("rows"))
+        after = self._commit(version, pk, fk.filter("rows > 0"))
+        self._delete(aside)
+        return after
+
+    def _kept(
+        self, staged: DataFrame, keys: DataFrame, refs: DataFrame, old_pk: DataFrame, old_fk: DataFrame, names: _Names, parents: list[str], path: str
+    ) -> DataFrame:
+        """Of the keys that the batch holds or that were violated, those that are violated
+        now (with their ``rows``) and those that no row has: ``absent``, and ``gone`` if one
+        had before."""
+        if staged.count() <= FEW_ROWS:
+            pairs = keys.select("table", "fk_value").unionByName(refs.select("table", "fk_value")).distinct()
+            committed = self._touched("keys", pairs.select(names.table().alias("parent"), "fk_value"))
+        else:
+            committed = self._committed("keys").filter(F.col("parent").isin(parents))
+        none, zero = F.lit(None).cast("long"), F.lit(0).cast("long")
+
+        def part(rows: DataFrame, table: Column, was=zero, change=zero, old=none, flags: int = 0) -> DataFrame:
+            return rows.select(
+                table.alias("table"), "fk_value", was.alias("was"), change.alias("change"), old.alias("old"), F.lit(flags).alias("flags")
+            )
+
+        coded = names.code(F.col("parent"))
+        counted = _union([
+            part(keys, F.col("table"), change=F.col("change"), flags=TOUCHED),
+            part(refs, F.col("table"), flags=TOUCHED),
+            part(committed, coded, was=F.col("change")),
+            part(old_pk, coded, old=F.col("rows")),
+            part(old_fk.filter(F.col("parent").isin(names.tables)), coded, flags=BROKEN),
         ])
-        broken = concerned.join(absent.select(*PAIR), PAIR, "left_semi").groupBy(*REFERENCE).agg(F.sum("rows").alias("rows")).filter("rows > 0")
-        fk = old_fk.join(state.select(*PAIR), PAIR, "left_anti").unionByName(broken)
-        return self._commit(version, pk, fk)
+        state = counted.groupBy("table", "fk_value").agg(
+            F.sum("was").alias("was"), F.sum("change").alias("change"), F.max("old").alias("old"), F.bit_or("flags").alias("flags")
+        )
+        now, touched = F.col("was") + F.col("change"), F.col("flags").bitwiseAND(TOUCHED) > 0
+        wrong = (now > 1) | (F.col("fk_value").isNull() & (now > 0))
+        kept = state.select(
+            "table", "fk_value", F.when(touched, F.when(wrong, now)).otherwise(F.col("old")).alias("rows"),
+            F.when(touched, now <= 0).otherwise(F.col("flags") > 0).alias("absent"),
+            (touched & (F.col("was") > 0) & (now <= 0)).alias("gone"),
+        ).filter("rows is not null or absent")
+        kept.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(KEPT).parquet(path)
+
+    def _delete(self, path: str) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
 
     def compact(self, root: str) -> DeltaAudit:
         """The same state in another folder, its logs summed up to one batch."""
         version = uuid.uuid4().hex
         other = DeltaAudit(self.spark, root, (), self.buckets)
         for name, columns in (("keys", PAIR), ("refs", REFERENCE)):
-            held = self._log(name, f"{self.root}/{name}").filter(F.col("version").isin(*self.versions))
-            other._append(name, _net(held, columns), version)
+            other._append(name, _net(self._committed(name), columns), version)
         return other._commit(version, self._violations("pk"), self._violations("fk"))
 
     # --- results --------------------------------------------------------------------

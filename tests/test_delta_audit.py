@@ -120,3 +120,41 @@ def test_tasks_of_a_batch_follow_its_bytes(spark, tmp_path, monkeypatch):
     with pytest.raises(ZeroDivisionError):
         state.apply({"states": states.limit(1)})
     assert settings() == before
+
+
+@pytest.mark.parametrize("few", [-1, 10**6])
+def test_batches_of_any_size_equal_the_full_audits(spark, tmp_path, monkeypatch, few):
+    """Keys are looked up in the log or summed up with it; keys and references come and go
+    within a batch, rows repeat, and constraints may name other parents."""
+    monkeypatch.setattr(delta_audit, "FEW_ROWS", few)
+    rows = {
+        "states": [(1, "Serra"), (1, "Serra"), (None, "none")], "users": [(7, "U", "u"), (2**50, "V", "v")],
+        "cities": [(1, "Lagoa Clara", 1), (1, "Lagoa Clara", 1), (2, "Vista Longa", 5), (2, "Vista Longa", 5), (3, "Porto Novo", None)],
+    }
+    state = DeltaAudit.start(spark, str(tmp_path / "a"), frames(spark, rows), buckets=4)
+    agrees(spark, state, rows)
+    come_and_go = {"states": [(5, "Porto")], "cities": [(9, "Rua", 6), (3, "Porto Novo", None)], "users": []}
+    gone = {"states": [(5, "Porto"), (1, "Serra"), (1, "Serra")], "cities": [(9, "Rua", 6), (2, "Vista Longa", 5)]}
+    state = state.apply(frames(spark, come_and_go), frames(spark, gone))
+    rows["states"], rows["cities"] = [(None, "none")], [*rows["cities"][:2], rows["cities"][2], *[(3, "Porto Novo", None)] * 2]
+    agrees(spark, state, rows)
+    other = state.apply(frames(spark, {"cities": [(4, "Sul", 77)]}), None, [("cities", "state_id", "elsewhere")])
+    assert set(found(other.audit_fk())) == {*found(state.audit_fk()), ("cities.state_id -> elsewhere", 4, 77)}
+    assert set(found(other.apply(frames(spark, {"states": [(1, "Serra")]})).audit_fk())) == {
+        ("cities.state_id -> elsewhere", 4, 77), ("cities.state_id -> states", 2, 5)
+    }
+
+
+def test_rows_of_a_batch_are_made_once(spark, tmp_path):
+    """Keys, references and their state come of one pass over the rows."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    cities = spark.createDataFrame([(i, None, i % 3) for i in range(50)], schemas.SCHEMAS["cities"])
+    state = DeltaAudit.start(spark, str(tmp_path / "a"), {"cities": cities.mapInArrow(counted, cities.schema)}, buckets=2)
+    assert made.value == 50 and len(found(state.audit_fk())) == 50
+    assert [p for p in (tmp_path / "a" / "staged").rglob("*") if p.is_file()] == []
