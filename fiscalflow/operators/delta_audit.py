@@ -96,15 +96,17 @@ def _bytes(spark: SparkSession, text: str) -> int:
 
 @contextmanager
 def small_tasks(spark: SparkSession, size: int, writers: int) -> Iterator[None]:
-    """Within it, shuffles of ``size`` stored bytes give tasks of bounded size."""
+    """Within it, shuffles of ``size`` stored bytes give tasks of bounded size, and their
+    files go when the query that made them has ended."""
     advisory, partitions = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions"
-    splits = "spark.sql.files.maxPartitionBytes"
+    splits, cleanup = "spark.sql.files.maxPartitionBytes", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     at_once, skewed = "spark.sql.maxConcurrentOutputFileWriters", "spark.sql.adaptive.forceOptimizeSkewedJoin"
-    held = {name: spark.conf.get(name, None) for name in (advisory, partitions, splits, at_once, skewed)}
+    held = {name: spark.conf.get(name, None) for name in (advisory, partitions, splits, cleanup, at_once, skewed)}
     least = int(spark.conf.get(partitions))
     spark.conf.set(advisory, str(TASK_SHUFFLE_BYTES))
     spark.conf.set(partitions, str(max(least, min(-(-size // TASK_STORED_BYTES), MOST_TASKS))))
     spark.conf.set(splits, str(min(_bytes(spark, spark.conf.get(splits)), TASK_READ_BYTES)))
+    spark.conf.set(cleanup, "true")
     spark.conf.set(at_once, str(writers))  # what is sorted by bucket is not sorted again
     spark.conf.set(skewed, "true")  # a missing parent that a third of all rows name
     try:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 
@@ -158,3 +159,15 @@ def test_rows_of_a_batch_are_made_once(spark, tmp_path):
     state = DeltaAudit.start(spark, str(tmp_path / "a"), {"cities": cities.mapInArrow(counted, cities.schema)}, buckets=2)
     assert made.value == 50 and len(found(state.audit_fk())) == 50
     assert [p for p in (tmp_path / "a" / "staged").rglob("*") if p.is_file()] == []
+
+
+def test_shuffle_files_of_a_batch_go_with_it(spark, tmp_path):
+    """What a batch shuffled does not lie on the disks until the driver collects garbage."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {x for x in manager.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+    before = shuffled()
+    DeltaAudit.start(spark, str(tmp_path / "a"), frames(spark, {"states": [(1, "Serra")] * 2, "cities": [(1, None, 4)]}), buckets=2)
+    deadline = time.time() + 30  # they are deleted in the background
+    while shuffled() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not shuffled() - before
