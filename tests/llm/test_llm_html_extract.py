@@ -202,3 +202,71 @@ def test_large_alignments_are_cut_and_stay_longest():
         a, b = ([rng.randrange(5) for _ in range(rng.randint(0, 20))] for _ in range(2))
         in_a, in_b = he.shared_lines(a, b, cells=6)
         assert [a[i] for i in in_a] == [b[j] for j in in_b] and len(in_a) == longest_common(a, b)
+
+
+LONG = "a paragraph that is long enough to count as one of the long lines "
+
+
+def run_of(kind, i):
+    """A page of a long run: near copies of one story, pages that contain each other with
+    another notice each, or near copies of their neighbours that drift."""
+    if kind == "copies":
+        return page("r", i, [f"{LONG}same", f"{LONG}same too", f"line {i}"])
+    if kind == "contained":
+        return f"<div class='ad'>buy {i}</div><p>sign in</p><div>about us</div>"
+    return page("r", i, [*(f"{LONG}{k}" for k in range(i // 8, i // 8 + 12)), f"line {i}"])
+
+
+def one_by_one(pages):
+    """Shared lines of every page, by asking one page after the other to the ends."""
+    out = {}
+    for i, p in enumerate(pages):
+        found = set()
+        for others in (pages[:i][::-1], pages[i + 1 :]):
+            found.update(he._ask(p, others, lambda other: he._aligned(p, other))[0])
+        if found:
+            out[p.content] = sorted(found)
+    return out
+
+
+@pytest.mark.parametrize("kind, lone", [("copies", [45, 150]), ("copies", [201]), ("contained", [77]), ("drifting", [100])])
+def test_a_page_that_stands_alone_within_a_run_is_asked(make_pages, monkeypatch, kind, lone):
+    """The nearest page that tells something is found wherever it stands, also in a tree of
+    many levels; all pages are as if they had asked one page after the other."""
+    monkeypatch.setattr(he, "BITS", 2, raising=False)
+    rows = [(i, f"http://r.example/{i:04d}", run_of(kind, i)) for i in range(230)]
+    for i in lone:
+        rows[i] = (i, rows[i][1], page("r", i, [f"{LONG}other {i}", f"own {i}"], notice="A line of 1999", foot="about us"))
+    rows += [(900 + i, f"http://q.example/{i}", run_of("copies", i)) for i in range(3)]
+    ranks = he.materialize(he.ranked(he.parse(make_pages(rows).repartition(3))), "test-ranks")
+    got = {r["content"]: sorted(r["shared"]) for r in he.shared_with_neighbours(ranks, 4).collect()}
+    want, hosts = {}, {}
+    for r in sorted(ranks.collect(), key=lambda r: r["rank"]):
+        hosts.setdefault(r["host"], []).append(he._Page(*(r[c] for c in he.PAGE)))
+    for held in hosts.values():
+        want |= one_by_one(held)
+    assert got == want and len(got) > 100
+
+
+def test_nodes_pass_over_no_page_that_tells_something():
+    rng, proved = random.Random(3), 0
+    for _ in range(3000):
+        base, pages = [rng.randrange(9) for _ in range(rng.randint(0, 7))], []
+        kinds = {k: rng.choice([he.OPEN, he.OPEN, he.OUT]) for k in range(30)}
+        for n in range(4):
+            keys = [k for k in base if rng.random() < 0.9] + [rng.choice([20 + n, 3])] * (rng.random() < 0.5)
+            main = rng.random() < 0.3
+            shown = [he.MAIN if main and k in (0, 1, 2) else kinds[k] for k in keys]
+            keys = [k + 100 if x == he.MAIN else k for k, x in zip(keys, shown)]
+            long = [k for k, x in zip(keys, shown) if x != he.OUT and k % 100 % 3]
+            pages.append(he._Page(n, "h", n, keys, shown, long))
+        p, *others = pages
+        common = he._Common.of(others[0])
+        for other in others[1:]:
+            common.add(he._Common(*he._Common.of(other).row()))
+        lone = {k for k in p.keys if not any(k in o.keys for o in others)}
+        if common.tells_nothing(p, lone):
+            proved += 1
+            for other in others:
+                assert he._ask(p, [other], lambda o: he._aligned(p, o)) == ([], True)
+    assert proved > 300
