@@ -53,6 +53,7 @@ MARKERS = "committed"
 MARKER = "batch int, version string, buckets int"
 STAGED = "table int, id long, change long, fks array<bigint>"
 KEPT = "table int, fk_value long, rows long, absent boolean, gone boolean"
+MET = "table int, fk_value long, constraint int, child_id long, rows long"
 TOUCHED, BROKEN = 1, 2  # flags of a key: the batch holds it, references to it are violated so far
 
 # Keys are small as files and large in a hash table (some 40 times), so a task gets less
@@ -61,6 +62,13 @@ TASK_STORED_BYTES = 4 * 1024 * 1024
 TASK_SHUFFLE_BYTES = 12 * 1024 * 1024
 TASK_READ_BYTES = 32 * 1024 * 1024  # a task sorts what it stages or reads of it, some 30 times that in memory
 MOST_TASKS = 20_000
+ROUND_BYTES = 64 * 1024 * 1024  # of a batch's references that are asked for their parents at once, if there are
+MOST_ROUNDS = 8  # no more rounds than this to ask in
+FEW_KEYS = 10_000  # that a table lacks and every task may hold
+# Keys are stored as differences: sorted ones take a byte or two, and no dictionary is tried.
+STORED = {"compression": "zstd", "parquet.writer.version": "v2"} | {
+    f"parquet.enable.dictionary#{c}": "false" for c in ("fk_value", "child_id", "id")
+}
 FEW_ROWS = 200_000  # of a batch whose keys are looked up in the log, instead of the log's keys being summed up with them
 
 
@@ -223,7 +231,7 @@ class DeltaAudit:
     def _write(self, name: str, placed: DataFrame, version: str) -> None:
         (
             placed.withColumn("version", F.lit(version))
-            .write.mode("append").option("compression", "zstd").partitionBy("bucket", "version").parquet(f"{self.root}/{name}")
+            .write.mode("append").options(**STORED).partitionBy("bucket", "version").parquet(f"{self.root}/{name}")
         )
 
     def _log(self, name: str, *paths: str) -> DataFrame:
@@ -255,8 +263,8 @@ class DeltaAudit:
         return _read(self.spark, STORES[name], path, path)
 
     def _commit(self, version: str, pk: DataFrame, fk: DataFrame) -> DeltaAudit:
-        pk.write.option("compression", "zstd").parquet(f"{self.root}/pk/{version}")
-        fk.write.option("compression", "zstd").parquet(f"{self.root}/fk/{version}")
+        pk.write.options(**STORED).parquet(f"{self.root}/pk/{version}")
+        fk.write.options(**STORED).parquet(f"{self.root}/fk/{version}")
         batch = len(self.versions)
         marker = self.spark.createDataFrame([(batch, version, self.buckets)], MARKER)
         marker.coalesce(1).write.mode("append").parquet(f"{self.root}/{MARKERS}")
@@ -279,7 +287,7 @@ class DeltaAudit:
                     F.lit(sign).cast("long").alias("change"),
                     F.array(*[F.col(fk[1]).cast("long") for fk in fks]).cast("array<bigint>").alias("fks"),
                 ))
-        _union(parts).write.option("compression", "zstd").parquet(path)
+        _union(parts).write.options(**STORED).parquet(path)
         return self.spark.read.schema(STAGED).parquet(path)
 
     def apply(self, added: Tables, removed: Tables | None = None, foreign_keys: Iterable[ForeignKey] | None = None) -> DeltaAudit:
@@ -309,12 +317,7 @@ class DeltaAudit:
 
         named = lambda chosen: kept.filter(chosen).select(names.table().alias("parent"), "fk_value")
         absent = kept.filter("absent").select("table", "fk_value")
-        without = [names.tables[r[0]] for r in absent.select("table").distinct().collect()]
-        stored = self._log("refs", f"{self.root}/refs/bucket=*/version={version}").filter(F.col("parent").isin(without))
-        refs = stored.select(names.code(F.col("parent")).alias("table"), "fk_value", names.constraint_code(F.col("constraint")).alias("constraint"), "child_id", "change")
-        # far fewer keys than references: they are the hash table of a task
-        met = refs.join(absent.hint("shuffle_hash"), ["table", "fk_value"], "left_semi")
-        met = met.groupBy("table", "fk_value", "constraint", "child_id").agg(F.sum("change").alias("rows"))
+        met = self._without_parent(version, absent, names, f"{aside}/refs")
         fk = met.select(names.table().alias("parent"), "fk_value", names.constraint().alias("constraint"), "child_id", "rows")
         if self.versions:
             concerned = old_fk.unionByName(self._touched("refs", named("gone")).select(*REFERENCE, F.col("change").alias("rows")))
@@ -325,6 +328,37 @@ class DeltaAudit:
         self._delete(aside)
         return after
 
+    def _without_parent(self, version: str, absent: DataFrame, names: _Names, path: str) -> DataFrame:
+        """The references of the batch, numbered, to the keys ``absent``. Those to tables
+        that lack few keys meet them where they are stored, so that a key that many name
+        is in all tasks; the others are shuffled, a part of the buckets after the other."""
+        lacking = {r["table"]: r["count"] for r in absent.groupBy("table").count().collect()}
+        few, many = ([t for t, n in lacking.items() if (n <= FEW_KEYS) == x] for x in (True, False))
+        of = lambda tables: F.col("parent").isin([names.tables[t] for t in tables])
+        stored = self._log("refs", f"{self.root}/refs/bucket=*/version={version}").filter(of(lacking))
+        # what a batch stores is a row more or a row less
+        kind = names.constraint_code(F.col("constraint")) * 2 + (F.col("change") < 0).cast("int")
+        numbered = [names.code(F.col("parent")).alias("table"), "fk_value", kind.alias("kind"), "child_id"]
+        absent = absent.withColumn("bucket", self._bucket(names.table()))
+        rounds = max(1, min(-(-stored_bytes(stored) // ROUND_BYTES), MOST_ROUNDS, self.buckets))
+
+        def met(round_: int, tables: list[int], how: str) -> DataFrame:
+            now = F.col("bucket") % rounds == round_
+            keys = absent.filter(now & F.col("table").isin(tables)).drop("bucket")
+            refs = stored.filter(now & of(tables)).select(*numbered)
+            left = refs.join(keys.hint(how), ["table", "fk_value"], "left_semi")
+            change = F.when(F.col("kind") % 2 == 1, -1).otherwise(1).cast("long")
+            left = left.select("table", "fk_value", F.shiftright("kind", 1).alias("constraint"), "child_id", change.alias("change"))
+            return left.groupBy("table", "fk_value", "constraint", "child_id").agg(F.sum("change").alias("rows"))
+
+        # far fewer keys than references: they are the hash table of a task
+        parts = [_union([met(i, few, "broadcast"), met(i, many, "shuffle_hash")]) for i in range(rounds)]
+        if rounds == 1:
+            return parts[0]
+        for part in parts:
+            part.write.mode("append").options(**STORED).parquet(path)
+        return self.spark.read.schema(MET).parquet(path)
+
     def _kept(
         self, staged: DataFrame, keys: DataFrame, refs: DataFrame, old_pk: DataFrame, old_fk: DataFrame, names: _Names, parents: list[str], path: str
     ) -> DataFrame:
@@ -361,7 +395,7 @@ class DeltaAudit:
             F.when(touched, now <= 0).otherwise(F.col("flags") > 0).alias("absent"),
             (touched & (F.col("was") > 0) & (now <= 0)).alias("gone"),
         ).filter("rows is not null or absent")
-        kept.write.option("compression", "zstd").parquet(path)
+        kept.write.options(**STORED).parquet(path)
         return self.spark.read.schema(KEPT).parquet(path)
 
     def _delete(self, path: str) -> None:
